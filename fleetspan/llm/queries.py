@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from pyspark.sql import functions as F
+
+from . import embeddings, html_tree, jaccard, quality, topk, warc
 
 
 def _t(spark, sf_dir, name):
@@ -13,6 +15,28 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(_t(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(_t(spark, sf_dir, "embeddings"))
+
+
+def op8_exact_top_k(spark, sf_dir):
+    return topk.top_inner(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_html_extraction(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    return html_tree.extract(pages, html_tree.fit(pages))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _t(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_warc, op6_embedding_near_dedup, op8_exact_top_k, op9_html_extraction, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
