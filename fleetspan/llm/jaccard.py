@@ -27,7 +27,7 @@ from . import textkernel as tk
 from .common import small, stored
 from .components import components
 
-CELL_BITS = 18
+CELL_BITS = 20
 PARTS = 16
 #: Members of one pivot that one verification group holds at most.
 GROUP = 256
@@ -38,7 +38,7 @@ def frequencies(docs: DataFrame, size: int, bits: int = CELL_BITS) -> np.ndarray
     cells, piece = 1 << bits, 1 << max(0, bits - 6)
 
     def count(batches):
-        total = np.zeros(cells, dtype=np.int64)
+        total = np.zeros(cells, dtype=np.uint32)  # of one task; the sums are wider
         for batch in batches:
             for i, j, h, o in tk.word_hashes(batch.column(0)):
                 n = np.diff(o)
@@ -46,20 +46,16 @@ def frequencies(docs: DataFrame, size: int, bits: int = CELL_BITS) -> np.ndarray
                     doc = np.repeat(np.arange(j - i), n)
                     ok = doc[: len(h) - size + 1] == doc[size - 1 :]
                     sh = tk.shingles(h, size)[ok]
-                    total += np.bincount((sh >> np.uint64(64 - bits)).astype(np.int64), minlength=cells)
+                    total += np.bincount((sh >> np.uint64(64 - bits)).astype(np.int64), minlength=cells).astype(np.uint32)
         parts = total.reshape(-1, piece)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
-    def add(key, batches):
+    def merge(key, table):
         total = np.zeros(piece, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    def merge(key, table):
-        return add(key, table.to_batches())
-
     kind = "part int, counts binary"
     rows = docs.select("text").mapInArrow(count, kind).groupBy("part").applyInArrow(merge, kind).collect()
     out = np.zeros((cells // piece, piece), dtype=np.int64)
@@ -148,10 +144,14 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataFrame,
     """(members, links, groups): (doc_id, n, rep) per document, verified links (a, b) between classes, and (id, component) of linked classes."""
     classes = frequency_classes(frequencies(docs, size))
     signed = stored(signatures(docs, size, percent, classes), "signatures")
-    reps = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")).filter("rep is not null")
-    reps = stored(reps, "classes")
+    same = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+    members = stored(signed.select("doc_id", "n", "h1", "h2").join(same, ["h1", "h2"], "left").select("doc_id", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    # copies leave; what stays keeps its rows where they are
+    copies = small(stored(members.filter("doc_id <> rep").select("doc_id", "h1", "h2").distinct(), "copies"))
+    firsts = signed.filter("n > 0 and doc_id is not null").join(copies, ["doc_id", "h1", "h2"], "left_anti").withColumnRenamed("doc_id", "rep")
+    reps = firsts.select("rep", "n", "parts")
     # shingles that several classes have in their prefixes
-    met = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    met = firsts.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     by = Window.partitionBy("token")
     met = met.withColumn("k", F.count("*").over(by)).filter("k > 1").select("token", "rep", "n", "pos")
     met = stored(met, "shared")
@@ -172,7 +172,6 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataFrame,
     linked = linked.union(verify(cross, docs, size, percent))
     linked = stored(linked, "links")
     groups = components(linked)
-    members = signed.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return members, linked, groups
 
 

@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, html_tree, jaccard, quality, topk, warc
+from . import embeddings, html_tree, jaccard, mixing, packing, passages, quality, token_rollup, topk, warc
+from .common import scratch
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_soft_mixing(spark, sf_dir):
+    return mixing.rates(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op2_token_counts(spark, sf_dir):
+    """Three batches: all documents; those labelled 0 are deleted, those labelled toxic revised without upper case; the second again."""
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    store = token_rollup.RollupStore(spark, scratch(spark, "rollup"), {"words-1": token_rollup.word_counter, "byte-bpe-50k": token_rollup.bpe_counter})
+    store.commit(1, docs.select(F.lit("insert").alias("op"), "doc_id", "text", "source", "lang"))
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 0 or toxic = 1")
+    changes = docs.join(marks, "doc_id").select(F.when(F.col("quality") == 0, "delete").otherwise("revise").alias("op"), "doc_id", F.lower("text").alias("text"), "source", "lang")
+    store.commit(2, changes)
+    store.commit(2, changes)
+    return store.totals()
+
+
+def op3_substring_dedup(spark, sf_dir):
+    return passages.passages(_t(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(_t(spark, sf_dir, "documents"))
 
@@ -23,6 +44,10 @@ def op6_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(_t(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.packed(_t(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark, sf_dir):
     return topk.top_inner(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -37,6 +62,10 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, _t(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_warc, op6_embedding_near_dedup, op8_exact_top_k, op9_html_extraction, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_soft_mixing, op2_token_counts, op3_substring_dedup, op4_ngram_jaccard_join, op5_warc, op6_embedding_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_html_extraction, op10_quality_classifier)
+}
 
+#: No operator of this subpackage has an equivalent in SQL on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
