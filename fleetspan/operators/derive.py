@@ -65,7 +65,7 @@ def rest_times(rows: DataFrame, chained_s: float = 3600) -> DataFrame:
 def level_changes(rows: DataFrame) -> DataFrame:
     """Rise and drop of the level since the previous message."""
     d = F.col("level_end") - F.lag("level_end").over(BY_TIME)
-    return rows.withColumns({"rise": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "drop": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
+    return rows.withColumns({"rise": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "drop": F.when(d.isNotNull(), F.greatest(F.lit(0.0) - d, F.lit(0.0)))})
 
 
 def transitions_of_messages(rows: DataFrame, first: str, then: tuple[str, ...]) -> DataFrame:

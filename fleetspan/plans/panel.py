@@ -25,7 +25,7 @@ def cut_grid(trips: DataFrame, events: DataFrame, window_km: float, gap_km: floa
 def serve_cuts(rows: DataFrame, window_km: float, step_km: float, at: str = "odo_end") -> DataFrame:
     """Each row once for every cut c with c - window < at <= c: an explode in place of a range join."""
     lo, hi = F.ceil(F.col(at) / step_km), F.ceil((F.col(at) + window_km) / step_km) - 1
-    return rows.filter(F.col(at).isNotNull()).withColumn("cut_odo", F.explode(F.sequence(lo, hi)) * F.lit(step_km))
+    return rows.filter(F.col(at).isNotNull()).withColumn("cut_odo", F.explode(F.transform(F.sequence(lo, hi), lambda c: c * F.lit(step_km))))
 
 
 def window_rows(rows: DataFrame, cuts: DataFrame, window_km: float, step_km: float, at: str = "odo_end") -> DataFrame:
