@@ -1 +1,287 @@
-"""Queries."""
+"""Queries of resampling and modelling steps (N, L and the metrics that need them)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import derive, resample, splits
+from ..operators import metrics as M
+from ..operators import profile as P
+from ..plans import models as L
+from ..plans import panel, risk
+from ..sources.fleet import ORIGIN, SUSTAIN
+from .panels import clock, durations
+from .profile import PD, _r, exposure
+from .registry import query
+from .scores import repeated, strata, with_market
+
+KEYS = ["vehicle_id", "cut_odo"]
+NUM = ["level_mean", "value_mean", "n_trips"]
+
+
+def model_rows(f):
+    """Panel with three features and statics, and a fold by vehicle."""
+    x = f.windowed.groupBy(*KEYS, "label", "event_observed", "time_to_event_km", "km_after").agg(F.avg("level_end").alias("level_mean"), F.avg("value").alias("value_mean"), F.count("*").cast("double").alias("n_trips"))
+    return x.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").withColumn("market", F.col("market").cast("string"))
+
+
+def model_folds(f, k=3, repeats=1):
+    return splits.folds(strata(f), k, repeats, 21)
+
+
+PERM = "(SELECT a.vehicle_id, a.cut_odo, b.score FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY cut_odo) AS k FROM scores) a JOIN (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY md5('9|'||CAST(cut_odo AS BIGINT)), cut_odo) AS k FROM scores) b ON a.vehicle_id=b.vehicle_id AND a.k=b.k)"
+
+
+@query("n01_permute_all_rows")
+def n01(f):
+    x = f.scores.withColumn("cut", F.col("cut_odo").cast("bigint"))
+    return resample.permute(x, ["score"], 9, ["vehicle_id", "cut"]).select("vehicle_id", "cut_odo", "score")
+
+
+@query("n02_permute_within_vehicle", f"SELECT vehicle_id, cut_odo, score FROM {PERM}")
+def n02(f):
+    x = f.scores.select("vehicle_id", F.col("cut_odo").cast("bigint").alias("cut"), "cut_odo", "score")
+    return resample.permute(x, ["score"], 9, ["cut"], ["vehicle_id"]).select("vehicle_id", "cut_odo", "score")
+
+
+@query("n03_vehicle_bootstrap_auc")
+def n03(f):
+    return resample.interval(resample.bootstrap_auc(f.scores, 50, 4), "auc")
+
+
+@query("n04_paired_bootstrap")
+def n04(f):
+    a = M.vehicle_levels(f.scores, SUSTAIN)
+    b = M.vehicle_levels(f.scores.withColumn("score", -F.col("score")), SUSTAIN)
+    return resample.interval(resample.paired_difference(a, b, 40, 0.2, 5), "diff")
+
+
+@query("n05_detection_null")
+def n05(f):
+    null = resample.permutation_levels(f.scores, 30, SUSTAIN, 6)
+    d = M.detection(null, M.exact_tau(null, [0.2], ["replicate"]), ["replicate"])
+    lv = M.vehicle_levels(f.scores, SUSTAIN)
+    return resample.p_value(d, "detection", M.detection(lv, M.exact_tau(lv, [0.2])))
+
+
+@query("n06_bag_size_null")
+def n06(f):
+    x = resample.replicates(f.scores.select("vehicle_id", "cut_odo", "event_observed", "score"), 30)
+    g = resample.permute_replicates(x, 8).groupBy("replicate", "vehicle_id").agg(F.max("event_observed").alias("event_observed"), F.max("score").alias("level"))
+    return resample.interval(M.detection(g, M.exact_tau(g, [0.2], ["replicate"]), ["replicate"]), "detection")
+
+
+@query("n07_label_permutation_null")
+def n07(f):
+    v = with_market(f).groupBy("vehicle_id", "market").agg(F.max("event_observed").alias("label"), F.round(F.avg("score"), 6).alias("score"))
+    x = resample.replicates(v, 50)
+    nat = Window.partitionBy("replicate", "market").orderBy("vehicle_id")
+    drawn = Window.partitionBy("replicate", "market").orderBy(splits.draw(7, F.col("replicate"), F.col("vehicle_id")), "vehicle_id")
+    a, b = x.drop("label").withColumn("k", F.row_number().over(nat)), x.withColumn("k", F.row_number().over(drawn)).select("replicate", "market", "k", "label")
+    null = M.roc_auc(a.join(b, ["replicate", "market", "k"]), ["replicate"])
+    return resample.p_value(null, "auc", M.roc_auc(v))
+
+
+@query("n08_bootstrap_weights")
+def n08(f):
+    return resample.bootstrap_weights(f.scores, 20, 3)
+
+
+@query("l01_preprocessed_features")
+def l01(f):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    x = model_rows(f)
+    out = Pipeline(stages=L.preprocessor(NUM, ["market", "engine"])).fit(x).transform(x)
+    return out.select(*KEYS, vector_to_array("features").alias("features"))
+
+
+@query("l02_grouped_cv")
+def l02(f):
+    return L.mean_scores(L.run_cv(model_rows(f), model_folds(f), "logistic", NUM, ["market"]))
+
+
+BASE = "(SELECT *, vehicle_id%5 AS fold FROM scores)"
+
+
+@query("l03_base_rate_and_random", f"SELECT a.fold, round(sum(b.label)/count(*)::DOUBLE,6) AS score FROM (SELECT DISTINCT fold FROM {BASE}) a JOIN {BASE} b ON a.fold<>b.fold GROUP BY 1")
+def l03(f):
+    x = L.base_rate_scores(f.scores.drop("score").withColumn("fold", F.col("vehicle_id") % 5))
+    return x.groupBy("fold").agg(F.round(F.first("score"), 6).alias("score"))
+
+
+@query("l04_logistic_l1")
+def l04(f):
+    return L.run_cv(model_rows(f), model_folds(f), "logistic_l1", NUM)
+
+
+@query("l05_boosted_trees")
+def l05(f):
+    return L.final_fit(model_rows(f), model_rows(f), "gbt", NUM)
+
+
+def stacked(f):
+    d = durations(f).join(model_rows(f).select(*KEYS, *NUM), KEYS)
+    return d, panel.stack_periods(d, "entry", "duration", "event", 100, 1000)
+
+
+@query("l06_hazard_stacker")
+def l06(f):
+    d, s = stacked(f)
+    return L.hazard_scores(s, d, NUM, 8)
+
+
+@query("l07_natural_spline", "SELECT vehicle_id, cut_odo, round(d0-d2,4) AS s1, round(d1-d2,4) AS s2 FROM (SELECT vehicle_id, cut_odo, (pow(greatest(cut_odo-500,0),3)-pow(greatest(cut_odo-3000,0),3))/2500 AS d0, (pow(greatest(cut_odo-1000,0),3)-pow(greatest(cut_odo-3000,0),3))/2000 AS d1, (pow(greatest(cut_odo-2000,0),3)-pow(greatest(cut_odo-3000,0),3))/1000 AS d2 FROM cuts)")
+def l07(f):
+    _, a, b = L.natural_spline(F.col("cut_odo"), (500.0, 1000.0, 2000.0, 3000.0))
+    return f.cuts.select(*KEYS, F.round(a, 4).alias("s1"), F.round(b, 4).alias("s2"))
+
+
+@query("l08_exposure_stacker")
+def l08(f):
+    d, _ = stacked(f)
+    return L.exposure_scores(panel.stack_exposure(d, "entry", "duration", "event", 100.0, 1000.0), d, NUM, 8, 100.0)
+
+
+@query("l09_poisson_rate_table")
+def l09(f):
+    x = exposure(f).groupBy("market", "cohort").agg(F.sum("is_event").alias("events"), F.count("*").alias("days")).filter("cohort = 'failed'")
+    return L.poisson_table(x, ["market"])
+
+
+@query("l10_ordinal_scores")
+def l10(f):
+    x = model_rows(f).withColumn("class", risk.ordinal_target((600, 300)).cast("double"))
+    return L.ordinal_scores(x, NUM, "class", 4, 1)
+
+
+@query("l10b_one_vs_rest")
+def l10b(f):
+    return L.one_vs_rest(model_rows(f).withColumn("class", risk.ordinal_target((600, 300)).cast("double")), NUM, "class")
+
+
+@query("l11_vehicle_bagging")
+def l11(f):
+    x = model_rows(f)
+    return L.bagged(x, resample.bootstrap_weights(x, 3, 2), "logistic", NUM)
+
+
+CELLS = "(SELECT vehicle_id, market, strftime(t_start,'%d') AS month, avg(level_end) AS value, count(*)::DOUBLE AS weight, any_value(cohort) AS cohort FROM trips JOIN vehicles USING (vehicle_id) GROUP BY 1,2,3)"
+
+
+def cells(f):
+    x = f.trips.join(f.vehicles.select("vehicle_id", "market", "cohort"), "vehicle_id").withColumn("month", F.date_format("t_start", "dd"))
+    return x.groupBy("vehicle_id", "market", "month").agg(F.avg("level_end").alias("value"), F.count("*").cast("double").alias("weight"), F.first("cohort").alias("cohort"))
+
+
+@query("l12_fleet_reference", f"""WITH c AS (SELECT * FROM {CELLS}), h AS (SELECT * FROM c WHERE cohort='healthy'), a AS (SELECT market, month, quantile_cont(value,0.5) AS ref FROM h GROUP BY ALL HAVING count(*)>=12), b AS (SELECT month, quantile_cont(v,0.5) AS ref FROM (SELECT vehicle_id, month, avg(value) AS v FROM h GROUP BY ALL) GROUP BY 1 HAVING count(*)>=12), g AS (SELECT quantile_cont(v,0.5) AS ref FROM (SELECT vehicle_id, avg(value) AS v FROM h GROUP BY 1))
+  SELECT vehicle_id, round(sum((value-coalesce(a.ref,b.ref,g.ref))*weight)/sum(weight),4) AS deviation FROM c LEFT JOIN a USING (market, month) LEFT JOIN b USING (month) CROSS JOIN g GROUP BY 1""")
+def l12(f):
+    c = cells(f)
+    ref = L.FleetReference(12).fit(c.filter("cohort = 'healthy'"), [("cell", ["market", "month"]), ("month", ["month"]), ("all", [])])
+    return ref.transform(c).select("vehicle_id", _r("deviation"))
+
+
+UNIT = "(SELECT vehicle_id, avg(level_end) AS a, avg(value) AS b FROM trips GROUP BY 1)"
+
+
+@query("l13_unit_weight_index", f"SELECT u.vehicle_id, round((a-ma)/sa-(b-mb)/sb,6) AS index FROM {UNIT} u CROSS JOIN (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM {UNIT} WHERE vehicle_id%5<>0)")
+def l13(f):
+    x = f.trips.groupBy("vehicle_id").agg(F.avg("level_end").alias("a"), F.avg("value").alias("b"))
+    return L.unit_index(x, F.col("vehicle_id") % 5 != 0, {"a": 1, "b": -1}).select("vehicle_id", _r("index", 6))
+
+
+@query("l14_rank_ensemble", "SELECT vehicle_id, cut_odo, any_value(label) AS label, round(sum(pr*w)/sum(w),6) AS score FROM (SELECT vehicle_id, cut_odo, label, repeat+1 AS w, (rank() OVER (PARTITION BY repeat ORDER BY score)+(count(*) OVER (PARTITION BY repeat, score)-1)/2.0::DOUBLE)/count(*) OVER (PARTITION BY repeat) AS pr FROM rep) GROUP BY 1,2")
+def l14(f):
+    r = repeated(f)
+    return L.rank_ensemble([(r.filter(F.col("repeat") == i), i + 1) for i in range(3)]).select(*KEYS, "label", _r("score", 6))
+
+
+@query("l15_platt_calibration")
+def l15(f):
+    x = L.platt(f.scores.withColumn("fold", F.col("vehicle_id") % 3))
+    return x.join(M.brier(x.withColumnRenamed("p", "score"), ["fold"]), "fold")
+
+
+KM = "(SELECT cohort, CASE WHEN event_day IS NULL THEN 55 ELSE event_day-production_day END AS t, CASE WHEN event_day IS NULL THEN 0 ELSE 1 END AS e FROM vehicles)"
+
+
+def lives(f):
+    return f.vehicles.select("market", F.coalesce(F.col("event_day") - F.col("production_day"), F.lit(55)).alias("t"), F.col("event_day").isNotNull().cast("int").alias("e"))
+
+
+@query("l16_kaplan_meier", "SELECT market, t::DOUBLE AS t, CAST(at_risk AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(exp(sum(ln(1-d/at_risk::DOUBLE)) OVER (PARTITION BY market ORDER BY t)),6) AS survival FROM (SELECT market, t, sum(count(*)) OVER (PARTITION BY market ORDER BY t DESC) AS at_risk, sum(e) AS d FROM (SELECT market, coalesce(event_day-production_day,55) AS t, CASE WHEN event_day IS NULL THEN 0 ELSE 1 END AS e FROM vehicles) GROUP BY market, t) WHERE d>0")
+def l16(f):
+    return L.kaplan_meier(lives(f), ["market"], "t", "e").withColumn("survival", F.round("survival", 6))
+
+
+@query("l16b_log_rank", "WITH v AS (SELECT market, coalesce(event_day-production_day,55) AS t, CASE WHEN event_day IS NULL THEN 0 ELSE 1 END AS e FROM vehicles), x AS (SELECT t, sum(e) AS d FROM v GROUP BY 1 HAVING sum(e)>0), r AS (SELECT x.t, d, market, count(*) AS r FROM x JOIN v ON v.t>=x.t GROUP BY ALL), n AS (SELECT t, sum(r) AS n FROM r GROUP BY 1) SELECT market, round(sum(d*r/n::DOUBLE),6) AS expected, (SELECT CAST(sum(e) AS BIGINT) FROM v WHERE v.market=r.market) AS observed FROM r JOIN n USING (t) GROUP BY market")
+def l16b(f):
+    return L.log_rank(lives(f), "market", "t", "e").withColumn("expected", F.round("expected", 6))
+
+
+@query("l17_final_fit")
+def l17(f):
+    x = model_rows(f)
+    side = splits.holdout(strata(f), 5, 11)
+    pick = lambda s: x.join(side.filter(F.col("side") == s), "vehicle_id", "left_semi")
+    return L.final_fit(pick("dev"), pick("test"), "logistic", NUM, ["market"])
+
+
+@query("l18_external_incidence")
+def l18(f):
+    """Fitted on vehicles outside the panel, applied to those inside as it is."""
+    x = f.vehicles.join(f.trips.groupBy("vehicle_id").agg(F.count("*").alias("n")), "vehicle_id", "left").select("vehicle_id", F.lit(0.0).alias("cut_odo"), (F.col("cohort") == "failed").cast("int").alias("label"), F.col("market").cast("string").alias("market"), "engine", F.col("acctbal").alias("acctbal"), F.col("days_until_sale").cast("double").alias("sale"))
+    inside = f.trips.select("vehicle_id").distinct()
+    return L.final_fit(x.join(inside, "vehicle_id", "left_anti"), x.join(inside, "vehicle_id", "left_semi"), "logistic", ["acctbal", "sale"], ["market"]).select("vehicle_id", "label", "score")
+
+
+@query("m17b_calibration_slope")
+def m17b(f):
+    return L.calibration_slope(f.scores)
+
+
+@query("m26_marker_hit_rate")
+def m26(f):
+    """Share of event days within 2 days of a long gap, and of days drawn within the same vehicles."""
+    from ..operators import joins
+
+    m = derive.intervention_markers(f.trips).filter("marker = 'long_gap'")
+    e = f.event_dates.join(f.trips.select("vehicle_id").distinct(), "vehicle_id", "left_semi")
+    span = f.trips.groupBy("vehicle_id").agg(F.unix_micros(F.min("t_start")).alias("a"), F.unix_micros(F.max("t_start")).alias("b"))
+    draws = resample.replicates(e.select("vehicle_id").join(span, "vehicle_id"), 20)
+    null = draws.select("vehicle_id", F.timestamp_micros((F.col("a") + resample.uniform(31, F.col("replicate"), F.col("vehicle_id")) * (F.col("b") - F.col("a"))).cast("long")).alias("at"))
+    hit = lambda x: F.avg((F.coalesce(x, F.lit(1e9)) <= 2).cast("double"))
+    a = joins.min_distance(e.select("vehicle_id", F.col("event_date").alias("at")), m, "at").agg(hit(F.col("distance_days")).alias("hit_rate"))
+    b = joins.min_distance(null, m, "at").agg(hit(F.col("distance_days")).alias("null_rate"))
+    return a.crossJoin(b).withColumn("verdict", F.when(F.col("hit_rate") > F.col("null_rate") + 0.1, "informative").otherwise("no better"))  # one row each
+
+
+def linear_score(c):
+    return F.round(0.5 + 0.3 * (F.col("level_mean") - 50) / 50 + 0.2 * (F.col("value_mean") - 50) / 50, 6)
+
+
+@query("e10_permutation_importance")
+def e10(f):
+    """Loss of detection when a channel is permuted over all rows."""
+    x = model_rows(f).withColumn("cut", F.col("cut_odo").cast("bigint"))
+    out = None
+    for c in (None, "level_mean", "value_mean"):
+        y = x if c is None else resample.permute(x, [c], 17, ["vehicle_id", "cut"])
+        lv = M.vehicle_levels(y.withColumn("score", linear_score(None)), SUSTAIN)
+        d = M.detection(lv, M.exact_tau(lv, [0.2])).select(F.lit(c or "none").alias("permuted"), "budget", "detection")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("e11_erasure_test")
+def e11(f):
+    """Score drop of vehicles when a feature is set to its median, against the other."""
+    x = model_rows(f)
+    med = x.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in NUM[:2]))
+    y = x.crossJoin(F.broadcast(med)).withColumn("score", linear_score(None)).withColumn("erased", F.explode(F.array(F.lit("level_mean"), F.lit("value_mean"))))  # one row
+    for c in NUM[:2]:
+        y = y.withColumn(c, F.when(F.col("erased") == c, F.col(f"_{c}")).otherwise(F.col(c)))
+    return y.withColumn("drop", F.col("score") - linear_score(None)).groupBy("erased").agg(F.count("*").alias("n"), F.round(F.avg("drop"), 6).alias("mean_drop"), F.round(F.avg(F.abs("drop")), 6).alias("mean_change"))

@@ -1 +1,237 @@
-"""Queries."""
+"""Queries of window features, panel builders and sequences (G, B, W11, W12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import derive
+from ..plans import panel, risk
+from ..sources.fleet import BIN_KM, CONTEXT_KM, GAP_KM, HORIZON_KM, ORIGIN, REGISTRY, STEP_KM, WINDOW_KM
+from .joins import ODO_AT
+from .profile import BIN, _r, _rounded
+from .registry import CTES, query
+
+X, N = F.col("level_end"), 4
+ERR = (F.col("message") == "error").cast("int")
+KEYS = ["vehicle_id", "cut_odo"]
+
+
+def feature(f, *specs, rows=None):
+    return _rounded(panel.features(f.windowed if rows is None else rows, list(specs), WINDOW_KM), N)
+
+
+def g(name, expr, *specs):
+    """Register a query of window features and its SQL over the windows."""
+    sql = "SELECT vehicle_id, cut_odo, " + expr + " FROM wins GROUP BY ALL"
+    query(name, sql)(lambda f, specs=specs: feature(f, *specs, rows=with_prev(f)))
+
+
+def with_prev(f):
+    return panel.window_rows(panel.with_prev_event(f.trips, F.col("message") == "error"), f.cuts, WINDOW_KM, STEP_KM)
+
+
+CTES["prevs"] = "SELECT event_id, last_value(CASE WHEN message='error' THEN odo_end END IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY odo_end, t_start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_pos FROM trips"
+CTES["wins"] = "SELECT w.*, p.prev_pos, w.odo_end > w.cut_odo-200 AS late, w.message='error' AS er, CASE WHEN w.message='error' AND p.prev_pos > w.cut_odo-400 THEN w.odo_end-p.prev_pos END AS gap FROM win w JOIN prevs p USING (event_id)"
+KM = "nullif(sum(greatest(trip_km,0)),0)"
+DAYS = "greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0)"
+HALF = "CASE WHEN count(level_start) FILTER (late)>=3 AND count(level_start) FILTER (NOT late)>=3 THEN round((quantile_cont(level_start,0.5) FILTER (late)-quantile_cont(level_start,0.5) FILTER (NOT late)){0},4)+0.0 END"
+L0 = F.col("level_start")
+
+g("g01_mean_median_max_min", "round(avg(level_end),4) AS mean, quantile_cont(level_end,0.5) AS median, max(level_end) AS max, min(level_end) AS min", ("mean", X, "mean"), ("median", X, "median"), ("max", X, "max"), ("min", X, "min"))
+g("g05_std", "round(stddev_samp(level_end),4) AS std", ("std", X, "std"))
+g("g06_quartiles", "round(quantile_cont(level_end,0.25),4) AS p25, round(quantile_cont(level_end,0.75),4) AS p75", ("p25", X, "p25"), ("p75", X, "p75"))
+g("g08_sum_count_any", "round(sum(level_start),4) AS s, count(level_start) AS n, max(CASE WHEN er THEN 1.0::DOUBLE ELSE 0 END) AS any_error", ("s", L0, "sum"), ("n", L0, "count"), ("any_error", ERR, "any"))
+g("g11_per_1000km", f"round(count(*) FILTER (er)/{KM}*1000,4) AS rate", ("rate", ERR, "per_1000km"))
+g("g12_per_day", f"round(count(*) FILTER (er)/{DAYS},4) AS rate", ("rate", ERR, "per_day"))
+g("g13_half_delta", HALF.format("") + " AS d", ("d", L0, "half_delta"))
+g("g14_half_slope", HALF.format("/200.0::DOUBLE*1000") + " AS d", ("d", L0, "half_slope_per_1000km"))
+g("g15_half_mean_delta", "round(avg(level_end) FILTER (late)-avg(level_end) FILTER (NOT late),4) AS d", ("d", X, "half_mean_delta"))
+g("g16_half_count_delta", "(count(*) FILTER (er AND late)-count(*) FILTER (er AND NOT late))/200.0::DOUBLE*1000 AS d", ("d", ERR, "half_count_delta_per_1000km"))
+g("g17_gap_mean", "CASE WHEN count(*) FILTER (er)>=2 THEN round((max(odo_end) FILTER (er)-min(odo_end) FILTER (er))/(count(*) FILTER (er)-1),4) END AS g", ("g", ERR, "gap_mean_km"))
+g("g18_gap_median", "CASE WHEN count(*) FILTER (er)>=2 THEN round(quantile_cont(gap,0.5),4) END AS g", ("g", ERR, "gap_median_km"))
+g("g19_gap_trend", "CASE WHEN count(*) FILTER (er)>=4 THEN round(quantile_cont(gap,0.5) FILTER (late)-quantile_cont(gap,0.5) FILTER (NOT late),4)+0.0 END AS g", ("g", ERR, "gap_trend_km"))
+g("g20_km_since_last", "round(max(cut_odo)-max(odo_end) FILTER (er),4) AS km", ("km", ERR, "km_since_last"))
+
+CONTROLS = "count(*) AS n_trips, round(sum(greatest(trip_km,0)),4) AS km_covered, count(*) FILTER (trip_km>0) AS n_moving, round({0},4) AS days_covered, epoch_us(max(t_end)) AS cut_us, count(*) FILTER (message='error') AS n_signals".format(DAYS)
+
+
+@query("g21_controls", f"SELECT vehicle_id, cut_odo, {CONTROLS} FROM win GROUP BY ALL")
+def g21(f):
+    return _rounded(f.windowed.groupBy(*KEYS).agg(*panel.controls()))
+
+
+#: A feature set declared as data: (name, column, aggregator).
+FEATURE_SET = [
+    *((f"feat_{c}_{a}", F.col(c), a) for c in ("level_end", "value", "trip_km") for a in ("mean", "median", "max", "min", "std", "p25", "p75")),
+    *((f"feat_{m}_{a}", (F.col("message") == m).cast("int"), a) for m in derive.MESSAGES for a in ("per_1000km", "per_day", "km_since_last", "half_count_delta_per_1000km")),
+    ("feat_level_half_delta", X, "half_delta"), ("feat_level_half_slope", X, "half_slope_per_1000km"), ("feat_value_half_mean", F.col("value"), "half_mean_delta"),
+]
+
+
+@query("g22_declared_feature_set", "SELECT vehicle_id, cut_odo, 44 AS n_features, round(avg(trip_km)+1e-9,3) AS feat_trip_km_mean, round(quantile_cont(value,0.75)+1e-9,3) AS feat_value_p75 FROM win GROUP BY ALL")
+def g22(f):
+    x = panel.features(with_prev(f), FEATURE_SET, WINDOW_KM)
+    return x.select(*KEYS, F.lit(len(FEATURE_SET)).alias("n_features"), *(F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("feat_trip_km_mean", "feat_value_p75")))
+
+
+def deviation(f):
+    rows = panel.serve_cuts(f.trips, CONTEXT_KM, STEP_KM).join(f.cuts.select(*KEYS), KEYS)
+    now = F.col("odo_end") > F.col("cut_odo") - WINDOW_KM
+    past_km = F.coalesce(F.sum(F.when(~now, F.col("trip_km"))), F.lit(0.0))
+    return rows.groupBy(*KEYS).agg(F.when(past_km >= 300, F.round(F.avg(F.when(~now, X)) - F.avg(F.when(now, X)), 4) + 0.0).alias("deviation"))
+
+
+CTES["ctx"] = "SELECT vehicle_id, cut_odo, CASE WHEN coalesce(sum(trip_km) FILTER (odo_end<=cut_odo-400),0)>=300 THEN round(avg(level_end) FILTER (odo_end<=cut_odo-400)-avg(level_end) FILTER (odo_end>cut_odo-400),4)+0.0 END AS deviation FROM (SELECT c.vehicle_id, c.cut_odo, t.* EXCLUDE (vehicle_id) FROM cuts c JOIN trips t ON t.vehicle_id=c.vehicle_id AND t.odo_end>c.cut_odo-1000 AND t.odo_end<=c.cut_odo) GROUP BY ALL"
+
+
+@query("g23_history_deviation", "SELECT * FROM ctx")
+def g23(f):
+    return deviation(f)
+
+
+@query("g24_window_quality", "SELECT c.vehicle_id, count(*) AS n, count(*) FILTER (coalesce(w.k,0)>=5 AND coalesce(w.km,0)>=320) AS kept FROM cuts c LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS k, sum(trip_km) AS km FROM win GROUP BY ALL) w USING (vehicle_id, cut_odo) GROUP BY 1")
+def g24(f):
+    w = f.windowed.groupBy(*KEYS).agg(*panel.controls())
+    x = f.cuts.select(*KEYS).join(w, KEYS, "left")
+    return x.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.count_if((F.coalesce("n_trips", F.lit(0)) >= 5) & (F.coalesce("km_covered", F.lit(0.0)) >= 0.8 * WINDOW_KM)).alias("kept"))
+
+
+@query("b01_cut_grid", "SELECT vehicle_id, cut_odo, event_observed, label, round(time_to_event_km,4) AS time_to_event_km, round(km_after,4) AS km_after FROM cuts")
+def b01(f):
+    return f.cuts.select(*KEYS, "event_observed", "label", _r("time_to_event_km"), _r("km_after"))
+
+
+@query("b01b_cut_grid_kept_censored", "SELECT f.vehicle_id, count(*) AS n FROM (SELECT vehicle_id, unnest(generate_series(CAST(ceil((min(odo_end)+400)/100) AS BIGINT), CAST(floor((coalesce(any_value(event_odo)-100, max(odo_end))+1e-6)/100) AS BIGINT))) AS c FROM trips LEFT JOIN event_odo USING (vehicle_id) GROUP BY 1) f GROUP BY 1")
+def b01b(f):
+    return panel.cut_grid(f.trips, f.event_odo.select("vehicle_id", "event_odo"), WINDOW_KM, GAP_KM, HORIZON_KM, STEP_KM, censored="keep").groupBy("vehicle_id").agg(F.count("*").alias("n"))
+
+
+@query("b02_full_panel", f"SELECT c.vehicle_id, c.cut_odo, label, market, engine, n_trips, feat_level_mean, CASE WHEN n_trips IS NULL THEN 'no_trips' WHEN n_trips<5 THEN 'few_trips' WHEN km_covered<320 THEN 'few_km' ELSE 'kept' END AS reason FROM cuts c JOIN vehicles USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS n_trips, sum(trip_km) AS km_covered, round(avg(level_end),4) AS feat_level_mean FROM win GROUP BY ALL) w ON w.vehicle_id=c.vehicle_id AND w.cut_odo=c.cut_odo")
+def b02(f):
+    w = f.windowed.groupBy(*KEYS).agg(*panel.controls(), F.round(F.avg(X), 4).alias("feat_level_mean"))
+    x = f.cuts.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").join(w, KEYS, "left")
+    n = F.col("n_trips")
+    return x.select(*KEYS, "label", "market", "engine", "n_trips", "feat_level_mean", F.when(n.isNull(), "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept").alias("reason"))
+
+
+@query("b03_matched_healthy", """WITH p AS (SELECT *, CAST(floor(cut_odo/500) AS BIGINT) AS band FROM cuts), c AS (SELECT band, r, coalesce(h,0) AS h, r/sum(r) OVER ()::DOUBLE AS share FROM (SELECT band, count(*) AS r FROM p WHERE label=1 GROUP BY 1) LEFT JOIN (SELECT band, count(*) AS h FROM p WHERE event_observed=0 GROUP BY 1) USING (band)),
+  best AS (SELECT coalesce(max(n),0) AS n FROM (SELECT n, sum(greatest(0.0::DOUBLE, round_even(n*share,0)-h)) AS miss FROM c CROSS JOIN (SELECT unnest(generate_series(1,(SELECT greatest(1,sum(h))::BIGINT FROM c))) AS n) GROUP BY 1) WHERE miss<=0.05*n)
+  SELECT vehicle_id, cut_odo FROM (SELECT p.vehicle_id, cut_odo, row_number() OVER (PARTITION BY p.band ORDER BY md5('3|'||p.vehicle_id||'|'||CAST(cut_odo AS BIGINT)), p.vehicle_id, cut_odo) AS k, round_even((SELECT n FROM best)*share,0) AS q FROM p JOIN c USING (band) WHERE event_observed=0) WHERE k<=q""")
+def b03(f):
+    x = f.cuts.withColumn("band", F.floor(F.col("cut_odo") / 500))
+    return risk.match_healthy(x, F.col("label") == 1, ["band"], 0.05, 3).select(*KEYS)
+
+
+def clock(f):
+    return derive.vehicle_clock(f.vehicles, ORIGIN)
+
+
+CTES["clock"] = "SELECT vehicle_id, TIMESTAMP '2023-12-01'+to_days(CAST(production_day+days_until_sale AS INTEGER)) AS sale_date, TIMESTAMP '2023-12-01'+to_days(CAST(event_day AS INTEGER)) AS event_date FROM vehicles"
+LANDMARK = "(SELECT s.vehicle_id, landmark, at_, event_date, n_trips, level FROM (SELECT c.vehicle_id, sale_date, event_date, l AS landmark, sale_date+to_days(l) AS at_ FROM clock c CROSS JOIN (SELECT unnest([10,20]) AS l)) s LEFT JOIN (SELECT c.vehicle_id, l, count(*) AS n_trips, round(avg(level_end),4) AS level FROM clock c CROSS JOIN (SELECT unnest([10,20]) AS l) JOIN trips t ON t.vehicle_id=c.vehicle_id AND t.t_end<=sale_date+to_days(l) AND t.t_end>sale_date+to_days(l-7) GROUP BY ALL) x ON x.vehicle_id=s.vehicle_id AND x.l=s.landmark)"
+
+
+def landmarks(f):
+    return risk.landmark_panel(f.trips, clock(f).select("vehicle_id", "sale_date", "event_date"), [10, 20], 7, 15, [F.round(F.avg(X), 4).alias("level")])
+
+
+@query("b04_landmark_panel", f"SELECT vehicle_id, landmark, n_trips, level, CASE WHEN coalesce((epoch_us(event_date)-epoch_us(at_))/86400000000.0::DOUBLE<=15,false) THEN 1 ELSE 0 END AS event_in, round((epoch_us(coalesce(event_date,TIMESTAMP '2024-01-31'))-epoch_us(at_))/86400000000.0::DOUBLE,6) AS exit_days FROM {LANDMARK} WHERE n_trips IS NOT NULL AND NOT coalesce(event_date<=at_,false)")
+def b04(f):
+    return landmarks(f)[0].select("vehicle_id", "landmark", "n_trips", "level", "event_in", _r("exit_days", 6))
+
+
+@query("b04b_landmark_reasons", f"SELECT landmark, CASE WHEN event_date<=at_ THEN 'event_before' WHEN n_trips IS NULL THEN 'no_trips' ELSE 'kept' END AS reason, count(*) AS n FROM {LANDMARK} GROUP BY ALL")
+def b04b(f):
+    return landmarks(f)[1]
+
+
+DATE_OF = """(SELECT p.vehicle_id, p.cut_odo, CASE WHEN o1=x THEN a0 WHEN o0 IS NOT NULL AND o1 IS NOT NULL THEN CAST(round(b1+(a0-b1)*(x-o0)/(o1-o0)) AS BIGINT) END AS us FROM (SELECT p.vehicle_id, p.cut_odo, p.x, max(o) FILTER (o<=x) AS o0, min(o) FILTER (o>=x) AS o1, arg_max(t1,o) FILTER (o<=x) AS b1, arg_min(t0,o) FILTER (o>=x) AS a0 FROM (SELECT vehicle_id, cut_odo, cut_odo+{0} AS x FROM cuts) p JOIN (SELECT vehicle_id, odo_end AS o, epoch_us(min(t_start)) AS t0, epoch_us(max(t_start)) AS t1 FROM trips GROUP BY 1,2) t USING (vehicle_id) GROUP BY ALL) p)"""
+
+
+@query("b05_registry_window_risk_days", f"""SELECT a.vehicle_id, a.cut_odo, round(greatest(0.0::DOUBLE,(epoch_us(TIMESTAMP '2024-01-05')-a.us)/86400000000.0::DOUBLE),6) AS entry_days, CASE WHEN event_date>=TIMESTAMP '2024-01-05' AND event_date<=TIMESTAMP '2024-01-25' AND epoch_us(event_date)>=a.us THEN 1 ELSE 0 END AS risk_event,
+  round((CASE WHEN event_date>=TIMESTAMP '2024-01-05' AND event_date<=TIMESTAMP '2024-01-25' AND epoch_us(event_date)>=a.us THEN epoch_us(event_date) ELSE epoch_us(TIMESTAMP '2024-01-25') END-a.us)/86400000000.0::DOUBLE,6)+0.0 AS exit_days, round((b.us-a.us)/86400000000.0::DOUBLE,6) AS horizon_days FROM {DATE_OF.format('100')} a JOIN {DATE_OF.format('900')} b USING (vehicle_id, cut_odo) JOIN clock USING (vehicle_id) WHERE a.us IS NOT NULL""")
+def b05(f):
+    x = risk.window_risk(f.cuts.select(*KEYS), f.trips, clock(f), *REGISTRY, GAP_KM, HORIZON_KM).filter("start is not null")
+    return x.select(*KEYS, _r("entry_days", 6), "risk_event", (F.round("exit_days", 6) + 0.0).alias("exit_days"), _r("horizon_days", 6))
+
+
+@query("b06_registry_window_risk_km", f"""SELECT vehicle_id, cut_odo, round(greatest(0.0::DOUBLE, lo-cut_odo-100),4) AS entry_km, round((CASE WHEN event_odo>lo AND event_odo<=hi THEN event_odo ELSE hi END)-cut_odo-100,4) AS exit_km, CASE WHEN event_odo>lo AND event_odo<=hi THEN 1 ELSE 0 END AS risk_event FROM cuts JOIN (SELECT vehicle_id, max(odo) FILTER (d=TIMESTAMP '2024-01-05') AS lo, max(odo) FILTER (d=TIMESTAMP '2024-01-25') AS hi FROM {ODO_AT} GROUP BY 1) USING (vehicle_id)""")
+def b06(f):
+    return risk.km_risk(f.cuts, f.trips, *REGISTRY, GAP_KM).select(*KEYS, _r("entry_km"), _r("exit_km"), "risk_event")
+
+
+@query("b07_history_panel", "SELECT s.vehicle_id, s.cut_odo, label, deviation FROM cuts s LEFT JOIN ctx USING (vehicle_id, cut_odo)")
+def b07(f):
+    x = f.cuts.select(*KEYS, "label").join(deviation(f), KEYS, "left")
+    return x.select(*KEYS, "label", "deviation")
+
+
+CTES["binned"] = f"SELECT vehicle_id, {BIN} AS bin, avg(level_end) AS level, sum(trip_km) AS km FROM trips GROUP BY ALL"
+CTES["seq"] = "SELECT vehicle_id, cut_odo, t, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0::DOUBLE) AS level, level IS NOT NULL AS seen FROM (SELECT c.vehicle_id, c.cut_odo, t, b.level FROM cuts c CROSS JOIN (SELECT unnest(generate_series(0,15)) AS t) LEFT JOIN binned b ON b.vehicle_id=c.vehicle_id AND b.bin=CAST(c.cut_odo/25-16+t AS BIGINT))"
+
+
+def binned(f):
+    return panel.bins(f.trips, BIN_KM, [F.avg(X).alias("level"), F.sum("trip_km").alias("km")])
+
+
+@query("w11_filled_sequence", "SELECT vehicle_id, cut_odo, CAST(t AS INTEGER) AS t, round(level,4) AS level, seen FROM seq")
+def w11(f):
+    return panel.sequences(binned(f), f.cuts, ["level"], WINDOW_KM, BIN_KM).withColumn("level", F.round("level", 4))
+
+
+@query("b08_sequence_panel", "SELECT vehicle_id, cut_odo, round(avg(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END),6) AS coverage, CAST(count(*) AS INTEGER) AS steps, round(sum(level),4) AS total FROM seq GROUP BY ALL")
+def b08(f):
+    x = panel.flatten(panel.sequences(binned(f), f.cuts, ["level"], WINDOW_KM, BIN_KM), ["level"])
+    return x.select(*KEYS, _r("coverage", 6), F.size("feat_seq").alias("steps"), F.round(F.aggregate("feat_seq", F.lit(0.0), lambda a, e: a + e["level"]), 4).alias("total"))
+
+
+CTES["series"] = "SELECT vehicle_id, bin, last_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS level FROM (SELECT s.vehicle_id, s.bin, b.level FROM (SELECT vehicle_id, unnest(generate_series(min(bin), max(bin))) AS bin FROM binned GROUP BY 1) s LEFT JOIN binned b USING (vehicle_id, bin))"
+
+
+def series(f):
+    """Gap-free bins per vehicle, carried forward only."""
+    b = binned(f)
+    s = b.groupBy("vehicle_id").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).select("vehicle_id", F.explode(F.sequence("lo", "hi")).alias("bin"))
+    w = Window.partitionBy("vehicle_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return s.join(b, ["vehicle_id", "bin"], "left").select("vehicle_id", "bin", F.last("level", ignorenulls=True).over(w).alias("level"))
+
+
+@query("w12_gap_free_series", "SELECT vehicle_id, bin, round(level,4) AS level FROM series")
+def w12(f):
+    return series(f).withColumn("level", F.round("level", 4))
+
+
+@query("b09_positional_panel", "SELECT vehicle_id, cut_odo, label, cut_odo AS feat_cut_odo FROM cuts")
+def b09(f):
+    return f.cuts.select(*KEYS, "label", F.col("cut_odo").alias("feat_cut_odo"))
+
+
+DUR = "(SELECT vehicle_id, cut_odo, CASE WHEN event_observed=1 THEN time_to_event_km ELSE km_after END AS duration, event_observed AS event, CAST(vehicle_id%3 AS DOUBLE)*100 AS entry FROM cuts)"
+
+
+def durations(f):
+    return f.cuts.select(*KEYS, F.when(F.col("event_observed") == 1, F.col("time_to_event_km")).otherwise(F.col("km_after")).alias("duration"), F.col("event_observed").alias("event"), ((F.col("vehicle_id") % 3) * 100).cast("double").alias("entry"))
+
+
+@query("b10_person_period_stack", f"SELECT bin, count(*) AS n, CAST(sum(CASE WHEN event=1 AND bin=last AND duration<=1000 THEN 1 ELSE 0 END) AS BIGINT) AS events FROM (SELECT *, unnest(generate_series(CAST(floor(entry/100) AS BIGINT), last)) AS bin FROM (SELECT *, least(CAST(floor(duration/100) AS BIGINT),9) AS last FROM {DUR} WHERE entry<1000)) GROUP BY 1")
+def b10(f):
+    return panel.stack_periods(durations(f), "entry", "duration", "event", 100, 1000).groupBy("bin").agg(F.count("*").alias("n"), F.sum("hazard").alias("events"))
+
+
+@query("b11_exposure_stack", f"SELECT bin, round(sum(least(b,(bin+1)*100.0)-greatest(a,bin*100.0)),4) AS exposure, CAST(sum(CASE WHEN event=1 AND duration>bin*100 AND duration<=(bin+1)*100 AND duration<=1000 THEN 1 ELSE 0 END) AS BIGINT) AS events FROM (SELECT *, unnest(generate_series(CAST(floor(a/100) AS BIGINT), CAST(ceil(b/100) AS BIGINT)-1)) AS bin FROM (SELECT *, greatest(entry,0.0::DOUBLE) AS a, least(duration,1000.0::DOUBLE) AS b FROM {DUR}) WHERE a<b) GROUP BY 1")
+def b11(f):
+    return panel.stack_exposure(durations(f), "entry", "duration", "event", 100.0, 1000.0).groupBy("bin").agg(F.round(F.sum("exposure"), 4).alias("exposure"), F.sum("hazard").alias("events"))
+
+
+@query("b12_forecast_summaries", "SELECT c.vehicle_id, c.cut_odo, round(arg_max(level,bin),4) AS last_level, round(avg(level)+1e-9,4) AS mean, round(regr_slope(level,bin)+1e-9,4)+0.0 AS slope FROM cuts c JOIN series s ON s.vehicle_id=c.vehicle_id AND s.bin<CAST(c.cut_odo/25 AS BIGINT) AND s.bin>=CAST(c.cut_odo/25 AS BIGINT)-16 GROUP BY ALL")
+def b12(f):
+    # a bin b ends at (b + 1) * 25 km, its place on the odometer
+    s = series(f).withColumn("end_km", (F.col("bin") + 1) * BIN_KM)
+    x = panel.serve_cuts(s, WINDOW_KM, STEP_KM, at="end_km").join(f.cuts.select(*KEYS), KEYS)
+    return x.groupBy(*KEYS).agg(F.round(F.max_by("level", "bin"), 4).alias("last_level"), F.round(F.avg("level") + 1e-9, 4).alias("mean"), (F.round(F.regr_slope("level", "bin") + 1e-9, 4) + 0.0).alias("slope"))
+
+
+@query("b13_target_columns", "SELECT vehicle_id, cut_odo, round(d,4) AS duration, d>0 AS at_risk, CASE WHEN time_to_event_km IS NULL THEN 0 WHEN time_to_event_km>600 THEN 1 WHEN time_to_event_km>300 THEN 2 ELSE 3 END AS class, round(CASE WHEN time_to_event_km IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1-(time_to_event_km-900)/500)) END,6) AS soft, round(least(d+100,900.0::DOUBLE),4) AS cure_time, CASE WHEN event_observed=1 AND d+100<=900 THEN 1 ELSE 0 END AS cure_event FROM (SELECT *, CASE WHEN event_observed=1 THEN time_to_event_km ELSE km_after END-100 AS d FROM cuts)")
+def b13(f):
+    s, c = risk.survival_target(GAP_KM), risk.cure_target(GAP_KM + HORIZON_KM)
+    return f.cuts.select(*KEYS, F.round(s["duration"], 4).alias("duration"), s["at_risk"].alias("at_risk"), risk.ordinal_target((600, 300)).alias("class"), F.round(risk.soft_label(GAP_KM + HORIZON_KM, 500), 6).alias("soft"), F.round(c["time"], 4).alias("cure_time"), c["event"].alias("cure_event"))
