@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import small, stored
+from .common import fresh, small, stored
 from .components import components
 
+#: Cells of the frequency counts, as a power of two. With 2^18 a frequent line's shingles didn't stand out among their cells at 0.5 GB,
+#: came early in the order and joined many documents; 4 MB a task is still fixed.
 CELL_BITS = 20
 PARTS = 16
 #: Members of one pivot that one verification group holds at most.
@@ -185,5 +187,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all columns; of repeated rows with that doc_id all stay."""
     found = jaccard_components(docs, size, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(stored(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = fresh(docs, "_gone")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(small(stored(gone, "gone")), F.col("doc_id") == F.col(key), "left_anti")
