@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..plans.panel import null_safe_clip
 
-BY_TIME = Window.partitionBy("vehicle_id").orderBy("t_start", "event_id")
+
+
+def by_time():
+    """A vehicle's rows in order."""
+    return Window.partitionBy("vehicle_id").orderBy("t_start", "event_id")
+
+
 SEVERE, NORMAL = "error", "signup"
 MESSAGES = ("click", "error", "purchase", "signup", "view")
 
@@ -57,20 +63,20 @@ def unknown_messages(rows: DataFrame, levels: tuple[str, ...]) -> DataFrame:
 
 def rest_times(rows: DataFrame, chained_s: float = 3600) -> DataFrame:
     """Hours since the previous trip's end, not below 0, and whether the trip follows within chained_s."""
-    gap = (F.unix_micros("t_start") - F.unix_micros(F.lag("t_end").over(BY_TIME))) / 3600e6
+    gap = (F.unix_micros("t_start") - F.unix_micros(F.lag("t_end").over(by_time()))) / 3600e6
     x = rows.withColumn("rest_h", F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))))
     return x.withColumn("chained", flag(F.col("rest_h") * 3600 <= chained_s))
 
 
 def level_changes(rows: DataFrame) -> DataFrame:
     """Rise and drop of the level since the previous message."""
-    d = F.col("level_end") - F.lag("level_end").over(BY_TIME)
+    d = F.col("level_end") - F.lag("level_end").over(by_time())
     return rows.withColumns({"rise": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "drop": F.when(d.isNotNull(), F.greatest(F.lit(0.0) - d, F.lit(0.0)))})
 
 
 def transitions_of_messages(rows: DataFrame, first: str, then: tuple[str, ...]) -> DataFrame:
     """Per vehicle: how often a first message is followed by each of then."""
-    x = rows.withColumn("next", F.lead("message").over(BY_TIME))
+    x = rows.withColumn("next", F.lead("message").over(by_time()))
     return x.groupBy("vehicle_id").agg(F.count_if(F.col("message") == first).alias("n_first"), *(F.count_if((F.col("message") == first) & (F.col("next") == m)).alias(f"to_{m}") for m in then))
 
 
@@ -113,7 +119,7 @@ def pre_event(rows: DataFrame) -> DataFrame:
 
 def intervention_markers(rows: DataFrame, gap_h: float = 24, drop: float = 40, jump_km: float = 150) -> DataFrame:
     """Intervals (a, b, marker) between rows in which someone may have worked on the vehicle: long gap, level drop off trips, odometer jump, manual cleaning."""
-    x = rows.withColumns({"a": F.lag("t_end").over(BY_TIME), "l0": F.lag("level_end").over(BY_TIME), "o0": F.lag("odo_end").over(BY_TIME)})
+    x = rows.withColumns({"a": F.lag("t_end").over(by_time()), "l0": F.lag("level_end").over(by_time()), "o0": F.lag("odo_end").over(by_time())})
     rules = [("long_gap", F.unix_micros("t_start") - F.unix_micros("a") > gap_h * 3600e6), ("drop_off_trip", F.col("l0") - F.col("level_end") >= drop), ("odo_jump", F.col("odo_end") - F.col("o0") > jump_km), ("manual", F.col("message") == NORMAL)]
     found = F.filter(F.array(*(F.when(flag(c), F.lit(m)) for m, c in rules)), lambda m: m.isNotNull())
     return x.filter("a is not null").withColumn("marker", F.explode(found)).select("vehicle_id", F.least("a", "t_start").alias("a"), F.greatest("a", "t_start").alias("b"), "marker")

@@ -110,10 +110,10 @@ def with_prev_event(rows: DataFrame, event: Column) -> DataFrame:
     return rows.withColumn("prev_pos", F.last(F.when(event, F.col("odo_end")), ignorenulls=True).over(by))
 
 
-def features(windowed: DataFrame, specs: list[tuple[str, Column, str]], window_km: float, keys=("vehicle_id", "cut_odo")) -> DataFrame:
-    """One grouping for all features. specs: (name, column, aggregator name)."""
+def features(windowed: DataFrame, specs: list[tuple[str, Column | str, str]], window_km: float, keys=("vehicle_id", "cut_odo")) -> DataFrame:
+    """One grouping for all features. specs: (name, column or SQL expression, aggregator name)."""
     table = Aggregators.table()
-    return windowed.groupBy(*keys).agg(*(table[agg](x, window_km).alias(name) for name, x, agg in specs))
+    return windowed.groupBy(*keys).agg(*(table[agg](F.expr(x) if isinstance(x, str) else x, window_km).alias(name) for name, x, agg in specs))
 
 
 def controls() -> list[Column]:

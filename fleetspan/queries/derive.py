@@ -163,7 +163,7 @@ def w01(f):
 
 @query("w02_median_hours_between", f"SELECT vehicle_id, round(quantile_cont(h,0.5),6) AS median_h FROM (SELECT vehicle_id, (epoch_us(t_start)-epoch_us(lag(t_start) OVER {BYT}))/3600000000.0::DOUBLE AS h FROM trips) GROUP BY 1")
 def w02(f):
-    h = (F.unix_micros("t_start") - F.unix_micros(F.lag("t_start").over(derive.BY_TIME))) / 3600e6
+    h = (F.unix_micros("t_start") - F.unix_micros(F.lag("t_start").over(derive.by_time()))) / 3600e6
     return f.trips.withColumn("h", h).groupBy("vehicle_id").agg(F.round(F.percentile("h", F.lit(0.5)), 6).alias("median_h"))
 
 
@@ -197,7 +197,7 @@ def w06(f):
 def w07(f):
     from pyspark.sql import Window
 
-    return f.trips.select("event_id", F.max("value").over(derive.BY_TIME.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
+    return f.trips.select("event_id", F.max("value").over(derive.by_time().rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
 
 
 @query("u08_marker_union", f"SELECT vehicle_id, 'any' AS marker, count(*) AS n FROM {MARKERS} GROUP BY 1 UNION ALL SELECT vehicle_id, 'event', count(*) FROM event_dates GROUP BY 1")

@@ -12,8 +12,8 @@ from .joins import ODO_AT
 from .profile import BIN, _r, _rounded
 from .registry import CTES, query
 
-X, N = F.col("level_end"), 4
-ERR = (F.col("message") == "error").cast("int")
+X, N = "level_end", 4
+ERR = "cast(message = 'error' as int)"
 KEYS = ["vehicle_id", "cut_odo"]
 
 
@@ -36,7 +36,7 @@ CTES["wins"] = "SELECT w.*, p.prev_pos, w.odo_end > w.cut_odo-200 AS late, w.mes
 KM = "nullif(sum(greatest(trip_km,0)),0)"
 DAYS = "greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0)"
 HALF = "CASE WHEN count(level_start) FILTER (late)>=3 AND count(level_start) FILTER (NOT late)>=3 THEN round((quantile_cont(level_start,0.5) FILTER (late)-quantile_cont(level_start,0.5) FILTER (NOT late)){0},4)+0.0 END"
-L0 = F.col("level_start")
+L0 = "level_start"
 
 g("g01_mean_median_max_min", "round(avg(level_end),4) AS mean, quantile_cont(level_end,0.5) AS median, max(level_end) AS max, min(level_end) AS min", ("mean", X, "mean"), ("median", X, "median"), ("max", X, "max"), ("min", X, "min"))
 g("g05_std", "round(stddev_samp(level_end),4) AS std", ("std", X, "std"))
@@ -61,11 +61,11 @@ def g21(f):
     return _rounded(f.windowed.groupBy(*KEYS).agg(*panel.controls()))
 
 
-#: A feature set declared as data: (name, column, aggregator).
+#: A feature set declared as data: (name, SQL expression, aggregator).
 FEATURE_SET = [
-    *((f"feat_{c}_{a}", F.col(c), a) for c in ("level_end", "value", "trip_km") for a in ("mean", "median", "max", "min", "std", "p25", "p75")),
-    *((f"feat_{m}_{a}", (F.col("message") == m).cast("int"), a) for m in derive.MESSAGES for a in ("per_1000km", "per_day", "km_since_last", "half_count_delta_per_1000km")),
-    ("feat_level_half_delta", X, "half_delta"), ("feat_level_half_slope", X, "half_slope_per_1000km"), ("feat_value_half_mean", F.col("value"), "half_mean_delta"),
+    *((f"feat_{c}_{a}", c, a) for c in ("level_end", "value", "trip_km") for a in ("mean", "median", "max", "min", "std", "p25", "p75")),
+    *((f"feat_{m}_{a}", f"cast(message = '{m}' as int)", a) for m in derive.MESSAGES for a in ("per_1000km", "per_day", "km_since_last", "half_count_delta_per_1000km")),
+    ("feat_level_half_delta", X, "half_delta"), ("feat_level_half_slope", X, "half_slope_per_1000km"), ("feat_value_half_mean", "value", "half_mean_delta"),
 ]
 
 
@@ -79,7 +79,7 @@ def deviation(f):
     rows = panel.serve_cuts(f.trips, CONTEXT_KM, STEP_KM).join(f.cuts.select(*KEYS), KEYS)
     now = F.col("odo_end") > F.col("cut_odo") - WINDOW_KM
     past_km = F.coalesce(F.sum(F.when(~now, F.col("trip_km"))), F.lit(0.0))
-    return rows.groupBy(*KEYS).agg(F.when(past_km >= 300, F.round(F.avg(F.when(~now, X)) - F.avg(F.when(now, X)), 4) + 0.0).alias("deviation"))
+    return rows.groupBy(*KEYS).agg(F.when(past_km >= 300, F.round(F.avg(F.when(~now, F.col(X))) - F.avg(F.when(now, F.col(X))), 4) + 0.0).alias("deviation"))
 
 
 CTES["ctx"] = "SELECT vehicle_id, cut_odo, CASE WHEN coalesce(sum(trip_km) FILTER (odo_end<=cut_odo-400),0)>=300 THEN round(avg(level_end) FILTER (odo_end<=cut_odo-400)-avg(level_end) FILTER (odo_end>cut_odo-400),4)+0.0 END AS deviation FROM (SELECT c.vehicle_id, c.cut_odo, t.* EXCLUDE (vehicle_id) FROM cuts c JOIN trips t ON t.vehicle_id=c.vehicle_id AND t.odo_end>c.cut_odo-1000 AND t.odo_end<=c.cut_odo) GROUP BY ALL"

@@ -183,7 +183,7 @@ def a20(f):
 
 @query("a21_data_checks", f"SELECT vehicle_id, count(*) FILTER (event_id<=pe) AS id_back, count(*) FILTER (odo_end<po) AS odo_back, count(*) FILTER (trip_km<=0) AS no_speed, count(*) FILTER (epoch_us(t_start)-epoch_us(pt)>86400000000) AS gaps, round(corr(value,level_end),4) AS corr FROM (SELECT *, lag(event_id) OVER {BYT} AS pe, lag(odo_end) OVER {BYT} AS po, lag(t_start) OVER {BYT} AS pt FROM trips) GROUP BY 1")
 def a21(f):
-    x = f.trips.withColumns({"pe": F.lag("event_id").over(derive.BY_TIME), "po": F.lag("odo_end").over(derive.BY_TIME), "pt": F.lag("t_start").over(derive.BY_TIME)})
+    x = f.trips.withColumns({"pe": F.lag("event_id").over(derive.by_time()), "po": F.lag("odo_end").over(derive.by_time()), "pt": F.lag("t_start").over(derive.by_time())})
     return x.groupBy("vehicle_id").agg(F.count_if(F.col("event_id") <= F.col("pe")).alias("id_back"), F.count_if(F.col("odo_end") < F.col("po")).alias("odo_back"), F.count_if(F.col("trip_km") <= 0).alias("no_speed"), F.count_if(F.unix_micros("t_start") - F.unix_micros("pt") > 86_400_000_000).alias("gaps"), F.round(F.corr("value", "level_end"), 4).alias("corr"))
 
 
@@ -386,7 +386,7 @@ def t01(f):
     # places come from counts by vehicle, so that no task sorts all rows; the vehicles' counts are summed in one (a row a vehicle)
     n = f.trips.groupBy("vehicle_id").agg(F.count("*").alias("n"))
     n = n.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("vehicle_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = f.trips.withColumn("i", F.row_number().over(derive.BY_TIME)).join(n, "vehicle_id").withColumn("k", F.col("base") + F.col("i"))
+    x = f.trips.withColumn("i", F.row_number().over(derive.by_time())).join(n, "vehicle_id").withColumn("k", F.col("base") + F.col("i"))
     return x.filter("k <= 500").select("vehicle_id", "event_id", "k")
 
 
