@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def day_on_calendar(origin: Column, days: Column) -> Column:
-    """Timestamp of a day number counted from origin (a date or its text)."""
-    return F.timestamp_micros(F.unix_micros(origin.cast("timestamp")) + days.cast("long") * F.lit(86_400_000_000))
+from ..functions.columns import day_on_calendar, interpolate  # noqa: F401
 
 
 def neighbours(points: DataFrame, axis: DataFrame, key: str, point: str, on: str, values: list[str]) -> DataFrame:
@@ -36,11 +33,6 @@ def backward(points: DataFrame, axis: DataFrame, key: str, point: str, on: str,
     return x.select(*points.columns, *(F.col(f"{v}_before").alias(v) for v in values))
 
 
-def interpolate(x: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """Linear between two points; y0 at an exact hit or a zero span; null if either end is missing."""
-    return F.when(x0.isNull() | x1.isNull(), None).when(x1 <= x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0).cast("double"))
-
-
 def project_dates_to_odometer(dates: DataFrame, axis: DataFrame, date: str, key: str = "vehicle_id", on: str = "t_start", odo: str = "odo_end") -> DataFrame:
     """dates with odo_before, odo_after, source (interpolated, exact, before_history, after_history) and event_odo. Keys without history drop out."""
     x = neighbours(dates, axis, key, date, on, [odo])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.panel import null_safe_clip
+from ..functions.columns import flag, null_safe_clip
 
 
 
@@ -18,11 +18,6 @@ SEVERE, NORMAL = "error", "signup"
 MESSAGES = ("click", "error", "purchase", "signup", "view")
 
 
-def flag(cond: Column) -> Column:
-    """A comparison with a missing value is false."""
-    return F.coalesce(cond, F.lit(False))
-
-
 def valid_trips(rows: DataFrame) -> DataFrame:
     """Rows with an odometer and without negative km."""
     return rows.filter(F.col("odo_end").isNotNull() & (F.col("trip_km") >= 0))

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .splits import draw
+from ..functions.columns import draw, uniform
 
 KEY, AT = "vehicle_id", "cut_odo"
 
 
-def uniform(*parts) -> Column:
-    """A number in [0, 1) that the parts determine."""
-    return F.conv(F.substring(draw(*parts), 1, 12), 16, 10).cast("double") / float(1 << 48)
-
-
 def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 

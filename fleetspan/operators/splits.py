@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = "vehicle_id"
-
+from ..functions.columns import draw
 
-def draw(*parts) -> Column:
-    return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
+KEY = "vehicle_id"
 
 
 def composite_strata(vehicles: DataFrame, levels: list[str], least: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import natural_spline  # noqa: F401
 from ..operators.joins import average_rank, fallback_lookup
 
 KEYS = ["vehicle_id", "cut_odo"]
@@ -158,14 +159,6 @@ def bagged(rows: DataFrame, weights: DataFrame, model: str, numeric: list[str])
     return reduce(DataFrame.unionByName, out).groupBy(*KEYS).agg(F.first("label").alias("label"), F.avg("score").alias("score"))
 
 
-def natural_spline(x: Column, knots: tuple[float, ...]) -> list[Column]:
-    """Columns of the natural cubic basis: linear beyond the end knots."""
-    k = sorted(knots)
-    cube = lambda t: F.pow(F.greatest(x - t, F.lit(0.0)), 3)
-    d = lambda i: (cube(k[i]) - cube(k[-1])) / (k[-1] - k[i])
-    return [x, *(d(i) - d(len(k) - 2) for i in range(len(k) - 2))]
-
-
 class FleetReference:
     """Reference of healthy training vehicles: median per cell of one value per vehicle and month; cells with few vehicles fall back."""
 

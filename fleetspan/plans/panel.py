@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import pct
+
 
 def cut_grid(trips: DataFrame, events: DataFrame, window_km: float, gap_km: float, horizon_km: float, step_km: float, censored: str = "drop") -> DataFrame:
     """One row per vehicle and cut: multiples of step_km from a full window after the least end odometer on.
@@ -34,17 +36,6 @@ def window_rows(rows: DataFrame, cuts: DataFrame, window_km: float, step_km: flo
     return serve_cuts(rows, window_km, step_km, at).join(cuts.select(*cols), ["vehicle_id", "cut_odo"])
 
 
-def null_safe_clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """clip that keeps nulls."""
-    y = x if hi is None else F.least(x, F.lit(hi))
-    y = y if lo is None else F.greatest(y, F.lit(lo))
-    return F.when(x.isNotNull(), y)
-
-
-def pct(x: Column, p: float) -> Column:
-    return F.percentile(x, F.lit(p))
-
-
 class Aggregators:
     """Window aggregators: functions (x, window) -> Column inside a grouping by vehicle and cut.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import odometer_at, project_odometer_to_dates
-from ..operators.splits import draw
+from ..functions.columns import draw
 
 DAY = 86_400e6
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scan", "derive", "joins", "profile", "panels", "scores", "models")
+MODULES = ("scan", "derive", "joins", "profile", "panels", "scores", "models", "streams")
 
 
 def load() -> tuple[dict, dict]:

@@ -152,7 +152,7 @@ def survival(f):
 
 @query("j19_comparable_pairs", f"SELECT i.landmark, count(*) AS n_pairs, count(*) FILTER (i.score>j.score) AS concordant, count(*) FILTER (i.score=j.score) AS ties FROM {SURV} i JOIN {SURV} j ON i.landmark=j.landmark AND i.event=1 AND j.entry<i.duration AND (j.duration>i.duration OR (j.duration=i.duration AND j.event=0)) GROUP BY 1")
 def j19(f):
-    return joins.comparable_pairs(survival(f), group="landmark", entry="entry")
+    return joins.comparable_pairs(survival(f), group="landmark", entry="entry", levels=0)
 
 
 @query("j20_vehicle_matrix", "SELECT v.vehicle_id, v.market, t.n, s.m FROM vehicles v LEFT JOIN (SELECT vehicle_id, count(*) AS n FROM trips GROUP BY 1) t USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, count(*) AS m FROM cuts GROUP BY 1) s USING (vehicle_id)")
