@@ -16,7 +16,7 @@ P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
 WEIGHTS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 #: Bytes handled at once; temporaries take some 40 bytes each.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def _kept() -> dict:

@@ -36,19 +36,20 @@ def word_counter():
 
 def bpe_counter(path: str = VOCABULARY, pattern: str = PATTERN):
     """Tokens of a byte-level BPE vocabulary in ranks format, whole texts; special tokens are ordinary text."""
-    kept: dict = {}
 
     def count(col: pa.Array) -> np.ndarray:
-        if not kept:
+        kept = tk._kept()  # a worker reads the vocabulary once
+        key = f"bpe {path} {pattern}"
+        if key not in kept:
             import base64
 
             import tiktoken
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            kept["encode"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        encode = kept["encode"]
-        return np.array([len(encode(t)) if t else 0 for t in col.to_pylist()], dtype=np.int64)
+            kept[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = kept[key].encode_ordinary
+        return np.fromiter((len(encode(t.as_py())) if t.is_valid else 0 for t in col), dtype=np.int64, count=len(col))
 
     return count
 
