@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_PAGES = 120
+#: Longer pages aren't trained on, so that the sample stays small; all are extracted.
+FIT_CHARS = 200_000
 
 # Elements of HTML by what they do to the text around them.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -292,7 +294,7 @@ def train(labelled: list[tuple[list, list[int], float]], l2: float = 0.3, rounds
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     """Train on the hand-labelled pages and fit_pages pages of the table at most."""
-    sample = pages.filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select(F.substring("html", 1, 200_000).alias("html")).limit(fit_pages)
+    sample = pages.filter(F.length("html") <= FIT_CHARS).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(fit_pages)
     labelled = []
     for page in LABELLED:
         nodes = Tree(page.replace("{p}", _P).replace("{q}", _Q)).nodes

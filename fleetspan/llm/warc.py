@@ -3,7 +3,8 @@
 Writing: each page is a response record, or a revisit of the response with an equal payload and the smallest page_id. A response's
 block is an HTTP message whose body is chunked; a block over SEGMENT bytes is split into a response record with segment number 1 and
 continuation records, the last of which tells the total length. Every record is a gzip member of its own; every Spark task writes the
-archives of its partition under names that depend on the partition alone, so a task that runs again writes the same files.
+archives of its partition under names that depend on the partition alone, so a task that runs again, or
+twice at once, leaves the same files. Files are written through pyarrow's file systems (local, HDFS, object stores).
 
 Reading: archives come through Spark's binary file reader. Records without continuation are decoded where they are read. Others are
 grouped by origin identifier, ordered by segment number, checked against the total length, and decoded.
@@ -106,7 +107,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: i
         from pyarrow import fs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         out, name, size, k, n = None, None, 0, 0, 0
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: i
             nonlocal k
             out.close()
             # a whole file appears at once; a task that runs again replaces it by the same bytes
-            store.move(name + ".open", name)
+            store.move(f"{name}.{attempt}", name)
             k += 1
 
         pack = lambda x: (c := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(x) + c.flush()
@@ -126,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: i
                 for rec in page_records(rid, page_id, url, (html or "").encode(), original, segment):
                     if out is None:
                         name = f"{base}/part-{part:06d}-{k:05d}.warc.gz"
-                        out, size = store.open_output_stream(name + ".open", compression=None), 0
+                        out, size = store.open_output_stream(f"{name}.{attempt}", compression=None), 0
                     member = pack(rec)
                     out.write(member)
                     size += len(member)
