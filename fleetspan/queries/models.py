@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import derive, resample, splits
 from ..operators import metrics as M
-from ..operators import profile as P
 from ..plans import models as L
 from ..plans import panel, risk
-from ..sources.fleet import ORIGIN, SUSTAIN
-from .panels import clock, durations
-from .profile import PD, _r, exposure
+from ..sources.fleet import SUSTAIN
+from .panels import durations
+from .profile import _r, exposure
 from .registry import query
 from .scores import repeated, strata, with_market
 
