@@ -15,31 +15,34 @@ def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def permute(rows: DataFrame, block: list[str], seed: int, order: list[str], within: list[str] = (), buckets: int = 64) -> DataFrame:
-    """rows with the columns of block dealt anew among the rows of a group.
-
-    Without a group the rows are first dealt to buckets by hash and then shuffled within them by a bucket drawn anew on both sides; so no task
-    holds all rows: rows of natural bucket b get the values of drawn bucket b, in which the same number of rows is counted off.
+def placed(rows: DataFrame, order: list[Column], bucket: Column, outer: list[str] = (), name: str = "_k") -> DataFrame:
+    """rows numbered from 1 within each outer group: by bucket, then by order. No task sorts a whole group: a row's number is its place
+    in its bucket plus the rows of the buckets before, and only the buckets' counts are summed up in one place."""
+    outer = list(outer)
+    x = rows.withColumn("_b", bucket)
+    n = x.groupBy(*outer, "_b").agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(*outer) if outer else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(*outer, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a group and bucket
+    i = F.row_number().over(Window.partitionBy(*outer, "_b").orderBy(*order))
+    return x.withColumn("_i", i).join(n, [*outer, "_b"]).withColumn(name, F.col("_base") + F.col("_i")).drop("_b", "_i", "_base")
+
+
+def permute(rows: DataFrame, block: list[str], seed: int, order: list[str], within: list[str] = (), outer: list[str] = (), buckets: int = 64) -> DataFrame:
+    """rows with the columns of block dealt anew among the rows of a group; order names a row within it.
+
+    within: groups of few rows (a vehicle's), each sorted in one task. outer: groups of any size, or none for all rows; they are numbered
+    by buckets of a hash, and by buckets of the draw on the other side, and meet by number.
     """
     others = [c for c in rows.columns if c not in block]
-    by = list(within)
-    if by:
-        nat, drawn = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by).orderBy(draw(seed, *(F.col(c) for c in order)), *order)
-        a = rows.select(*others).withColumn("_k", F.row_number().over(nat))
-        b = rows.withColumn("_k", F.row_number().over(drawn)).select(*by, "_k", *block)
-        return a.join(b, [*by, "_k"]).select(*rows.columns)
-    # global places without one sorted partition: place in the bucket plus the rows of the buckets before
-    def placed(x: DataFrame, bucket: Column, key: list[Column]) -> DataFrame:
-        x = x.withColumn("_b", bucket)
-        n = x.groupBy("_b").agg(F.count("*").alias("_n"))
-        n = n.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a bucket
-        return x.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*key))).join(F.broadcast(n), "_b").withColumn("_k", F.col("_base") + F.col("_i"))
-
-    cols = [F.col(c) for c in order]
-    a = placed(rows.select(*others), F.pmod(F.xxhash64(*cols), F.lit(buckets)), cols)
-    d = draw(seed, *cols)
-    b = placed(rows, F.pmod(F.conv(F.substring(d, 1, 6), 16, 10).cast("bigint"), F.lit(buckets)), [d, *cols])
-    return a.select(*others, "_k").join(b.select("_k", *block), "_k").select(*rows.columns)
+    by, cols = list(within) or list(outer), [F.col(c) for c in order]
+    d = draw(seed, *(F.col(c) for c in outer), *cols)
+    if within:
+        a = rows.select(*others).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*cols)))
+        b = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(d, *cols)))
+    else:
+        a = placed(rows.select(*others), cols, F.pmod(F.xxhash64(*cols), F.lit(buckets)), outer)
+        b = placed(rows, [d, *cols], F.pmod(F.conv(F.substring(d, 1, 6), 16, 10).cast("bigint"), F.lit(buckets)), outer)
+    return a.join(b.select(*by, "_k", *block), [*by, "_k"]).select(*rows.columns)
 
 
 def bootstrap_weights(vehicles: DataFrame, n: int, seed: int, strata: str | None = None) -> DataFrame:
@@ -49,8 +52,7 @@ def bootstrap_weights(vehicles: DataFrame, n: int, seed: int, strata: str | None
     """
     by = [strata] if strata else []
     v = vehicles.select(KEY, *by).distinct()
-    w = Window.partitionBy(*by).orderBy(KEY) if by else Window.partitionBy(F.lit(0)).orderBy(KEY)
-    v = v.withColumn("j", F.row_number().over(w) - 1)
+    v = placed(v, [F.col(KEY)], F.pmod(F.xxhash64(KEY), F.lit(64)), by, "j").withColumn("j", F.col("j") - 1)
     n_all = v.groupBy(*by).agg(F.count("*").alias("V"))
     seats = replicates(v.join(n_all, by) if by else v.crossJoin(n_all), n)  # one row
     pick = F.floor(uniform(seed, F.col("replicate"), *(F.col(c) for c in by), F.col("j")) * F.col("V"))
@@ -102,10 +104,8 @@ def permutation_levels(rows: DataFrame, n: int, k: int, seed: int) -> DataFrame:
 
 
 def permute_replicates(x: DataFrame, seed: int) -> DataFrame:
-    nat = Window.partitionBy("replicate").orderBy(KEY, AT)
-    drawn = Window.partitionBy("replicate").orderBy(draw(seed, F.col("replicate"), F.col(KEY), F.col(AT).cast("bigint")), KEY, AT)
-    a = x.drop("score").withColumn("_k", F.row_number().over(nat))
-    return a.join(x.withColumn("_k", F.row_number().over(drawn)).select("replicate", "_k", "score"), ["replicate", "_k"]).drop("_k")
+    """Scores permuted over all rows of each replicate."""
+    return permute(x, ["score"], seed, [KEY, AT], outer=["replicate"])
 
 
 def p_value(null: DataFrame, value: str, observed: DataFrame) -> DataFrame:

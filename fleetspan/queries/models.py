@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import derive, resample, splits
@@ -74,12 +73,8 @@ def n06(f):
 @query("n07_label_permutation_null")
 def n07(f):
     v = with_market(f).groupBy("vehicle_id", "market").agg(F.max("event_observed").alias("label"), F.round(F.avg("score"), 6).alias("score"))
-    x = resample.replicates(v, 50)
-    nat = Window.partitionBy("replicate", "market").orderBy("vehicle_id")
-    drawn = Window.partitionBy("replicate", "market").orderBy(splits.draw(7, F.col("replicate"), F.col("vehicle_id")), "vehicle_id")
-    a, b = x.drop("label").withColumn("k", F.row_number().over(nat)), x.withColumn("k", F.row_number().over(drawn)).select("replicate", "market", "k", "label")
-    null = M.roc_auc(a.join(b, ["replicate", "market", "k"]), ["replicate"])
-    return resample.p_value(null, "auc", M.roc_auc(v))
+    x = resample.permute(resample.replicates(v, 50), ["label"], 7, ["vehicle_id"], outer=["replicate", "market"])
+    return resample.p_value(M.roc_auc(x, ["replicate"]), "auc", M.roc_auc(v))
 
 
 @query("n08_bootstrap_weights")
