@@ -75,6 +75,6 @@ class Fleet:
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Predictions for metric queries: the mean level of the window."""
+        """Predictions for metric queries: the mean level of the window. Kept, as metrics read them several times; a row a cut is little."""
         keys = ["vehicle_id", "cut_odo", "label", "event_observed", "time_to_event_km", "km_after"]
-        return self.windowed.groupBy(*keys).agg(F.round(F.avg("level_end") / 100, 6).alias("score"))
+        return self.windowed.groupBy(*keys).agg(F.round(F.avg("level_end") / 100, 6).alias("score")).persist()
