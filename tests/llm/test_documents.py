@@ -150,6 +150,32 @@ def test_passages_cover_all_exact_repeats(docs):
     assert len(got[fuzzy]) >= 75  # the passage with two words changed is one
 
 
+def fuzzy_repeats(rng, per=20):
+    """Passages of 55 and 80 words in a first document, and once more with words changed: (rows, identity by doc_id, place of the repeat)."""
+    rows, like = [], {}
+    kinds = [(n, step, None) for n in (55, 80) for step in (20, 12, 10, 7)] + [(n, None, share) for n in (55, 80) for share in (0.05, 0.1, 0.15)]
+    for n, step, share in kinds:
+        for _ in range(per):
+            i = 2 * len(like)
+            p = sentence(rng, n).split()
+            q = [f"new{k}" if (step and k % step == step // 2) or (share and rng.random() < share) else w for k, w in enumerate(p)]
+            rows += [(i, f"{sentence(rng, 40)} {' '.join(p)} {sentence(rng, 40)}", "en", "s", 0), (i + 1, f"{sentence(rng, 40)} {' '.join(q)} {sentence(rng, 40)}", "en", "s", 0)]
+            like[i + 1] = (sum(a == b for a, b in zip(p, q)) / n, n)
+    return rows, like
+
+
+def test_passages_find_fuzzy_repeats(spark):
+    """Recall of passages above the identity, against the planted ones; exact repeats have a test of their own."""
+    rows, like = fuzzy_repeats(random.Random(11))
+    got = {}
+    for r in passages.passages(spark.createDataFrame(rows, DOC)).collect():
+        assert r["src_doc_id"] < r["doc_id"] and r["n_equal"] >= passages.IDENTITY * (r["end_word"] - r["start_word"])
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    due = [i for i, (share, _) in like.items() if share >= 0.83]
+    found = [i for i in due if len(got.get(i, set()) & set(range(40, 40 + like[i][1]))) >= 0.8 * like[i][1]]
+    assert len(due) > 200 and len(found) >= 0.95 * len(due), (len(found), len(due))
+
+
 def test_passages_remove_text(docs, clash, empty):
     df, rows = docs
     found = passages.passages(df)
