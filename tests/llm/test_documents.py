@@ -176,6 +176,23 @@ def test_passages_find_fuzzy_repeats(spark):
     assert len(due) > 200 and len(found) >= 0.95 * len(due), (len(found), len(due))
 
 
+def uncovered(spark, rows):
+    """Words that brute force marks and no passage covers, by document."""
+    got = {}
+    for r in passages.passages(spark.createDataFrame(rows, DOC)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    missed = {i: [k for k, x in enumerate(m) if x and k not in got.get(i, ())] for i, m in covered_brute(rows).items()}
+    return {i: m for i, m in missed.items() if m}
+
+
+def test_passages_twice_in_a_document(spark):
+    rng = random.Random(12)
+    p, q = sentence(rng, 60), sentence(rng, 55)
+    head = " ".join(q.split()[:30])
+    texts = [p, q, f"{sentence(rng, 20)} {p} {sentence(rng, 30)} {p} {sentence(rng, 30)}", f"{head} {sentence(rng, 9)} {' '.join(q.split()[25:])} {sentence(rng, 30)} {q} {sentence(rng, 30)}"]
+    assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+
+
 def test_passages_remove_text(docs, clash, empty):
     df, rows = docs
     found = passages.passages(df)
