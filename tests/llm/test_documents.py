@@ -193,6 +193,15 @@ def test_passages_twice_in_a_document(spark):
     assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
 
 
+def test_passages_of_lines_that_others_hold_apart(spark):
+    """Frequent lines stand alone in many documents, and in a row in two of them."""
+    rng = random.Random(13)
+    a, b = sentence(rng, 28), sentence(rng, 28)
+    alone = lambda n: [f"{sentence(rng, 15)} {x} {sentence(rng, 15)}" for x in (a, b) * n]
+    texts = [f"{a} {sentence(rng, 40)} {b}", *alone(2), f"{sentence(rng, 5)} {a} {b}", *alone(5), f"{a} {b} {sentence(rng, 5)}"]
+    assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+
+
 def test_passages_remove_text(docs, clash, empty):
     df, rows = docs
     found = passages.passages(df)
