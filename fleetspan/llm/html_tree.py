@@ -28,6 +28,8 @@ FIT_CHARS = 200_000
 # Elements of HTML by what they do to the text around them.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = set("script style head noscript template iframe object svg canvas audio video".split())
+#: What a head may hold; anything else ends it, as its end tag may be left out.
+IN_HEAD = set("base basefont bgsound link meta title noscript script style template noframes head html".split())
 BLOCKS = set(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
@@ -58,13 +60,17 @@ class Tree(HTMLParser):
         self.linked = 0
         self.link = False
         self.dropped: list[str] = []
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:  # the parser's own check of malformed declarations; what was read so far counts
-            pass
+        self.within: list[str] = []  # blocks opened in what is dropped
+        self.feed(html)
+        self.close()
         self.flush()
 
+    def parse_html_declaration(self, i):
+        # '<![' that is no CDATA section is a bogus comment up to '>', as in browsers; the parser's own check would end the page there
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def flush(self):
         if self.buf:
             text = " ".join("".join(self.buf).split())
@@ -85,11 +91,13 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.dropped:
-            if tag == "body":
-                self.dropped = []
+            if tag == "body" or self.dropped == ["head"] and tag not in IN_HEAD:
+                self.dropped, self.within = [], []
             else:
-                if tag == self.dropped[0]:
+                if tag == self.dropped[0] or self.dropped[0] == "head" and tag in ("title", "noscript", "script", "style", "template", "noframes"):
                     self.dropped.append(tag)
+                elif tag in BLOCKS:
+                    self.within.append(tag)
                 return
         if tag in DROPPED:
             self.dropped.append(tag)
@@ -127,15 +135,25 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.dropped:
-            if tag == self.dropped[-1]:
-                self.dropped.pop()
-            return
+            if tag in self.dropped:
+                del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
+                if not self.dropped:
+                    self.within = []
+                return
+            if tag in self.within:
+                del self.within[len(self.within) - 1 - self.within[::-1].index(tag) :]
+                return
+            if tag not in BLOCKS or all(self.nodes[k][1] != tag for k in self.stack):
+                return
+            self.dropped, self.within = [], []  # never closed: it ends with the block that holds it
         if tag == "a":
             self.link = False
         elif tag in BLOCKS:
             self.pop_to(tag)
 
     def handle_data(self, data):
+        if self.dropped == ["head"] and data.strip():
+            self.dropped, self.within = [], []
         if not self.dropped:
             self.buf.append(data)
             if self.link:

@@ -247,3 +247,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(passage in (r["text"] or "") for r in seen[2].collect()) <= sum(passage in (r["text"] or "") for r in seen[1].collect()) - 1
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {"doc_id", "bin_id", "bin_capacity"} <= set(out.columns) and out.count() >= docs.count()
+
+
+def test_malformed_pages_keep_their_text():
+    read = lambda page: [x[5] for x in html_tree.Tree(page).nodes if x[5]]
+    for odd in ("<![1]>", "<![foo[x]>", "<![>", "<![if !IE]>"):
+        assert read(f"<body><p>one</p>{odd}<p>two</p></body>") == ["one", "two"], odd
+    assert read("<head><title>t</title><meta charset=utf-8><p>one</p><p>two</p>") == ["one", "two"]
+    assert read("<head><title>t</title><noscript><img src=x></noscript><style>s</style></head><p>one</p>") == ["one"]
+    for tag in ("object", "video", "svg", "noscript"):
+        assert read(f"<body><div><p>one</p><{tag}><div>in</div></div><p>two</p></body>") == ["one", "two"], tag
+        assert read(f"<body><div><{tag}><p>in</p></{tag}><p>one</p></div></body>") == ["one"], tag
