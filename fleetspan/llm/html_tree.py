@@ -9,12 +9,14 @@ Potentials are trained from labelled pages: the hand-labelled ones below, and FI
 of page_id), labelled by their semantic elements: text in article or main counts as content, except in elements that never hold it.
 
 Defined results: null or empty html, and pages without content, give an empty text. Rows that repeat are extracted row by row.
-Unclosed and stray tags are repaired as browsers do for p, li and tables; depth is bounded by memory only. Other columns are not read.
+Unclosed and stray tags are repaired as browsers do for p, li and tables; depth is bounded by memory only. An element that is
+dropped but has no end tag (svg, object and the like) ends with the block that holds it, or, if none ends, takes nothing along. Attributes are data, whatever they hold. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,20 +49,61 @@ FAMILIES = {
     "text": "content article post entry story main body text prose copy page",
 }
 WORDS = {w: f for f, ws in FAMILIES.items() for w in ws.split()}
+LETTERS = re.compile("[a-z]+")
+END_OF_DROPPED = re.compile("</(" + "|".join(sorted(DROPPED)) + r")(?=[\s/>])", re.IGNORECASE)
+
+
+class Open:
+    """A stack of tags that knows where each tag stands last, so that looking one up takes constant time."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """Place of the last tag of that name; -1 if there is none."""
+        at = self.at.get(tag)
+        return at[-1] if at else -1
+
+    def cut(self, k: int) -> None:
+        """Close everything from place k on."""
+        while len(self.tags) > k:
+            self.at[self.tags.pop()].pop()
 
 
 class Tree(HTMLParser):
-    """Nodes in page order; a node's parent comes before it. node: [parent, tag or None for text, families, chars, link chars, text, label]."""
+    """Nodes in page order; a node's parent comes before it. node: [parent, tag or None for text, families, chars, link chars, text, label].
+
+    marks: read the training marks data-y; only for pages of our own.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marks: bool = False):
         super().__init__(convert_charrefs=True)
+        self.marks = marks
+        # chars from the last end tag of what is dropped to the end of the page, once they are wanted
+        self.ends: dict[str, int] | None = None
+        self.read(html)
+        if self.dropped.tags and self.dropped.tags[0] not in ("script", "style"):
+            # an element without end tag took the rest of the page along: once more, without such elements
+            self.ends = {m[1].lower(): len(html) - m.start() for m in END_OF_DROPPED.finditer(html)}
+            self.reset()
+            self.read(html)
+
+    def read(self, html: str) -> None:
         self.nodes = [[-1, "root", frozenset(), 0, 0, None, None]]
         self.stack = [0]
+        self.blocks = Open()  # tags of stack[1:]
         self.buf: list[str] = []
         self.linked = 0
         self.link = False
-        self.dropped: list[str] = []
-        self.within: list[str] = []  # blocks opened in what is dropped
+        self.dropped = Open()
+        self.within = Open()  # blocks opened in what is dropped
+        self.left = len(html)  # chars from the tag in hand to the end
+        self.endless = False  # no comment ends from here on
         self.feed(html)
         self.close()
         self.flush()
@@ -71,6 +114,15 @@ class Tree(HTMLParser):
             return self.parse_bogus_comment(i)
         return super().parse_html_declaration(i)
 
+    def parse_comment(self, i, report=1):
+        k = -1 if self.endless else super().parse_comment(i, report)
+        self.endless = k < 0
+        return k
+
+    def parse_starttag(self, i):
+        self.left = len(self.rawdata) - i
+        return super().parse_starttag(i)
+
     def flush(self):
         if self.buf:
             text = " ".join("".join(self.buf).split())
@@ -80,27 +132,31 @@ class Tree(HTMLParser):
         self.linked = 0
 
     def pop_to(self, tag, until=()):
-        for k in range(len(self.stack) - 1, 0, -1):
-            t = self.nodes[self.stack[k]][1]
-            if t == tag:
-                self.flush()
-                del self.stack[k:]
-                return
-            if t in until:
-                return
+        k = self.blocks.last(tag)
+        if k >= 0 and all(self.blocks.last(t) < k for t in until):
+            self.flush()
+            self.blocks.cut(k)
+            del self.stack[k + 1 :]
+
+    def restore(self):
+        """Nothing is dropped from here on."""
+        self.dropped, self.within = Open(), Open()
 
     def handle_starttag(self, tag, attrs):
-        if self.dropped:
-            if tag == "body" or self.dropped == ["head"] and tag not in IN_HEAD:
-                self.dropped, self.within = [], []
+        if self.dropped.tags:
+            first = self.dropped.tags[0]
+            if tag == "body" or self.dropped.tags == ["head"] and tag not in IN_HEAD:
+                self.restore()
             else:
-                if tag == self.dropped[0] or self.dropped[0] == "head" and tag in ("title", "noscript", "script", "style", "template", "noframes"):
-                    self.dropped.append(tag)
+                if tag == first or first == "head" and tag in ("title", "noscript", "script", "style", "template", "noframes"):
+                    self.dropped.push(tag)
                 elif tag in BLOCKS:
-                    self.within.append(tag)
+                    self.within.push(tag)
                 return
         if tag in DROPPED:
-            self.dropped.append(tag)
+            # scripts and styles run to the end of the page in browsers too, and a head ends by itself
+            if tag in ("head", "script", "style") or self.ends is None or 0 < self.ends.get(tag, 0) < self.left:
+                self.dropped.push(tag)
             return
         if tag == "a":
             self.link = True
@@ -116,45 +172,38 @@ class Tree(HTMLParser):
             named, label = set(), self.nodes[self.stack[-1]][6]
             for k, v in attrs:
                 if k in ("class", "id", "role", "aria-label") and v:
-                    word = ""
-                    for ch in v.lower() + " ":
-                        if "a" <= ch <= "z":
-                            word += ch
-                        else:
-                            if word in WORDS:
-                                named.add(WORDS[word])
-                            word = ""
-                elif k == "data-y":
+                    named.update(WORDS[w] for w in LETTERS.findall(v.lower()) if w in WORDS)
+                elif self.marks and k == "data-y":
                     label = int(v)
             self.nodes.append([self.stack[-1], tag, frozenset(named), 0, 0, None, label])
             self.stack.append(len(self.nodes) - 1)
+            self.blocks.push(tag)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in DROPPED:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.dropped:
-            if tag in self.dropped:
-                del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
-                if not self.dropped:
-                    self.within = []
-                return
-            if tag in self.within:
-                del self.within[len(self.within) - 1 - self.within[::-1].index(tag) :]
-                return
-            if tag not in BLOCKS or all(self.nodes[k][1] != tag for k in self.stack):
+        if self.dropped.tags:
+            for opened in (self.dropped, self.within):
+                k = opened.last(tag)
+                if k >= 0:
+                    opened.cut(k)
+                    if not self.dropped.tags:
+                        self.within = Open()
+                    return
+            if tag not in BLOCKS or self.blocks.last(tag) < 0:
                 return
-            self.dropped, self.within = [], []  # never closed: it ends with the block that holds it
+            self.restore()  # never closed: it ends with the block that holds it
         if tag == "a":
             self.link = False
         elif tag in BLOCKS:
             self.pop_to(tag)
 
     def handle_data(self, data):
-        if self.dropped == ["head"] and data.strip():
-            self.dropped, self.within = [], []
-        if not self.dropped:
+        if self.dropped.tags == ["head"] and data.strip():
+            self.restore()
+        if not self.dropped.tags:
             self.buf.append(data)
             if self.link:
                 self.linked += len(data)
@@ -312,12 +361,14 @@ def train(labelled: list[tuple[list, list[int], float]], l2: float = 0.3, rounds
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Model:
     """Train on the hand-labelled pages and fit_pages pages of the table at most."""
-    sample = pages.filter(F.length("html") <= FIT_CHARS).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(fit_pages)
+    ids = pages.filter("page_id is not null").filter(F.length("html") <= FIT_CHARS).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    chosen = [r["page_id"] for r in ids.collect()]
+    sample = pages.filter(F.col("page_id").isin(chosen)).filter(F.length("html") <= FIT_CHARS).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id")
     labelled = []
     for page in LABELLED:
-        nodes = Tree(page.replace("{p}", _P).replace("{q}", _Q)).nodes
+        nodes = Tree(page.replace("{p}", _P).replace("{q}", _Q), marks=True).nodes
         labelled.append((nodes, [x[6] or 0 for x in nodes], fit_pages / len(LABELLED)))
-    for r in sample.collect():
+    for r in sample.collect() if chosen else []:
         nodes = Tree(r["html"]).nodes
         y = semantic_labels(nodes)
         if any(y):  # a page without semantic elements tells nothing

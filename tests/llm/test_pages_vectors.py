@@ -116,7 +116,7 @@ def test_html_main_text(spark):
 def test_html_hand_labelled_pages_are_learned(spark):
     model = html_tree.fit(spark.createDataFrame([], PAGE))
     for page in html_tree.LABELLED:
-        nodes = html_tree.Tree(page.replace("{p}", html_tree._P).replace("{q}", html_tree._Q)).nodes
+        nodes = html_tree.Tree(page.replace("{p}", html_tree._P).replace("{q}", html_tree._Q), marks=True).nodes
         for x, p in zip(nodes, model.marginals(nodes)):
             if x[5]:
                 assert (p >= 0.5) == bool(x[6]), (page[:60], x[5][:30])
@@ -258,3 +258,31 @@ def test_malformed_pages_keep_their_text():
     for tag in ("object", "video", "svg", "noscript"):
         assert read(f"<body><div><p>one</p><{tag}><div>in</div></div><p>two</p></body>") == ["one", "two"], tag
         assert read(f"<body><div><{tag}><p>in</p></{tag}><p>one</p></div></body>") == ["one"], tag
+
+
+def test_unclosed_dropped_elements_take_nothing_along():
+    read = lambda page: [x[5] for x in html_tree.Tree(page).nodes if x[5]]
+    for tag in ("object", "video", "svg", "noscript", "iframe", "canvas"):
+        assert read(f"<body><{tag}><p>one</p><p>two</p>") == ["one", "two"], tag
+        assert read(f"<body><{tag}><p>in</p></{tag.upper()} ><p>one</p>") == ["one"], tag
+    assert read("<p>one</p><!-- never closed <p>two</p>")[:1] == ["one"]
+    assert read("<p>one</p><script>never closed <p>two</p>") == ["one"]
+
+
+def test_odd_attributes_are_data(spark):
+    odd = ['<p data-y="12.5">one</p>', "<p data-y>one</p>", '<p data-y="" class id role=>one</p>', '<p data-y=1>one</p><nav data-y="1"><a href=1>Menu</a></nav>']
+    want = [x[6] for page in odd for x in html_tree.Tree(page).nodes]
+    assert set(want) == {None}
+    df = spark.createDataFrame([(i, "u", f"<body><article>{h}</article></body>", 1, "d") for i, h in enumerate(odd)], PAGE)
+    out = html_tree.extract(df, html_tree.fit(df)).collect()
+    assert [r["text"] for r in sorted(out)] == ["one"] * 4
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    n = 60_000
+    start = time.time()
+    for page in ("<center>" * n, "<p><button>" + "<center>" * n, "<svg>" * n + "</svg>" * n, "<div>" * n + "</p>" * n, "<!--" * n, "<ul>" + "<li><b>" * n, "<object><div>" * n + "</div>" * n + "</object>"):
+        html_tree.Tree(page + "<p>end</p>")
+    assert time.time() - start < 30
