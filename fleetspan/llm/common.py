@@ -1,4 +1,4 @@
-"""Shared folders, stored tables and size-checked broadcasts."""
+"""Shared folders, stored tables, and joins that stay whole and balanced whatever the sizes of their sides."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key table (a few longs each) that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Keys fall into 2^CELL_BITS cells of a bitmap, which is 2^(CELL_BITS - 6) longs at most whatever the number of keys.
+CELL_BITS = 26
+#: A key is hot if more than 1 / HOT of all rows have it. There are fewer than HOT such keys.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -50,12 +54,46 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it to be of limit rows at most; else unchanged, for a shuffled join.
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            remove(t.sparkSession, path)
 
-    df should be a stored table of narrow rows, as it is counted and then read again.
+
+def _cell(key: str) -> str:
+    return f"xxhash64(`{key}`) & {(1 << CELL_BITS) - 1}"
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame, own: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the column own of keys, the other rows, whose key surely isn't there).
+
+    The keys' bitmap of 2^CELL_BITS hashed cells is broadcast: 2^20 pairs of longs at most, however many keys there are. If they
+    fill it, more rows go to the first part, and no result changes. Both parts have the columns of rows. keys should be a stored table.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    word, bits = fresh(rows, "_word"), fresh(rows, "_bits")
+    cell = _cell(own or key)
+    words = keys.select(F.expr(f"shiftright({cell}, 6)").alias(word), F.expr(f"shiftleft(1L, cast({cell} & 63 as int))").alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    words = F.broadcast(words)
+    held = rows.withColumn(word, F.expr(f"shiftright({_cell(key)}, 6)")).join(words, word, "left")
+    hit = F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, cast({_cell(key)} & 63 as int)) & 1") == 1, F.lit(False))
+    return held.filter(hit).select(*rows.columns), held.filter(~hit).select(*rows.columns)
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, a stored table that is unique on keys and holds in the column size how many rows of left have them.
+
+    Hot keys, fewer than HOT by their definition, are broadcast; the others are merged by a shuffle in which no key has more
+    than 1 / HOT of the rows. left is read once more if there are hot keys. The columns of right come without size.
+    """
+    total, most = right.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    cold = right.filter(F.col("size") * HOT <= total).drop("size").hint("merge")
+    if most * HOT <= total:
+        return left.join(cold, keys, how)
+    hot = right.filter(F.col("size") * HOT > total)
+    hot = F.broadcast(hot.drop("size"))
+    apart = left.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
+    return left.join(hot, keys).unionByName(apart)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -64,3 +102,7 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def small(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

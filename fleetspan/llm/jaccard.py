@@ -8,11 +8,16 @@ Documents are sets of distinct word shingles. Two link when ``100 * |A & B| >= p
    same words are one class; the class with the smallest doc_id stands for them.
 3. Classes meet on prefix shingles. Each meets the first class of every shingle it shares (one row per member, no pairs within
    a group); pairs that pass the length and positional filters, then the suffix filter, are verified once, on whole texts.
-4. Where a shingle's classes are still in several components, pairs across these components are formed, filtered and verified.
-   So every link between different texts either is verified or joins two documents that verified links join already.
+4. Where a shingle's classes are still in several components, its classes are compared block by block: pairs across
+   components that pass all filters leave the block and are verified. So every link between different texts either is verified
+   or joins two documents that verified links join already; with ``every=True`` all pairs that pass the filters are verified.
+
+Shingles, classes and pivots that very many rows share are hot keys, kept out of the shuffles by ``common.met``; texts that no pair names
+stay where they are (``common.parted``).
 
 Defined results: null or word-less text gives an empty set, linked with nothing. Repeated rows are rows of their own, in one
-class; rows that share a doc_id are one document, linked if one of their texts is. A null doc_id never names a component unless all members of a class lack one. An empty table gives an empty result.
+class; rows that share a doc_id are one document, linked if one of their texts is, with one component for all of them. A null doc_id never
+names a component unless all members of a class lack one. An empty table gives an empty result.
 Other columns of the table are not read. Ties in the order are broken by hash.
 """
 
@@ -20,19 +25,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import fresh, small, stored
+from .common import discard, fresh, met, parted, stored
 from .components import components
 
 #: Cells of the frequency counts, as a power of two. With 2^18 a frequent line's shingles didn't stand out among their cells at 0.5 GB,
 #: came early in the order and joined many documents; 4 MB a task is still fixed.
 CELL_BITS = 20
 PARTS = 16
-#: Members of one pivot that one verification group holds at most.
+#: Members of one pivot that one verification group holds at most, and shingles of all its texts together (a single text may have more).
 GROUP = 256
+GROUP_SHINGLES = 1 << 20
+#: Classes of one shingle that are compared with as many others at once.
+BLOCK = 512
 
 
 def frequencies(docs: DataFrame, size: int, bits: int = CELL_BITS) -> np.ndarray:
@@ -108,22 +116,26 @@ def _overlap_sql(percent: int) -> str:
 
 
 def _suffix(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: shingles fall into parts by hash; the sizes of the parts bound how many shingles two sets can't share."""
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    """Suffix filter: shingles fall into parts by hash; the sizes of the parts bound how many shingles two sets can't share. Gives a, b, na."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    a = stored(sizes.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa")).hint("merge"), "a"), "firsts")
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return pairs.join(a, "a").join(b, "b").filter(apart <= F.expr(f"na + nb - 2 * ({_overlap_sql(percent)})")).select("a", "b")
+    return met(pairs, a, ["a"]).join(b.hint("merge"), "b").filter(apart <= F.expr(f"na + nb - 2 * ({_overlap_sql(percent)})")).select("a", "b", "na").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole texts link. pairs: a stored table of distinct rows.
+    """The pairs (a, b) of doc_ids whose whole texts link. pairs: a stored table of distinct rows (a, b, na), na the shingles of a.
 
-    Each group holds one document a and GROUP others at most; a's text goes to each of its groups.
+    Each group holds one document a and GROUP others or GROUP_SHINGLES shingles at most; a's text goes to each of its groups.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    ranked = stored(pairs.select("a", "b", (F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / GROUP)).cast("int")).alias("g")), "ranked")
-    wanted = stored(ranked.select("a", "g").distinct().select(F.col("a").alias("id"), "a", "g", F.lit(True).alias("first")).union(ranked.select("b", "a", "g", F.lit(False))), "wanted")
-    have = texts.join(small(wanted), "id")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("size"), F.max("na").alias("na"))
+    counts = stored(counts.withColumn("groups", F.ceil(F.col("size") / F.greatest(F.lit(1), F.least(F.lit(GROUP), F.expr(f"{GROUP_SHINGLES} div (na + 1)")))).cast("int")).select("a", "size", "groups"), "counts")
+    ranked = met(pairs.select("a", "b"), counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g"))
+    both = F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("first")), F.struct(F.col("b").alias("id"), F.lit(False).alias("first")))
+    wanted = stored(ranked.select("a", "g", F.explode(both).alias("x")).select("x.id", "a", "g", "x.first").distinct(), "wanted")
+    have = parted(texts, "id", wanted)[0].join(wanted.hint("merge"), "id")
 
     def check(_, table):
         first = table.column("first").to_numpy(zero_copy_only=False)
@@ -142,51 +154,111 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return have.groupBy("a", "g").applyInArrow(check, "a long, b long")
 
 
-def links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, groups): (doc_id, n, rep) per document, verified links (a, b) between classes, and (id, component) of linked classes."""
+def _across(percent: int):
+    """Pairs of the two blocks of a group of classes that share a shingle and pass all filters, each in another component."""
+
+    def run(key, table):
+        i, j = key[-2].as_py(), key[-1].as_py()
+        rep, n, pos, comp, block = (table.column(c).to_numpy() for c in ("rep", "n", "pos", "comp", "block"))
+        parts = table.column("parts").combine_chunks().flatten().to_numpy().reshape(-1, PARTS).astype(np.int32)
+        n = n.astype(np.int64)
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        out = [[np.zeros(0, np.int64)] * 3]
+        for x in left:
+            y = right[(rep[right] > rep[x]) | (i != j)]
+            y = y[(comp[y] != comp[x]) & (rep[y] != rep[x])]
+            y = y[(n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
+            least = least_overlap(n[x], n[y], percent)
+            ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least
+            ok[ok] = np.abs(parts[y[ok]] - parts[x]).sum(axis=1) <= (n[x] + n[y] - 2 * least)[ok]
+            y = y[ok]
+            if len(y):
+                low = rep[x] < rep[y]
+                out.append([np.where(low, rep[x], rep[y]), np.where(low, rep[y], rep[x]), np.where(low, n[x], n[y])])
+        a, b, na = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na.astype(np.int32), pa.int32())})
+
+    return run
+
+
+def _members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, h1, h2 and rep of every row, classes h1, h2, rep, size): rep is the smallest doc_id with the same words."""
+    same = stored(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("rep is not null"), "classes")
+    rows = signed.select("doc_id", "n", "h1", "h2")
+    # a row alone in its class stays where it is
+    maybe, rest = parted(rows, "h1", same.filter("size > 1"))
+    maybe = met(maybe, same, ["h1", "h2"], "left").select("doc_id", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    return stored(maybe.union(rest.select("*", F.when(F.col("n") > 0, F.col("doc_id")).alias("rep"))), "members"), same
+
+
+def links(docs: DataFrame, size: int = 5, percent: int = 75, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, groups): (doc_id, n, rep, size) per document, verified links (a, b) between classes, and (id, component, size) of linked classes.
+
+    every: verify all pairs that pass the filters, not only those across components; the links are then all links between different texts.
+    """
     classes = frequency_classes(frequencies(docs, size))
     signed = stored(signatures(docs, size, percent, classes), "signatures")
-    same = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    members = stored(signed.select("doc_id", "n", "h1", "h2").join(same, ["h1", "h2"], "left").select("doc_id", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
+    members, same = _members(signed)
     # copies leave; what stays keeps its rows where they are
-    copies = small(stored(members.filter("doc_id <> rep").select("doc_id", "h1", "h2").distinct(), "copies"))
-    firsts = signed.filter("n > 0 and doc_id is not null").join(copies, ["doc_id", "h1", "h2"], "left_anti").withColumnRenamed("doc_id", "rep")
+    copies = stored(members.filter("doc_id <> rep").select("doc_id", "h1", "h2").distinct(), "copies")
+    maybe, rest = parted(signed.filter("n > 0 and doc_id is not null"), "doc_id", copies)
+    firsts = rest.union(maybe.join(copies.hint("merge"), ["doc_id", "h1", "h2"], "left_anti").select(*rest.columns)).withColumnRenamed("doc_id", "rep")
+    firsts = stored(firsts.select("rep", "n", "prefix", "parts"), "firsts")
+    discard(signed, copies)
     reps = firsts.select("rep", "n", "parts")
     # shingles that several classes have in their prefixes
-    met = firsts.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    by = Window.partitionBy("token")
-    met = met.withColumn("k", F.count("*").over(by)).filter("k > 1").select("token", "rep", "n", "pos")
-    met = stored(met, "shared")
+    dealt = firsts.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    often = stored(dealt.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "often")
+    shared = stored(met(parted(dealt, "token", often)[0], often, ["token"]).select("token", "rep", "n", "pos"), "shared")
     keep = f"nb * 100 >= na * {percent} and na * 100 >= nb * {percent} and least(na - pa, nb - pb) >= {_overlap_sql(percent)}"
-    first = met.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("f"))
-    star = met.join(first, "token").select(F.col("f.rep").alias("a"), F.col("rep").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.pos").alias("pa"), F.col("pos").alias("pb"))
-    star = stored(_suffix(star.filter("a <> b").filter(keep).select("a", "b").distinct(), reps, percent), "pairs")
+    first = stored(shared.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("f"), F.count("*").alias("size")), "pivots")
+    star = met(shared, first, ["token"]).select(F.col("f.rep").alias("a"), F.col("rep").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.pos").alias("pa"), F.col("pos").alias("pb"))
+    star = stored(star.filter("a <> b").filter(keep).select("a", "b").distinct(), "pairs")
+    star = stored(_suffix(star, reps, percent), "pairs")
     linked = stored(verify(star, docs, size, percent), "links")
-    groups = stored(components(linked), "groups")
+    # the texts of one document belong together
+    own = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
+    own = stored(members.join(stored(own, "several").hint("merge"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "own")
+    groups = stored(components(linked.union(own)), "groups")
     # shingles whose classes are in several components yet
-    placed = met.join(groups, met.rep == groups.id, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    placed = stored(placed.join(split, "token"), "split")
-    x = placed.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = placed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "token").filter("a < b and ca <> cb").filter(keep).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    cross = stored(_suffix(cross, reps, percent), "pairs")
-    linked = linked.union(verify(cross, docs, size, percent))
-    linked = stored(linked, "links")
-    groups = components(linked)
+    comp = F.col("rep") if every else F.coalesce("component", "rep")
+    placed = stored(shared.join(groups.hint("merge"), shared.rep == groups.id, "left").select("token", "rep", "n", "pos", comp.alias("comp")), "placed")
+    discard(often, shared, first)
+    split = stored(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("token", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "split")
+    placed = stored(met(parted(placed, "token", split)[0], split, ["token"]), "open")
+    parts = reps.select("rep", "parts")
+    placed = placed.join(parts.hint("merge"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", "rep", "n", "pos", "comp", "parts", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    across = dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long, na int").distinct()
+    cross = stored(across.join(star.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    if cross.limit(1).count():
+        linked = stored(linked.union(verify(cross, docs, size, percent)), "links")
+        groups = components(linked.union(own))
+    sizes = same.groupBy("rep").agg(F.sum("size").alias("size"))
+    groups = stored(groups.join(sizes.withColumnRenamed("rep", "id").hint("merge"), "id"), "groups")
     return members, linked, groups
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same words)."""
     members, _, groups = links(docs, size, percent)
-    return members.join(groups, F.col("rep") == F.col("id"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    # a row without words takes the class of another row of its document
+    bare = stored(members.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("bare")).distinct(), "bare")
+    words = parted(members.filter("n > 0 and doc_id is not null"), "doc_id", bare, "bare")[0].join(bare.hint("merge"), F.col("doc_id") == F.col("bare"), "left_semi").groupBy(F.col("doc_id").alias("bare")).agg(F.min("rep").alias("other"))
+    empty = members.filter("n = 0").join(words.hint("merge"), F.col("doc_id") == F.col("bare"), "left").select("doc_id", "n", F.col("other").alias("rep"))
+    rows = members.filter("n > 0").select("doc_id", "n", "rep").union(empty)
+    named = groups.select(F.col("id").alias("rep"), "component", "size")
+    maybe, rest = parted(rows, "rep", named)
+    out = met(maybe, named, ["rep"], "left").select("doc_id", "n", "rep", "component").union(rest.select("*", F.lit(None).cast("long")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs whose doc_id names their component, with all columns; of repeated rows with that doc_id all stay."""
     found = jaccard_components(docs, size, percent)
     key = fresh(docs, "_gone")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(small(stored(gone, "gone")), F.col("doc_id") == F.col(key), "left_anti")
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    maybe, rest = parted(docs, "doc_id", gone, key)
+    return rest.union(maybe.join(gone.hint("merge"), F.col("doc_id") == F.col(key), "left_anti"))

@@ -2,30 +2,34 @@
 
 Writing: each page is a response record, or a revisit of the response with an equal payload and the smallest page_id. A response's
 block is an HTTP message whose body is chunked; a block over SEGMENT bytes is split into a response record with segment number 1 and
-continuation records, the last of which tells the total length. Every record is a gzip member of its own; every Spark task writes the
-archives of its partition under names that depend on the partition alone, so a task that runs again, or
-twice at once, leaves the same files. Files are written through pyarrow's file systems (local, HDFS, object stores).
+continuation records, the last of which tells the total length. Every record is a gzip member of its own. A Spark task
+writes the archives of its partition under names of its attempt and returns them; the table of these names, which Spark commits for one attempt of each
+task only, tells which archives are then renamed into place. So a task that runs again or twice leaves no second record, in
+whatever order it gets its rows. Files are written through pyarrow's file systems (local, HDFS, object stores).
 
-Reading: archives come through Spark's binary file reader. Records without continuation are decoded where they are read. Others are
-grouped by origin identifier, ordered by segment number, checked against the total length, and decoded.
+Reading: archives (.warc, .warc.gz) come through Spark's binary file reader and are walked by offset, a few kilobytes at a time; a gzip member may
+hold several records. Records without continuation are decoded where they are read. Others are grouped by origin identifier, ordered by segment
+number, checked against the total length, and decoded.
 
 Defined results: null html is an empty payload. Payloads shorter than min_revisit bytes are always responses. Rows that repeat a
 page_id are records of their own: those with the same payload and page_id as the response are responses too. Rows with a null page_id
 are responses. A table without rows gives no archives and no rows. Records that lack a segment or whose length is wrong are returned
-with ok = false and a null payload, never dropped. Other columns are not read.
+with ok = false and a null payload. A stretch of an archive that can't be read gives one row with ok = false and what its headers still tell, and
+reading goes on at the next gzip member or record that can be read. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, scratch, small, stored
+from .common import exists, met, parted, remove, scratch, stored
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -55,6 +59,8 @@ def dechunked(data: bytes) -> bytes:
     while True:
         end = data.index(b"\r\n", at)
         n = int(data[at:end].split(b";")[0].strip(), 16)
+        if n < 0:
+            raise ValueError("chunk of negative size")
         at = end + 2
         if n == 0:
             return b"".join(out)
@@ -93,15 +99,19 @@ def originals(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """(_rev, original): the pages that revisit another and the smallest page_id with the same payload."""
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     keyed = stored(pages.filter("page_id is not null").select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= min_revisit), "digests")
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).filter("original < last").select("digest", "original")
-    return keyed.join(small(stored(first, "originals")), "digest").filter("page_id <> original").select(F.col("page_id").alias("_rev"), "digest", "original").distinct()
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last"), F.count("*").alias("size")).filter("original < last").drop("last")
+    return met(keyed, stored(first, "originals"), ["digest"]).filter("page_id <> original").select(F.col("page_id").alias("_rev"), "digest", "original").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: int = SEGMENT) -> None:
     """Write pages (page_id, url, html) as .warc.gz files below path."""
-    rev = small(stored(originals(pages, min_revisit), "revisits"))
+    rev = stored(originals(pages, min_revisit), "revisits")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    # only pages that may be revisits are shuffled
+    maybe, rest = parted(rows, "page_id", rev, "_rev")
     body = F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(rev, (F.col("page_id") == F.col("_rev")) & (body == F.col("digest")), "left").select("page_id", "url", "html", "original")
+    maybe = maybe.withColumn("_sha", body).join(rev.hint("merge"), (F.col("page_id") == F.col("_rev")) & (F.col("_sha") == F.col("digest")), "left").select("page_id", "url", "html", "original")
+    rows = maybe.union(rest.withColumn("original", F.lit(None).cast("long")))
 
     def write(batches):
         from pyarrow import fs
@@ -109,15 +119,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: i
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store, base = fs.FileSystem.from_uri(path)
-        store.create_dir(base, recursive=True)
-        out, name, size, k, n = None, None, 0, 0, 0
-
-        def close():
-            nonlocal k
-            out.close()
-            # a whole file appears at once; a task that runs again replaces it by the same bytes
-            store.move(f"{name}.{attempt}", name)
-            k += 1
+        store.create_dir(f"{base}/_attempts", recursive=True)
+        out, size, k, n = None, 0, 0, 0
+        named = []
 
         pack = lambda x: (c := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(x) + c.flush()
         for batch in batches:
@@ -126,57 +130,140 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, segment: i
                 n += 1
                 for rec in page_records(rid, page_id, url, (html or "").encode(), original, segment):
                     if out is None:
-                        name = f"{base}/part-{part:06d}-{k:05d}.warc.gz"
-                        out, size = store.open_output_stream(f"{name}.{attempt}", compression=None), 0
+                        named.append((f"part-{part:06d}-{attempt}-{k:05d}.warc.gz", f"part-{part:06d}-{k:05d}.warc.gz"))
+                        out, size, k = store.open_output_stream(f"{base}/_attempts/{named[-1][0]}", compression=None), 0, k + 1
                     member = pack(rec)
                     out.write(member)
                     size += len(member)
                     if size >= ARCHIVE:
-                        close()
+                        out.close()
                         out = None
         if out is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in named], pa.string()) for i in (0, 1)], ["written", "name"])
 
+    def place(batches):
+        from pyarrow import fs
 
-def parse_archive(data: bytes):
-    """Yield (headers, block) of each record of a .warc.gz file; bytes after a broken record are left."""
-    rest = data
-    while rest:
-        z = zlib.decompressobj(31)
+        store, base = fs.FileSystem.from_uri(path)
+        there = lambda name: store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound
+        for batch in batches:
+            for written, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if there(f"_attempts/{written}"):
+                    store.move(f"{base}/_attempts/{written}", f"{base}/{name}")
+                elif not there(name):
+                    raise FileNotFoundError(f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    kept = stored(rows.mapInArrow(write, "written string, name string"), "archives")
+    kept.mapInArrow(place, "n long").agg(F.sum("n")).collect()
+    if exists(pages.sparkSession, f"{path}/_attempts"):
+        remove(pages.sparkSession, f"{path}/_attempts")
+
+
+MAGIC = b"\x1f\x8b\x08"
+#: Bytes of an archive that are decompressed at a time.
+STEP = 1 << 16
+#: Key of a header line that no archive can hold: the record couldn't be read whole.
+BROKEN = ":broken"
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, whether it is whole) of the gzip member at at; of one that breaks off, what can be read."""
+    start, step, view = at, STEP, memoryview(data)
+    z, out = zlib.decompressobj(31), []
+    while not z.eof and at < len(data):
         try:
-            raw = z.decompress(rest) + z.flush()
+            out.append(z.decompress(view[at : at + step]))
         except zlib.error:
-            return
-        rest = z.unused_data
-        end = raw.find(b"\r\n\r\n")
-        if end < 0 or not raw.startswith(b"WARC/"):
+            if step == 1:
+                return b"".join(out), at, False
+            z, out, fault, step = zlib.decompressobj(31), [], at, 1  # once more, byte by byte where it fails
+            for at in range(start, fault, STEP):
+                out.append(z.decompress(view[at : min(fault, at + STEP)]))
+            at = fault
             continue
-        head = {}
-        for line in raw[:end].split(b"\r\n")[1:]:
+        at += min(step, len(data) - at)
+    return b"".join(out), at - len(z.unused_data), z.eof
+
+
+NEXT = re.compile(rb"(?:^|\r\n)WARC/[0-9]")
+
+
+def _records(raw: bytes):
+    """Yield (headers, block) of the records that follow one another in raw."""
+    at = 0
+    while at < len(raw):
+        found = NEXT.search(raw, at)
+        start = len(raw) if found is None else found.end() - 6
+        if raw[at:start].strip():
+            yield {BROKEN: ""}, b""
+        if found is None:
+            return
+        end = raw.find(b"\r\n\r\n", start)
+        head, block, at = {}, b"", len(raw)
+        for line in raw[start : end if end >= 0 else None].split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
-            head[k.strip().lower().decode()] = v.strip().decode()
-        yield head, raw[end + 4 : end + 4 + int(head.get("content-length", 0))]
+            head[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+        size = head.get("content-length", "")
+        if end < 0 or not size.isdecimal():
+            head[BROKEN] = ""
+            after = NEXT.search(raw, start + 6)
+            at = len(raw) if after is None else after.start()
+        else:
+            at = end + 4 + int(size)
+            block = raw[end + 4 : at]
+            if len(block) < int(size):
+                head[BROKEN] = ""
+        yield head, block
+
+
+def parse_archive(data: bytes):
+    """Yield (headers, block) of each record of an archive; the headers of what can't be read whole have the key BROKEN."""
+    if not data.startswith(MAGIC) and NEXT.match(data):
+        yield from _records(data)
+        return
+    at, lost = 0, False
+    while at < len(data):
+        if not data.startswith(MAGIC, at):
+            if not lost:
+                yield {BROKEN: ""}, b""
+            lost, at = True, data.find(MAGIC, at)
+            if at < 0:
+                return
+        raw, end, whole = _member(data, at)
+        if whole:
+            yield from _records(raw)
+            lost, at = False, end
+            continue
+        found = list(_records(raw)) if NEXT.search(raw) else []
+        yield from found[:-1]
+        if found:
+            yield found[-1][0] | {BROKEN: ""}, found[-1][1]
+        elif not lost:
+            yield {BROKEN: ""}, b""
+        lost, at = True, data.find(MAGIC, at + 1)
+        if at < 0:
+            return
 
 
 FIELDS = "rid string, page_id long, url string, record_type string, refers_to long, digest string, segment int, total long, block binary"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below path; rid is the origin's identifier for continuations."""
+    """One row per record of the archives below path; rid is the origin's identifier for continuations, broken tells what can't be read whole."""
 
     def parse(batches):
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
-        names = [x.split()[0] for x in FIELDS.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+        names = [*(x.split()[0] for x in FIELDS.split(", ")), "broken"]
+        number = lambda h, k: int(h[k]) if h.get(k, "").isdecimal() and len(h[k]) < 10 + 9 * (k[:2] == "x-") else None
         for batch in batches:
             for data in batch.column(0):
                 rows, size = [], 0
                 for h, block in parse_archive(data.as_py()):
-                    number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
                     rid = h.get("warc-segment-origin-id") or h.get("warc-record-id", "")
-                    rows.append((rid.strip("<>"), number("x-page-id"), h.get("warc-target-uri"), h.get("warc-type"), number("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("warc-segment-number"), number("warc-segment-total-length"), block))
+                    digest = h.get("warc-payload-digest", "")
+                    rows.append((rid.strip("<>"), number(h, "x-page-id"), h.get("warc-target-uri"), h.get("warc-type"), number(h, "x-refers-to-page"), digest[5:] if digest.startswith("sha1:") else None, number(h, "warc-segment-number"), number(h, "warc-segment-total-length"), block, BROKEN in h))
                     size += len(block)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -184,21 +271,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("content").mapInArrow(parse, FIELDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    return files.select("content").mapInArrow(parse, FIELDS + ", broken boolean")
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole records: continuation records are joined to their origin in the order of their segment numbers; ok tells if none is missing."""
-    whole = records.filter("segment is null").select("rid", "page_id", "url", "record_type", "refers_to", "digest", "block", F.lit(True).alias("ok"))
+    fine = ~F.col("broken") if "broken" in records.columns else F.lit(True)
+    records = records.withColumn("fine", fine)
+    whole = records.filter("segment is null").select("rid", "page_id", "url", "record_type", "refers_to", "digest", "block", F.col("fine").alias("ok"))
     parts = records.filter("segment is not null").groupBy("rid").agg(
         *(F.max(c).alias(c) for c in ("page_id", "url", "refers_to", "digest", "total")),
         F.max(F.when(F.col("record_type") != "continuation", F.col("record_type"))).alias("record_type"),
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.min("fine").alias("fine"))
     # a binary column has no aggregate that joins: as Latin-1 text, which maps bytes to characters one by one
     numbered = F.aggregate("parts", F.struct(F.lit(0).alias("k"), F.lit(True).alias("ok")), lambda s, p: F.struct((s["k"] + 1).alias("k"), (s["ok"] & (p["segment"] == s["k"] + 1)).alias("ok")))
     block = F.encode(F.array_join(F.transform("parts", lambda p: F.decode(p["block"], "ISO-8859-1")), ""), "ISO-8859-1")
-    joined = parts.select("rid", "page_id", "url", "record_type", "refers_to", "digest", block.alias("block"), "total", numbered["ok"].alias("ok"))
+    joined = parts.select("rid", "page_id", "url", "record_type", "refers_to", "digest", block.alias("block"), "total", (numbered["ok"] & F.col("fine")).alias("ok"))
     joined = joined.withColumn("ok", F.col("ok") & F.col("record_type").isNotNull() & F.coalesce(F.col("total") == F.octet_length("block"), F.lit(False))).drop("total")
     return whole.union(joined.select(*whole.columns))
 
@@ -215,16 +304,16 @@ def decode(whole: DataFrame, keep_payload: bool = True) -> DataFrame:
                 payload, n = None, None
                 head, _, body = data.partition(b"\r\n\r\n")
                 fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
-                if ok and kind == "revisit":
-                    n = int(fields.get(b"content-length", 0))
-                elif ok:
-                    try:
+                try:
+                    if ok and kind == "revisit":
+                        n = int(fields.get(b"content-length", 0))
+                    elif ok:
                         payload = dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
                         n, found = len(payload), digest32(payload)
                         ok = digest is None or found == digest
                         digest = found
-                    except ValueError:
-                        ok = False
+                except ValueError:
+                    ok = False
                 sizes.append(n)
                 digests.append(digest)
                 oks.append(ok)

@@ -119,6 +119,59 @@ def test_prefix_order_has_no_say_in_the_result(spark):
     assert got == jaccard_brute(rows)
 
 
+def test_texts_of_one_document_share_a_component(spark):
+    rng = random.Random(21)
+    one, two, three = sentence(rng, 60), sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, one), (2, two), (5, one), (5, two), (7, three), (8, None), (8, three), (9, None), (9, ""), (6, three + " more")]
+    rows = [(i, t, "en", "s", 0) for i, t in rows]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, DOC)).collect()
+    want = jaccard_brute(rows)
+    assert want[5] == want[2] == 1 and want[8] == 6 and len(out) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in out} == set(want.items())
+
+
+def test_all_links_on_demand(spark, monkeypatch):
+    """every=True verifies each pair of different texts that links; blocks smaller than a group of near copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    rng = random.Random(22)
+    rows = []
+    for _ in range(3):
+        base = sentence(rng, 80).split()
+        for _ in range(12):
+            w = list(base)
+            w[rng.randrange(80)] = "changed"
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    rows += [(len(rows) + i, rows[i][1], "en", "s", 0) for i in range(4)]
+    _, linked, _ = jaccard.links(spark.createDataFrame(rows, DOC), every=True)
+    got = [tuple(sorted(r)) for r in linked.select("a", "b").collect()]
+    sets, rep = {i: shingle_set(t) for i, t, *_ in rows}, {}
+    for i, t, *_ in rows:
+        rep.setdefault(t, i)
+    want = {(a, b) for a, b in itertools.combinations(sorted(rep.values()), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_met_and_parted_lose_nothing(spark):
+    """Hot keys, clashing names, nulls and a bitmap that is nearly full."""
+    from pyspark.sql import functions as F
+
+    from fleetspan.llm import common
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("_word"), F.lit("x").alias("_bits"))
+    right = common.stored(left.filter("k % 2 = 1").groupBy("k").agg(F.count("*").alias("size"), F.max("_word").alias("top")), "right")
+    want = sorted(left.join(right.drop("size"), "k").collect())
+    assert sorted(common.met(left, right, ["k"]).select("k", "_word", "_bits", "top").collect()) == want
+    assert sorted(map(str, common.met(left, right, ["k"], "left").select("k", "_word", "_bits", "top").collect())) == sorted(map(str, left.join(right.drop("size"), "k", "left").collect()))
+    for bits in (6, 10, 26):
+        common.CELL_BITS = bits
+        maybe, rest = common.parted(left, "k", right)
+        assert maybe.columns == rest.columns == left.columns
+        assert maybe.count() + rest.count() == 5000 and not rest.join(right, "k").count()
+        assert sorted(maybe.join(right.drop("size"), "k").select("k", "_word", "_bits", "top").collect()) == want
+    assert maybe.count() < 3500
+
+
 def covered_brute(rows, n=passages.MIN_WORDS):
     first, texts = {}, {}
     for i, t, *_ in rows:

@@ -286,3 +286,72 @@ def test_long_broken_pages_take_linear_time():
     for page in ("<center>" * n, "<p><button>" + "<center>" * n, "<svg>" * n + "</svg>" * n, "<div>" * n + "</p>" * n, "<!--" * n, "<ul>" + "<li><b>" * n, "<object><div>" * n + "</div>" * n + "</object>"):
         html_tree.Tree(page + "<p>end</p>")
     assert time.time() - start < 30
+
+
+def gz(data):
+    import zlib
+
+    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def test_warc_reads_on_after_broken_stretches():
+    rng = random.Random(5)
+    recs = [b"".join(warc.page_records(f"urn:{i}", i, "http://x.example/", rng.randbytes(3000), None)) for i in range(200)]
+    members = [gz(r) for r in recs]
+    whole = b"".join(members)
+    ids = lambda found: [int(h["x-page-id"]) for h, _ in found if warc.BROKEN not in h]
+    assert ids(warc.parse_archive(whole)) == list(range(200))
+    at = sum(map(len, members[:100])) + len(members[100]) // 2
+    flipped = bytearray(whole)
+    flipped[at] ^= 0xFF
+    found = list(warc.parse_archive(bytes(flipped)))
+    broken = [h for h, _ in found if warc.BROKEN in h]
+    assert ids(found) == [i for i in range(200) if i != 100] and len(broken) == 1 and broken[0]["x-page-id"] == "100"
+    # a header overwritten, bytes between members, and an archive cut short
+    assert ids(warc.parse_archive(whole[: len(members[0])] + b"xxxx" + whole[len(members[0]) + 4 :])) == [0, *range(2, 200)]
+    found = list(warc.parse_archive(whole[: len(members[0])] + b"junk" + whole[len(members[0]) :]))
+    assert ids(found) == list(range(200)) and sum(warc.BROKEN in h for h, _ in found) == 1
+    found = list(warc.parse_archive(whole[:-20]))
+    assert ids(found) == list(range(199)) and warc.BROKEN in found[-1][0]
+
+
+def test_warc_reads_foreign_archives(spark, tmp_path):
+    recs = [b"".join(warc.page_records(f"urn:{i}", i, "http://x.example/", b"body %d" % i, None)) for i in range(5)]
+    info = warc.record("warcinfo", "urn:info", [("Content-Type", "application/warc-fields")], b"software: x\r\n")
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:bare>\r\nWARC-Payload-Digest: md5:00\r\nContent-Length: 30\r\n\r\nHTTP/1.1 200 OK\r\n\r\nplain body!\r\n\r\n"
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: \xff12\r\nContent-Length: many\r\n\r\nblock\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gz(b"".join(recs)))  # five records in one member
+    (tmp_path / "b.warc").write_bytes(info + bare + odd + recs[0])  # not compressed
+    out = warc.decode(warc.reassemble(warc.read_records(spark, f"file://{tmp_path}"))).collect()
+    assert sorted(r["page_id"] for r in out if r["page_id"] is not None) == [0, 0, 1, 2, 3, 4]
+    assert all(r["payload"] == b"body %d" % r["page_id"] for r in out if r["page_id"] is not None)
+    assert sum(not r["ok"] for r in out) >= 1 and any(r["payload"] == b"plain body!" for r in out)
+    for body in (b"-5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b""):
+        with pytest.raises(ValueError):
+            warc.dechunked(body)
+
+
+def test_warc_takes_linear_time():
+    import time
+
+    def took(n):
+        rng = random.Random(1)
+        data = b"".join(gz(b"".join(warc.page_records(f"urn:{i}", i, "u", rng.randbytes(2000), None))) for i in range(n))
+        start = time.time()
+        assert sum(1 for _ in warc.parse_archive(data)) == n
+        return time.time() - start
+
+    took(500)
+    assert took(8000) < 2 + 8 * took(2000)
+
+
+def test_warc_attempts_leave_one_record(spark, pages, tmp_path):
+    """Files of an attempt that wasn't committed are neither read nor left."""
+    df, rows = pages
+    path = f"file://{tmp_path}/w"
+    (tmp_path / "w" / "_attempts").mkdir(parents=True)
+    (tmp_path / "w" / "_attempts" / "part-000000-999999-00000.warc.gz").write_bytes(gz(b"".join(warc.page_records("urn:x", 1, "u", b"again", None))))
+    warc.write_archives(df, path)
+    assert warc.decode(warc.reassemble(warc.read_records(spark, path))).count() == len(rows)
+    assert not (tmp_path / "w" / "_attempts").exists()
