@@ -255,6 +255,30 @@ def test_passages_of_lines_that_others_hold_apart(spark):
     assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
 
 
+def test_passages_of_hot_seeds(spark):
+    """Seeds found hot on a sample of all documents, in ranges of doc_id, give the same passages as seeds that aren't."""
+    rng = random.Random(14)
+    line, long = sentence(rng, 12), sentence(rng, 70)
+    texts = [f"{sentence(rng, 10)} {line} {sentence(rng, 20)} {long if i % 7 == 3 else sentence(rng, 30)} {line} {sentence(rng, 5)}" for i in range(150)]
+    texts += ["again " * 200, "once " + "again " * 150, "again " * 90]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    held = [sorted(map(tuple, passages.holders(df, n).select("doc", "pos", "f", "n").collect()), key=str) for n in (1, 1 << 40)]
+    assert passages.hot_seeds(df, 1).count() > 0 and passages.hot_seeds(df, 1 << 40).count() == 0
+    assert held[0] == held[1]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    assert not uncovered(spark, rows)
+
+
+def test_passages_seven_documents(spark):
+    """Halves of a passage stand in several documents, the whole in the third and the sixth."""
+    rng = random.Random(15)
+    p = sentence(rng, 70).split()
+    one, two = " ".join(p[:35]), " ".join(p[35:])
+    w = lambda x: f"{sentence(rng, 25)} {x} {sentence(rng, 25)}"
+    texts = [w("none"), w(one), w(two), w(" ".join(p)), w(one), w(two), w(" ".join(p))]
+    assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+
+
 def test_passages_remove_text(docs, clash, empty):
     df, rows = docs
     found = passages.passages(df)
