@@ -8,7 +8,7 @@ Documents are sets of distinct word shingles. Two link when ``100 * |A & B| >= p
    same words are one class; the class with the smallest doc_id stands for them.
 3. Classes meet on prefix shingles. Each meets the first class of every shingle it shares (one row per member, no pairs within
    a group); pairs that pass the length and positional filters, then the suffix filter, are verified once, on whole texts.
-4. Where a shingle's classes are still in several components, its classes are compared block by block: pairs across
+4. Where a shingle's classes are still in several components, its classes are joined, or, if they are many, compared block by block: pairs across
    components that pass all filters leave the block and are verified. So every link between different texts either is verified
    or joins two documents that verified links join already; with ``every=True`` all pairs that pass the filters are verified.
 
@@ -23,6 +23,8 @@ Other columns of the table are not read. Ties in the order are broken by hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +41,11 @@ PARTS = 16
 #: Members of one pivot that one verification group holds at most, and shingles of all its texts together (a single text may have more).
 GROUP = 256
 GROUP_SHINGLES = 1 << 20
-#: Classes of one shingle that are compared with as many others at once.
+#: Classes of one shingle that are compared with as many others at once; those of a shingle that fewer have than PAIRED are simply joined.
 BLOCK = 512
+PAIRED = 64
+#: Rows of one group of blocks.
+CELL = 8192
 
 
 def frequencies(docs: DataFrame, size: int, bits: int = CELL_BITS) -> np.ndarray:
@@ -115,6 +120,11 @@ def _overlap_sql(percent: int) -> str:
     return f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
 
 
+def _keep_sql(percent: int) -> str:
+    """Length and positional filter."""
+    return f"nb * 100 >= na * {percent} and na * 100 >= nb * {percent} and least(na - pa, nb - pb) >= {_overlap_sql(percent)}"
+
+
 def _suffix(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: shingles fall into parts by hash; the sizes of the parts bound how many shingles two sets can't share. Gives a, b, na."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
@@ -157,31 +167,56 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 def _across(percent: int):
     """Pairs of the two blocks of a group of classes that share a shingle and pass all filters, each in another component."""
 
-    def run(key, table):
-        i, j = key[-2].as_py(), key[-1].as_py()
-        rep, n, pos, comp, block = (table.column(c).to_numpy() for c in ("rep", "n", "pos", "comp", "block"))
+    def run(table):
+        table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+        rep, n, pos, comp, block, token, i, j = (table.column(c).to_numpy() for c in ("rep", "n", "pos", "comp", "block", "token", "i", "j"))
         parts = table.column("parts").combine_chunks().flatten().to_numpy().reshape(-1, PARTS).astype(np.int32)
         n = n.astype(np.int64)
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
+        heads = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         out = [[np.zeros(0, np.int64)] * 3]
-        for x in left:
-            y = right[(rep[right] > rep[x]) | (i != j)]
-            y = y[(comp[y] != comp[x]) & (rep[y] != rep[x])]
-            y = y[(n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
-            least = least_overlap(n[x], n[y], percent)
-            ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least
-            ok[ok] = np.abs(parts[y[ok]] - parts[x]).sum(axis=1) <= (n[x] + n[y] - 2 * least)[ok]
-            y = y[ok]
-            if len(y):
-                low = rep[x] < rep[y]
-                out.append([np.where(low, rep[x], rep[y]), np.where(low, rep[y], rep[x]), np.where(low, n[x], n[y])])
+        for lo, hi in zip(heads, np.append(heads[1:], len(rep))):
+            left = lo + np.flatnonzero(block[lo:hi] == i[lo])
+            right = left if i[lo] == j[lo] else lo + np.flatnonzero(block[lo:hi] == j[lo])
+            for x in left:
+                y = right[(rep[right] > rep[x]) | (i[lo] != j[lo])]
+                y = y[(comp[y] != comp[x]) & (rep[y] != rep[x])]
+                y = y[(n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
+                least = least_overlap(n[x], n[y], percent)
+                ok = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least
+                ok[ok] = np.abs(parts[y[ok]] - parts[x]).sum(axis=1) <= (n[x] + n[y] - 2 * least)[ok]
+                y = y[ok]
+                if len(y):
+                    low = rep[x] < rep[y]
+                    out.append([np.where(low, rep[x], rep[y]), np.where(low, rep[y], rep[x]), np.where(low, n[x], n[y])])
         a, b, na = (np.concatenate(c) for c in zip(*out))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na.astype(np.int32), pa.int32())})
 
     return run
 
 
+def _cross(placed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na) of classes in different components that share a shingle and pass all filters. placed: token, rep, n, pos, comp."""
+    split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    split = stored(split.select("token", "size", F.col("size").alias("of")), "split")
+    few = placed.join(split.filter(F.col("size") < PAIRED).select("token").hint("merge"), "token")
+    x = few.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    y = few.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    # PAIRED rows for each at most
+    pairs = stored(x.join(y.hint("merge"), "token").filter("a < b and ca <> cb").filter(_keep_sql(percent)).select("a", "b").distinct(), "pairs")
+    pairs = _suffix(pairs, reps, percent)
+    many = stored(split.filter(F.col("size") >= PAIRED), "many")
+    total = many.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
+        return pairs
+    rows = met(parted(placed, "token", many)[0], many, ["token"]).withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int"))
+    rows = rows.join(reps.select("rep", "parts").hint("merge"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(math.ceil(total / CELL)))).otherwise(F.xxhash64("token", i, j))
+    dealt = rows.select("token", "rep", "n", "pos", "comp", "parts", "block", i.alias("i"), j.alias("j"), cell.alias("cell"), "blocks")
+    return pairs.union(dealt.groupBy("cell", F.col("blocks") == 1).applyInArrow(_across(percent), "a long, b long, na int"))
+
+
 def _members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, h1, h2 and rep of every row, classes h1, h2, rep, size): rep is the smallest doc_id with the same words."""
     same = stored(signed.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).filter("rep is not null"), "classes")
@@ -211,10 +246,9 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, every: bool = False
     dealt = firsts.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     often = stored(dealt.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "often")
     shared = stored(met(parted(dealt, "token", often)[0], often, ["token"]).select("token", "rep", "n", "pos"), "shared")
-    keep = f"nb * 100 >= na * {percent} and na * 100 >= nb * {percent} and least(na - pa, nb - pb) >= {_overlap_sql(percent)}"
     first = stored(shared.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("f"), F.count("*").alias("size")), "pivots")
     star = met(shared, first, ["token"]).select(F.col("f.rep").alias("a"), F.col("rep").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.pos").alias("pa"), F.col("pos").alias("pb"))
-    star = stored(star.filter("a <> b").filter(keep).select("a", "b").distinct(), "pairs")
+    star = stored(star.filter("a <> b").filter(_keep_sql(percent)).select("a", "b").distinct(), "pairs")
     star = stored(_suffix(star, reps, percent), "pairs")
     linked = stored(verify(star, docs, size, percent), "links")
     # the texts of one document belong together
@@ -225,13 +259,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 75, every: bool = False
     comp = F.col("rep") if every else F.coalesce("component", "rep")
     placed = stored(shared.join(groups.hint("merge"), shared.rep == groups.id, "left").select("token", "rep", "n", "pos", comp.alias("comp")), "placed")
     discard(often, shared, first)
-    split = stored(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("token", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "split")
-    placed = stored(met(parted(placed, "token", split)[0], split, ["token"]), "open")
-    parts = reps.select("rep", "parts")
-    placed = placed.join(parts.hint("merge"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", "rep", "n", "pos", "comp", "parts", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    across = dealt.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long, na int").distinct()
+    across = _cross(placed, reps, percent).distinct()
     cross = stored(across.join(star.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if cross.limit(1).count():
         linked = stored(linked.union(verify(cross, docs, size, percent)), "links")

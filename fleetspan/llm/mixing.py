@@ -2,20 +2,27 @@
 
 Every document belongs to each domain with a posterior probability. The domains are the classes of the labels table: quality (0, 1) by
 toxic (0, 1). A softmax regression over hashed words, fitted on FIT_ROWS labelled rows at most, gives the posteriors. A document's
-expected tokens in a domain are its words t times its posterior p. Rates r >= 0, one a document, then minimise || G^(-1/2) (sum t p r - targets) ||^2
-with G = sum t p p' and r <= MOST: projected gradient descent from r = 1, in the metric that weights documents by their words (so rates don't depend on
-length), with step 1, the inverse of the greatest curvature in that metric. A pass needs the domains' totals only: one vector a task.
-
-Rates become copies by the fraction of a hash of doc_id and the place of the row among its repeats: floor(rate + fraction).
-
-Defined results: null or empty text has no tokens, the prior as posterior and a rate of 1. A null doc_id is hashed as 0; rows that repeat
-are mixed one by one, and share their fraction. Without labels all posteriors are the mean of the targets and rates are what scales the total.
-Empty tables give empty results. Other columns are kept by ``mix`` and not read.
+expected tokens in a domain are its words t times its posterior p. Rates r >= 0, one a document, then minimise the sum over domains of
+(sum t p r - goal)^2 / goal, by projected gradient descent from r = 1: a step moves each document against its posteriors times a vector, and cuts at 0.
+That vector is the gradient, first in the metric of the documents that are not at 0 (which meets goals that can be met in a few passes, each
+step halved until it gains), then, if something is left, in the metric of the objective with momentum. A pass needs the domains' totals and
+their Gram matrix only: one vector a task. The descent ends when all goals are met within TOLERANCE of all tokens or the projected gradient
+vanishes, which proves that they can't be met; what is left is in the result, and a warning tells of it.
+
+Goals are the targets' shares of the tokens there are, or, with keep, of as many tokens as leave that domain what it has.
+Rates become copies by the fraction of a hash of doc_id and text: floor(rate + fraction).
+
+Defined results: null or empty text has no tokens, the prior as posterior and a rate of 1. Rows that repeat, doc_id and text alike, are mixed one
+by one, and share their fraction; null doc_ids differ by their texts. Without labels all posteriors are equal and only the total can be met.
+A target of 0 draws its domain down as far as the others let it. Empty tables give empty results. Other columns are kept by ``mix`` and not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import fresh, stored
+from .common import discard, fresh, stored
 
 DOMAINS = ("junk", "junk_toxic", "clean", "clean_toxic")
 #: Share of all tokens that each domain shall have. Clean text keeps its weight, the rest is drawn down to a little.
 TARGETS = {"junk": 0.01, "junk_toxic": 0.005, "clean": 0.96, "clean_toxic": 0.025}
 FIT_ROWS = 3_000
-#: A domain with less than this share of the expected tokens is too scarce to steer by, and is left out of the fit.
-SCARCE = 0.003
-#: Rates are held to at most this, so that scarce text isn't repeated without end.
-MOST = 4.0
+#: Rates are held to at most this. A finite bound may make targets infeasible.
+MOST = math.inf
 HASHES = 1 << 13
-ROUNDS = 60
+#: Passes of the descent at most, of which the second kind begins after half of them; most targets take fewer than ten.
+ROUNDS = 120
+TOLERANCE = 1e-6
 
 
 def _features(w: np.ndarray) -> np.ndarray:
@@ -71,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
             offs = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int16)))], ["y", "cells"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("y", "text").mapInArrow(bag, "y int, cells array<smallint>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("_id")
+    rows = rows.select("y", "text").mapInArrow(bag, "y int, cells array<smallint>").toArrow()
     k = len(DOMAINS)
     weights, bias = np.zeros((HASHES + 8, k)), np.zeros(k)
     if not rows.num_rows:
@@ -82,7 +90,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
     cell, row, scale = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n), 100.0 / n
     share = y.mean(axis=0)
     bias = np.log(share + 1e-3)
-    # a rare class counts as much as a frequent one, tempered, while words are learned; the priors come back with the bias
     size, last = np.full(weights.shape, 0.01), np.zeros_like(weights)
     weights, bias, y, scale = (x.astype(np.float32) for x in (weights, bias, y, scale))
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -121,51 +128,109 @@ def memberships(docs: DataFrame, model) -> DataFrame:
     return docs.select(*keys, "text").mapInArrow(run, ddl)
 
 
-def _rates(tokens: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the gradient steps so far; a step holds G^-1 (totals - targets), and a document moves by its posteriors times it."""
-    r = np.ones(len(tokens))
-    for s in steps:
-        r = np.clip(r - p @ s, 0.0, MOST)
+def _rates(tokens: np.ndarray, p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Rates after the steps so far; a step holds a momentum and what a document moves by, times its posteriors."""
+    r = last = np.ones(len(tokens))
+    for momentum, s in steps:
+        r, last = np.clip(r + momentum * (r - last) - p @ s, 0.0, MOST), r
     return np.where(tokens > 0, r, 1.0)
 
 
-def solve(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = 1e-6) -> list[np.ndarray]:
-    """The gradient steps that lead from rates of 1 to the least-squares rates. members: a stored table of tokens and posteriors."""
+@dataclass
+class Solution:
+    """Steps to the rates, and what they come to: goals and totals in tokens by domain, the projected gradient's size, passes."""
+
+    steps: list = field(default_factory=list)
+    goals: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    gradient: float = 0.0
+    passes: int = 0
+    met: bool = True
+
+    def residuals(self) -> dict[str, float]:
+        """Share of all wanted tokens by which each domain is off."""
+        return {d: float(x) for d, x in zip(DOMAINS, (self.totals - self.goals) / max(1.0, self.goals.sum()))}
+
+
+def solve(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep: str | None = None) -> Solution:
+    """Least-squares rates for targets (shares, scaled to add up to 1). members: a stored table of tokens and posteriors."""
     k = len(DOMAINS)
     names = [f"p{i}" for i in range(k)]
-    e = [F.col("tokens") * F.col(c) for c in names]
-    sums = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), *(F.coalesce(F.sum(e[i] * F.col(names[j])), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = float(sums["all"])
-    if not total:
-        return []
-    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    share = gram.sum(axis=1) / total
-    used = share >= SCARCE
-    inverse = np.zeros((k, k))
-    inverse[np.ix_(used, used)] = np.linalg.pinv(gram[np.ix_(used, used)])
-    goal = np.where(used, [targets[d] for d in DOMAINS], 0.0)
-    goal *= total * share[used].sum() / goal.sum() if goal.sum() else 0.0
-    steps: list[np.ndarray] = []
-    for _ in range(rounds):
-        now = list(steps)
+    upper = np.triu_indices(k)
+    cols = [*(f"g{i}" for i in range(k)), *(f"m{i}" for i in range(len(upper[0]))), "slope"]
+
+    def run(steps, metric_left):
+        """Totals, Gram matrix of the documents above 0, and the square of the projected gradient times metric_left."""
 
-        def part(batches, now=now):
-            got = np.zeros(k)
+        def part(batches):
+            got = np.zeros(len(cols))
             for batch in batches:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], axis=1)
-                got += (_rates(t, p, now) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], names)
-
-        got = members.select("tokens", *names).mapInArrow(part, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
-        left = np.where(used, np.array([got[c] for c in names]) - goal, 0.0)
-        if np.abs(left).max() <= tolerance * total:
+                r = _rates(t, p, steps)
+                slope = p @ metric_left
+                slope = np.where(r <= 0, np.minimum(slope, 0), np.where(r >= MOST, np.maximum(slope, 0), slope))
+                inside = ((r > 0) & (r < MOST)) * t
+                got += np.concatenate([(r * t) @ p, ((p * inside[:, None]).T @ p)[upper], [(t * slope * slope).sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], cols)
+
+        got = members.select("tokens", *names).mapInArrow(part, ", ".join(f"{c} double" for c in cols)).agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in cols)).first()
+        gram = np.zeros((k, k))
+        gram[upper] = gram.T[upper] = got[k:-1]
+        return np.array(got[:k]), gram, got[-1]
+
+    totals, full, _ = run([], np.zeros(k))
+    total = totals.sum()
+    if not total:
+        return Solution()
+    wanted = np.array([targets[d] for d in DOMAINS])
+    wanted = wanted / wanted.sum()
+    if keep is not None and wanted[i := DOMAINS.index(keep)]:
+        total = totals[i] / wanted[i]
+    goals = total * wanted
+    weight = 1 / np.maximum(goals, tolerance * total)
+    full += 1e-12 * np.trace(full) * np.eye(k)
+    steps, gram, passes = [], full, 1
+    loss = lambda left, m: left @ m @ left
+    met = lambda now: bool(np.abs(now - goals).max() <= tolerance * total)
+    # the metric of the documents that may move
+    while passes < rounds // 2 and not met(totals):
+        metric = np.linalg.inv(gram + 1e-3 * full)
+        step, size, left = metric @ (totals - goals), 1.0, totals - goals
+        while size >= 1e-3:
+            new, new_gram, _ = run([*steps, (0.0, size * step)], np.zeros(k))
+            passes += 1
+            if loss(new - goals, metric) <= loss(left, metric) * (1 - 1e-2 * size):
+                break
+            size /= 4
+        else:
             break
-        steps.append(inverse @ left)
-    return steps
-
-
-def rated(members: DataFrame, steps: list[np.ndarray], keys: list[str]) -> DataFrame:
+        steps, totals, gram = [*steps, (0.0, size * step)], new, new_gram
+    # the metric of the objective, with momentum that starts anew when it leads uphill
+    sides = np.linalg.cholesky(full)
+    pace = 1 / np.linalg.eigvalsh(sides.T @ np.diag(weight) @ sides).max()
+    slope, speed, seen, last, momentum = math.inf, 1.0, totals, None, 0.0
+    while not met(totals):
+        # totals of the point that momentum leads to, before it is cut
+        ahead = totals if last is None else totals + momentum * (totals - last)
+        new, _, slope = run(trial := [*steps, (momentum, pace * weight * (ahead - goals))], weight * (totals - goals))
+        passes += 1
+        slope = math.sqrt(slope / total)
+        if slope <= tolerance or passes >= rounds:
+            break
+        if ((new - goals) ** 2 * weight).sum() > ((totals - goals) ** 2 * weight).sum() and momentum:
+            speed, momentum, last = 1.0, 0.0, None
+            continue
+        steps, last, totals = trial, totals, new
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        speed, momentum = faster, (speed - 1) / faster
+    out = Solution(steps, goals, totals, 0.0 if slope is math.inf else slope, passes, met(totals))
+    if not out.met:
+        warnings.warn(f"mixing: targets are not met ({'infeasible' if out.gradient <= tolerance else 'passes used up'}); off by these shares of all tokens: {out.residuals()}", stacklevel=2)
+    return out
+
+
+def rated(members: DataFrame, steps: list[tuple[float, np.ndarray]], keys: list[str]) -> DataFrame:
     """members with the column rate."""
     k = len(DOMAINS)
     names = [*keys, "tokens", *(f"p{i}" for i in range(k))]
@@ -180,29 +245,30 @@ def rated(members: DataFrame, steps: list[np.ndarray], keys: list[str]) -> DataF
     return members.select(*names).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", rate double")
 
 
-def fraction(doc_id) -> F.Column:
-    """A number in [0, 1) that depends on doc_id alone."""
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(0)), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+def fraction(doc_id, text_hash) -> F.Column:
+    """A number in [0, 1) that depends on doc_id and text."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(0)), text_hash, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def copies_of(rate, doc_id) -> F.Column:
+def copies_of(rate, doc_id, text_hash) -> F.Column:
     # a rate within rounding of a whole number counts as that number
-    return F.floor(F.round(rate, 6) + fraction(doc_id)).cast("int")
+    return F.floor(F.round(rate, 6) + fraction(doc_id, text_hash)).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = None) -> DataFrame:
     """One row per document: doc_id, tokens, p_<domain>, rate, copies."""
     model = fit(docs, labels)
-    members = stored(memberships(docs.select("doc_id", "text"), model), "memberships")
-    out = rated(members, solve(members, targets), ["doc_id"])
-    return out.select("doc_id", "tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+    members = stored(memberships(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), model), "memberships")
+    out = rated(members, solve(members, targets, keep=keep).steps, ["doc_id", "h"])
+    return out.select("doc_id", "tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", copies_of(F.col("rate"), F.col("doc_id"), F.col("h")).alias("copies"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = None) -> DataFrame:
     """The rows of docs, each as many times as its rate says, with all columns."""
     model = fit(docs, labels)
     members = stored(memberships(docs.select("text"), model), "memberships")
-    steps = solve(members, targets)
+    steps = solve(members, targets, keep=keep).steps
+    discard(members)
     rate, n = fresh(docs, "_rate"), fresh(docs, "_copies")
     weights, bias = model
     names, at = docs.columns, docs.columns.index("text")
@@ -216,7 +282,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(r))], [*names, rate])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{rate}` double"
-    out = docs.mapInArrow(run, ddl).withColumn(n, copies_of(F.col(rate), F.col("doc_id")))
+    out = docs.mapInArrow(run, ddl).withColumn(n, copies_of(F.col(rate), F.col("doc_id"), F.xxhash64("text")))
     return out.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
 
 

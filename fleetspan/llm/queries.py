@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import embeddings, html_tree, jaccard, mixing, packing, passages, quality, token_rollup, topk, warc
-from .common import scratch, small, stored
+from .common import parted, scratch, stored
 
 
 def _t(spark, sf_dir, name):
@@ -13,7 +13,7 @@ def _t(spark, sf_dir, name):
 
 
 def op1_soft_mixing(spark, sf_dir):
-    return mixing.rates(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+    return mixing.rates(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), keep="clean")
 
 
 def op2_token_counts(spark, sf_dir):
@@ -22,7 +22,7 @@ def op2_token_counts(spark, sf_dir):
     store = token_rollup.RollupStore(spark, scratch(spark, "rollup"), {"words-1": token_rollup.word_counter, "byte-bpe-50k": token_rollup.bpe_counter})
     store.commit(1, docs.select(F.lit("insert").alias("op"), "doc_id", "text", "source", "lang"))
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 0 or toxic = 1")
-    changes = docs.join(small(stored(marks, "marks")), "doc_id").select(F.when(F.col("quality") == 0, "delete").otherwise("revise").alias("op"), "doc_id", F.lower("text").alias("text"), "source", "lang")
+    changes = parted(docs, "doc_id", marks := stored(marks, "marks"))[0].join(marks.hint("merge"), "doc_id").select(F.when(F.col("quality") == 0, "delete").otherwise("revise").alias("op"), "doc_id", F.lower("text").alias("text"), "source", "lang")
     store.commit(2, changes)
     store.commit(2, changes)
     return store.totals()

@@ -133,6 +133,7 @@ def test_texts_of_one_document_share_a_component(spark):
 def test_all_links_on_demand(spark, monkeypatch):
     """every=True verifies each pair of different texts that links; blocks smaller than a group of near copies."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "PAIRED", 5)
     monkeypatch.setattr(jaccard, "GROUP", 3)
     rng = random.Random(22)
     rows = []
@@ -384,25 +385,72 @@ def test_mixing_meets_targets(spark, empty, clash):
     assert mixing.mix(clash, labels, targets).columns == clash.columns
 
 
-def test_mixing_is_the_least_squares_solution(spark):
-    """Against projected gradient descent written out in full."""
+def members_of(spark, t, p):
+    return spark.createDataFrame([(int(x), *map(float, y)) for x, y in zip(t, p)], "tokens long, p0 double, p1 double, p2 double, p3 double").repartition(3)
+
+
+def test_mixing_meets_what_can_be_met_and_proves_what_cannot(spark):
+    """Against the optimality conditions of the least-squares problem, on random posteriors, blunt and sharp."""
+    import warnings
+
     import numpy as np
 
-    docs, labels = labelled(spark)
-    targets = {"junk": 0.02, "junk_toxic": 0.02, "clean": 0.95, "clean_toxic": 0.01}
-    rows = mixing.rates(docs, labels, targets).collect()
-    t = np.array([r["tokens"] for r in rows], dtype=float)
-    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
-    g = (p * t[:, None]).T @ p
-    goal = t.sum() * np.array([targets[d] for d in mixing.DOMAINS])
-    r = np.ones(len(t))
-    for _ in range(mixing.ROUNDS):
-        left = p.T @ (t * r) - goal
-        if np.abs(left).max() <= 1e-6 * t.sum():
-            break
-        r = np.clip(r - p @ (np.linalg.pinv(g) @ left), 0, mixing.MOST)
-    r[t == 0] = 1
-    assert np.abs(r - np.array([x["rate"] for x in rows])).max() < 1e-3
+    rng = np.random.default_rng(4)
+    seen = set()
+    for sharp, shares in itertools.product((2, 5), ([0.1, 0.02, 0.83, 0.05], [0.3, 0.1, 0.5, 0.1], [0.02, 0.002, 0.97, 0.008])):
+        n = 1500
+        z = rng.standard_normal((n, 4)) + np.log(shares)
+        z[np.arange(n), rng.choice(4, n, p=shares)] += sharp
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        t = rng.integers(0, 500, n).astype(float)
+        targets = dict(zip(mixing.DOMAINS, (0.01, 0.005, 0.96, 0.025)))
+        with warnings.catch_warnings(record=True) as told:
+            warnings.simplefilter("always")
+            found = mixing.solve(members_of(spark, t, p), targets)
+        told = [w for w in told if "mixing" in str(w.message)]
+        r = mixing._rates(t, p, found.steps)
+        totals = p.T @ (t * r)
+        assert (r >= 0).all() and np.allclose(totals, found.totals, rtol=1e-9)
+        goals = t.sum() * np.array(list(targets.values()))
+        seen.add(found.met)
+        if found.met:
+            assert np.abs(totals - goals).max() <= 1.1e-6 * t.sum() and not told
+            continue
+        # no direction that keeps rates >= 0 makes the sum smaller: proof that the goals can't be met
+        slope = p @ ((totals - goals) / goals)
+        slope = np.where(r > 0, slope, np.minimum(slope, 0))
+        assert np.sqrt((t * slope**2).sum() / t.sum()) < 1e-3 and told and max(map(abs, found.residuals().values())) > 1e-6
+    assert True in seen
+
+
+def test_mixing_infeasible_and_scarce_targets(spark):
+    import warnings
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    # nobody is more than a tenth junk, so half junk can't be had: the best there is, is a tenth
+    x = rng.uniform(0, 0.1, 400)
+    p = np.stack([x, np.zeros(400), 1 - x, np.zeros(400)], axis=1)
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        found = mixing.solve(members_of(spark, np.full(400, 100), p), {"junk": 0.5, "junk_toxic": 0, "clean": 0.5, "clean_toxic": 0})
+    assert not found.met and told and found.residuals()["junk"] < -0.2
+    # a scarce domain is met all the same, and one that is kept loses nothing
+    p = np.tile([0.01, 0.0, 0.99, 0.0], (1000, 1))
+    p[7] = [0.0, 0.0, 0.0, 1.0]
+    found = mixing.solve(members_of(spark, np.full(1000, 100), p), {"junk": 0.0098, "junk_toxic": 0, "clean": 0.9702, "clean_toxic": 0.02}, keep="clean")
+    r = mixing._rates(np.full(1000, 100.0), p, found.steps)
+    assert found.met and abs(r[7] - 1000 / 0.9702 * 0.99 * 0.02) < 0.3 and abs(np.delete(r, 7).mean() - 1) < 1e-3
+
+
+def test_mixing_repeats(spark):
+    """Rows without doc_id have fractions of their own by their texts; a text repeated under one doc_id shares its fraction."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, f"t{i % 200}", "en", "s", 0) for i in range(400)], DOC)
+    x = df.groupBy("text").agg(F.countDistinct(mixing.fraction(F.col("doc_id"), F.xxhash64("text"))).alias("n"), F.first(mixing.fraction(F.col("doc_id"), F.xxhash64("text"))).alias("f")).collect()
+    assert {r["n"] for r in x} == {1} and 0.4 < sum(r["f"] for r in x) / len(x) < 0.6
 
 
 def test_packing_is_sound(docs, empty, clash):
@@ -473,3 +521,54 @@ def test_broken_commit_is_taken_up_again(spark, docs):
     rows.limit(1).write.parquet(f"{store.path}/delta/000000000001")  # leavings without a marker
     assert store.totals().count() == 0 and store.commit(1, rows)
     assert store.totals().agg(F.sum("n_docs")).first()[0] == 5
+
+
+def test_commits_count_in_their_order(spark):
+    """Batch numbers out of order, many batches with compaction between them, and a store opened anew."""
+    from pyspark.sql import functions as F
+
+    from fleetspan.llm.common import scratch
+
+    rng = random.Random(31)
+    path, counters = scratch(spark, "t"), {"words-1": token_rollup.word_counter}
+    store = token_rollup.RollupStore(spark, path, counters, compact=3)
+    rows = lambda x: spark.createDataFrame(x, "op string, doc_id long, text string, source string, lang string")
+    now = {}
+    for batch in (1, 3, 2, 9, 4, 5, 8, 7):
+        part = []
+        for i in rng.sample(range(12), 4):
+            op = rng.choice(("insert", "revise", "delete")) if batch != 7 else "delete"
+            text = sentence(rng, rng.randint(0, 9))
+            part.append((op, i, text, f"s{rng.randrange(3)}", None))
+            now.pop(i, None)
+            if op != "delete":
+                now[i] = part[-1]
+        assert store.commit(batch, rows(part))
+        want = {}
+        for _, _, text, source, _ in now.values():
+            n, t = want.get(source, (0, 0))
+            want[source] = (n + 1, t + len(text.split()))
+        assert {r["source"]: (r["n_docs"], r["n_tokens"]) for r in store.totals().collect()} == want, batch
+    store = token_rollup.RollupStore(spark, path, counters)
+    assert store.batches() == [1, 3, 2, 9, 4, 5, 8, 7] and not store.commit(3, rows([("insert", 1, "x", "s", None)]))
+    assert len(store._folders(store.log())) <= 4
+    everything = rows([("delete", i, None, None, None) for i in range(12)])
+    assert store.commit(10, everything) and store.totals().count() == 0
+
+
+def test_two_writers_of_one_batch(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from fleetspan.llm.common import hadoop, scratch
+
+    path, counters = scratch(spark, "t"), {"words-1": token_rollup.word_counter}
+    rows = spark.createDataFrame([("insert", i, "two words", "s", "en") for i in range(20)], "op string, doc_id long, text string, source string, lang string")
+    commit = lambda batch: token_rollup.RollupStore(spark, path, counters).commit(batch, rows)
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(commit, (1, 1, 2)))
+    assert sorted(done[:2]) == [False, True] and done[2]
+    store = token_rollup.RollupStore(spark, path, counters)
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "words-1", 20, 40)]
+    fs, p = hadoop(spark, f"{path}/log/000000000002")
+    fs.create(p, False).close()  # a writer that died
+    assert store.commit(3, rows) and store.totals().first()["n_docs"] == 20
