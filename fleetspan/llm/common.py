@@ -102,7 +102,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-def small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -3,7 +3,8 @@
 Only vectors with the same label (not null) and the same length are compared. Exact copies are one node with a multiplicity. Every node
 falls into one bucket in each of several tables; the number of hyperplanes follows the largest label, the number of tables follows the
 wanted recall at the threshold. Buckets larger than BLOCK nodes are compared block against block, and a pair that meets in several
-tables counts in the first. A task returns sums of links by node and a spanning forest of what it linked, never the pairs.
+tables counts in the first. A task returns sums of links by node and a spanning forest of what it linked, never the pairs. Vectors are scaled by
+powers of two, which leaves cosines as they are, so that no norm overflows or vanishes; they travel as floats where these hold them exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing and
 are kept. Rows equal in vec_id, label and vector are one vector. A null vec_id is kept, never names a component and has links counted.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import discard, met, stored
 from .components import components
 
 BLOCK = 1024
@@ -35,26 +36,36 @@ def plan_tables(largest: int, threshold: float, recall: float) -> tuple[int, int
 
 
 def hashed(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """Adds dim, vec (doubles as bytes) and codes (one a table) to rep, mult, label, embedding."""
+    """Adds dim, vec (bytes) and codes (one a table) to rep, mult, label, embedding."""
 
     def run(batches):
         planes = {}
         for batch in batches:
             vecs = [np.array(v.as_py(), dtype=np.float64) for v in batch.column("embedding")]
-            codes = np.zeros((len(vecs), tables), dtype=np.int64)
+            vecs = [np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for v in vecs]
+            codes = np.zeros((len(vecs), tables), dtype=np.int32)
             dims = np.array([len(v) for v in vecs], dtype=np.int32)
             for d in np.unique(dims):
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), bits * tables))
                 at = np.flatnonzero(dims == d)
                 side = (np.stack([vecs[i] for i in at]) @ planes[d] > 0).reshape(len(at), tables, bits)
-                codes[at] = side @ (1 << np.arange(bits, dtype=np.int64))
+                codes[at] = side @ (1 << np.arange(bits, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("mult"), batch.column("label"), pa.array(dims), pa.array([v.tobytes() for v in vecs], pa.binary()),
+                [batch.column("rep"), batch.column("mult"), batch.column("label"), pa.array(dims), pa.array([_packed(v) for v in vecs], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * tables), pa.array(codes.reshape(-1)))],
                 ["rep", "mult", "label", "dim", "vec", "codes"])
 
-    return nodes.select("rep", "mult", "label", "embedding").mapInArrow(run, "rep long, mult long, label long, dim int, vec binary, codes array<long>")
+    return nodes.select("rep", "mult", "label", "embedding").mapInArrow(run, "rep long, mult long, label long, dim int, vec binary, codes array<int>")
+
+
+def _packed(v: np.ndarray) -> bytes:
+    narrow = v.astype(np.float32)
+    return (narrow if (narrow == v).all() else v).tobytes()
+
+
+def _unpacked(raw, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
 
 
 def _compare(threshold: float):
@@ -72,8 +83,8 @@ def _compare(threshold: float):
         for lo, hi in zip(starts, np.append(starts[1:], len(rep))):
             if hi - lo < 2:
                 continue
-            _, _, t, _, i, j = keys[lo]
-            x = np.stack([np.frombuffer(vec[r].as_buffer()) for r in range(lo, hi)])
+            _, dim, t, _, i, j = keys[lo]
+            x = np.stack([_unpacked(vec[r].as_buffer(), dim) for r in range(lo, hi)])
             norm = np.sqrt((x * x).sum(axis=1))
             r, m, c = rep[lo:hi], mult[lo:hi], codes[lo:hi, :t]
             left = np.flatnonzero(block[lo:hi] == i)
@@ -125,17 +136,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     marked = stored(hashed(nodes, bits, tables, seed), "codes")
     spread = marked.select("*", F.posexplode("codes").alias("t", "code"))
     sizes = spread.groupBy("label", "dim", "t", "code").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = stored(sizes, "buckets")
-    spread = spread.join(small(sizes), ["label", "dim", "t", "code"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "buckets")
+    spread = met(spread, sizes, ["label", "dim", "t", "code"])
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = max(1, math.ceil(nodes.count() * tables / CELL))
     spread = spread.select("rep", "mult", "label", "dim", "t", "code", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "codes", "vec",
                            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label", "dim", "t", "code"), F.lit(cells))).otherwise(F.xxhash64("label", "dim", "t", "code", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"), "blocks")
     found = stored(spread.groupBy("cell", F.col("blocks") == 1).applyInArrow(_compare(threshold), "rep long, add long, root long"), "links")
+    discard(marked, sizes)
     degree = found.groupBy("rep").agg(F.sum("add").alias("near"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    facts = nodes.select("key", "rep", "mult").join(degree, "rep", "left").join(groups, F.col("rep") == F.col("id"), "left").select(
-        "key", "rep", (F.coalesce("near", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("vec_id", "key").join(facts, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("c") >= 0, F.col("c")).otherwise(F.col("vec_id")).alias("component_id"))
-    return out.withColumn("component_id", F.coalesce("component_id", "vec_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    facts = nodes.select("key", "rep", "mult").join(degree.hint("merge"), "rep", "left").join(groups.hint("merge"), F.col("rep") == F.col("id"), "left").select(
+        "key", (F.coalesce("near", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c"), F.col("mult").alias("size"))
+    known = met(rows.filter("sound").select("vec_id", "key"), stored(facts, "facts"), ["key"]).select("vec_id", "n", "c")
+    out = known.union(rows.filter("not sound").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    out = out.select("vec_id", F.col("n").alias("n_links"), F.when(F.col("c") >= 0, F.col("c")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -67,5 +67,42 @@ QUERIES = {
     for f in (op1_soft_mixing, op2_token_counts, op3_substring_dedup, op4_ngram_jaccard_join, op5_warc, op6_embedding_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_html_extraction, op10_quality_classifier)
 }
 
-#: No operator of this subpackage has an equivalent in SQL on whole tables; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL can express; the others are held against brute force, exact round trips or held-out accuracy in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as id, doc_id as r from documents union select id, b from reach join links on r = a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, case when len(w) = 0 then w.doc_id else min(w.doc_id) over (partition by w) end as class_id
+from w left join n on n.doc_id = w.doc_id join (select id, min(r) as component_id from reach group by id) c on c.id = w.doc_id""",
+    "op5_warc": r"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select *, min(page_id) over (partition by h) as first_id,
+  list_transform(range(0, 8), lambda i: cast('0x' || substr(sha1(h), cast(5 * i + 1 as int), 5) as int)) as v from p)
+select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((x // k) % 32 + 1 as int), 1)), '')), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from d""",
+    "op6_embedding_near_dedup": r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach as (select vec_id as id, vec_id as r from embeddings union select id, b from reach join links on r = a)
+select e.vec_id, coalesce(d.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e left join (select a, count(*) as n from links group by a) d on d.a = e.vec_id join (select id, min(r) as component_id from reach group by id) c on c.id = e.vec_id""",
+    "op8_exact_top_k": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+}

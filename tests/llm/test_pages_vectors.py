@@ -194,6 +194,57 @@ def test_top_k_is_exact(spark):
     assert topk.top_inner(spark.createDataFrame([], VEC), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_many_blocks_is_exact(spark, monkeypatch):
+    """Blocks that bounds leave out, ties across blocks, several vectors of one vec_id."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(12)
+    middles = rng.standard_normal((6, 8)) * 9
+    x = np.round(middles[rng.integers(0, 6, 900)] + rng.standard_normal((900, 8)), 2)
+    x[300:330] = x[299]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    other = [(5, (x[5] * 3).tolist(), 0), (300, (x[299] * 5).tolist(), 0)]
+    out = {}
+    for r in topk.top_inner(spark.createDataFrame(rows + other, VEC), F.col("vec_id") % 50 == 0).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    q = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v, _ in rows}
+    for i, v, _ in other:
+        q[i] = np.array(min(q[i].tolist(), np.floor(256 * np.array(v)).astype(np.int64).tolist()))
+    for i in range(0, 900, 50):
+        want = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
+        assert sorted(out[i]) == [(k, j, -s) for k, (s, j) in enumerate(want, 1)], i
+
+
+def test_embeddings_of_any_magnitude(spark):
+    rng = np.random.default_rng(13)
+    c = rng.standard_normal(8)
+    near = [c + 0.02 * rng.standard_normal(8) for _ in range(6)]
+    scale = (1.0, 1e200, 1e-200, 1e300, 1e-300, 3.0)
+    rows = [(i, (v * s).tolist(), 1) for i, (v, s) in enumerate(zip(near, scale))] + [(9, (-c * 1e250).tolist(), 1)]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    assert out == {**{i: (5, 0) for i in range(6)}, 9: (0, 9)}
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, the hardest to meet, against brute force; several hyperplanes a table."""
+    rng = np.random.default_rng(14)
+    rows, d = [], 32
+    for i in range(600):
+        a = rng.standard_normal(d)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(d)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cos = rng.uniform(0.975, 0.985)
+        rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (cos * a + math.sqrt(1 - cos * cos) * b).tolist(), 0)]
+    out = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T) >= 0.98).sum(axis=1) - 1
+    got = np.array([out[i] for i in range(len(rows))])
+    assert (got <= want).all() and want.sum() > 400 and got.sum() >= 0.999 * want.sum()
+
+
 def test_pivot_bounds_stop_early():
     rng = np.random.default_rng(0)
     c = np.floor(rng.standard_normal((4000, 8)) * 300)
