@@ -27,11 +27,16 @@ def placed(rows: DataFrame, order: list[Column], bucket: Column, outer: list[str
     return x.withColumn("_i", i).join(n, [*outer, "_b"]).withColumn(name, F.col("_base") + F.col("_i")).drop("_b", "_i", "_base")
 
 
-def permute(rows: DataFrame, block: list[str], seed: int, order: list[str], within: list[str] = (), outer: list[str] = (), buckets: int = 64) -> DataFrame:
+def prefix(d: Column) -> Column:
+    """Bucket (of 256) of a draw, in the order of the draws."""
+    return F.conv(F.substring(d, 1, 2), 16, 10).cast("int")
+
+
+def permute(rows: DataFrame, block: list[str], seed: int, order: list[str], within: list[str] = (), outer: list[str] = ()) -> DataFrame:
     """rows with the columns of block dealt anew among the rows of a group; order names a row within it.
 
     within: groups of few rows (a vehicle's), each sorted in one task. outer: groups of any size, or none for all rows; they are numbered
-    by buckets of a hash, and by buckets of the draw on the other side, and meet by number.
+    in the order of a draw of their own on each side, bucket by bucket, and meet by number.
     """
     others = [c for c in rows.columns if c not in block]
     by, cols = list(within) or list(outer), [F.col(c) for c in order]
@@ -40,8 +45,8 @@ def permute(rows: DataFrame, block: list[str], seed: int, order: list[str], with
         a = rows.select(*others).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*cols)))
         b = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(d, *cols)))
     else:
-        a = placed(rows.select(*others), cols, F.pmod(F.xxhash64(*cols), F.lit(buckets)), outer)
-        b = placed(rows, [d, *cols], F.pmod(F.conv(F.substring(d, 1, 6), 16, 10).cast("bigint"), F.lit(buckets)), outer)
+        a = placed(rows.select(*others), [draw(*cols), *cols], prefix(draw(*cols)), outer)
+        b = placed(rows, [d, *cols], prefix(d), outer)
     return a.join(b.select(*by, "_k", *block), [*by, "_k"]).select(*rows.columns)
 
 
@@ -52,7 +57,8 @@ def bootstrap_weights(vehicles: DataFrame, n: int, seed: int, strata: str | None
     """
     by = [strata] if strata else []
     v = vehicles.select(KEY, *by).distinct()
-    v = placed(v, [F.col(KEY)], F.pmod(F.xxhash64(KEY), F.lit(64)), by, "j").withColumn("j", F.col("j") - 1)
+    d = draw(F.col(KEY))
+    v = placed(v, [d, F.col(KEY)], prefix(d), by, "j").withColumn("j", F.col("j") - 1)
     n_all = v.groupBy(*by).agg(F.count("*").alias("V"))
     seats = replicates(v.join(n_all, by) if by else v.crossJoin(n_all), n)  # one row
     pick = F.floor(uniform(seed, F.col("replicate"), *(F.col(c) for c in by), F.col("j")) * F.col("V"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
+from .resample import placed, prefix
 
 KEY = "vehicle_id"
 
@@ -29,8 +30,9 @@ def stratify(rows: DataFrame, label: str) -> DataFrame:
 def folds(vehicles: DataFrame, k: int, repeats: int, seed: int, stratum: str = "stratum") -> DataFrame:
     """(repeat, fold, vehicle_id): within each stratum vehicles are dealt round in the order of the draw."""
     x = vehicles.select(KEY, stratum).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", stratum).orderBy(draw(seed, F.col("repeat"), F.col(KEY)), KEY)
-    return x.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).select("repeat", "fold", KEY)
+    d = draw(seed, F.col("repeat"), F.col(KEY))
+    x = placed(x, [d, F.col(KEY)], prefix(d), ["repeat", stratum])
+    return x.select("repeat", ((F.col("_k") - 1) % k).cast("int").alias("fold"), KEY)
 
 
 def extend_folds(old: DataFrame, vehicles: DataFrame, k: int, seed: int, stratum: str = "stratum") -> DataFrame:
@@ -41,15 +43,15 @@ def extend_folds(old: DataFrame, vehicles: DataFrame, k: int, seed: int, stratum
     spine = old.select("repeat").distinct().crossJoin(v.select(stratum).distinct()).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))  # repeats by strata
     seats = spine.join(counts, ["repeat", stratum, "fold"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     new = v.join(old.select(KEY).distinct(), KEY, "left_anti").join(F.broadcast(old.select("repeat").distinct()))
-    w = Window.partitionBy("repeat", stratum).orderBy(draw(seed, F.col("repeat"), F.col(KEY)), KEY)
-    new = new.withColumn("j", F.row_number().over(w))
+    d = draw(seed, F.col("repeat"), F.col(KEY))
+    new = placed(new, [d, F.col(KEY)], prefix(d), ["repeat", stratum], "j")
     need = new.groupBy("repeat", stratum).agg(F.max("j").alias("m"))
     # seats of a fold are numbered by how full it would be; the emptiest seats come first
     seats = seats.join(need, ["repeat", stratum]).withColumn("level", F.explode(F.sequence(F.col("n"), F.col("n") + F.col("m") - 1)))
     order = Window.partitionBy("repeat", stratum).orderBy("level", "fold")
     seats = seats.withColumn("j", F.row_number().over(order)).filter("j <= m")
-    placed = new.join(seats.select("repeat", stratum, "j", "fold"), ["repeat", stratum, "j"]).select("repeat", "fold", KEY)
-    return old.select("repeat", "fold", KEY).unionByName(placed)
+    dealt = new.join(seats.select("repeat", stratum, "j", "fold"), ["repeat", stratum, "j"]).select("repeat", "fold", KEY)
+    return old.select("repeat", "fold", KEY).unionByName(dealt)
 
 
 def holdout(vehicles: DataFrame, k: int, seed: int, stratum: str = "stratum") -> DataFrame:

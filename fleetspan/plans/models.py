@@ -12,7 +12,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import natural_spline  # noqa: F401
+from ..functions.columns import natural_spline, uniform  # noqa: F401
 from ..operators.joins import average_rank, fallback_lookup
 
 KEYS = ["vehicle_id", "cut_odo"]
@@ -29,27 +29,37 @@ def preprocessor(numeric: list[str], categorical: list[str] = (), least: int = 5
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
+#: Levels that a category may have.
+LEVELS = 10_000
+
+
 class RareLevels(Estimator):
-    """Learns which levels are frequent; others, and missing ones, become 'other'."""
+    """Learns which levels are frequent, and the most frequent; rare ones become 'other', missing ones the most frequent."""
 
     def __init__(self, columns: list[str], least: int):
         super().__init__()
         self.columns, self.least = columns, least
 
     def _fit(self, dataset):
-        kept = {}
-        for c in self.columns:  # a dimension's levels: few by nature, and at most rows / least
-            kept[c] = [r[0] for r in dataset.groupBy(c).count().filter((F.col("count") >= self.least) & F.col(c).isNotNull()).select(F.col(c).cast("string")).collect()]
-        return RareLevelsModel(kept)
+        kept, mode = {}, {}
+        for c in self.columns:  # a dimension's levels: few by nature, LEVELS at most
+            found = dataset.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().filter(F.col("count") >= self.least)
+            rows = found.orderBy(F.desc("count"), "v").limit(LEVELS + 1).collect()
+            if len(rows) > LEVELS:
+                raise ValueError(f"{c} has more than {LEVELS} levels; it is no category")
+            kept[c] = [r["v"] for r in rows]
+            mode[c] = kept[c][0] if rows else "other"
+        return RareLevelsModel(kept, mode)
 
 
 class RareLevelsModel(Transformer):
-    def __init__(self, kept):
+    def __init__(self, kept, mode):
         super().__init__()
-        self.kept = kept
+        self.kept, self.mode = kept, mode
 
     def _transform(self, dataset):
-        return dataset.withColumns({f"{c}__r": F.when(F.col(c).cast("string").isin(v), F.col(c).cast("string")).otherwise("other") for c, v in self.kept.items()})
+        v = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(self.mode[c]))
+        return dataset.withColumns({f"{c}__r": F.when(v(c).isin(kept), v(c)).otherwise("other") for c, kept in self.kept.items()})
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -102,6 +112,21 @@ def base_rate_scores(rows: DataFrame, fold: str = "fold") -> DataFrame:
     return rows.join(F.broadcast(t), fold)
 
 
+def random_scores(rows: DataFrame, seed: int) -> DataFrame:
+    """Score of a row: a number in [0, 1) that seed, vehicle and cut determine."""
+    return rows.withColumn("score", uniform(seed, F.col("vehicle_id"), F.col("cut_odo").cast("bigint")))
+
+
+def fold_average(train: DataFrame, folds: DataFrame, test: DataFrame, model: str, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
+    """Mean and spread over the fold models (each fitted without one fold of each repeat) of the test rows' scores."""
+    pairs = sorted((r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect())
+    out = []
+    for repeat, fold in pairs:
+        held = folds.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select("vehicle_id")
+        out.append(final_fit(train.join(held, "vehicle_id", "left_anti"), test, model, numeric, categorical))
+    return mean_scores(reduce(DataFrame.unionByName, out))
+
+
 def hazard_scores(stacked: DataFrame, rows: DataFrame, features: list[str], bins: int, reg: float = 0.01) -> DataFrame:
     """Discrete-time hazard model on person-period rows (bin, hazard); score is 1 - prod(1 - h_b) over the horizon's bins."""
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[*(f"{c}__i" for c in features), "bin", "bin2"], outputCol="features")]
@@ -132,10 +157,44 @@ def poisson_table(cells: DataFrame, factors: list[str], events: str = "events",
     b, se = list(m.coefficients) + [m.intercept], m.summary.coefficientStandardErrors
     import math
 
-    rows = [(n, math.exp(c), math.exp(c - 1.959964 * s), math.exp(c + 1.959964 * s), float(m.summary.deviance), float(m.summary.aic)) for n, c, s in zip([*names, "intercept"], b, se)]
+    e = lambda x: math.exp(min(700.0, x))  # noqa: E731 - a level without events has no finite ratio
+    rows = [(n, e(c), e(c - 1.959964 * s), e(c + 1.959964 * s), float(m.summary.deviance), float(m.summary.aic)) for n, c, s in zip([*names, "intercept"], b, se)]
     return cells.sparkSession.createDataFrame(rows, "term string, rate_ratio double, lo double, hi double, deviance double, aic double")
 
 
+def chi2_sf(x: float, df: int) -> float:
+    """Probability of a chi-square variable with df degrees of freedom above x."""
+    import math
+
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    term, total = (math.exp(-half), math.exp(-half)) if df % 2 == 0 else (0.0, math.erfc(math.sqrt(half)))
+    for k in range(1, (df + 1) // 2 if df % 2 else df // 2):
+        term = term * half / k if df % 2 == 0 else math.exp((k - 0.5) * math.log(half) - half - math.lgamma(k + 0.5))
+        total += term
+    return total
+
+
+def likelihood_ratio(cells: DataFrame, nested: list[list[str]], events: str = "events", exposure: str = "days") -> DataFrame:
+    """A row per step of a chain of nested factor sets: deviance and AIC of both models, the statistic, its degrees of freedom and p."""
+    fits = []
+    for factors in nested:
+        rows = poisson_table(cells, factors, events, exposure).collect() if factors else None  # a row a term
+        if rows is None:
+            one = cells.agg(F.sum(events).alias("_y"), F.sum(exposure).alias("_e"))
+            k, mu = F.col(events).cast("double"), F.col(exposure) * F.col("_y") / F.col("_e")
+            part = F.when(k > 0, k * F.log(k / mu)).otherwise(0.0) - (k - mu)
+            fits.append((1, cells.crossJoin(F.broadcast(one)).agg(2 * F.sum(part)).first()[0], None))  # one row
+        else:
+            fits.append((len(rows), rows[0]["deviance"], rows[0]["aic"]))
+    out = []
+    for (a, b), small, large in zip(zip(fits, fits[1:]), nested, nested[1:]):
+        stat, df = a[1] - b[1], b[0] - a[0]
+        out.append(("+".join(small) or "1", "+".join(large), float(a[1]), float(b[1]), a[2], b[2], float(stat), df, chi2_sf(stat, df)))
+    return cells.sparkSession.createDataFrame(out, "small string, large string, deviance_small double, deviance_large double, aic_small double, aic_large double, statistic double, df int, p double")
+
+
 def ordinal_scores(rows: DataFrame, features: list[str], label: str, classes: int, at_least: int) -> DataFrame:
     """P(class >= at_least) of a multinomial logistic model."""
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", regParam=0.05, maxIter=20)]
@@ -226,6 +285,11 @@ def kaplan_meier(rows: DataFrame, by: list[str], duration: str, event: str) -> D
     return x.select(*by, "t", "at_risk", F.col("d").alias("events"), F.exp(F.sum(step).over(w)).alias("survival"))
 
 
+def median_survival(curve: DataFrame, by: list[str]) -> DataFrame:
+    """(by, median): the first time at which survival is a half or less; null where it never is."""
+    return curve.groupBy(*by).agg(F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("t"))).alias("median"))
+
+
 def log_rank(rows: DataFrame, group: str, duration: str, event: str) -> DataFrame:
     """Observed and expected events per group over all event times."""
     times = rows.filter(F.col(event) == 1).groupBy(F.col(duration).cast("double").alias("t")).agg(F.count("*").alias("d"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import odometer_at, project_odometer_to_dates
 from ..functions.columns import draw
+from ..operators.resample import placed, prefix
 
 DAY = 86_400e6
 
@@ -62,13 +63,22 @@ def match_healthy(panel: DataFrame, reference: Column, cells: list[str], shortfa
     have = panel.filter("event_observed = 0").groupBy(*cells).agg(F.count("*").alias("h"))
     c = ref.join(have, cells, "left").withColumns({"h": F.coalesce("h", F.lit(0)), "share": F.col("r") / F.sum("r").over(Window.partitionBy())})  # a row a cell
     total = c.agg(F.sum("h").alias("total"))
-    n = total.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("total")))))
+    # what is missing without rounding is the greatest of lines in n, one for each set of cells that run out first; rounding adds half a row a cell
+    # at most. So the largest n lies between two roots, and only what is between them is tried
+    out = Window.orderBy(F.col("h") / F.col("share"))  # a row a cell
+    lines = c.select((F.sum("share").over(out) - shortfall).alias("slope"), F.sum("h").over(out).alias("had"), (F.count("*").over(Window.partitionBy()) / 2.0).alias("half"))
+    root = lambda sign: F.min(F.when(F.col("slope") > 0, (F.col("had") + sign * F.col("half")) / F.col("slope")))
+    most = F.greatest(F.lit(1), F.col("total"))
+    total = total.crossJoin(lines.agg(root(-1).alias("lo"), root(1).alias("hi")))  # one row each
+    lo, hi = F.greatest(F.lit(1), F.least(F.coalesce(F.floor("lo"), most), most)), F.least(F.coalesce(F.ceil("hi"), most), most)
+    n = total.withColumn("n", F.explode(F.sequence(lo, F.greatest(lo, hi))))
     quota = F.bround(F.col("n") * F.col("share"), 0)
     ok = c.crossJoin(n).groupBy("n").agg(F.sum(F.greatest(F.lit(0.0), quota - F.col("h"))).alias("missing")).filter(F.col("missing") <= shortfall * F.col("n"))  # cells by candidates
     best = ok.agg(F.coalesce(F.max("n"), F.lit(0)).alias("best"))
     q = c.crossJoin(best).select(*cells, F.bround(F.col("best") * F.col("share"), 0).alias("quota"))  # one row
-    w = Window.partitionBy(*cells).orderBy(draw(seed, F.col("vehicle_id"), F.col("cut_odo").cast("bigint")), "vehicle_id", "cut_odo")
-    return panel.filter("event_observed = 0").join(q, cells).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
+    d = draw(seed, F.col("vehicle_id"), F.col("cut_odo").cast("bigint"))
+    x = placed(panel.filter("event_observed = 0"), [d, F.col("vehicle_id"), F.col("cut_odo")], prefix(d), cells)
+    return x.join(q, cells).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
 
 
 def survival_target(gap_km: float) -> dict[str, Column]:

@@ -125,7 +125,7 @@ def p21(f):
     return f.scores.filter("event_observed = 1 or km_after >= 1000").groupBy("vehicle_id").agg(F.count("*").alias("n"))
 
 
-@query("p22_membership_guards")
+@query("p22_membership_guards", "SELECT CASE WHEN vehicle_id%5=0 THEN 'test' ELSE 'dev' END AS side, count(*) AS n FROM vehicles GROUP BY 1")
 def p22(f):
     side = f.vehicles.select("vehicle_id", F.when(F.col("vehicle_id") % 5 == 0, "test").otherwise("dev").alias("side"))
     joins.assert_disjoint(side.filter("side = 'dev'"), side.filter("side = 'test'"))

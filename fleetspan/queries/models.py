@@ -12,7 +12,7 @@ from ..sources.fleet import SUSTAIN
 from .panels import durations
 from .profile import _r, exposure
 from .registry import query
-from .scores import repeated, strata, with_market
+from .scores import SM, auc_sql, repeated, strata, with_market
 
 KEYS = ["vehicle_id", "cut_odo"]
 NUM = ["level_mean", "value_mean", "n_trips"]
@@ -31,7 +31,48 @@ def model_folds(f, k=3, repeats=1):
 PERM = "(SELECT a.vehicle_id, a.cut_odo, b.score FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY cut_odo) AS k FROM scores) a JOIN (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY md5('9|'||CAST(cut_odo AS BIGINT)), cut_odo) AS k FROM scores) b ON a.vehicle_id=b.vehicle_id AND a.k=b.k)"
 
 
-@query("n01_permute_all_rows")
+#: Vehicles numbered as resample.bootstrap_weights does, and the weights of its draws.
+NUMBERED = "numbered AS (SELECT vehicle_id, row_number() OVER (ORDER BY md5(CAST(vehicle_id AS VARCHAR)), vehicle_id)-1 AS j FROM (SELECT DISTINCT vehicle_id FROM scores))"
+
+
+def weights_sql(n, seed):
+    pick = f"CAST(floor(CAST('0x'||md5('{seed}|'||replicate||'|'||j)[1:12] AS BIGINT)/281474976710656.0::DOUBLE*nv) AS BIGINT)"
+    seats = f"(SELECT j, nv, unnest(range(0,{n})) AS replicate FROM numbered CROSS JOIN (SELECT count(*) AS nv FROM numbered))"
+    return f"(SELECT CAST(replicate AS INTEGER) AS replicate, v.vehicle_id, count(*) AS weight FROM (SELECT replicate, {pick} AS pick FROM {seats}) d JOIN numbered v ON v.j=d.pick GROUP BY ALL)"
+
+
+def permuted_sql(src, cols, key, seed, by=""):
+    """Rows of src with cols dealt anew over all rows of each group of by; key is the text that names a row."""
+    p = f"PARTITION BY {by} " if by else ""
+    head = "||'|'||".join([f"'{seed}'", *([c.strip() for c in by.split(",")] if by else [])])
+    a = f"(SELECT * EXCLUDE ({cols}), row_number() OVER ({p}ORDER BY md5({key}), {key}) AS k FROM {src})"
+    b = f"(SELECT {by + ', ' if by else ''}{cols}, row_number() OVER ({p}ORDER BY md5({head}||'|'||{key}), {key}) AS k FROM {src})"
+    return f"(SELECT * EXCLUDE (k) FROM {a} JOIN {b} USING ({by + ', ' if by else ''}k))"
+
+
+def levels_sql(src, by="g"):
+    """Levels of vehicles (greatest score that two cuts in a row sustain) from src with by, vehicle_id, cut_odo, event_observed, score."""
+    w = f"(PARTITION BY {by}, vehicle_id ORDER BY cut_odo ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)"
+    return f"(SELECT {by}, vehicle_id, max(event_observed) AS event_observed, max(CASE WHEN c=2 THEN r END) AS level FROM (SELECT *, count(*) OVER {w} AS c, min(score) OVER {w} AS r FROM {src}) GROUP BY ALL)"
+
+
+def detection_sql(src, budget, by="g"):
+    """Detection at the exact threshold of a budget, by group, from levels."""
+    n = f"(SELECT {by}, CAST(floor({budget}::DOUBLE*count(*)+1e-9) AS BIGINT) AS m FROM {src} WHERE event_observed=0 GROUP BY 1)"
+    r = f"(SELECT {by}, level, row_number() OVER (PARTITION BY {by} ORDER BY level DESC) AS k FROM {src} WHERE event_observed=0 AND level IS NOT NULL)"
+    tau = f"(SELECT n.{by}, r.level AS tau FROM {n} n LEFT JOIN {r} r ON r.{by}=n.{by} AND r.k=n.m+1)"
+    return f"(SELECT {by}, avg(CASE WHEN level>coalesce(tau,'-inf'::DOUBLE) THEN 1.0::DOUBLE ELSE 0 END) FILTER (event_observed=1) AS detection FROM {src} JOIN {tau} USING ({by}) GROUP BY 1)"
+
+
+CUT = "vehicle_id||'|'||CAST(cut_odo AS BIGINT)"
+AT = "vehicle_id||'|'||CAST(cut_odo AS VARCHAR)"
+
+
+def replicated(n):
+    return f"(SELECT vehicle_id, cut_odo, event_observed, score, unnest(range(0,{n})) AS g FROM scores)"
+
+
+@query("n01_permute_all_rows", f"SELECT vehicle_id, cut_odo, score FROM {permuted_sql('(SELECT vehicle_id, cut_odo, score FROM scores)', 'score', CUT, 9)}")
 def n01(f):
     x = f.scores.withColumn("cut", F.col("cut_odo").cast("bigint"))
     return resample.permute(x, ["score"], 9, ["vehicle_id", "cut"]).select("vehicle_id", "cut_odo", "score")
@@ -43,41 +84,54 @@ def n02(f):
     return resample.permute(x, ["score"], 9, ["cut"], ["vehicle_id"]).select("vehicle_id", "cut_odo", "score")
 
 
-@query("n03_vehicle_bootstrap_auc")
+@query("n03_vehicle_bootstrap_auc", f"WITH {NUMBERED}, h AS (SELECT replicate, score, sum(weight*label)::DOUBLE AS p, sum(weight*(1-label))::DOUBLE AS q FROM scores JOIN {weights_sql(50, 4)} USING (vehicle_id) GROUP BY ALL), c AS (SELECT *, sum(q) OVER (PARTITION BY replicate ORDER BY score)-q AS below FROM h), a AS (SELECT replicate, sum(p*(below+q/2))/nullif(sum(p)*sum(q),0) AS auc FROM c GROUP BY 1) SELECT count(auc) AS n, round(avg(auc),6) AS mean, round(quantile_cont(auc,0.025),6) AS lo, round(quantile_cont(auc,0.975),6) AS hi FROM a")
 def n03(f):
-    return resample.interval(resample.bootstrap_auc(f.scores, 50, 4), "auc")
+    return resample.interval(resample.bootstrap_auc(f.scores, 50, 4), "auc").select("n", _r("mean", 6), _r("lo", 6), _r("hi", 6))
+
 
+NUMBERED_BY = "numbered AS (SELECT vehicle_id, event_observed, row_number() OVER (PARTITION BY event_observed ORDER BY md5(CAST(vehicle_id AS VARCHAR)), vehicle_id)-1 AS j, count(*) OVER (PARTITION BY event_observed) AS nv FROM la)"
+WEIGHTS_BY = "w AS (SELECT replicate, v.vehicle_id, count(*) AS weight FROM (SELECT replicate, event_observed, CAST(floor(CAST('0x'||md5('5|'||replicate||'|'||event_observed||'|'||j)[1:12] AS BIGINT)/281474976710656.0::DOUBLE*nv) AS BIGINT) AS pick FROM (SELECT *, unnest(range(0,40)) AS replicate FROM numbered)) d JOIN numbered v ON v.j=d.pick AND v.event_observed=d.event_observed GROUP BY ALL)"
 
-@query("n04_paired_bootstrap")
+
+def weighted_sql(src):
+    """Detection at 20 % of the weight of healthy vehicles, by replicate."""
+    x = f"(SELECT * FROM {src} JOIN w USING (vehicle_id))"
+    m = f"(SELECT replicate, CAST(floor(sum(weight)*0.2::DOUBLE+1e-9) AS BIGINT) AS m FROM {x} WHERE event_observed=0 GROUP BY 1)"
+    h = f"(SELECT replicate, level, w1, sum(w1) OVER (PARTITION BY replicate ORDER BY level DESC)-w1 AS above FROM (SELECT replicate, level, sum(weight) AS w1 FROM {x} WHERE event_observed=0 AND level IS NOT NULL GROUP BY 1,2))"
+    tau = f"(SELECT replicate, level AS tau FROM {h} JOIN {m} USING (replicate) WHERE above<=m AND above+w1>m)"
+    return f"(SELECT replicate, sum(CASE WHEN level>coalesce(tau,'-inf'::DOUBLE) THEN weight ELSE 0 END)/sum(weight)::DOUBLE AS d FROM {x} LEFT JOIN {tau} USING (replicate) WHERE event_observed=1 GROUP BY 1)"
+
+
+@query("n04_paired_bootstrap", f"WITH la AS (SELECT * FROM {levels_sql('(SELECT *, 0 AS g FROM scores)')}), lb AS (SELECT * FROM {levels_sql('(SELECT * REPLACE (-score AS score), 0 AS g FROM scores)')}), {NUMBERED_BY}, {WEIGHTS_BY}, f AS (SELECT b.d-a.d AS diff FROM {weighted_sql('la')} a JOIN {weighted_sql('lb')} b USING (replicate)) SELECT count(diff) AS n, round(avg(diff),6)+0.0 AS mean, round(quantile_cont(diff,0.025),6)+0.0 AS lo, round(quantile_cont(diff,0.975),6)+0.0 AS hi FROM f")
 def n04(f):
     a = M.vehicle_levels(f.scores, SUSTAIN)
     b = M.vehicle_levels(f.scores.withColumn("score", -F.col("score")), SUSTAIN)
-    return resample.interval(resample.paired_difference(a, b, 40, 0.2, 5), "diff")
+    return resample.interval(resample.paired_difference(a, b, 40, 0.2, 5), "diff").select("n", *((F.round(c, 6) + 0.0).alias(c) for c in ("mean", "lo", "hi")))
 
 
-@query("n05_detection_null")
+@query("n05_detection_null", f"WITH p AS (SELECT * FROM {levels_sql(permuted_sql(replicated(30), 'score', AT, 6, 'g'))}), n AS (SELECT detection FROM {detection_sql('p', 0.2)}), l AS (SELECT * FROM {levels_sql('(SELECT *, 0 AS g FROM scores)')}), o AS (SELECT detection FROM {detection_sql('l', 0.2)}) SELECT round(o.detection,6) AS observed, count(*) AS n, round((1+count(*) FILTER (n.detection>=o.detection))/(1+count(*))::DOUBLE,6) AS p FROM n CROSS JOIN o GROUP BY o.detection")
 def n05(f):
     null = resample.permutation_levels(f.scores, 30, SUSTAIN, 6)
     d = M.detection(null, M.exact_tau(null, [0.2], ["replicate"]), ["replicate"])
     lv = M.vehicle_levels(f.scores, SUSTAIN)
-    return resample.p_value(d, "detection", M.detection(lv, M.exact_tau(lv, [0.2])))
+    return resample.p_value(d, "detection", M.detection(lv, M.exact_tau(lv, [0.2]))).select(_r("observed", 6), "n", _r("p", 6))
 
 
-@query("n06_bag_size_null")
+@query("n06_bag_size_null", f"WITH p AS (SELECT g, vehicle_id, max(event_observed) AS event_observed, max(score) AS level FROM {permuted_sql(replicated(30), 'score', AT, 8, 'g')} GROUP BY ALL), d AS (SELECT detection FROM {detection_sql('p', 0.2)}) SELECT count(detection) AS n, round(avg(detection),6) AS mean, round(quantile_cont(detection,0.025),6) AS lo, round(quantile_cont(detection,0.975),6) AS hi FROM d")
 def n06(f):
     x = resample.replicates(f.scores.select("vehicle_id", "cut_odo", "event_observed", "score"), 30)
     g = resample.permute_replicates(x, 8).groupBy("replicate", "vehicle_id").agg(F.max("event_observed").alias("event_observed"), F.max("score").alias("level"))
-    return resample.interval(M.detection(g, M.exact_tau(g, [0.2], ["replicate"]), ["replicate"]), "detection")
+    return resample.interval(M.detection(g, M.exact_tau(g, [0.2], ["replicate"]), ["replicate"]), "detection").select("n", _r("mean", 6), _r("lo", 6), _r("hi", 6))
 
 
-@query("n07_label_permutation_null")
+@query("n07_label_permutation_null", f"WITH v AS (SELECT vehicle_id, market, max(event_observed) AS label, round(avg(score)+1e-9,6) AS score FROM {SM} GROUP BY ALL), x AS (SELECT v.*, unnest(range(0,50)) AS replicate FROM v), y AS (SELECT * FROM {permuted_sql('x', 'label', 'CAST(vehicle_id AS VARCHAR)', 7, 'replicate, market')}), n AS (SELECT auc FROM {auc_sql('y', 'replicate')}), o AS (SELECT auc FROM {auc_sql('v')}) SELECT round(o.auc,6) AS observed, count(*) AS n, round((1+count(*) FILTER (n.auc>=o.auc))/(1+count(*))::DOUBLE,6) AS p FROM n CROSS JOIN o GROUP BY o.auc")
 def n07(f):
-    v = with_market(f).groupBy("vehicle_id", "market").agg(F.max("event_observed").alias("label"), F.round(F.avg("score"), 6).alias("score"))
+    v = with_market(f).groupBy("vehicle_id", "market").agg(F.max("event_observed").alias("label"), F.round(F.avg("score") + 1e-9, 6).alias("score"))
     x = resample.permute(resample.replicates(v, 50), ["label"], 7, ["vehicle_id"], outer=["replicate", "market"])
-    return resample.p_value(M.roc_auc(x, ["replicate"]), "auc", M.roc_auc(v))
+    return resample.p_value(M.roc_auc(x, ["replicate"]), "auc", M.roc_auc(v)).select(_r("observed", 6), "n", _r("p", 6))
 
 
-@query("n08_bootstrap_weights")
+@query("n08_bootstrap_weights", f"WITH {NUMBERED} SELECT * FROM {weights_sql(20, 3)}")
 def n08(f):
     return resample.bootstrap_weights(f.scores, 20, 3)
 
@@ -100,10 +154,10 @@ def l02(f):
 BASE = "(SELECT *, vehicle_id%5 AS fold FROM scores)"
 
 
-@query("l03_base_rate_and_random", f"SELECT a.fold, round(sum(b.label)/count(*)::DOUBLE,6) AS score FROM (SELECT DISTINCT fold FROM {BASE}) a JOIN {BASE} b ON a.fold<>b.fold GROUP BY 1")
+@query("l03_base_rate_and_random", f"SELECT vehicle_id, cut_odo, base, round(CAST('0x'||md5('19|'||{CUT})[1:12] AS BIGINT)/281474976710656.0::DOUBLE,9) AS random FROM {BASE} JOIN (SELECT a.fold, round(sum(b.label)/count(*)::DOUBLE,6) AS base FROM (SELECT DISTINCT fold FROM {BASE}) a JOIN {BASE} b ON a.fold<>b.fold GROUP BY 1) USING (fold)")
 def l03(f):
-    x = L.base_rate_scores(f.scores.drop("score").withColumn("fold", F.col("vehicle_id") % 5))
-    return x.groupBy("fold").agg(F.round(F.first("score"), 6).alias("score"))
+    x = f.scores.drop("score").withColumn("fold", F.col("vehicle_id") % 5)
+    return L.random_scores(L.base_rate_scores(x).withColumnRenamed("score", "base"), 19).select(*KEYS, _r("base", 6), F.round("score", 9).alias("random"))
 
 
 @query("l04_logistic_l1")
@@ -145,6 +199,13 @@ def l09(f):
     return L.poisson_table(x, ["market"])
 
 
+@query("l09b_likelihood_ratio")
+def l09b(f):
+    """Markets, then markets and cohorts, against one rate for all."""
+    x = exposure(f).groupBy("market", "cohort").agg(F.sum("is_event").alias("events"), F.count("*").alias("days"))
+    return L.likelihood_ratio(x, [[], ["market"], ["market", "cohort"]])
+
+
 @query("l10_ordinal_scores")
 def l10(f):
     x = model_rows(f).withColumn("class", risk.ordinal_target((600, 300)).cast("double"))
@@ -211,6 +272,11 @@ def l16(f):
     return L.kaplan_meier(lives(f), ["market"], "t", "e").withColumn("survival", F.round("survival", 6))
 
 
+@query("l16c_median_survival", "SELECT market, min(t) FILTER (s<=0.5::DOUBLE+1e-12) AS median FROM (SELECT market, t::DOUBLE AS t, exp(sum(CASE WHEN d<at_risk THEN ln(1-d/at_risk::DOUBLE) ELSE '-inf'::DOUBLE END) OVER (PARTITION BY market ORDER BY t)) AS s FROM (SELECT market, t, sum(count(*)) OVER (PARTITION BY market ORDER BY t DESC) AS at_risk, sum(e) AS d FROM (SELECT market, coalesce(event_day-production_day,55) AS t, CASE WHEN event_day IS NULL THEN 0 ELSE 1 END AS e FROM vehicles) GROUP BY market, t) WHERE d>0) GROUP BY 1")
+def l16c(f):
+    return L.median_survival(L.kaplan_meier(lives(f), ["market"], "t", "e"), ["market"])
+
+
 @query("l16b_log_rank", "WITH v AS (SELECT market, coalesce(event_day-production_day,55) AS t, CASE WHEN event_day IS NULL THEN 0 ELSE 1 END AS e FROM vehicles), x AS (SELECT t, sum(e) AS d FROM v GROUP BY 1 HAVING sum(e)>0), r AS (SELECT x.t, d, market, count(*) AS r FROM x JOIN v ON v.t>=x.t GROUP BY ALL), n AS (SELECT t, sum(r) AS n FROM r GROUP BY 1) SELECT market, round(sum(d*r/n::DOUBLE),6) AS expected, (SELECT CAST(sum(e) AS BIGINT) FROM v WHERE v.market=r.market) AS observed FROM r JOIN n USING (t) GROUP BY market")
 def l16b(f):
     return L.log_rank(lives(f), "market", "t", "e").withColumn("expected", F.round("expected", 6))
@@ -218,10 +284,14 @@ def l16b(f):
 
 @query("l17_final_fit")
 def l17(f):
-    x = model_rows(f)
+    """Score of one model of all dev vehicles, and mean score of the fold models."""
+    x = model_rows(f).persist()  # a row a cut; four fits read it
     side = splits.holdout(strata(f), 5, 11)
     pick = lambda s: x.join(side.filter(F.col("side") == s), "vehicle_id", "left_semi")
-    return L.final_fit(pick("dev"), pick("test"), "logistic", NUM, ["market"])
+    one = L.final_fit(pick("dev"), pick("test"), "logistic", NUM, ["market"])
+    dev = model_folds(f).join(side.filter("side = 'dev'"), "vehicle_id", "left_semi")
+    many = L.fold_average(pick("dev"), dev, pick("test"), "logistic", NUM, ["market"])
+    return one.join(many.select(*KEYS, F.col("score").alias("score_folds"), F.col("score_std").alias("score_folds_std")), KEYS)
 
 
 @query("l18_external_incidence")
@@ -254,10 +324,24 @@ def m26(f):
 
 
 def linear_score(c):
-    return F.round(0.5 + 0.3 * (F.col("level_mean") - 50) / 50 + 0.2 * (F.col("value_mean") - 50) / 50, 6)
+    return F.round(0.5 + 0.3 * (F.col("level_mean") - 50) / 50 + 0.2 * (F.col("value_mean") - 50) / 50 + 1e-10, 6)
+
+
+ROWS = "(SELECT vehicle_id, cut_odo, avg(level_end) AS level_mean, avg(value) AS value_mean FROM win GROUP BY ALL)"
+
+
+def linear_sql(level, value):
+    return f"round(0.5+0.3*({level}-50)/50+0.2*({value}-50)/50+1e-10,6)"
+
+
+def importance_sql(permuted):
+    rows = "(SELECT vehicle_id, cut_odo, event_observed, avg(level_end) AS level_mean, avg(value) AS value_mean FROM win GROUP BY ALL)"
+    src = rows if permuted == "none" else permuted_sql(rows, permuted, CUT, 17)
+    scored = f"(SELECT vehicle_id, cut_odo, event_observed, {linear_sql('level_mean', 'value_mean')} AS score, 0 AS g FROM {src})"
+    return f"SELECT '{permuted}' AS permuted, 0.2::DOUBLE AS budget, round(detection,6) AS detection FROM {detection_sql(levels_sql(scored), 0.2)}"
 
 
-@query("e10_permutation_importance")
+@query("e10_permutation_importance", " UNION ALL ".join(importance_sql(c) for c in ("none", "level_mean", "value_mean")))
 def e10(f):
     """Loss of detection when a channel is permuted over all rows."""
     x = model_rows(f).withColumn("cut", F.col("cut_odo").cast("bigint"))
@@ -265,12 +349,12 @@ def e10(f):
     for c in (None, "level_mean", "value_mean"):
         y = x if c is None else resample.permute(x, [c], 17, ["vehicle_id", "cut"])
         lv = M.vehicle_levels(y.withColumn("score", linear_score(None)), SUSTAIN)
-        d = M.detection(lv, M.exact_tau(lv, [0.2])).select(F.lit(c or "none").alias("permuted"), "budget", "detection")
+        d = M.detection(lv, M.exact_tau(lv, [0.2])).select(F.lit(c or "none").alias("permuted"), "budget", _r("detection", 6))
         out = d if out is None else out.unionByName(d)
     return out
 
 
-@query("e11_erasure_test")
+@query("e11_erasure_test", f"WITH x AS (SELECT * FROM {ROWS}), m AS (SELECT quantile_cont(level_mean,0.5) AS l, quantile_cont(value_mean,0.5) AS v FROM x), d AS (SELECT unnest(['level_mean','value_mean']) AS erased, unnest([{linear_sql('level_mean', 'value_mean')}-{linear_sql('l', 'value_mean')}, {linear_sql('level_mean', 'value_mean')}-{linear_sql('level_mean', 'v')}]) AS drop_ FROM x CROSS JOIN m) SELECT erased, count(*) AS n, round(avg(drop_),5) AS mean_drop, round(avg(abs(drop_)),5) AS mean_change FROM d GROUP BY 1")
 def e11(f):
     """Score drop of vehicles when a feature is set to its median, against the other."""
     x = model_rows(f)
@@ -278,4 +362,4 @@ def e11(f):
     y = x.crossJoin(F.broadcast(med)).withColumn("score", linear_score(None)).withColumn("erased", F.explode(F.array(F.lit("level_mean"), F.lit("value_mean"))))  # one row
     for c in NUM[:2]:
         y = y.withColumn(c, F.when(F.col("erased") == c, F.col(f"_{c}")).otherwise(F.col(c)))
-    return y.withColumn("drop", F.col("score") - linear_score(None)).groupBy("erased").agg(F.count("*").alias("n"), F.round(F.avg("drop"), 6).alias("mean_drop"), F.round(F.avg(F.abs("drop")), 6).alias("mean_change"))
+    return y.withColumn("drop", F.col("score") - linear_score(None)).groupBy("erased").agg(F.count("*").alias("n"), F.round(F.avg("drop"), 5).alias("mean_drop"), F.round(F.avg(F.abs("drop")), 5).alias("mean_change"))

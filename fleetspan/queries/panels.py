@@ -65,14 +65,33 @@ def g21(f):
 FEATURE_SET = [
     *((f"feat_{c}_{a}", c, a) for c in ("level_end", "value", "trip_km") for a in ("mean", "median", "max", "min", "std", "p25", "p75")),
     *((f"feat_{m}_{a}", f"cast(message = '{m}' as int)", a) for m in derive.MESSAGES for a in ("per_1000km", "per_day", "km_since_last", "half_count_delta_per_1000km")),
-    ("feat_level_half_delta", X, "half_delta"), ("feat_level_half_slope", X, "half_slope_per_1000km"), ("feat_value_half_mean", "value", "half_mean_delta"),
+    ("feat_level_half_delta", X, "half_delta"), ("feat_level_half_slope", X, "half_slope_per_1000km"), ("feat_value_half_mean", "value", "half_mean_delta"), ("feat_level_half_mean", X, "half_mean_delta"),
+    ("feat_error_gap_mean", ERR, "gap_mean_km"), ("feat_error_gap_median", ERR, "gap_median_km"), ("feat_error_gap_trend", ERR, "gap_trend_km"), ("feat_error_any", ERR, "any"), ("feat_level_count", X, "count"), ("feat_value_sum", "value", "sum"),
 ]
+#: SQL of the aggregators over wins; {x} is the expression, {w} half the window.
+AGGREGATOR_SQL = {
+    "mean": "avg({x})", "median": "quantile_cont({x},0.5)", "max": "max({x})", "min": "min({x})", "std": "stddev_samp({x})", "p25": "quantile_cont({x},0.25)", "p75": "quantile_cont({x},0.75)",
+    "sum": "sum({x})", "count": "count({x})", "any": "max(CASE WHEN {x}>0 THEN 1 ELSE 0 END)", "per_1000km": f"coalesce(sum({{x}}),0)/{KM}*1000", "per_day": f"coalesce(sum({{x}}),0)/{DAYS}",
+    "half_delta": "CASE WHEN count({x}) FILTER (late)>=3 AND count({x}) FILTER (NOT late)>=3 THEN quantile_cont({x},0.5) FILTER (late)-quantile_cont({x},0.5) FILTER (NOT late) END",
+    "half_slope_per_1000km": "CASE WHEN count({x}) FILTER (late)>=3 AND count({x}) FILTER (NOT late)>=3 THEN (quantile_cont({x},0.5) FILTER (late)-quantile_cont({x},0.5) FILTER (NOT late))/200.0::DOUBLE*1000 END",
+    "half_mean_delta": "avg({x}) FILTER (late)-avg({x}) FILTER (NOT late)", "half_count_delta_per_1000km": "(coalesce(sum({x}) FILTER (late),0)-coalesce(sum({x}) FILTER (NOT late),0))/200.0::DOUBLE*1000",
+    "gap_mean_km": "CASE WHEN count(*) FILTER ({x}>0)>=2 THEN (max(odo_end) FILTER ({x}>0)-min(odo_end) FILTER ({x}>0))/(count(*) FILTER ({x}>0)-1) END",
+    "gap_median_km": "CASE WHEN count(*) FILTER ({x}>0)>=2 THEN quantile_cont(gap,0.5) END", "gap_trend_km": "CASE WHEN count(*) FILTER ({x}>0)>=4 THEN quantile_cont(gap,0.5) FILTER (late)-quantile_cont(gap,0.5) FILTER (NOT late) END",
+    "km_since_last": "max(cut_odo)-max(odo_end) FILTER ({x}>0)",
+}
+# gaps of AGGREGATOR_SQL are those of errors, as prev_pos is
+FEATURE_SQL = ", ".join(f"round(CAST({AGGREGATOR_SQL[a].format(x=x.replace('as int', 'AS INTEGER'))} AS DOUBLE)+1e-9,4)+0.0 AS {n}" for n, x, a in FEATURE_SET)
+
+
+def declared(f):
+    """Every declared feature of every window, rounded."""
+    x = panel.features(with_prev(f), FEATURE_SET, WINDOW_KM)
+    return x.select(*KEYS, *((F.round(F.col(n).cast("double") + 1e-9, 4) + 0.0).alias(n) for n, *_ in FEATURE_SET))
 
 
-@query("g22_declared_feature_set", "SELECT vehicle_id, cut_odo, 44 AS n_features, round(avg(trip_km)+1e-9,3) AS feat_trip_km_mean, round(quantile_cont(value,0.75)+1e-9,3) AS feat_value_p75 FROM win GROUP BY ALL")
+@query("g22_declared_feature_set", f"SELECT vehicle_id, cut_odo, {FEATURE_SQL} FROM wins GROUP BY ALL")
 def g22(f):
-    x = panel.features(with_prev(f), FEATURE_SET, WINDOW_KM)
-    return x.select(*KEYS, F.lit(len(FEATURE_SET)).alias("n_features"), *(F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("feat_trip_km_mean", "feat_value_p75")))
+    return declared(f)
 
 
 def deviation(f):
@@ -107,12 +126,13 @@ def b01b(f):
     return panel.cut_grid(f.trips, f.event_odo.select("vehicle_id", "event_odo"), WINDOW_KM, GAP_KM, HORIZON_KM, STEP_KM, censored="keep").groupBy("vehicle_id").agg(F.count("*").alias("n"))
 
 
-@query("b02_full_panel", f"SELECT c.vehicle_id, c.cut_odo, label, market, engine, n_trips, feat_level_mean, CASE WHEN n_trips IS NULL THEN 'no_trips' WHEN n_trips<5 THEN 'few_trips' WHEN km_covered<320 THEN 'few_km' ELSE 'kept' END AS reason FROM cuts c JOIN vehicles USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS n_trips, sum(trip_km) AS km_covered, round(avg(level_end),4) AS feat_level_mean FROM win GROUP BY ALL) w ON w.vehicle_id=c.vehicle_id AND w.cut_odo=c.cut_odo")
+@query("b02_full_panel", f"SELECT c.vehicle_id, c.cut_odo, label, market, engine, n_trips, w.* EXCLUDE (vehicle_id, cut_odo, n_trips, km_covered), CASE WHEN n_trips IS NULL THEN 'no_trips' WHEN n_trips<5 THEN 'few_trips' WHEN km_covered<320 THEN 'few_km' ELSE 'kept' END AS reason FROM cuts c JOIN vehicles USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS n_trips, sum(trip_km) AS km_covered, {FEATURE_SQL} FROM wins GROUP BY ALL) w ON w.vehicle_id=c.vehicle_id AND w.cut_odo=c.cut_odo")
 def b02(f):
-    w = f.windowed.groupBy(*KEYS).agg(*panel.controls(), F.round(F.avg(X), 4).alias("feat_level_mean"))
+    table = panel.Aggregators.table()
+    w = with_prev(f).groupBy(*KEYS).agg(*panel.controls()[:2], *((F.round(table[a](F.expr(x), WINDOW_KM).cast("double") + 1e-9, 4) + 0.0).alias(n) for n, x, a in FEATURE_SET))
     x = f.cuts.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").join(w, KEYS, "left")
     n = F.col("n_trips")
-    return x.select(*KEYS, "label", "market", "engine", "n_trips", "feat_level_mean", F.when(n.isNull(), "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept").alias("reason"))
+    return x.select(*KEYS, "label", "market", "engine", "n_trips", *(n for n, *_ in FEATURE_SET), F.when(n.isNull(), "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept").alias("reason"))
 
 
 @query("b03_matched_healthy", """WITH p AS (SELECT *, CAST(floor(cut_odo/500) AS BIGINT) AS band FROM cuts), c AS (SELECT band, r, coalesce(h,0) AS h, r/sum(r) OVER ()::DOUBLE AS share FROM (SELECT band, count(*) AS r FROM p WHERE label=1 GROUP BY 1) LEFT JOIN (SELECT band, count(*) AS h FROM p WHERE event_observed=0 GROUP BY 1) USING (band)),
@@ -166,12 +186,12 @@ def b07(f):
     return x.select(*KEYS, "label", "deviation")
 
 
-CTES["binned"] = f"SELECT vehicle_id, {BIN} AS bin, avg(level_end) AS level, sum(trip_km) AS km FROM trips GROUP BY ALL"
+CTES["binned"] = f"SELECT vehicle_id, {BIN} AS bin, avg(level_end) AS level, sum(trip_km) AS km, avg(value) AS val FROM trips GROUP BY ALL"
 CTES["seq"] = "SELECT vehicle_id, cut_odo, t, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0::DOUBLE) AS level, level IS NOT NULL AS seen FROM (SELECT c.vehicle_id, c.cut_odo, t, b.level FROM cuts c CROSS JOIN (SELECT unnest(generate_series(0,15)) AS t) LEFT JOIN binned b ON b.vehicle_id=c.vehicle_id AND b.bin=CAST(c.cut_odo/25-16+t AS BIGINT))"
 
 
 def binned(f):
-    return panel.bins(f.trips, BIN_KM, [F.avg(X).alias("level"), F.sum("trip_km").alias("km")])
+    return panel.bins(f.trips, BIN_KM, [F.avg(X).alias("level"), F.sum("trip_km").alias("km"), F.avg("value").alias("val")])
 
 
 @query("w11_filled_sequence", "SELECT vehicle_id, cut_odo, CAST(t AS INTEGER) AS t, round(level,4) AS level, seen FROM seq")
@@ -179,10 +199,17 @@ def w11(f):
     return panel.sequences(binned(f), f.cuts, ["level"], WINDOW_KM, BIN_KM).withColumn("level", F.round("level", 4))
 
 
-@query("b08_sequence_panel", "SELECT vehicle_id, cut_odo, round(avg(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END),6) AS coverage, CAST(count(*) AS INTEGER) AS steps, round(sum(level),4) AS total FROM seq GROUP BY ALL")
+CHANNELS = ["level", "km", "val"]
+STEPS = int(WINDOW_KM / BIN_KM)
+_FILL = "coalesce(last_value({0} IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS UNBOUNDED PRECEDING), first_value({0} IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0::DOUBLE) AS {0}"
+CTES["tensor"] = f"SELECT vehicle_id, cut_odo, t, seen, {', '.join(_FILL.format(c) for c in CHANNELS)} FROM (SELECT c.vehicle_id, c.cut_odo, t, b.level IS NOT NULL AS seen, {', '.join('b.' + c for c in CHANNELS)} FROM cuts c CROSS JOIN (SELECT unnest(generate_series(0,{STEPS - 1})) AS t) LEFT JOIN binned b ON b.vehicle_id=c.vehicle_id AND b.bin=CAST(c.cut_odo/25-{STEPS}+t AS BIGINT))"
+
+
+@query("b08_sequence_panel", f"SELECT vehicle_id, cut_odo, round(avg(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END),6) AS coverage, {', '.join(f'round(max({c}) FILTER (t={i})+1e-9,4) AS {c}_{i:02d}' for c in CHANNELS for i in range(STEPS))} FROM tensor GROUP BY ALL")
 def b08(f):
-    x = panel.flatten(panel.sequences(binned(f), f.cuts, ["level"], WINDOW_KM, BIN_KM), ["level"])
-    return x.select(*KEYS, _r("coverage", 6), F.size("feat_seq").alias("steps"), F.round(F.aggregate("feat_seq", F.lit(0.0), lambda a, e: a + e["level"]), 4).alias("total"))
+    """T x C: every channel of every step, flattened into columns."""
+    x = panel.flatten(panel.sequences(binned(f), f.cuts, CHANNELS, WINDOW_KM, BIN_KM), CHANNELS)
+    return x.select(*KEYS, _r("coverage", 6), *(F.round(F.col("feat_seq")[i][c] + 1e-9, 4).alias(f"{c}_{i:02d}") for c in CHANNELS for i in range(STEPS)))
 
 
 CTES["series"] = "SELECT vehicle_id, bin, last_value(level IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS level FROM (SELECT s.vehicle_id, s.bin, b.level FROM (SELECT vehicle_id, unnest(generate_series(min(bin), max(bin))) AS bin FROM binned GROUP BY 1) s LEFT JOIN binned b USING (vehicle_id, bin))"

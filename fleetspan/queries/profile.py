@@ -51,6 +51,9 @@ def a02(f):
 
 
 A03 = f"""SELECT vehicle_id, count(*) AS n_trips, round(sum(trip_km),2) AS km, count(*) FILTER (trip_km<=0) AS n_idle, count(*) FILTER (trip_km>0) AS n_moving, count(*) FILTER (trip_km>0 AND trip_km<20) AS n_short, round(avg(minutes),4) AS minutes_mean, round(quantile_cont(minutes,0.9),4) AS minutes_p90,
+  count(*) FILTER (trip_km>0 AND kmh<=30) AS n_urban, count(*) FILTER (level_start<20) AS n_cold, round(quantile_cont(minutes,0.5),4) AS minutes_p50, round(quantile_cont(level_end,0.5),4) AS level_p50, round(quantile_cont(level_end,0.9),4) AS level_p90, min(level_end) AS level_min, max(level_end) AS level_max,
+  count(*) FILTER (message='error') AS n_abnormal, round(count(*) FILTER (message='error')*1000.0::DOUBLE/nullif(sum(trip_km),0)+1e-9,4) AS abnormal_per_1000km, count(*) FILTER (message='purchase') AS n_cleaning, round(count(*) FILTER (message='purchase')*1000.0::DOUBLE/nullif(sum(trip_km),0)+1e-9,4) AS cleaning_per_1000km,
+  round(count(regen_drop)*1000.0::DOUBLE/nullif(sum(trip_km),0)+1e-9,4) AS drops_per_1000km, round(avg(fuel_100km)+1e-9,4) AS fuel_mean, round(count(*)/greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0)+1e-9,4) AS trips_per_day,
   round(avg(kmh),4) AS kmh_mean, round(max(kmh),4) AS kmh_max, round(avg(level_end),4) AS level_mean, round(quantile_cont(level_end,0.1),4) AS level_p10, round(stddev_samp(level_end),4) AS level_sd, count(*) FILTER (saturated) AS n_saturated, round(count(*) FILTER (saturated)*1000.0::DOUBLE/nullif(sum(trip_km),0),4) AS saturated_per_1000km,
   round(avg(regen_drop),4) AS drop_mean, count(regen_drop) AS n_drops, round(quantile_cont(fuel_100km,0.5),4) AS fuel_p50, round(avg(amplitude),4) AS amplitude_mean, min(odo_end) AS odo_first, max(odo_end) AS odo_last,
   round(greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0),4) AS days, round(sum(trip_km)/greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0),4) AS km_per_day FROM {D} GROUP BY 1"""
@@ -59,8 +62,8 @@ A03 = f"""SELECT vehicle_id, count(*) AS n_trips, round(sum(trip_km),2) AS km, c
 @query("a03_trip_aggregates", A03)
 def a03(f):
     x = P.trip_aggregates(derived(f))
-    cols = "vehicle_id n_trips km n_idle n_moving n_short minutes_mean minutes_p90 kmh_mean kmh_max level_mean level_p10 level_sd n_saturated saturated_per_1000km drop_mean n_drops fuel_p50 amplitude_mean odo_first odo_last days km_per_day".split()
-    return _rounded(x.select(*cols))
+    safe = ("abnormal_per_1000km", "cleaning_per_1000km", "drops_per_1000km", "fuel_mean", "trips_per_day")
+    return _rounded(x.withColumns({c: F.col(c) + 1e-9 for c in safe}))
 
 
 @query("a04_signal_aggregates", "SELECT vehicle_id, count(*) AS n, round(avg(level_end),4) AS level_mean, round(quantile_cont(level_end,0.5),4) AS level_p50, max(odo_end) AS last_odo FROM trips WHERE message='error' GROUP BY 1")
@@ -287,9 +290,18 @@ def a38(f):
     return x.groupBy("window_km", "horizon_km").agg(F.sum(F.greatest(F.lit(0), n)).cast("bigint").alias("n_cuts"), F.count_if(n > 0).alias("n_vehicles"))
 
 
-@query("a39_distribution_shape")
+def shape_sql(metrics, rows):
+    skew = "avg(pow({0}-{1},3))/nullif(pow(avg(pow({0}-{1},2)),1.5),0)"
+    one = f"""SELECT metric, count(*) AS n, round({skew.format('v', 'm')}+1e-9,4)+0.0 AS skew, round(quantile_cont(v,0.99)/nullif(quantile_cont(v,0.5),0)+1e-9,4) AS tail, round(avg(z)+1e-9,4) AS zero_share, round({skew.format('lv', 'lm')}+1e-9,4)+0.0 AS skew_log,
+      CASE WHEN avg(z)>0.5 THEN 'indicator' WHEN {skew.format('v', 'm')}>1 AND abs({skew.format('lv', 'lm')})<abs({skew.format('v', 'm')}) THEN 'log1p' ELSE 'none' END AS suggest
+      FROM (SELECT metric, v, lv, avg(v) OVER (PARTITION BY metric) AS m, avg(lv) OVER (PARTITION BY metric) AS lm, CASE WHEN v=0 THEN 1.0::DOUBLE ELSE 0 END AS z FROM (SELECT metric, v, ln(1+greatest(v,0.0::DOUBLE)) AS lv FROM x WHERE v IS NOT NULL)) GROUP BY 1"""
+    return "WITH x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM {rows}" for m in metrics) + ") " + one
+
+
+@query("a39_distribution_shape", shape_sql(["value", "level_end", "regen_drop", "trip_km"], D))
 def a39(f):
-    return _rounded(P.shape(derived(f), ["value", "level_end", "regen_drop", "trip_km"]))
+    x = P.shape(derived(f), ["value", "level_end", "regen_drop", "trip_km"])
+    return _rounded(x.withColumns({c: F.col(c) + 1e-9 for c in ("skew", "tail", "zero_share", "skew_log")}))
 
 
 @query("a39b_shape_moments", " UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS n, round(quantile_cont({m},0.99)/nullif(quantile_cont({m},0.5),0),4) AS tail, round(avg(CASE WHEN {m}=0 THEN 1.0::DOUBLE ELSE 0 END),6) AS zero_share FROM trips WHERE {m} IS NOT NULL" for m in ("value", "level_end")))
@@ -381,13 +393,12 @@ def a50(f):
     return f.cuts.groupBy(c.alias("class")).agg(F.count("*").alias("n"), F.countDistinct("vehicle_id").alias("vehicles"), F.round(F.avg("event_observed"), 6).alias("event_share"))
 
 
-@query("t01_sorted_sink", "SELECT vehicle_id, event_id, row_number() OVER (ORDER BY vehicle_id, t_start, event_id) AS k FROM trips QUALIFY k<=500")
+@query("t01_sorted_sink", "SELECT vehicle_id, event_id, row_number() OVER (ORDER BY vehicle_id, t_start, event_id) AS k FROM trips")
 def t01(f):
-    # places come from counts by vehicle, so that no task sorts all rows; the vehicles' counts are summed in one (a row a vehicle)
-    n = f.trips.groupBy("vehicle_id").agg(F.count("*").alias("n"))
-    n = n.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("vehicle_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = f.trips.withColumn("i", F.row_number().over(derive.by_time())).join(n, "vehicle_id").withColumn("k", F.col("base") + F.col("i"))
-    return x.filter("k <= 500").select("vehicle_id", "event_id", "k")
+    # places come from counts by vehicle, and running counts of these from ranges, so that no task sorts all rows
+    n = joins.running_counts(f.trips.groupBy("vehicle_id").agg(F.count("*").alias("n")), [], "vehicle_id", ["n"])
+    x = f.trips.withColumn("i", F.row_number().over(derive.by_time())).join(n.select("vehicle_id", "n_below"), "vehicle_id")
+    return x.select("vehicle_id", "event_id", (F.col("n_below") + F.col("i")).alias("k"))
 
 
 @query("t02_top_k_per_group", f"SELECT vehicle_id, event_id, value FROM trips QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY value DESC, event_id)<=3")

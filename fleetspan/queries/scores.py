@@ -258,13 +258,15 @@ def m23(f):
     return x.groupBy("market", "fold").agg(F.round(F.first("rate"), 6).alias("rate"), F.count("*").alias("n"))
 
 
-@query("m24_out_of_fold_threshold")
+@query("m24_out_of_fold_threshold", """WITH l AS (SELECT *, vehicle_id%5 AS fold FROM levels), h AS (SELECT unnest(range(0,5)) AS held), o AS (SELECT held, level FROM h JOIN l ON fold<>held WHERE event_observed=0),
+  n AS (SELECT held, CAST(floor(0.1::DOUBLE*count(*)+1e-9) AS BIGINT) AS m FROM o GROUP BY 1), r AS (SELECT held, level, row_number() OVER (PARTITION BY held ORDER BY level DESC) AS k FROM o WHERE level IS NOT NULL), t AS (SELECT n.held AS fold, level AS tau FROM n LEFT JOIN r ON r.held=n.held AND r.k=n.m+1),
+  x AS (SELECT fold, event_observed, CASE WHEN level>coalesce(tau,'-inf'::DOUBLE) THEN 1.0::DOUBLE ELSE 0 END AS hit FROM l JOIN t USING (fold)) SELECT CAST(fold AS BIGINT) AS fold, 0.1::DOUBLE AS budget, round(avg(CASE WHEN event_observed=1 THEN hit END),6) AS detection, round(avg(CASE WHEN event_observed=0 THEN hit END),6) AS false_alarms FROM x GROUP BY 1""")
 def m24(f):
     """tau of each fold from the healthy vehicles of the others, applied to the fold."""
     lv = M.vehicle_levels(f.scores, K).withColumn("fold", F.col("vehicle_id") % 5)
     others = lv.withColumn("held", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(5))))).filter("held <> fold")
     t = M.exact_tau(others, [0.1], ["held"]).withColumnRenamed("held", "fold")
-    return M.detection(lv, t, ["fold"])
+    return M.detection(lv, t, ["fold"]).select("fold", "budget", _r("detection", 6), _r("false_alarms", 6))
 
 
 @query("m25_win_lose_tie", f"WITH a AS (SELECT 'a' AS run, repeat, auc FROM {auc_sql('rep', 'repeat')} UNION ALL SELECT 'b', repeat, 1-auc FROM {auc_sql('rep', 'repeat')}), g AS (SELECT run, avg(auc) AS m, stddev_pop(auc) AS s FROM a GROUP BY 1) SELECT g.run, round(g.m,6) AS mean, round(g.m-r.m,6) AS diff, CASE WHEN g.m-r.m>sqrt((pow(g.s,2)+pow(r.s,2))/2) THEN 'win' WHEN g.m-r.m< -sqrt((pow(g.s,2)+pow(r.s,2))/2) THEN 'lose' ELSE 'tie' END AS verdict FROM g CROSS JOIN (SELECT * FROM g WHERE run='a') r")
@@ -352,7 +354,10 @@ def x03(f):
     return splits.folds(strata(f), 5, 2, 11)
 
 
-@query("x04_extended_folds")
+@query("x04_extended_folds", f"""WITH s AS (SELECT vehicle_id, stratum, unnest([0,1]) AS repeat FROM {STRATA}), o AS (SELECT repeat, stratum, vehicle_id, CAST((row_number() OVER (PARTITION BY repeat, stratum ORDER BY md5('11|'||repeat||'|'||vehicle_id), vehicle_id)-1)%5 AS INTEGER) AS fold FROM s WHERE vehicle_id%4<>0),
+  new AS (SELECT repeat, stratum, vehicle_id, row_number() OVER (PARTITION BY repeat, stratum ORDER BY md5('13|'||repeat||'|'||vehicle_id), vehicle_id) AS j FROM s WHERE vehicle_id%4=0), need AS (SELECT repeat, stratum, count(*) AS m FROM new GROUP BY ALL),
+  full_ AS (SELECT repeat, stratum, f.fold, m, (SELECT count(*) FROM o WHERE o.repeat=need.repeat AND o.stratum=need.stratum AND o.fold=f.fold) AS n FROM need CROSS JOIN (SELECT CAST(unnest(range(0,5)) AS INTEGER) AS fold) f), lv AS (SELECT repeat, stratum, fold, unnest(generate_series(n, n+m-1)) AS lvl FROM full_),
+  seats AS (SELECT repeat, stratum, fold, row_number() OVER (PARTITION BY repeat, stratum ORDER BY lvl, fold) AS j FROM lv) SELECT repeat, fold, vehicle_id FROM o UNION ALL SELECT repeat, fold, vehicle_id FROM new JOIN seats USING (repeat, stratum, j)""")
 def x04(f):
     old = splits.folds(strata(f).filter("vehicle_id % 4 <> 0"), 5, 2, 11)
     return splits.extend_folds(old, strata(f), 5, 13)
@@ -371,7 +376,7 @@ def x06(f):
     return splits.restrict(splits.holdout(strata(f), 5, 11), f.trips)
 
 
-@query("x07_extended_holdout")
+@query("x07_extended_holdout", f"SELECT vehicle_id, CASE WHEN (row_number() OVER (PARTITION BY vehicle_id%3=1, stratum ORDER BY md5(CASE WHEN vehicle_id%3=1 THEN '12' ELSE '11' END||'|0|'||vehicle_id), vehicle_id)-1)%5=0 THEN 'test' ELSE 'dev' END AS side FROM {STRATA}")
 def x07(f):
     first = splits.holdout(strata(f).filter("vehicle_id % 3 <> 1"), 5, 11)
     return splits.extend_holdout(first, strata(f), 5, 12)
@@ -388,7 +393,7 @@ def x09(f):
     return splits.fingerprint(f.trips)
 
 
-@query("x10_reproduced_split")
+@query("x10_reproduced_split", f"SELECT n_rows, n_vehicles, digest, unnest(['frozen','again']) AS which FROM (SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_vehicles, sha256(string_agg(d, ',' ORDER BY block)) AS digest FROM (SELECT vehicle_id//4096 AS block, count(*) AS n, sha256(string_agg(CAST(vehicle_id AS VARCHAR), ',' ORDER BY vehicle_id)) AS d FROM {SIDES} WHERE side='test' GROUP BY 1))")
 def x10(f):
     a, b = splits.holdout(strata(f), 5, 11), splits.holdout(strata(f).repartition("engine"), 5, 11)
     d = lambda x: splits.fingerprint(x.filter("side = 'test'"))

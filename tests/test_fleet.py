@@ -266,3 +266,45 @@ def test_empty_tables_give_empty_results(spark):
     assert cuts.count() == 0 and panel.window_rows(t, cuts, 400, 100).count() == 0
     s = scores(spark).limit(0)
     assert metrics.vehicle_levels(s, 2).count() == 0 and metrics.roc_auc(s, ["label"]).count() == 0
+
+
+def test_chi_square_tail_and_likelihood_ratio(spark):
+    from fleetspan.plans import models as L
+
+    for x, df in ((3.841, 1), (5.991, 2), (7.815, 3), (9.488, 4)):
+        assert abs(L.chi2_sf(x, df) - 0.05) < 1e-4
+    assert L.chi2_sf(0.0, 3) == 1.0
+    cells = spark.createDataFrame([(str(m), str(c), 20 * (m + 1), 1000) for m in range(3) for c in range(2)], "market string, cohort string, events long, days long")
+    a, b = L.likelihood_ratio(cells, [[], ["market"], ["market", "cohort"]]).collect()
+    assert a["df"] == 2 and a["p"] < 1e-6 and b["df"] == 1 and abs(b["statistic"]) < 1e-6 and b["p"] > 0.99
+    assert b["aic_large"] > b["aic_small"]  # a factor without effect doesn't pay
+
+
+def test_missing_categories_become_the_mode(spark):
+    from fleetspan.plans import models as L
+
+    rows = spark.createDataFrame([("a",)] * 7 + [("b",)] * 5 + [("rare",)] + [(None,)], "c string")
+    out = L.RareLevels(["c"], 5)._fit(rows).transform(rows).groupBy("c", "c__r").count().collect()
+    assert {(r["c"], r["c__r"]) for r in out} == {("a", "a"), ("b", "b"), ("rare", "other"), (None, "a")}
+
+
+def test_matched_sample_is_the_largest(spark):
+    """Against every candidate, on random cells."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fleetspan.plans import risk
+
+    rng = random.Random(3)
+    for trial in range(4):
+        cells = {c: (rng.randint(1, 30), rng.choice((0, rng.randint(1, 60), rng.randint(1, 60)))) for c in range(5)}
+        rows = [(v, c, 1, 1) for c, (r, _) in cells.items() for v in range(r)] + [(100 + v, c, 0, 0) for c, (_, h) in cells.items() for v in range(h)]
+        df = spark.createDataFrame([(i, float(v), c, e, y) for i, (v, c, e, y) in enumerate(rows)], "vehicle_id long, cut_odo double, cell long, event_observed int, label int")
+        all_r, best = sum(r for r, _ in cells.values()), 0
+        for n in range(1, max(1, sum(h for _, h in cells.values())) + 1):
+            missing = sum(max(0, round(n * r / all_r) - h) for r, h in cells.values())
+            best = n if missing <= 0.1 * n else best
+        want = {c: min(h, round(best * r / all_r)) for c, (r, h) in cells.items()}
+        got = {r["cell"]: r["count"] for r in risk.match_healthy(df, F.col("label") == 1, ["cell"], 0.1, 3).groupBy("cell").count().collect()}
+        assert got == {c: n for c, n in want.items() if n}, (trial, cells)
