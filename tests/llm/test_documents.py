@@ -263,7 +263,7 @@ def test_passages_of_hot_seeds(spark):
     texts = [f"{sentence(rng, 10)} {line} {sentence(rng, 20)} {long if i % 7 == 3 else sentence(rng, 30)} {line} {sentence(rng, 5)}" for i in range(150)]
     texts += ["again " * 200, "once " + "again " * 150, "again " * 90]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
-    held = [sorted(map(tuple, passages.holders(df, n).select("doc", "pos", "f", "n").collect()), key=str) for n in (1, 1 << 40)]
+    held = [sorted(map(tuple, passages.holders(df, n).collect()), key=str) for n in (1, 1 << 40)]
     assert passages.hot_seeds(df, 1).count() > 0 and passages.hot_seeds(df, 1 << 40).count() == 0
     assert held[0] == held[1]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
@@ -484,6 +484,89 @@ def test_best_fit_choices():
     assert put[1] == put[0] == put[2] and set(caps) == {128}
 
 
+def test_packing_is_best_fit_at_every_step():
+    """Each item against all open bins, each opened bin against all lengths, each largest length against the others."""
+    import numpy as np
+
+    rng = random.Random(41)
+    for _ in range(60):
+        lengths = tuple(sorted(rng.sample((8, 16, 24, 40, 64, 100), rng.randint(1, 4))))
+        overhead = rng.choice((0, 2, 9))
+        sizes = sorted((rng.randint(1, lengths[-1]) for _ in range(rng.randint(1, 60))), reverse=True)
+        costs = []
+        for top in lengths:
+            if top < sizes[0]:
+                continue
+            usable = tuple(c for c in lengths if c <= top)
+            put, capacity = packing.best_fit(np.array(sizes), usable, overhead)
+            room, rest = {}, sum(sizes)
+            for s, k in zip(sizes, put.tolist()):
+                fits = [r for r in room.values() if r >= s]
+                if k in room:
+                    assert room[k] == min(fits)
+                else:
+                    assert not fits and capacity[k] == min((c for c in usable if c >= s), key=lambda c: ((c + overhead) / min(c, rest), c))
+                room[k] = room.get(k, capacity[k]) - s
+                rest -= s
+            costs.append(sum(min(c for c in lengths if c >= capacity[k] - r) + overhead for k, r in room.items()))
+        order = rng.sample(range(len(sizes)), len(sizes))
+        put, offset, caps = packing.pack(np.array([sizes[i] for i in order]), lengths, overhead)
+        used = {}
+        for k, o, i in sorted(zip(put.tolist(), offset.tolist(), order)):
+            assert used.get(k, 0) == o
+            used[k] = o + sizes[i]
+        assert all(caps[j] == min(c for c in lengths if c >= used[k]) for j, k in enumerate(put))
+        assert sum(min(c for c in lengths if c >= u) + overhead for u in used.values()) == min(costs)
+
+
+def test_packing_spreads_one_hot_id(spark):
+    df = spark.createDataFrame([(7, "a b c", "en", "s", 5)] * 3000 + [(None, "a b", "en", "s", 3)] * 1000, DOC)
+    out = packing.packed(df, shard=100).collect()
+    sizes = {}
+    for r in out:
+        sizes[r["bin_id"] >> 32] = sizes.get(r["bin_id"] >> 32, 0) + 1
+    assert len(out) == 4000 and len(sizes) >= 38 and max(sizes.values()) < 250
+
+
+def naive_stats(text):
+    """The statistics of quality.STATS, word by word."""
+    import math
+
+    raw = (text or "").encode()
+    w = words(text)
+    if not w:
+        return [0.0] * len(quality.STATS)
+    symbols, digits, punct, blank = b"#$%&*!<>=+~^@_{}[]\\/", b"0123456789", b".,;:?'\"()-", b" \t\r\f\v"
+    count = lambda kind: sum(c in kind for c in raw)
+    lines, solid = count(b"\n"), len(raw) - count(b"\n" + blank)
+    upper = sum(65 <= c <= 90 for c in raw)
+    letters = len(raw) - count(symbols + digits + punct + blank + b"\n|")
+    triples = [tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    stretches = re.split(rb"[ \t\r\f\v\n]", raw)
+    ends = sum(1 for i, c in enumerate(raw) if c in symbols and (i + 1 == len(raw) or raw[i + 1] in blank + b"\n"))
+    whole = raw.split(b"\n") if lines else [b""]
+    return [math.log1p(len(w)), solid / len(w), upper / max(1, letters), count(symbols) / max(1, solid), count(digits) / max(1, solid), count(punct) / max(1, solid), math.log1p(len(w) / (lines + 1)), count(b"|") / len(w),
+            len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w), len(set(triples)) / len(triples), len(set(whole)) / len(whole), math.log1p(max(map(len, stretches))), ends / len(w)]
+
+
+def test_quality_scores_are_the_rules_by_hand(spark, docs):
+    """Statistics against a plain count, and scores against the rules evaluated one by one."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in corpus()] + ["A|B|C\n1|2|3\nA|B|C", "Wow! So $$$ much ### here!!! 100% \u2713", "one  two\t\tthree\x0bfour"]
+    got = quality.text_stats(pa.array(texts))
+    assert np.allclose(got, [naive_stats(t) for t in texts], atol=1e-12)
+    model = quality.fit(*labelled(spark))
+    df, rows = docs
+    for r in quality.score(df.filter("doc_id is not null").dropDuplicates(["doc_id"]), model).collect():
+        stats = dict(zip(quality.STATS, naive_stats(next(t for i, t, *_ in rows if i == r["doc_id"]))))
+        z = model.intercept + sum(w * all((stats[n] > t) == above for n, above, t in rule.terms) for rule, w in model.weights)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_token_rollup_against_rebuild(spark, docs, empty):
     df, _ = docs
     from pyspark.sql import functions as F
