@@ -7,7 +7,7 @@ costs its length and OVERHEAD. As a shard's best choice depends on which lengths
 the cheapest packing is taken. At last every bin is downsized to the least permitted length that holds its contents.
 
 Defined results: null and empty texts have one piece of length 0, in no bin (null bin_id). Rows that repeat are packed one by one. Null doc_ids
-are dealt by their text's length. Empty tables give an empty result. Other columns are not read.
+are dealt by their text's length. Repeats of one doc_id, however many, are spread over all shards. Empty tables give an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int =
     items = stored(pieces_of(lengths_of(docs), max(lengths)), "pieces")
     shards = max(1, math.ceil(items.count() / shard))
     # repeats of one doc_id are spread as well: the piece and its length take part
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n", F.monotonically_increasing_id() % 64), F.lit(shards)).cast("int"))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n", F.monotonically_increasing_id() % shards), F.lit(shards)).cast("int"))
 
     def run(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n", "ascending")])

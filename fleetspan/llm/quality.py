@@ -4,12 +4,16 @@ Text statistics are computed for each whole document. A random forest is fitted
 inner node or leaf of its trees is a conjunctive rule over the statistics. A lasso logistic regression over the rules' indicators
 keeps few of them; the kept rules and weights become one Spark column expression, which scores any table with the statistics.
 
+The statistics are general ones of text quality (length, shares of character classes, repetition of words, triples and lines). Shares of pipes and of
+words that end in symbols tell tables and markup from prose; a neighbouring word repeated tells loops. None of them is a threshold set by hand: the forest
+picks from them, and the lasso drops what labels don't support.
+
 Labels are learned from FIT_ROWS labelled rows at most (those with the smallest hash of doc_id), none of them held out, that is,
 with crc32(doc_id as text) mod 5 = 0. Scores depend on the text alone.
 
 Defined results: null text counts as empty; an empty text has all statistics 0 and a score like any other. A doc_id that repeats is
 scored row by row; a null doc_id is not held out. Repeated labels of a doc_id are averaged, a tie counts as 1; null labels are left
-out. Without labels of both kinds the score is the share of label 1, or 0.5 without labels. Empty tables give empty results. Other
+out. Where all labels are alike every score is near that label (1 / (1 + e^20) from it), and 0.5 without labels. Empty tables give empty results. Other
 columns, whatever their names, are not read.
 """
 

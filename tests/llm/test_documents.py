@@ -263,7 +263,7 @@ def test_passages_of_hot_seeds(spark):
     texts = [f"{sentence(rng, 10)} {line} {sentence(rng, 20)} {long if i % 7 == 3 else sentence(rng, 30)} {line} {sentence(rng, 5)}" for i in range(150)]
     texts += ["again " * 200, "once " + "again " * 150, "again " * 90]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
-    held = [sorted(map(tuple, passages.holders(df, n).collect()), key=str) for n in (1, 1 << 40)]
+    held = [sorted(map(tuple, passages.holders(passages.held_seeds(df, n)).collect()), key=str) for n in (1, 1 << 40)]
     assert passages.hot_seeds(df, 1).count() > 0 and passages.hot_seeds(df, 1 << 40).count() == 0
     assert held[0] == held[1]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]

@@ -406,3 +406,60 @@ def test_warc_attempts_leave_one_record(spark, pages, tmp_path):
     warc.write_archives(df, path)
     assert warc.decode(warc.reassemble(warc.read_records(spark, path))).count() == len(rows)
     assert not (tmp_path / "w" / "_attempts").exists()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Rows of every stage: rules by hand, all pairs, all runs of 50 words, rates by their conditions, words of all bins."""
+    import collections
+
+    import corpus_pipeline
+    from fleetspan.llm import mixing, quality
+
+    from .test_documents import DOC, covered_brute, jaccard_brute, labelled, naive_stats, sentence, words
+
+    docs, labels = labelled(spark, 100)
+    rng = random.Random(17)
+    good = [r["text"] for r in docs.collect() if r["doc_id"] in (1, 2, 3)]
+    passage = " ".join(good[2].split()[:4]) + " " + sentence(rng, 60)
+    prose = lambda n: " ".join(rng.choice("the of and with river stone light water under house green over small which from".split()) for _ in range(n))
+    extra = [(500, good[0], "en", "s", 1), (501, good[0] + " more", "en", "s", 1), (502, f"{prose(90)} {passage} {prose(60)}", "en", "s", 1), (503, f"{prose(80)} {passage} {prose(70)}", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(extra, DOC))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    sf, stages = f"file://{tmp_path}", dict(corpus_pipeline.STAGES)
+    step = lambda name, x: corpus_pipeline.stored(stages[name](spark, x, sf), name)
+    tuples = lambda x: [tuple(r) for r in x.collect()]
+
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(start, labels)
+
+    def accepted(text):
+        stats = dict(zip(quality.STATS, naive_stats(text)))
+        z = model.intercept + sum(w * all((stats[n] > t) == above for n, above, t in rule.terms) for rule, w in model.weights)
+        return 1 / (1 + math.exp(-z)) >= quality.THRESHOLD
+
+    one = step("quality_classifier", start)
+    assert collections.Counter(tuples(one)) == collections.Counter(r for r in tuples(start) if accepted(r[1]))
+    two = step("ngram_jaccard_join", one)
+    links = jaccard_brute(tuples(one))
+    assert collections.Counter(tuples(two)) == collections.Counter(r for r in tuples(one) if r[0] is None or links[r[0]] == r[0])
+    three = step("substring_dedup", two)
+    before, after = {r[0]: words(r[1]) for r in tuples(two)}, {r[0]: words(r[1]) for r in tuples(three)}
+    gone = covered_brute(tuples(two))
+    assert set(before) == set(after) and any(any(m) for m in gone.values())
+    for i, w in before.items():
+        kept = iter(w)
+        assert all(x in kept for x in after[i]), i  # what is left keeps its order
+        assert len(after[i]) <= len(w) - sum(gone.get(i, ())) and (i in (502, 503) or after[i] == w or any(gone.get(i, ())))
+    four = step("target_mixture", three)
+    copies = collections.Counter()
+    for r in mixing.rates(three, labels, keep="clean").collect():
+        copies[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r[0] for r in tuples(four)) == +copies
+    out = stages["best_fit_packing"](spark, four, sf).collect()
+    assert sum(r["n_tokens"] for r in out) == sum(len(words(r[1])) for r in tuples(four))
+    bins = collections.defaultdict(list)
+    for r in out:
+        if r["bin_id"] is not None:
+            bins[r["bin_id"]].append((r["bin_offset"], r["n_tokens"], r["bin_capacity"]))
+    assert all(sum(n for _, n, _ in b) <= b[0][2] for b in bins.values())
