@@ -228,7 +228,7 @@ def _members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 75, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, groups): (doc_id, n, rep, size) per document, verified links (a, b) between classes, and (id, component, size) of linked classes.
+    """(members, links, groups): (doc_id, n, h1, h2, rep) per document, verified links (a, b) between classes, and (id, component, size) of linked classes.
 
     every: verify all pairs that pass the filters, not only those across components; the links are then all links between different texts.
     """

@@ -106,7 +106,7 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int =
     items = stored(pieces_of(lengths_of(docs), max(lengths)), "pieces")
     shards = max(1, math.ceil(items.count() / shard))
     # repeats of one doc_id are spread as well: the piece and its length take part
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n", F.monotonically_increasing_id() % shards), F.lit(shards)).cast("int"))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n", "ascending")])
