@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -408,6 +409,7 @@ def test_warc_attempts_leave_one_record(spark, pages, tmp_path):
     assert not (tmp_path / "w" / "_attempts").exists()
 
 
+@pytest.mark.skipif(not os.environ.get("ALL_QUERIES"), reason="takes some minutes; ALL_QUERIES=1 runs it")
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Rows of every stage: rules by hand, all pairs, all runs of 50 words, rates by their conditions, words of all bins."""
     import collections
