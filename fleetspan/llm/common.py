@@ -65,19 +65,26 @@ def _cell(key: str) -> str:
     return f"xxhash64(`{key}`) & {(1 << CELL_BITS) - 1}"
 
 
-def parted(rows: DataFrame, key: str, keys: DataFrame, own: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be in the column own of keys, the other rows, whose key surely isn't there).
-
-    The keys' bitmap of 2^CELL_BITS hashed cells is broadcast: 2^20 pairs of longs at most, however many keys there are. If they
-    fill it, more rows go to the first part, and no result changes. Both parts have the columns of rows. keys should be a stored table.
-    """
+def flagged(rows: DataFrame, key: str, keys: DataFrame, flag: str, own: str | None = None) -> DataFrame:
+    """rows and a boolean column: False only if the row's key surely isn't in the column own of keys. See parted."""
     word, bits = fresh(rows, "_word"), fresh(rows, "_bits")
     cell = _cell(own or key)
     words = keys.select(F.expr(f"shiftright({cell}, 6)").alias(word), F.expr(f"shiftleft(1L, cast({cell} & 63 as int))").alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
     words = F.broadcast(words)
     held = rows.withColumn(word, F.expr(f"shiftright({_cell(key)}, 6)")).join(words, word, "left")
     hit = F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, cast({_cell(key)} & 63 as int)) & 1") == 1, F.lit(False))
-    return held.filter(hit).select(*rows.columns), held.filter(~hit).select(*rows.columns)
+    return held.select(*rows.columns, hit.alias(flag))
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame, own: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the column own of keys, the other rows, whose key surely isn't there).
+
+    The keys' bitmap of 2^CELL_BITS hashed cells is broadcast: 2^20 pairs of longs at most, however many keys there are. If they
+    fill it, more rows go to the first part, and no result changes. Both parts have the columns of rows. keys should be a stored table.
+    """
+    flag = fresh(rows, "_hit")
+    held = flagged(rows, key, keys, flag, own)
+    return held.filter(flag).select(*rows.columns), held.filter(f"not `{flag}`").select(*rows.columns)
 
 
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
