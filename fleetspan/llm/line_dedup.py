@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ ORDER = ["h1", "h2", F.desc("doc_id"), "version", "pos"]
 KEY = ["h1", "h2"]
 #: Kinds of rows that a range yields: a line that goes, a line of an edge key, the sums of an edge key.
 GONE, OPEN, EDGE = 0, 1, 2
-SCHEMA = "kind int, part int, h1 long, h2 long, doc_id long, version long, pos int, n long, hi long, lo long"
+SCHEMA = "kind int, part int, h1 long, h2 long, doc_id long, version long, copies long, pos int, n long, hi long, lo long"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -43,12 +44,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """h1, h2 (128 bits of the key's hash), doc_id, version and pos of each line whose key has at least min_chars code points."""
+    """h1, h2 (128 bits of the key's hash), doc_id, version and pos of each line whose key has at least min_chars code points.
+    Repeats of a row that meet in a batch give their lines once, with the number of copies."""
 
     def run(batches):
         for batch in batches:
             digests, rows, pos = [], [], []
+            names = list(zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist()))
+            copies, done = Counter(names), set()
             for r, text in enumerate(batch.column("text").to_pylist()):
+                if names[r] in done:
+                    continue
+                done.add(names[r])
                 for i, line in enumerate(text.split("\n")):
                     if len(line) >= min_chars and len(key := line.strip(SPACE)) >= min_chars:
                         digests.append(hashlib.blake2b(key.encode().lower(), digest_size=16).digest())
@@ -56,9 +63,9 @@ def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
                         pos.append(i)
             h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("doc_id").take(at), batch.column("version").take(at), pa.array(pos, pa.int32())], ["h1", "h2", "doc_id", "version", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("doc_id").take(at), batch.column("version").take(at), pa.array([copies[names[r]] for r in rows], pa.int64()), pa.array(pos, pa.int32())], ["h1", "h2", "doc_id", "version", "copies", "pos"])
 
-    return _texts(docs).filter("doc_id is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, version long, pos int")
+    return _texts(docs).filter("doc_id is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, version long, copies long, pos int")
 
 
 class _Group:
@@ -88,11 +95,11 @@ def _decide(min_docs: int):
     def lines(kind, part, rows):
         k = rows.shape[1]
         none = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, part, np.int32)), *(pa.array(x) for x in rows[:4]), pa.array(rows[4].astype(np.int32)), none, none, none], [c.split()[0] for c in SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, part, np.int32)), *(pa.array(x) for x in rows[:5]), pa.array(rows[5].astype(np.int32)), none, none, none], [c.split()[0] for c in SCHEMA.split(", ")])
 
     def edge(part, g):
-        one = [EDGE, part, *g.key, None, None, None, g.n, g.hi, g.lo]
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 3]
+        one = [EDGE, part, *g.key, None, None, None, None, g.n, g.hi, g.lo]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.int32(), *[pa.int64()] * 3]
         return pa.RecordBatch.from_arrays([pa.array([None if x is None else int(x)], t) for x, t in zip(one, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     def run(batches):
@@ -101,7 +108,7 @@ def _decide(min_docs: int):
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "doc_id", "version", "pos")])
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "doc_id", "version", "copies", "pos")])
             heads = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
             ends = np.append(heads[1:], rows.shape[1])
             at = 0  # the run that comes next
@@ -145,10 +152,11 @@ def bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFram
     twice = F.when(F.lag("lo").over(by) == F.col("hi"), 1).otherwise(0)
     edges = told.filter(F.col("kind") == EDGE).select(*KEY, "part", "n", "hi", "lo").withColumn("twice", twice)
     edges = edges.groupBy(*KEY).agg(F.sum(F.col("n") - F.col("twice")).alias("n"), F.max("hi").alias("hi")).filter(F.col("n") >= min_docs)
-    late = told.filter(F.col("kind") == OPEN).select(*KEY, "doc_id", "version", "pos").join(F.broadcast(edges), KEY).filter(F.col("doc_id") != F.col("hi"))
-    gone = told.filter(F.col("kind") == GONE).select("doc_id", "version", "pos").union(late.select("doc_id", "version", "pos"))
+    line = ["doc_id", "version", "copies", "pos"]
+    late = told.filter(F.col("kind") == OPEN).select(*KEY, *line).join(F.broadcast(edges), KEY).filter(F.col("doc_id") != F.col("hi"))
+    gone = told.filter(F.col("kind") == GONE).select(*line).union(late.select(*line))
     # a document's repeats lose the same lines, so its set of positions is bounded by its text
-    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos"), F.count("*").alias("rows"))
+    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos"), F.sum("copies").alias("rows"))
 
     def run(batches):
         for batch in batches:
