@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import discard, flagged, met, stored
 
 SPACE = " \t\n\x0b\x0c\r"
-ORDER = ["h1", "h2", F.desc("doc_id"), "version", "pos"]
 KEY = ["h1", "h2"]
 #: Kinds of rows that a range yields: a line that goes, a line of an edge key, the sums of an edge key.
 GONE, OPEN, EDGE = 0, 1, 2
@@ -90,7 +89,7 @@ class _Group:
 
 
 def _decide(min_docs: int):
-    """Stream of one range in ORDER: yields rows of SCHEMA."""
+    """Stream of one range, sorted by key, document (largest first) and position: yields rows of SCHEMA."""
 
     def lines(kind, part, rows):
         k = rows.shape[1]
@@ -144,7 +143,8 @@ def bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFram
     that lose lines, and size, the rows of docs that are this document. A stored table."""
     spark, min_docs = docs.sparkSession, max(2, min_docs)
     hashes = stored(line_hashes(docs, min_chars), "lines")
-    ranged = hashes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *ORDER).sortWithinPartitions(*ORDER)
+    order = [*KEY, F.desc("doc_id"), "version", "pos"]
+    ranged = hashes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     told = stored(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_decide(min_docs), SCHEMA), "ranges")
     discard(hashes)
     # a document at the end of one range and the start of the next counts once
