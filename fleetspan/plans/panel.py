@@ -1,12 +1,10 @@
-"""Panels: cut grids on the odometer, labels, window features in one grouping, sequences and landmarks."""
+"""Panels: cut grids on the odometer, labels, rows of windows, sequences and stacks. Window features are in panes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pct
-
 
 def cut_grid(trips: DataFrame, events: DataFrame, window_km: float, gap_km: float, horizon_km: float, step_km: float, censored: str = "drop") -> DataFrame:
     """One row per vehicle and cut: multiples of step_km from a full window after the least end odometer on.
@@ -36,63 +34,9 @@ def window_rows(rows: DataFrame, cuts: DataFrame, window_km: float, step_km: flo
     return serve_cuts(rows, window_km, step_km, at).join(cuts.select(*cols), ["vehicle_id", "cut_odo"])
 
 
-class Aggregators:
-    """Window aggregators: functions (x, window) -> Column inside a grouping by vehicle and cut.
-
-    The grouping must hold cut_odo, odo_end, prev_pos (place of the row's previous event) and trip_km. Add to NAMES to extend.
-    """
-
-    @staticmethod
-    def _half(window: float) -> Column:
-        return F.col("odo_end") > F.col("cut_odo") - window / 2
-
-    @staticmethod
-    def _km() -> Column:
-        return F.sum(F.greatest(F.col("trip_km"), F.lit(0.0)))
-
-    @staticmethod
-    def _days() -> Column:
-        return F.greatest((F.max(F.unix_micros("t_end")) - F.min(F.unix_micros("t_start"))) / 86_400e6, F.lit(1.0))
-
-    @classmethod
-    def half_delta(cls, x: Column, window: float) -> Column:
-        late, early = F.when(cls._half(window), x), F.when(~cls._half(window), x)
-        return F.when((F.count(late) >= 3) & (F.count(early) >= 3), pct(late, 0.5) - pct(early, 0.5))
-
-    @classmethod
-    def half_mean_delta(cls, x: Column, window: float) -> Column:
-        return F.avg(F.when(cls._half(window), x)) - F.avg(F.when(~cls._half(window), x))
-
-    @classmethod
-    def half_count_delta(cls, x: Column, window: float) -> Column:
-        late = F.coalesce(F.sum(F.when(cls._half(window), x)), F.lit(0))
-        early = F.coalesce(F.sum(F.when(~cls._half(window), x)), F.lit(0))
-        return (late - early) / (window / 2) * 1000
-
-    @staticmethod
-    def _gap(window: float) -> Column:
-        return F.when(F.col("prev_pos") > F.col("cut_odo") - window, F.col("odo_end") - F.col("prev_pos"))
-
-    @classmethod
-    def gap_trend(cls, x: Column, window: float) -> Column:
-        gap = F.when(x > 0, cls._gap(window))
-        late, early = F.when(cls._half(window), gap), F.when(~cls._half(window), gap)
-        return F.when(F.count_if(x > 0) >= 4, pct(late, 0.5) - pct(early, 0.5))
-
-    @classmethod
-    def table(cls) -> dict:
-        at, c = F.col("odo_end"), F.col("cut_odo")
-        return {
-            "mean": lambda x, w: F.avg(x), "median": lambda x, w: pct(x, 0.5), "max": lambda x, w: F.max(x), "min": lambda x, w: F.min(x),
-            "std": lambda x, w: F.stddev_samp(x), "p25": lambda x, w: pct(x, 0.25), "p75": lambda x, w: pct(x, 0.75),
-            "sum": lambda x, w: F.sum(x), "count": lambda x, w: F.count(x), "any": lambda x, w: (F.max(x) > 0).cast("double"),
-            "per_1000km": lambda x, w: F.coalesce(F.sum(x), F.lit(0)) / F.nullif(cls._km(), F.lit(0.0)) * 1000,
-            "per_day": lambda x, w: F.coalesce(F.sum(x), F.lit(0)) / cls._days(),
-            "half_delta": cls.half_delta, "half_slope_per_1000km": lambda x, w: cls.half_delta(x, w) / (w / 2) * 1000, "half_mean_delta": cls.half_mean_delta, "half_count_delta_per_1000km": cls.half_count_delta,
-            "gap_mean_km": lambda x, w: F.when(F.count_if(x > 0) >= 2, (F.max(F.when(x > 0, at)) - F.min(F.when(x > 0, at))) / (F.count_if(x > 0) - 1)),
-            "gap_median_km": lambda x, w: F.when(F.count_if(x > 0) >= 2, pct(F.when(x > 0, cls._gap(w)), 0.5)), "gap_trend_km": cls.gap_trend,
-            "km_since_last": lambda x, w: F.max(c) - F.max(F.when(x > 0, at)),
-        }
+def days_covered() -> Column:
+    """Days from the first start to the last end, 1 at least; for a grouping of trips."""
+    return F.greatest((F.max(F.unix_micros("t_end")) - F.min(F.unix_micros("t_start"))) / 86_400e6, F.lit(1.0))
 
 
 def with_prev_event(rows: DataFrame, event: Column) -> DataFrame:
@@ -101,20 +45,6 @@ def with_prev_event(rows: DataFrame, event: Column) -> DataFrame:
     return rows.withColumn("prev_pos", F.last(F.when(event, F.col("odo_end")), ignorenulls=True).over(by))
 
 
-def features(windowed: DataFrame, specs: list[tuple[str, Column | str, str]], window_km: float, keys=("vehicle_id", "cut_odo")) -> DataFrame:
-    """One grouping for all features. specs: (name, column or SQL expression, aggregator name)."""
-    table = Aggregators.table()
-    return windowed.groupBy(*keys).agg(*(table[agg](F.expr(x) if isinstance(x, str) else x, window_km).alias(name) for name, x, agg in specs))
-
-
-def controls() -> list[Column]:
-    """Counts and coverage of a window."""
-    return [
-        F.count("*").alias("n_trips"), Aggregators._km().alias("km_covered"), F.count_if(F.col("trip_km") > 0).alias("n_moving"),
-        Aggregators._days().alias("days_covered"), F.max(F.unix_micros("t_end")).alias("cut_us"), F.count_if(F.col("message") == "error").alias("n_signals"),
-    ]
-
-
 def bins(rows: DataFrame, bin_km: float, aggs: list[Column], at: str = "odo_end") -> DataFrame:
     """Aggregates per vehicle and bin ceil(odo / bin) - 1; bin 0 also takes odometer 0."""
     return rows.withColumn("bin", F.greatest(F.ceil(F.col(at) / bin_km) - 1, F.lit(0))).groupBy("vehicle_id", "bin").agg(*aggs)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import derive
-from ..plans import panel, risk
+from ..plans import panel, panes, risk
 from ..sources.fleet import BIN_KM, CONTEXT_KM, GAP_KM, HORIZON_KM, ORIGIN, REGISTRY, STEP_KM, WINDOW_KM
 from .joins import ODO_AT
 from .profile import BIN, _r, _rounded
@@ -17,18 +17,14 @@ ERR = "cast(message = 'error' as int)"
 KEYS = ["vehicle_id", "cut_odo"]
 
 
-def feature(f, *specs, rows=None):
-    return _rounded(panel.features(f.windowed if rows is None else rows, list(specs), WINDOW_KM), N)
-
-
 def g(name, expr, *specs):
     """Register a query of window features and its SQL over the windows."""
     sql = "SELECT vehicle_id, cut_odo, " + expr + " FROM wins GROUP BY ALL"
-    query(name, sql)(lambda f, specs=specs: feature(f, *specs, rows=with_prev(f)))
+    query(name, sql)(lambda f, specs=specs: _rounded(panes.features(with_prev(f), f.cuts, list(specs), WINDOW_KM, STEP_KM), N))
 
 
 def with_prev(f):
-    return panel.window_rows(panel.with_prev_event(f.trips, F.col("message") == "error"), f.cuts, WINDOW_KM, STEP_KM)
+    return panel.with_prev_event(f.trips, F.col("message") == "error")
 
 
 CTES["prevs"] = "SELECT event_id, last_value(CASE WHEN message='error' THEN odo_end END IGNORE NULLS) OVER (PARTITION BY vehicle_id ORDER BY odo_end, t_start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_pos FROM trips"
@@ -58,7 +54,7 @@ CONTROLS = "count(*) AS n_trips, round(sum(greatest(trip_km,0)),4) AS km_covered
 
 @query("g21_controls", f"SELECT vehicle_id, cut_odo, {CONTROLS} FROM win GROUP BY ALL")
 def g21(f):
-    return _rounded(f.windowed.groupBy(*KEYS).agg(*panel.controls()))
+    return _rounded(panes.features(f.trips, f.cuts, [], WINDOW_KM, STEP_KM, extra=panes.controls))
 
 
 #: A feature set declared as data: (name, SQL expression, aggregator).
@@ -85,7 +81,7 @@ FEATURE_SQL = ", ".join(f"round(CAST({AGGREGATOR_SQL[a].format(x=x.replace('as i
 
 def declared(f):
     """Every declared feature of every window, rounded."""
-    x = panel.features(with_prev(f), FEATURE_SET, WINDOW_KM)
+    x = panes.features(with_prev(f), f.cuts, FEATURE_SET, WINDOW_KM, STEP_KM)
     return x.select(*KEYS, *((F.round(F.col(n).cast("double") + 1e-9, 4) + 0.0).alias(n) for n, *_ in FEATURE_SET))
 
 
@@ -95,10 +91,8 @@ def g22(f):
 
 
 def deviation(f):
-    rows = panel.serve_cuts(f.trips, CONTEXT_KM, STEP_KM).join(f.cuts.select(*KEYS), KEYS)
-    now = F.col("odo_end") > F.col("cut_odo") - WINDOW_KM
-    past_km = F.coalesce(F.sum(F.when(~now, F.col("trip_km"))), F.lit(0.0))
-    return rows.groupBy(*KEYS).agg(F.when(past_km >= 300, F.round(F.avg(F.when(~now, F.col(X))) - F.avg(F.when(now, F.col(X))), 4) + 0.0).alias("deviation"))
+    x = panes.deviation(f.trips, f.cuts, X, CONTEXT_KM, WINDOW_KM, STEP_KM, 300)
+    return x.withColumn("deviation", F.round("deviation", 4) + 0.0)
 
 
 CTES["ctx"] = "SELECT vehicle_id, cut_odo, CASE WHEN coalesce(sum(trip_km) FILTER (odo_end<=cut_odo-400),0)>=300 THEN round(avg(level_end) FILTER (odo_end<=cut_odo-400)-avg(level_end) FILTER (odo_end>cut_odo-400),4)+0.0 END AS deviation FROM (SELECT c.vehicle_id, c.cut_odo, t.* EXCLUDE (vehicle_id) FROM cuts c JOIN trips t ON t.vehicle_id=c.vehicle_id AND t.odo_end>c.cut_odo-1000 AND t.odo_end<=c.cut_odo) GROUP BY ALL"
@@ -111,9 +105,8 @@ def g23(f):
 
 @query("g24_window_quality", "SELECT c.vehicle_id, count(*) AS n, count(*) FILTER (coalesce(w.k,0)>=5 AND coalesce(w.km,0)>=320) AS kept FROM cuts c LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS k, sum(trip_km) AS km FROM win GROUP BY ALL) w USING (vehicle_id, cut_odo) GROUP BY 1")
 def g24(f):
-    w = f.windowed.groupBy(*KEYS).agg(*panel.controls())
-    x = f.cuts.select(*KEYS).join(w, KEYS, "left")
-    return x.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.count_if((F.coalesce("n_trips", F.lit(0)) >= 5) & (F.coalesce("km_covered", F.lit(0.0)) >= 0.8 * WINDOW_KM)).alias("kept"))
+    x = panes.features(f.trips, f.cuts, [], WINDOW_KM, STEP_KM, extra=panes.controls, empty=True)
+    return x.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.count_if((F.col("n_trips") >= 5) & (F.coalesce("km_covered", F.lit(0.0)) >= 0.8 * WINDOW_KM)).alias("kept"))
 
 
 @query("b01_cut_grid", "SELECT vehicle_id, cut_odo, event_observed, label, round(time_to_event_km,4) AS time_to_event_km, round(km_after,4) AS km_after FROM cuts")
@@ -128,11 +121,12 @@ def b01b(f):
 
 @query("b02_full_panel", f"SELECT c.vehicle_id, c.cut_odo, label, market, engine, n_trips, w.* EXCLUDE (vehicle_id, cut_odo, n_trips, km_covered), CASE WHEN n_trips IS NULL THEN 'no_trips' WHEN n_trips<5 THEN 'few_trips' WHEN km_covered<320 THEN 'few_km' ELSE 'kept' END AS reason FROM cuts c JOIN vehicles USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS n_trips, sum(trip_km) AS km_covered, {FEATURE_SQL} FROM wins GROUP BY ALL) w ON w.vehicle_id=c.vehicle_id AND w.cut_odo=c.cut_odo")
 def b02(f):
-    table = panel.Aggregators.table()
-    w = with_prev(f).groupBy(*KEYS).agg(*panel.controls()[:2], *((F.round(table[a](F.expr(x), WINDOW_KM).cast("double") + 1e-9, 4) + 0.0).alias(n) for n, x, a in FEATURE_SET))
-    x = f.cuts.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").join(w, KEYS, "left")
-    n = F.col("n_trips")
-    return x.select(*KEYS, "label", "market", "engine", "n_trips", *(n for n, *_ in FEATURE_SET), F.when(n.isNull(), "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept").alias("reason"))
+    w = panes.features(with_prev(f), f.cuts, FEATURE_SET, WINDOW_KM, STEP_KM, extra=lambda x: panes.controls(x)[:2], empty=True)
+    x = f.cuts.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").join(w, KEYS)
+    none, n = F.col("n_trips") == 0, F.col("n_trips")
+    rounded = [F.when(~none, F.round(F.col(c).cast("double") + 1e-9, 4) + 0.0).alias(c) for c, *_ in FEATURE_SET]
+    reason = F.when(none, "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept")
+    return x.select(*KEYS, "label", "market", "engine", F.when(~none, n).alias("n_trips"), *rounded, reason.alias("reason"))
 
 
 @query("b03_matched_healthy", """WITH p AS (SELECT *, CAST(floor(cut_odo/500) AS BIGINT) AS band FROM cuts), c AS (SELECT band, r, coalesce(h,0) AS h, r/sum(r) OVER ()::DOUBLE AS share FROM (SELECT band, count(*) AS r FROM p WHERE label=1 GROUP BY 1) LEFT JOIN (SELECT band, count(*) AS h FROM p WHERE event_observed=0 GROUP BY 1) USING (band)),

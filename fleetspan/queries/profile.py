@@ -119,9 +119,10 @@ BIN = f"CAST(greatest(ceil(odo_end/{BIN_KM})-1,0) AS BIGINT)"
 
 @query("a13_channel_bins", f"SELECT vehicle_id, {BIN} AS bin, round(avg(level_end),4) AS mean, max(level_end) AS top, count(*) AS n, round(sum(trip_km),2) AS km, max(CASE WHEN message='error' THEN 1 ELSE 0 END) AS any_error FROM trips GROUP BY ALL")
 def a13(f):
-    from ..plans import panel
+    from ..plans import panes
 
-    return panel.bins(f.trips, BIN_KM, [F.round(F.avg("level_end"), 4).alias("mean"), F.max("level_end").alias("top"), F.count("*").alias("n"), F.round(F.sum("trip_km"), 2).alias("km"), F.max((F.col("message") == "error").cast("int")).alias("any_error")])
+    specs = [("mean", "level_end", "mean"), ("top", "level_end", "max"), ("n", "*", "count"), ("km", "trip_km", "sum"), ("any_error", "cast(message = 'error' as int)", "any")]
+    return panes.channels(f.trips, BIN_KM, specs).withColumns({"mean": F.round("mean", 4), "km": F.round("km", 2)})
 
 
 @query("a14_weighted_cells", "SELECT vehicle_id, strftime(t_start,'%W') AS week, CASE WHEN sum(trip_km)>=300 THEN round(sum(level_end)/sum(trip_km),6) END AS value, round(sum(trip_km),2) AS weight FROM trips WHERE trip_km>0 GROUP BY ALL")
@@ -360,9 +361,9 @@ def a45(f):
 
 @query("a46_days_covered", "SELECT vehicle_id, round(greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0),6) AS days FROM trips GROUP BY 1")
 def a46(f):
-    from ..plans.panel import Aggregators
+    from ..plans.panel import days_covered
 
-    return f.trips.groupBy("vehicle_id").agg(F.round(Aggregators._days(), 6).alias("days"))
+    return f.trips.groupBy("vehicle_id").agg(F.round(days_covered(), 6).alias("days"))
 
 
 @query("a47_panel_funnel", "SELECT cut_odo, count(*) AS n, count(*) FILTER (label=1) AS positives, round(quantile_cont(km_after,0.5),4) AS exposure_p50 FROM cuts GROUP BY 1")

@@ -486,9 +486,9 @@ def e08(f):
 
 @query("e09_horizon_weeks", "SELECT vehicle_id, greatest(1.0::DOUBLE, round_even(800/(km/days)/7,0)) AS weeks FROM (SELECT vehicle_id, sum(km_c)/100.0::DOUBLE AS km, greatest((epoch_us(max(t_end))-epoch_us(min(t_start)))/86400000000.0::DOUBLE,1.0) AS days FROM trips GROUP BY 1)")
 def e09(f):
-    from ..plans.panel import Aggregators
+    from ..plans.panel import days_covered
 
-    x = f.trips.groupBy("vehicle_id").agg((F.sum("km_c") / 100.0).alias("km"), Aggregators._days().alias("days"))
+    x = f.trips.groupBy("vehicle_id").agg((F.sum("km_c") / 100.0).alias("km"), days_covered().alias("days"))
     return x.select("vehicle_id", explain.horizon_weeks(F.lit(800.0), F.col("km") / F.col("days")).alias("weeks"))
 
 
