@@ -12,7 +12,7 @@ from collections.abc import Callable
 from fractions import Fraction
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,34 +25,30 @@ def pane_width(*lengths: float) -> float:
     return gcd(*(int(p * base) for p in parts)) / base
 
 
-def quantile(ordered: Column, p: float) -> Column:
+def quantile(ordered: str, p: float) -> str:
     """Exact quantile with linear interpolation of a sorted array without nulls; null if it is empty."""
-    at = (F.size(ordered) - 1) * F.lit(p)
-    lo, hi = F.floor(at), F.ceil(at)
-    low, high = F.get(ordered, lo.cast("int")), F.get(ordered, hi.cast("int"))
-    return F.when(F.size(ordered) > 0, F.when(lo == hi, low).otherwise((hi - at) * low + (at - lo) * high))
+    at = f"(size({ordered}) - 1) * {p!r}D"
+    low, high = (f"get({ordered}, cast({f}({at}) as int))" for f in ("floor", "ceil"))
+    return f"if(size({ordered}) > 0, {low} + ({high} - {low}) * ({at} - floor({at})), null)"
 
 
 class Slide:
-    """Collects the states that features ask for."""
+    """Collects the states that features ask for. Expressions are SQL, as each costs one call to Spark however large it is."""
 
     def __init__(self, at: str = "odo_end", cut: str = "cut_odo", prev: str = "prev_pos"):
         self.at, self.cut, self.prev = at, cut, prev
-        self.panes: dict[str, Column] = {}
-        self.merged: dict[str, tuple[Column, float, float]] = {}
-        self.after: dict[str, Column] = {}
+        self.panes: dict[str, str] = {}
+        self.merged: dict[str, tuple[str, float, float]] = {}
+        self.after: dict[str, str] = {}
         self._known: dict[str, int] = {}
 
     def over(self, back: float, until: float = 0.0) -> Frame:
         """Rows in (cut - back, cut - until]."""
         return Frame(self, float(back), float(until))
 
-    def named(self, x: Column | str) -> tuple[Column, int]:
-        return F.expr(x) if isinstance(x, str) else x, self._known.setdefault(str(x), len(self._known))
-
 
 class Frame:
-    """Aggregates of the rows of one window, as Columns over merged states."""
+    """Aggregates of the rows of one window, as SQL over merged states. x: a column or SQL expression of the rows."""
 
     def __init__(self, slide: Slide, back: float, until: float):
         self.slide, self.back, self.until = slide, back, until
@@ -61,95 +57,89 @@ class Frame:
         middle = (self.back + self.until) / 2
         return Frame(self.slide, middle, self.until) if late else Frame(self.slide, self.back, middle)
 
-    def state(self, kind: str, x: Column | str, pane: Callable[[Column], Column], merge: Callable[[Column], Column], after: Callable[[Column], Column] | None = None) -> Column:
-        """pane: aggregate of rows in a pane; merge: aggregate of panes; after: a Column made once of the merged state."""
-        x, i = self.slide.named(x)
-        name = f"_{kind}_{i}"
+    def state(self, kind: str, x: str, pane: str, merge: str, after: str = "{0}") -> str:
+        """pane: aggregate of the rows of a pane, of {x}; merge: aggregate of panes, of {0}; after: made once of the merged state {0}."""
+        name = f"_{kind}_{self.slide._known.setdefault(x, len(self.slide._known))}"
         out = f"{name}_{self.back:g}_{self.until:g}".replace(".", "p").replace("+", "")
-        if name not in self.slide.panes:
-            self.slide.panes[name] = pane(x)
-        if out not in self.slide.merged:
-            self.slide.merged[out] = (merge(F.col(name)), self.back, self.until)
-            if after:
-                self.slide.after[out] = after(F.col(out))
-        return F.col(out)
+        self.slide.panes.setdefault(name, pane.format(x=f"({x})", at=self.slide.at, prev=self.slide.prev))
+        self.slide.merged.setdefault(out, (merge.format(name), self.back, self.until))
+        self.slide.after.setdefault(out, after.format(out))
+        return out
 
-    def rows(self) -> Column:
-        return F.coalesce(self.state("rows", "1", F.count, F.sum), F.lit(0))
+    def rows(self) -> str:
+        return self.state("rows", "1", "count({x})", "sum({0})", "coalesce({0}, 0)")
 
-    def count(self, x) -> Column:
-        return F.coalesce(self.state("count", x, F.count, F.sum), F.lit(0))
+    def count(self, x) -> str:
+        return self.state("count", x, "count({x})", "sum({0})", "coalesce({0}, 0)")
 
-    def sum(self, x) -> Column:
-        return self.state("sum", x, F.sum, F.sum)
+    def sum(self, x) -> str:
+        return self.state("sum", x, "sum({x})", "sum({0})")
 
-    def max(self, x) -> Column:
-        return self.state("max", x, F.max, F.max)
+    def max(self, x) -> str:
+        return self.state("max", x, "max({x})", "max({0})")
 
-    def min(self, x) -> Column:
-        return self.state("min", x, F.min, F.min)
+    def min(self, x) -> str:
+        return self.state("min", x, "min({x})", "min({0})")
 
-    def mean(self, x) -> Column:
-        return F.try_divide(self.sum(x).cast("double"), self.count(x))
+    def mean(self, x) -> str:
+        return f"try_divide(cast({self.sum(x)} as double), {self.count(x)})"
 
-    def std(self, x) -> Column:
+    def std(self, x) -> str:
         """Sample deviation from counts, means and squared deviations of the panes, merged pane by pane."""
-        parts = self.state("moments", x, lambda x: F.struct(F.count(x).cast("double").alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("s")), F.collect_list)
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
-
-        def both(a, b):
-            n = a["n"] + b["n"]
-            d = b["m"] - a["m"]
-            share = F.when(n > 0, b["n"] / n).otherwise(0.0)
-            return F.struct(n.alias("n"), (a["m"] + d * share).alias("m"), (a["s"] + b["s"] + d * d * a["n"] * share).alias("s"))
-
-        return F.aggregate(parts, zero, both, lambda t: F.when(t["n"] > 1, F.sqrt(t["s"] / (t["n"] - 1))))
+        pane = "struct(cast(count({x}) as double) as n, coalesce(avg({x}), 0D) as m, coalesce(var_pop({x}) * count({x}), 0D) as s)"
+        both = "struct(a.n + b.n as n, a.m + (b.m - a.m) * if(a.n + b.n > 0, b.n / (a.n + b.n), 0D) as m, a.s + b.s + (b.m - a.m) * (b.m - a.m) * a.n * if(a.n + b.n > 0, b.n / (a.n + b.n), 0D) as s)"
+        return self.state("moments", x, pane, "collect_list({0})", "aggregate({0}, struct(0D as n, 0D as m, 0D as s), (a, b) -> " + both + ", t -> if(t.n > 1, sqrt(t.s / (t.n - 1)), null))")
 
-    def values(self, x) -> Column:
+    def values(self, x) -> str:
         """Sorted values without nulls."""
-        return self.state("values", x, lambda x: F.sort_array(F.collect_list(x.cast("double"))), F.collect_list, lambda a: F.sort_array(F.flatten(a)))
+        return self.state("values", x, "sort_array(collect_list(cast({x} as double)))", "collect_list({0})", "sort_array(flatten({0}))")
 
-    def quantile(self, x, p: float) -> Column:
+    def quantile(self, x, p: float) -> str:
         return quantile(self.values(x), p)
 
-    def events(self, x) -> Column:
-        return F.coalesce(self.state("events", x, lambda x: F.count_if(x > 0), F.sum), F.lit(0))
+    def events(self, x) -> str:
+        return self.state("events", x, "count_if({x} > 0)", "sum({0})", "coalesce({0}, 0)")
 
-    def first_event(self, x) -> Column:
-        return self.state("first", x, lambda x: F.min(F.when(x > 0, F.col(self.slide.at))), F.min)
+    def first_event(self, x) -> str:
+        return self.state("first", x, "min(if({x} > 0, {at}, null))", "min({0})")
 
-    def last_event(self, x) -> Column:
-        return self.state("last", x, lambda x: F.max(F.when(x > 0, F.col(self.slide.at))), F.max)
+    def last_event(self, x) -> str:
+        return self.state("last", x, "max(if({x} > 0, {at}, null))", "max({0})")
 
-    def gaps(self, x) -> Column:
-        """(previous event's place, distance from it) of the events that have one."""
-        gap = lambda x: F.when((x > 0) & F.col(self.slide.prev).isNotNull(), F.struct(F.col(self.slide.prev).alias("prev"), (F.col(self.slide.at) - F.col(self.slide.prev)).alias("km")))
-        return self.state("gaps", x, lambda x: F.collect_list(gap(x)), F.collect_list, F.flatten)
+    def gaps(self, x, since: float) -> str:
+        """Sorted distances to the previous event, of the events whose previous one is in (cut - since, cut]."""
+        pane = "collect_list(if({x} > 0 and {prev} is not null, struct({prev} as prev, {at} - {prev} as km), null))"
+        inner = f"filter(flatten({{0}}), g -> g.prev > {self.slide.cut} - {since!r}D)"
+        return self.state("gaps", x, pane, "collect_list({0})", f"sort_array(transform({inner}, g -> g.km))")
 
-    def gap_quantile(self, x, p: float, since: float) -> Column:
-        """Of the gaps whose previous event is in (cut - since, cut]."""
-        inner = F.filter(self.gaps(x), lambda g: g["prev"] > F.col(self.slide.cut) - since)
-        return quantile(F.sort_array(F.transform(inner, lambda g: g["km"])), p)
+    def km(self, trip_km: str = "trip_km") -> str:
+        return self.sum(f"greatest({trip_km}, 0D)")
 
-    def km(self, trip_km: str = "trip_km") -> Column:
-        return self.sum(f"greatest({trip_km}, 0.0D)")
+    def days(self) -> str:
+        return f"greatest(({self.max('unix_micros(t_end)')} - {self.min('unix_micros(t_start)')}) / 86400e6D, 1D)"
 
-    def days(self) -> Column:
-        return F.greatest((self.max("unix_micros(t_end)") - self.min("unix_micros(t_start)")) / 86_400e6, F.lit(1.0))
 
-
-def _half_delta(f: Frame, x) -> Column:
+def _half_delta(f: Frame, x) -> str:
     late, early = f.half(True), f.half(False)
-    return F.when((F.size(late.values(x)) >= 3) & (F.size(early.values(x)) >= 3), late.quantile(x, 0.5) - early.quantile(x, 0.5))
+    return f"if(size({late.values(x)}) >= 3 and size({early.values(x)}) >= 3, {late.quantile(x, 0.5)} - {early.quantile(x, 0.5)}, null)"
+
+
+def _gap_trend(f: Frame, x) -> str:
+    late, early = (quantile(f.half(side).gaps(x, f.back), 0.5) for side in (True, False))
+    return f"if({f.events(x)} >= 4, {late} - {early}, null)"
 
 
-def _gap_trend(f: Frame, x) -> Column:
-    return F.when(f.events(x) >= 4, f.half(True).gap_quantile(x, 0.5, f.back) - f.half(False).gap_quantile(x, 0.5, f.back))
+def _rate(f: Frame, x, of: str) -> str:
+    return f"coalesce({f.sum(x)}, 0) / {of}"
 
 
-#: Window aggregators by name: (frame, column or SQL expression) -> Column. Rows must hold trip_km, t_start, t_end for rates, and prev_pos (place of
+def _half_counts(f: Frame, x) -> str:
+    return f"(coalesce({f.half(True).sum(x)}, 0) - coalesce({f.half(False).sum(x)}, 0)) / {(f.back - f.until) / 2!r}D * 1000"
+
+
+#: Window aggregators by name: (frame, column or SQL expression) -> SQL. Rows must hold trip_km, t_start, t_end for rates, and prev_pos (place of
 #: the row's previous event) for gaps. Add to it to extend.
-AGGREGATORS: dict[str, Callable[[Frame, Column | str], Column]] = {
+AGGREGATORS: dict[str, Callable[[Frame, str], str]] = {
     "mean": Frame.mean,
     "median": lambda f, x: f.quantile(x, 0.5),
     "max": Frame.max,
@@ -159,63 +149,64 @@ AGGREGATORS: dict[str, Callable[[Frame, Column | str], Column]] = {
     "p75": lambda f, x: f.quantile(x, 0.75),
     "sum": Frame.sum,
     "count": Frame.count,
-    "any": lambda f, x: (f.max(x) > 0).cast("double"),
-    "per_1000km": lambda f, x: F.coalesce(f.sum(x), F.lit(0)) / F.nullif(f.km(), F.lit(0.0)) * 1000,
-    "per_day": lambda f, x: F.coalesce(f.sum(x), F.lit(0)) / f.days(),
+    "any": lambda f, x: f"cast({f.max(x)} > 0 as double)",
+    "per_1000km": lambda f, x: _rate(f, x, f"nullif({f.km()}, 0D) * 1000"),
+    "per_day": lambda f, x: _rate(f, x, f.days()),
     "half_delta": _half_delta,
-    "half_slope_per_1000km": lambda f, x: _half_delta(f, x) / ((f.back - f.until) / 2) * 1000,
-    "half_mean_delta": lambda f, x: f.half(True).mean(x) - f.half(False).mean(x),
-    "half_count_delta_per_1000km": lambda f, x: (F.coalesce(f.half(True).sum(x), F.lit(0)) - F.coalesce(f.half(False).sum(x), F.lit(0))) / ((f.back - f.until) / 2) * 1000,
-    "gap_mean_km": lambda f, x: F.when(f.events(x) >= 2, (f.last_event(x) - f.first_event(x)) / (f.events(x) - 1)),
-    "gap_median_km": lambda f, x: F.when(f.events(x) >= 2, f.gap_quantile(x, 0.5, f.back)),
+    "half_slope_per_1000km": lambda f, x: f"{_half_delta(f, x)} / {(f.back - f.until) / 2!r}D * 1000",
+    "half_mean_delta": lambda f, x: f"{f.half(True).mean(x)} - {f.half(False).mean(x)}",
+    "half_count_delta_per_1000km": _half_counts,
+    "gap_mean_km": lambda f, x: f"if({f.events(x)} >= 2, ({f.last_event(x)} - {f.first_event(x)}) / ({f.events(x)} - 1), null)",
+    "gap_median_km": lambda f, x: f"if({f.events(x)} >= 2, {quantile(f.gaps(x, f.back), 0.5)}, null)",
     "gap_trend_km": _gap_trend,
-    "km_since_last": lambda f, x: F.col(f.slide.cut) - f.last_event(x),
+    "km_since_last": lambda f, x: f"{f.slide.cut} - {f.last_event(x)}",
 }
 
 
-def slide(rows: DataFrame, cuts: DataFrame, step_km: float, build: Callable[[Slide], list[Column]], key: str = "vehicle_id", at: str = "odo_end", cut: str = "cut_odo") -> DataFrame:
-    """The columns of cuts and those that build makes of frames, one row per cut. Cuts are multiples of step_km; windows without rows have counts of 0.
-
-    Rows without a place on the axis take no part.
+def slide(rows: DataFrame, cuts: DataFrame, step_km: float, build: Callable[[Slide], dict[str, str]], key: str = "vehicle_id", at: str = "odo_end", cut: str = "cut_odo") -> DataFrame:
+    """The columns of cuts and those (name: SQL) that build makes of frames, one row per cut. Cuts are multiples of step_km; windows without rows
+    have counts of 0. Rows without a place on the axis take no part.
     """
     s = Slide(at, cut)
     made = build(s)
-    lengths = {x for _, back, until in s.merged.values() for x in (back, until)}
-    width = pane_width(step_km, *lengths)
-    pane = F.ceil(F.col(at) / F.lit(width)).cast("long")
-    states = rows.filter(F.col(at).isNotNull()).groupBy(key, pane.alias("_pane")).agg(*(c.alias(n) for n, c in s.panes.items()))
-    marks = cuts.withColumns({"_pane": F.round(F.col(cut) / F.lit(width)).cast("long"), "_is_cut": F.lit(True)})
+    width = pane_width(step_km, *(x for _, back, until in s.merged.values() for x in (back, until)))
+    placed = rows.filter(f"{at} is not null").withColumn("_pane", F.expr(f"cast(ceil({at} / {width!r}D) as bigint)"))
+    states = placed.groupBy(key, "_pane").agg(*(F.expr(f"{x} as {n}") for n, x in s.panes.items()))
+    marks = cuts.withColumns({"_pane": F.expr(f"cast(round({cut} / {width!r}D) as bigint)"), "_is_cut": F.lit(True)})
     both = states.unionByName(marks, allowMissingColumns=True)
-    by = Window.partitionBy(key).orderBy("_pane")
 
-    def frame(back, until):
-        return by.rangeBetween(1 - round(back / width), -round(until / width))
+    def over(merge, back, until):
+        ends = [f"{round(back / width) - 1} preceding", "current row" if not until else f"{round(until / width)} preceding"]
+        return f"{merge} over (partition by {key} order by _pane range between {ends[0]} and {ends[1]})"
 
-    merged = both.select(*cuts.columns, "_is_cut", *(m.over(frame(back, until)).alias(n) for n, (m, back, until) in s.merged.items())).filter("_is_cut")
-    ready = merged.select(*cuts.columns, *(s.after.get(n, F.col(n)).alias(n) for n in s.merged))
-    return ready.select(*cuts.columns, *made)
+    merged = both.selectExpr(*cuts.columns, "_is_cut", *(f"{over(*m)} as {n}" for n, m in s.merged.items())).filter("_is_cut")
+    ready = merged.selectExpr(*cuts.columns, *(f"{x} as {n}" for n, x in s.after.items()))
+    return ready.selectExpr(*cuts.columns, *(f"{x} as {n}" for n, x in made.items()))
 
 
-def features(rows: DataFrame, cuts: DataFrame, specs: list[tuple[str, Column | str, str]], window_km: float, step_km: float, extra: Callable[[Frame], list[Column]] | None = None, empty: bool = False) -> DataFrame:
-    """vehicle_id, cut_odo and the declared features of the windows (cut - window_km, cut]. specs: (name, column or SQL expression, aggregator's name).
+def features(rows: DataFrame, cuts: DataFrame, specs: list[tuple[str, str, str]], window_km: float, step_km: float, extra: Callable[[Frame], dict[str, str]] | None = None, empty: bool = False, keep: list[str] = ()) -> DataFrame:
+    """vehicle_id, cut_odo, the columns keep of cuts, and the declared features of the windows (cut - window_km, cut].
 
-    extra: more Columns of the whole window. empty: also windows without rows.
+    specs: (name, column or SQL expression, aggregator's name). extra: more of the whole window. empty: also windows without rows.
     """
 
-    def build(s: Slide) -> list[Column]:
+    def build(s: Slide) -> dict[str, str]:
         f = s.over(window_km)
-        return [*(AGGREGATORS[agg](f, x).alias(name) for name, x, agg in specs), *(extra(f) if extra else []), f.rows().alias("_rows")]
+        return {name: AGGREGATORS[agg](f, x) for name, x, agg in specs} | (extra(f) if extra else {}) | {"_rows": f.rows()}
 
-    out = slide(rows, cuts.select("vehicle_id", "cut_odo"), step_km, build)
+    out = slide(rows, cuts.select("vehicle_id", "cut_odo", *keep), step_km, build)
     return (out if empty else out.filter("_rows > 0")).drop("_rows")
 
 
-def controls(f: Frame) -> list[Column]:
+def controls(f: Frame) -> dict[str, str]:
     """Counts and coverage of a window."""
-    return [
-        f.rows().alias("n_trips"), f.km().alias("km_covered"), F.coalesce(f.sum("cast(trip_km > 0 as long)"), F.lit(0)).alias("n_moving"),
-        f.days().alias("days_covered"), f.max("unix_micros(t_end)").alias("cut_us"), F.coalesce(f.sum("cast(message = 'error' as long)"), F.lit(0)).alias("n_signals"),
-    ]
+    return {
+        "n_trips": f.rows(), "km_covered": f.km(), "n_moving": f"coalesce({f.sum('cast(trip_km > 0 as bigint)')}, 0)",
+        "days_covered": f.days(), "cut_us": f.max("unix_micros(t_end)"), "n_signals": f"coalesce({f.sum(SIGNAL)}, 0)",
+    }
+
+
+SIGNAL = "cast(message = 'error' as bigint)"
 
 
 def deviation(rows: DataFrame, cuts: DataFrame, x: str, context_km: float, window_km: float, step_km: float, least_km: float) -> DataFrame:
@@ -224,10 +215,9 @@ def deviation(rows: DataFrame, cuts: DataFrame, x: str, context_km: float, windo
     Cuts without a row in either are left out.
     """
 
-    def build(s: Slide) -> list[Column]:
+    def build(s: Slide) -> dict[str, str]:
         past, now = s.over(context_km, window_km), s.over(window_km)
-        km = F.coalesce(past.sum("trip_km"), F.lit(0.0))
-        return [F.when(km >= least_km, past.mean(x) - now.mean(x)).alias("deviation"), (past.rows() + now.rows()).alias("_rows")]
+        return {"deviation": f"if(coalesce({past.sum('trip_km')}, 0D) >= {least_km}, {past.mean(x)} - {now.mean(x)}, null)", "_rows": f"{past.rows()} + {now.rows()}"}
 
     return slide(rows, cuts.select("vehicle_id", "cut_odo"), step_km, build).filter("_rows > 0").drop("_rows")
 

@@ -82,7 +82,7 @@ FEATURE_SQL = ", ".join(f"round(CAST({AGGREGATOR_SQL[a].format(x=x.replace('as i
 def declared(f):
     """Every declared feature of every window, rounded."""
     x = panes.features(with_prev(f), f.cuts, FEATURE_SET, WINDOW_KM, STEP_KM)
-    return x.select(*KEYS, *((F.round(F.col(n).cast("double") + 1e-9, 4) + 0.0).alias(n) for n, *_ in FEATURE_SET))
+    return x.selectExpr(*KEYS, *(f"round(cast({n} as double) + 1e-9D, 4) + 0D as {n}" for n, *_ in FEATURE_SET))
 
 
 @query("g22_declared_feature_set", f"SELECT vehicle_id, cut_odo, {FEATURE_SQL} FROM wins GROUP BY ALL")
@@ -121,12 +121,10 @@ def b01b(f):
 
 @query("b02_full_panel", f"SELECT c.vehicle_id, c.cut_odo, label, market, engine, n_trips, w.* EXCLUDE (vehicle_id, cut_odo, n_trips, km_covered), CASE WHEN n_trips IS NULL THEN 'no_trips' WHEN n_trips<5 THEN 'few_trips' WHEN km_covered<320 THEN 'few_km' ELSE 'kept' END AS reason FROM cuts c JOIN vehicles USING (vehicle_id) LEFT JOIN (SELECT vehicle_id, cut_odo, count(*) AS n_trips, sum(trip_km) AS km_covered, {FEATURE_SQL} FROM wins GROUP BY ALL) w ON w.vehicle_id=c.vehicle_id AND w.cut_odo=c.cut_odo")
 def b02(f):
-    w = panes.features(with_prev(f), f.cuts, FEATURE_SET, WINDOW_KM, STEP_KM, extra=lambda x: panes.controls(x)[:2], empty=True)
-    x = f.cuts.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").join(w, KEYS)
-    none, n = F.col("n_trips") == 0, F.col("n_trips")
-    rounded = [F.when(~none, F.round(F.col(c).cast("double") + 1e-9, 4) + 0.0).alias(c) for c, *_ in FEATURE_SET]
-    reason = F.when(none, "no_trips").when(n < 5, "few_trips").when(F.col("km_covered") < 0.8 * WINDOW_KM, "few_km").otherwise("kept")
-    return x.select(*KEYS, "label", "market", "engine", F.when(~none, n).alias("n_trips"), *rounded, reason.alias("reason"))
+    w = panes.features(with_prev(f), f.cuts, FEATURE_SET, WINDOW_KM, STEP_KM, extra=panes.controls, empty=True, keep=["label"])
+    rounded = [f"if(n_trips > 0, round(cast({c} as double) + 1e-9D, 4) + 0D, null) as {c}" for c, *_ in FEATURE_SET]
+    reason = f"case when n_trips = 0 then 'no_trips' when n_trips < 5 then 'few_trips' when km_covered < {0.8 * WINDOW_KM}D then 'few_km' else 'kept' end as reason"
+    return w.join(f.vehicles.select("vehicle_id", "market", "engine"), "vehicle_id").selectExpr(*KEYS, "label", "market", "engine", "nullif(n_trips, 0) as n_trips", *rounded, reason)
 
 
 @query("b03_matched_healthy", """WITH p AS (SELECT *, CAST(floor(cut_odo/500) AS BIGINT) AS band FROM cuts), c AS (SELECT band, r, coalesce(h,0) AS h, r/sum(r) OVER ()::DOUBLE AS share FROM (SELECT band, count(*) AS r FROM p WHERE label=1 GROUP BY 1) LEFT JOIN (SELECT band, count(*) AS h FROM p WHERE event_observed=0 GROUP BY 1) USING (band)),

@@ -70,7 +70,7 @@ def test_panes_equal_plain_windows(spark, window, step):
     rows = make_trips(int(window))
     cuts = [(v, c * step) for v in range(5) for c in range(1, int(700 / step))]
     trips = panel.with_prev_event(spark.createDataFrame(rows, TRIP), F.col("ev") > 0)
-    out = panes.features(trips, spark.createDataFrame(cuts, "vehicle_id long, cut_odo double"), SPECS, window, step, extra=lambda f: [f.rows().alias("rows")]).collect()
+    out = panes.features(trips, spark.createDataFrame(cuts, "vehicle_id long, cut_odo double"), SPECS, window, step, extra=lambda f: {"rows": f.rows()}).collect()
     want = brute(rows, cuts, window)
     assert {(r["vehicle_id"], r["cut_odo"]) for r in out} == set(want)
     for r in out:
@@ -88,7 +88,7 @@ def test_nothing_after_the_cut_counts_and_empty_windows_stay(spark):
 
 
 def test_a_user_adds_an_aggregator(spark, monkeypatch):
-    monkeypatch.setitem(panes.AGGREGATORS, "spread", lambda f, x: f.max(x) - f.min(x))
+    monkeypatch.setitem(panes.AGGREGATORS, "spread", lambda f, x: f"{f.max(x)} - {f.min(x)}")
     rows, cuts = make_trips(8, 2), [(1, 100.0), (1, 200.0)]
     out = panes.features(spark.createDataFrame(rows, TRIP), spark.createDataFrame(cuts, "vehicle_id long, cut_odo double"), [("s", "x", "spread")], 100.0, 100.0).collect()
     want = brute(rows, cuts, 100.0)
