@@ -47,17 +47,26 @@ def history_clones(rows: DataFrame, cols: list[str], key: str = "vehicle_id") ->
 
 
 def shared_rows(rows: DataFrame, keys: list[str], key: str = "vehicle_id", least: float = 0.5) -> DataFrame:
-    """Pairs of vehicles by the share of rows (equal in keys) of the smaller history that both hold.
+    """Pairs of vehicles by the share of rows (equal in keys) of the smaller history that both hold, from least (above 0) on.
 
-    Rows of keys that one vehicle alone holds don't reach the pairing.
+    An overlap join by rare-first prefixes: a vehicle whose n distinct rows share at least m = ceil(least * n) with another's misses at most n - m of
+    them there, so one of its n - m + 1 rarest is among them. Only these look for holders, among vehicles with as many rows or more; rows that one vehicle alone
+    holds, the rarest of all, find none. Candidates are then counted row by row. A popular row is looked up only by vehicles that hold too few rarer ones.
     """
     x = rows.select(key, *keys).distinct()
-    n = x.groupBy(key).agg(F.count("*").alias("n"))
-    met = x.withColumn("_m", F.count("*").over(Window.partitionBy(*keys))).filter("_m > 1").drop("_m")
-    a, b = met.withColumnRenamed(key, "veh_a"), met.withColumnRenamed(key, "veh_b")
-    p = a.join(b, keys).filter("veh_a < veh_b").groupBy("veh_a", "veh_b").agg(F.count("*").alias("n_shared"))
-    p = p.join(n.toDF("veh_a", "n_a"), "veh_a").join(n.toDF("veh_b", "n_b"), "veh_b")
-    return p.withColumn("share", F.col("n_shared") / F.least("n_a", "n_b").cast("double")).filter(F.col("share") >= least).select("veh_a", "veh_b", "n_shared", "share")
+    x = x.withColumn("_df", F.count("*").over(Window.partitionBy(*keys)))
+    n, shared = F.count("*").over(Window.partitionBy(key)), F.count_if(F.col("_df") > 1).over(Window.partitionBy(key))
+    need = F.ceil(F.col("_n") * F.lit(least) - 1e-9)
+    x = x.withColumns({"_n": n, "_shared": shared, "_k": F.row_number().over(Window.partitionBy(key).orderBy("_df", *keys))})
+    x = x.filter((F.col("_df") > 1) & (F.col("_shared") > 0))
+    probe = x.filter((F.col("_shared") >= need) & (F.col("_k") <= F.col("_n") - need + 1)).select(*keys, F.col(key).alias("_a"), F.col("_n").alias("_na"))
+    held = x.select(*keys, F.col(key).alias("_b"), F.col("_n").alias("_nb"))
+    larger = (F.col("_nb") > F.col("_na")) | ((F.col("_nb") == F.col("_na")) & (F.col("_b") > F.col("_a")))
+    pairs = probe.join(held, keys).filter(larger).select("_a", "_b", "_na").distinct()
+    a, b = x.select(F.col(key).alias("_a"), *keys), x.select(F.col(key).alias("_b"), *keys)
+    p = pairs.join(a, "_a").join(b, ["_b", *keys]).groupBy("_a", "_b", "_na").agg(F.count("*").alias("n_shared"))
+    p = p.withColumn("share", F.col("n_shared") / F.col("_na").cast("double")).filter(F.col("share") >= least)
+    return p.select(F.least("_a", "_b").alias("veh_a"), F.greatest("_a", "_b").alias("veh_b"), "n_shared", "share")
 
 
 def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

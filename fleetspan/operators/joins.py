@@ -32,10 +32,23 @@ def enrichment_report(rows: DataFrame, static: DataFrame, key: str = "vehicle_id
 
 
 def min_distance(points: DataFrame, intervals: DataFrame, at: str, key: str = "vehicle_id") -> DataFrame:
-    """Per point: least distance in days to any interval [a, b] of its key, 0 inside. Points without intervals have null."""
-    d = F.greatest(F.lit(0), F.unix_micros("a") - F.unix_micros(at), F.unix_micros(at) - F.unix_micros("b"))
-    x = points.join(intervals.select(key, "a", "b"), key, "left")
-    return x.groupBy(*points.columns).agg((F.min(F.when(F.col("a").isNotNull(), d)) / 86_400e6).alias("distance_days"))
+    """points with distance_days: least distance to any interval [a, b] of the key, 0 inside; null without intervals.
+
+    Intervals may overlap and lie in each other: of those that start up to a point the one that ends last is nearest, of those that start later
+    the first. Both come from one pass over points and starts in order of time: one shuffle, and no pair of a point and an interval. An interval
+    without end is open; one without start, or that ends before it starts, doesn't count.
+    """
+    cols = points.columns
+    open_end = F.lit((1 << 63) - 1)
+    starts = intervals.filter("a is not null and (b is null or b >= a)").select(key, F.unix_micros("a").alias("_x"), F.coalesce(F.unix_micros("b"), open_end).alias("_end"), F.lit(0).alias("_side"))
+    both = points.withColumns({"_x": F.unix_micros(at), "_side": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy("_x", "_side")
+    last_end = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    next_start = F.min(F.when(F.col("_side") == 0, F.col("_x"))).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    x = both.select(*cols, "_side", "_x", last_end.alias("_last"), next_start.alias("_next")).filter("_side = 1")
+    before = F.when(F.col("_last") >= F.col("_x"), 0).otherwise(F.col("_x") - F.col("_last"))
+    distance = F.when(F.col("_x").isNotNull(), F.least(before, F.col("_next") - F.col("_x")))  # least passes over a missing side
+    return x.select(*cols, (distance / 86_400e6).alias("distance_days"))
 
 
 def fallback_lookup(rows: DataFrame, tables: list[tuple[str, list[str], DataFrame]], value: str) -> DataFrame:
@@ -74,56 +87,77 @@ def reference_deviation(rows: DataFrame, cells: list[str], value: str, healthy:
     return rows.join(ref, cells, "left").withColumn("deviation", F.col(value) - F.col("_ref")).drop("_ref")
 
 
-def comparable_pairs(rows: DataFrame, score: str = "score", group: str | None = None, entry: str | None = None, levels: int = 6) -> DataFrame:
+#: Rows of a leaf of the order-statistic tree, which meet one by one.
+LEAF = 64
+#: Groups of up to so many rows are one leaf.
+SINGLE = 1 << 12
+#: Groups and nodes of up to so many rows are summed by a window, larger ones range by range.
+NODE = 1 << 17
+
+
+def comparable_pairs(rows: DataFrame, score: str = "score", group: str | None = None, entry: str | None = None) -> DataFrame:
     """Counts (n_pairs, concordant, ties) of pairs (event row i, row j at risk at i's time) by group.
 
     i has event = 1; j is comparable if it lasts longer than i, or as long without an event, and has entered before i's time. As no row
     leaves before it enters, those are the rows that last longer, less those that enter at i's time or later: two counts of _dominated.
-    With a group and levels = 0 its rows meet one by one, which is quicker while groups have a few thousand rows.
     """
     g = [group] if group else []
     base = rows.groupBy(*g, "duration", "event", F.col(score).cast("double").alias("s"), (F.col(entry) if entry else F.lit(None).cast("double")).cast("double").alias("entry")).agg(F.count("*").alias("w")).persist()  # read several times
-    if g and not levels:
-        a = base.filter("event = 1").select(*g, F.col("duration").alias("xi"), F.col("s").alias("si"), F.col("w").alias("wi"))
-        cond = ((F.col("duration") > F.col("xi")) | ((F.col("duration") == F.col("xi")) & (F.col("event") == 0))) & F.coalesce(F.col("entry") < F.col("xi"), F.lit(True))
-        pair = F.col("wi") * F.col("w")
-        return a.join(base, g).filter(cond).groupBy(*g).agg(F.sum(pair).alias("n_pairs"), F.sum(F.when(F.col("si") > F.col("s"), pair).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("si") == F.col("s"), pair).otherwise(0)).alias("ties"))
-    i = base.filter("event = 1").groupBy(*g, F.col("duration").alias("x"), "s").agg(F.sum("w").alias("wi")).withColumn("k", F.lit(1))
+    most = base.groupBy(*g).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]  # says how large nodes become
+    i = base.filter("event = 1").groupBy(*g, F.col("duration").cast("double").alias("x"), "s").agg(F.sum("w").alias("wi")).withColumn("k", F.lit(1))
     # at equal times, k tells which rows come after i
-    longer = base.select(*g, F.col("duration").alias("x"), F.when(F.col("event") == 0, 2).otherwise(0).alias("k"), "s", "w")
+    longer = base.select(*g, F.col("duration").cast("double").alias("x"), F.when(F.col("event") == 0, 2).otherwise(0).alias("k"), "s", "w")
     late = base.filter("entry is not null").select(*g, F.col("entry").alias("x"), F.when((F.col("event") == 1) & (F.col("entry") >= F.col("duration")), 0).otherwise(2).alias("k"), "s", "w")
-    a = _dominated(i, longer, g, levels)
+    a = _dominated(i, longer, g, 2 * most)
     if entry:
-        a = a.unionByName(_dominated(i, late, g, levels).select(*g, *((-F.col(c)).alias(c) for c in ("n", "less", "same"))))
+        a = a.unionByName(_dominated(i, late, g, 2 * most).select(*g, *((-F.col(c)).alias(c) for c in ("n", "less", "same"))))
     return a.groupBy(*g).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("n", "n_pairs"), ("less", "concordant"), ("same", "ties")))).filter("n_pairs > 0")
 
 
-def _dominated(i: DataFrame, j: DataFrame, g: list[str], levels: int) -> DataFrame:
+def _dominated(i: DataFrame, j: DataFrame, g: list[str], most: int) -> DataFrame:
     """(g, n, less, same): weights of pairs with (x, k) of j after that of i; in all, with a smaller score than i's, with the same.
 
-    x falls into 2^levels ranges. All ranges after i's are the right neighbours of the nodes above it in a binary tree, so j is counted
-    in its nodes' histograms of scores and i looks up at most one node a level: n log n rows. Only rows of one range meet one by one.
+    An order-statistic tree over the places of (x, k): leaves hold up to 2 * LEAF rows, or all rows of one (x, k), which can't be pairs. All
+    leaves after i's are the right neighbours of the nodes above it, so j is counted in its nodes' histograms of scores, and i looks up one node
+    a level at most: rows times levels, which follow the logarithm of the group's rows. Only rows of one leaf meet one by one.
+    most: rows of the largest group at most.
     """
-    n = 1 << levels
-    q = j.groupBy(*g).agg(F.percentile_approx("x", F.array(*(F.lit(t / n) for t in range(1, n))), F.lit(4 * n)).alias("_q"))
-
-    def ranged(d):
-        d = d.join(q, g) if g else d.crossJoin(q)  # one row
-        return d.withColumn("b", F.size(F.filter("_q", lambda e: e < F.col("x")))).drop("_q")
-
-    i, j = ranged(i), ranged(j)
-    up = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    node = F.floor(F.col("b") / F.pow(F.lit(2), F.col("level"))).cast("int")
-    jn = j.withColumn("level", up).withColumn("node", node).filter("node % 2 = 1").groupBy(*g, "level", "node", "s").agg(F.sum("w").alias("w"))
-    it = i.withColumn("level", up).withColumn("node", node).filter("node % 2 = 0").withColumn("node", F.col("node") + 1)
-    h = jn.unionByName(it.select(*g, "level", "node", "s", F.lit(0).cast("bigint").alias("w"))).groupBy(*g, "level", "node", "s").agg(F.sum("w").alias("w"))
-    c = running_counts(h, [*g, "level", "node"], "s", ["w"], ranges=4)
-    far = it.join(c, [*g, "level", "node", "s"]).select(*g, (F.col("wi") * F.col("w_all")).alias("n"), (F.col("wi") * F.col("w_below")).alias("less"), (F.col("wi") * F.col("w")).alias("same"))
+    if g and most <= SINGLE:
+        return _met(i.withColumn("b", F.lit(0)), j.withColumn("b", F.lit(0)), g)
+    both = i.select(*g, "x", "k", "s", "wi", F.lit(0).cast("bigint").alias("w")).unionByName(j.select(*g, "x", "k", "s", F.lit(0).cast("bigint").alias("wi"), "w"))
+    ks = [F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(3)]
+    at = both.groupBy(*g, "x").agg(F.count("*").alias("n"), *ks)
+    at = running_counts(at, g, "x", ["n"]) if most > NODE else _windowed_counts(at, g, "x", ["n"])
+    # (x, k) with more than LEAF rows is the last of its block, and a leaf of its own
+    order = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("size"), (F.col("n_below") + sum((F.col(f"n{q}") for q in range(k)), F.lit(0))).alias("below")) for k in range(3))))
+    leaf = 2 * F.floor(F.col("o.below") / LEAF) + (F.col("o.size") > LEAF).cast("int")
+    levels = F.ceil(F.log2(2 * F.floor(F.col("n_all") / LEAF) + 2)).cast("int")
+    places = at.select(*g, "x", levels.alias("levels"), order.alias("o")).filter("o.size > 0").select(*g, "x", "o.k", leaf.alias("b"), "levels")
+    placed = both.join(places, [*g, "x", "k"]).persist()  # read by nodes and by leaves
+    up = F.explode(F.sequence(F.lit(0), F.col("levels") - 1))
+    node = F.expr("shiftright(b, level)")
+    x = placed.withColumn("level", up).withColumn("node", node)
+    jn = x.filter("w > 0 and node % 2 = 1").select(*g, "level", "node", "s", "w", F.lit(0).cast("bigint").alias("wi"))
+    it = x.filter("wi > 0 and node % 2 = 0").select(*g, "level", F.col("node") + 1, "s", F.lit(0).cast("bigint").alias("w"), "wi")
+    # what i looks up stands in the histogram itself
+    h = jn.union(it).groupBy(*g, "level", "node", "s").agg(F.sum("w").alias("w"), F.sum("wi").alias("wi"))
+    key = [*g, "level", "node"]
+    small = F.pow(F.lit(2.0), F.col("level")) * LEAF <= NODE
+    found = _windowed_counts(h.filter(small), key, "s", ["w"])
+    if most > NODE:
+        found = found.unionByName(running_counts(h.filter(~small), key, "s", ["w"]))
+    far = found.filter("wi > 0").select(*g, (F.col("wi") * F.col("w_all")).alias("n"), (F.col("wi") * F.col("w_below")).alias("less"), (F.col("wi") * F.col("w")).alias("same"))
+    one = placed.filter("b % 2 = 0")
+    return far.unionByName(_met(one.filter("wi > 0"), one.filter("w > 0").drop("wi"), g))
+
+
+def _met(i: DataFrame, j: DataFrame, g: list[str]) -> DataFrame:
+    """The sums of _dominated for rows of one leaf b, one by one."""
     a = i.select(*g, "b", F.col("x").alias("xi"), F.col("k").alias("ki"), F.col("s").alias("si"), "wi")
     after = (F.col("x") > F.col("xi")) | ((F.col("x") == F.col("xi")) & (F.col("k") > F.col("ki")))
     pair = F.col("wi") * F.col("w")
-    near = a.join(j, [*g, "b"]).filter(after).select(*g, pair.alias("n"), F.when(F.col("s") < F.col("si"), pair).otherwise(0).alias("less"), F.when(F.col("s") == F.col("si"), pair).otherwise(0).alias("same"))
-    return far.unionByName(near)
+    less, same = (F.sum(F.when(c, pair).otherwise(0)) for c in (F.col("s") < F.col("si"), F.col("s") == F.col("si")))
+    return a.join(j, [*g, "b"]).filter(after).groupBy(*g).agg(F.sum(pair).alias("n"), less.alias("less"), same.alias("same"))
 
 
 def score_drift(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,6 +182,13 @@ def average_rank(rows: DataFrame, score: str, name: str, by: list[str] = (), sha
     return rows.join(ranked, cond, "left").drop("_s", *(f"_k_{c}" for c in by))
 
 
+def _windowed_counts(hist: DataFrame, by: list[str], value: str, counts: list[str]) -> DataFrame:
+    """running_counts of groups that one task can sort."""
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    below = every.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.select(*hist.columns, *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in counts), *(F.sum(c).over(every).alias(f"{c}_all") for c in counts))
+
+
 def running_counts(hist: DataFrame, by: list[str], value: str, counts: list[str], ranges: int = 64) -> DataFrame:
     """hist with <c>_below (sum of c over smaller values of the group) and <c>_all. Values are dealt to ranges by approximate quantiles.
 
