@@ -10,7 +10,8 @@ of page_id), labelled by their semantic elements: text in article or main counts
 
 Defined results: null or empty html, and pages without content, give an empty text. Rows that repeat are extracted row by row.
 Unclosed and stray tags are repaired as browsers do for p, li and tables; depth is bounded by memory only. An element that is
-dropped but has no end tag (svg, object and the like) ends with the block that holds it, or, if none ends, takes nothing along. Attributes are data, whatever they hold. Other columns are not read.
+dropped (svg, object and the like) but has no end tag in the block that holds it takes nothing along; the slash of script and style tags
+means nothing. Attributes are data, whatever they hold. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,6 +103,8 @@ class Tree(HTMLParser):
         self.link = False
         self.dropped = Open()
         self.within = Open()  # blocks opened in what is dropped
+        self.held: list[list] = []  # what came since the drop began: kind, tag or text, attributes, whether the tag drops nothing, self.left
+        self.opens: list[list] = []  # those of it that self.dropped stands for
         self.left = len(html)  # chars from the tag in hand to the end
         self.endless = False  # no comment ends from here on
         self.feed(html)
@@ -140,23 +143,49 @@ class Tree(HTMLParser):
 
     def restore(self):
         """Nothing is dropped from here on."""
-        self.dropped, self.within = Open(), Open()
+        self.dropped, self.within, self.held, self.opens = Open(), Open(), [], []
+
+    def take_back(self):
+        """What is being dropped has no end tag in its block: read what it held again, the open tags as if they weren't there.
+
+        All open tags of a name are set aside at once, so that a stretch is read again once a name at most.
+        """
+        held, left = self.held, self.left
+        for event in self.opens:
+            event[3] = True
+        self.restore()
+        for kind, what, attrs, plain, self.left in held:
+            if kind == "start":
+                self.handle_starttag(what, attrs, plain)
+            elif kind == "end":
+                self.handle_endtag(what)
+            else:
+                self.handle_data(what)
+        self.left = left
+
+    def hold(self, kind, what, attrs=(), plain=False):
+        if self.dropped.tags[0] not in ("head", "script", "style"):
+            self.held.append([kind, what, attrs, plain, self.left])
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag, attrs, plain=False):
         if self.dropped.tags:
             first = self.dropped.tags[0]
             if tag == "body" or self.dropped.tags == ["head"] and tag not in IN_HEAD:
                 self.restore()
             else:
-                if tag == first or first == "head" and tag in ("title", "noscript", "script", "style", "template", "noframes"):
+                self.hold("start", tag, attrs, plain)
+                if tag == first and not plain or first == "head" and tag in ("title", "noscript", "script", "style", "template", "noframes"):
                     self.dropped.push(tag)
+                    self.opens += self.held[-1:]
                 elif tag in BLOCKS:
                     self.within.push(tag)
                 return
         if tag in DROPPED:
             # scripts and styles run to the end of the page in browsers too, and a head ends by itself
-            if tag in ("head", "script", "style") or self.ends is None or 0 < self.ends.get(tag, 0) < self.left:
+            if not plain and (tag in ("head", "script", "style") or self.ends is None or 0 < self.ends.get(tag, 0) < self.left):
                 self.dropped.push(tag)
+                self.hold("start", tag, attrs)
+                self.opens += self.held[-1:]
             return
         if tag == "a":
             self.link = True
@@ -182,19 +211,31 @@ class Tree(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in DROPPED:
             self.handle_starttag(tag, attrs)
+        elif tag in ("script", "style"):
+            self.handle_starttag(tag, attrs)
+            self.set_cdata_mode(tag)
 
     def handle_endtag(self, tag):
         if self.dropped.tags:
             for opened in (self.dropped, self.within):
                 k = opened.last(tag)
                 if k >= 0:
+                    self.hold("end", tag)
                     opened.cut(k)
+                    if opened is self.dropped:
+                        del self.opens[k:]
                     if not self.dropped.tags:
-                        self.within = Open()
+                        self.restore()
                     return
             if tag not in BLOCKS or self.blocks.last(tag) < 0:
+                self.hold("end", tag)
                 return
-            self.restore()  # never closed: it ends with the block that holds it
+            while self.dropped.tags:
+                # a head, script or style without end is over with its block; the others give back what they held
+                if self.dropped.tags[0] in ("head", "script", "style"):
+                    self.restore()
+                else:
+                    self.take_back()
         if tag == "a":
             self.link = False
         elif tag in BLOCKS:
@@ -203,7 +244,9 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         if self.dropped.tags == ["head"] and data.strip():
             self.restore()
-        if not self.dropped.tags:
+        if self.dropped.tags:
+            self.hold("text", data)
+        else:
             self.buf.append(data)
             if self.link:
                 self.linked += len(data)

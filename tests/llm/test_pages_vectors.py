@@ -308,7 +308,7 @@ def test_malformed_pages_keep_their_text():
     assert read("<head><title>t</title><meta charset=utf-8><p>one</p><p>two</p>") == ["one", "two"]
     assert read("<head><title>t</title><noscript><img src=x></noscript><style>s</style></head><p>one</p>") == ["one"]
     for tag in ("object", "video", "svg", "noscript"):
-        assert read(f"<body><div><p>one</p><{tag}><div>in</div></div><p>two</p></body>") == ["one", "two"], tag
+        assert read(f"<body><div><p>one</p><{tag}><div>in</div></div><p>two</p></body>") == ["one", "in", "two"], tag
         assert read(f"<body><div><{tag}><p>in</p></{tag}><p>one</p></div></body>") == ["one"], tag
 
 
@@ -321,6 +321,22 @@ def test_unclosed_dropped_elements_take_nothing_along():
     assert read("<p>one</p><script>never closed <p>two</p>") == ["one"]
 
 
+def test_text_after_unclosed_elements_of_an_article_stays():
+    read = lambda page: [x[5] for x in html_tree.Tree(page).nodes if x[5]]
+    tags = "svg object iframe video template noscript canvas audio".split()
+    for tag in tags:
+        assert read(f"<body><article><p>a</p><{tag}><p>MIDDLE</p></article><p>z</p></body>") == ["a", "MIDDLE", "z"], tag
+        assert read(f"<article><p>a</p><{tag}><p>x</p></{tag}><p>b</p></article>") == ["a", "b"], tag
+        assert read(f"<article><p>a</p><{tag}><{tag}><p>x</p></{tag}><p>b</p></article><p>z</p>") == ["a", "b", "z"], tag  # one of two has no end
+        assert read(f"<article><{tag}><p>a</p><svg><path></svg><script>var x;</script><p>b</p></article>") == ["a", "b"], tag
+    for a in tags:
+        for b in tags:
+            if a != b:
+                assert read(f"<article><p>a</p><{a}><p>b</p><{b}><p>c</p><{a}>d</article><p>z</p>") == ["a", "b", "c", "d", "z"], (a, b)
+                assert read(f"<article><p>a</p><{a}><p>b</p><{b}><p>c</p></{b}>d</article><p>z</p>") == ["a", "b", "d", "z"], (a, b)
+    assert read("<article><p>a</p><script/>var x=1;</script><p>b</p><style/>p{a:b}</style><p>c</p><svg/><p>d</p></article>") == ["a", "b", "c", "d"]
+
+
 def test_odd_attributes_are_data(spark):
     odd = ['<p data-y="12.5">one</p>', "<p data-y>one</p>", '<p data-y="" class id role=>one</p>', '<p data-y=1>one</p><nav data-y="1"><a href=1>Menu</a></nav>']
     want = [x[6] for page in odd for x in html_tree.Tree(page).nodes]
