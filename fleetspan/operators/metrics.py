@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import comparable_pairs, running_counts
+from .quantiles import quantiles
 
 KEY, AT = "vehicle_id", "cut_odo"
 
@@ -114,8 +115,9 @@ def threshold_curve(rows: DataFrame, taus: list[float], k: int) -> DataFrame:
     v = rows.groupBy(KEY).agg(F.max("event_observed").alias("event_observed")).withColumn("tau", F.explode(F.array(*(F.lit(t) for t in taus))))
     y = v.join(x.withColumn("hit", F.lit(1.0)), [KEY, "tau"], "left")
     ev, hit = F.col("event_observed") == 1, F.coalesce("hit", F.lit(0.0))
-    q = lambda p: F.percentile(F.when(ev, F.col("lead_km")), F.lit(p))
-    return y.groupBy("tau").agg(F.avg(F.when(ev, hit)).alias("detection"), F.avg(F.when(~ev, hit)).alias("false_alarms"), q(0.25).alias("lead_q1"), q(0.5).alias("lead_p50"), q(0.75).alias("lead_q3"), (1 - F.avg(F.when(ev, hit))).alias("never"))
+    facts = [F.avg(F.when(ev, hit)).alias("detection"), F.avg(F.when(~ev, hit)).alias("false_alarms"), (1 - F.avg(F.when(ev, hit))).alias("never")]
+    lead = F.when(ev, F.col("lead_km"))
+    return quantiles(y, ["tau"], [("lead_q1", lead, 0.25), ("lead_p50", lead, 0.5), ("lead_q3", lead, 0.75)], facts)
 
 
 def operating_point(curve: DataFrame, budget: float) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def unpivot(rows: DataFrame, keys: list[str], metrics: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Long form of metric columns, as doubles."""
@@ -46,9 +48,9 @@ def scoped_rates(rows: DataFrame, flag: Column, scopes: tuple[float, ...] = (1.0
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], metrics: list[str], probs: tuple[float, ...]) -> DataFrame:
+    """n and the exact quantiles of each metric by keys, whatever the groups' sizes. Groups are few."""
     x = unpivot(rows, keys, metrics)
-    q = F.percentile("value", F.array(*(F.lit(p) for p in probs)))
-    return x.groupBy(*keys, "metric").agg(F.count("value").alias("n"), q.alias("q")).select(*keys, "metric", "n", *(F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(probs)))
+    return quantiles(x, [*keys, "metric"], [(f"p{int(p * 100):02d}", "value", p) for p in probs], [F.count("value").alias("n")])
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, lo: float, hi: float, n: int) -> DataFrame:
@@ -67,7 +69,9 @@ def origin_estimate(rows: DataFrame, vehicles: DataFrame, by: list[str] = ()) ->
     """Calendar origin: median, spread and range over vehicles of first trip day less production day."""
     first = rows.groupBy("vehicle_id").agg(F.min(F.unix_micros("t_start")).alias("us")).join(vehicles, "vehicle_id")
     x = first.withColumn("o", F.floor(F.col("us") / 86_400e6) - F.col("production_day"))
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("o", F.lit(0.5)).alias("median"), F.stddev_samp("o").alias("sd"), (F.percentile("o", F.lit(0.75)) - F.percentile("o", F.lit(0.25))).alias("iqr"), F.min("o").alias("lo"), F.max("o").alias("hi"))
+    facts = [F.count("*").alias("n"), F.stddev_samp("o").alias("sd"), F.min("o").alias("lo"), F.max("o").alias("hi")]
+    q = quantiles(x, list(by), [("median", "o", 0.5), ("_q1", "o", 0.25), ("_q3", "o", 0.75)], facts)
+    return q.select(*by, "n", "median", "sd", (F.col("_q3") - F.col("_q1")).alias("iqr"), "lo", "hi")
 
 
 def weighted_cells(rows: DataFrame, keys: list[str], value: str, weight: str, least: float) -> DataFrame:
@@ -99,20 +103,28 @@ def binned(rows: DataFrame, value: Column, bin_km: float, least: int, keys=("veh
 def aligned_profile(rows: DataFrame, bin_km: float, value: str, least: int) -> DataFrame:
     """Median over vehicles of their mean value by bin of km to the event; bins with fewer vehicles drop out."""
     x = rows.filter("km_to_event is not null").groupBy("vehicle_id", (F.floor(F.col("km_to_event") / bin_km) * bin_km).alias("bin")).agg(F.avg(value).alias("v"))
-    return x.groupBy("bin").agg(F.count("*").alias("n_vehicles"), F.percentile("v", F.lit(0.5)).alias("median")).filter(F.col("n_vehicles") >= least)
+    return quantiles(x, ["bin"], [("median", "v", 0.5)], [F.count("*").alias("n_vehicles")]).filter(F.col("n_vehicles") >= least)
 
 
 def paired_change(rows: DataFrame, phase: Column, metrics: list[str]) -> DataFrame:
     """Per metric: vehicles with both phases, median of after - before, and the share that decreases."""
-    x = unpivot(rows.withColumn("_after", phase), ["vehicle_id", "_after"], metrics).groupBy("vehicle_id", "metric").agg(F.avg(F.when(~F.col("_after"), F.col("value"))).alias("b"), F.avg(F.when(F.col("_after"), F.col("value"))).alias("a"))
+    x = unpivot(rows.withColumn("_after", phase), ["vehicle_id", "_after"], metrics).groupBy("vehicle_id", "metric")
+    x = x.agg(F.avg(F.when(~F.col("_after"), F.col("value"))).alias("b"), F.avg(F.when(F.col("_after"), F.col("value"))).alias("a"))
     x = x.filter("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
-    return x.groupBy("metric").agg(F.count("*").alias("n_vehicles"), F.percentile("d", F.lit(0.5)).alias("median_delta"), F.avg((F.col("d") < 0).cast("double")).alias("share_decreasing"))
+    falling = F.avg((F.col("d") < 0).cast("double")).alias("share_decreasing")
+    return quantiles(x, ["metric"], [("median_delta", "d", 0.5)], [F.count("*").alias("n_vehicles"), falling])
 
 
 def stability(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """One-way ICC over vehicles and the median coefficient of variation within them, per metric."""
-    x = unpivot(rows, ["vehicle_id"], metrics).filter("value is not null").groupBy("metric", "vehicle_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v")).filter("n >= 2")
-    g = x.groupBy("metric").agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("t2"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"), F.percentile(F.sqrt("v") / F.nullif(F.abs("m"), F.lit(0.0)), F.lit(0.5)).alias("median_cv"))
+    x = unpivot(rows, ["vehicle_id"], metrics).filter("value is not null").groupBy("metric", "vehicle_id")
+    x = x.agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v")).filter("n >= 2")
+    n, m = F.col("n"), F.col("m")
+    sums = [
+        F.count("*").alias("k"), F.sum(n).alias("N"), F.sum(n * n).alias("n2"), F.sum(n * m).alias("t"),
+        F.sum(n * m * m).alias("t2"), F.sum((n - 1) * F.col("v")).alias("ssw"),
+    ]
+    g = quantiles(x, ["metric"], [("median_cv", F.sqrt("v") / F.nullif(F.abs("m"), F.lit(0.0)), 0.5)], sums)
     k, n = F.col("k"), F.col("N")
     msb, msw = (F.col("t2") - F.col("t") * F.col("t") / n) / (k - 1), F.col("ssw") / (n - k)
     n0 = (n - F.col("n2") / n) / (k - 1)
@@ -128,8 +140,10 @@ def around_day(rows: DataFrame, ref: DataFrame, days: int, value: str) -> DataFr
 
 def dispersion(rows: DataFrame, scales: list[str]) -> DataFrame:
     """Per scale: n, sd of logs, coefficient of variation, quartile coefficient of dispersion. Values must be above 0."""
-    x = unpivot(rows, [], scales, "scale").filter("value > 0").groupBy("scale").agg(F.count("*").alias("n"), F.stddev_samp(F.log("value")).alias("sd_log"), (F.stddev_samp("value") / F.avg("value")).alias("cv"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return x.select("scale", "n", "sd_log", "cv", ((F.col("q")[1] - F.col("q")[0]) / (F.col("q")[1] + F.col("q")[0])).alias("qcd"))
+    x = unpivot(rows, [], scales, "scale").filter("value > 0")
+    facts = [F.count("*").alias("n"), F.stddev_samp(F.log("value")).alias("sd_log"), (F.stddev_samp("value") / F.avg("value")).alias("cv")]
+    x = quantiles(x, ["scale"], [("_q1", "value", 0.25), ("_q3", "value", 0.75)], facts)
+    return x.select("scale", "n", "sd_log", "cv", ((F.col("_q3") - F.col("_q1")) / (F.col("_q3") + F.col("_q1"))).alias("qcd"))
 
 
 def ranked_corr(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -143,14 +157,20 @@ def ranked_corr(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def shape(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """Per metric: skewness, p99 / p50, share of zeros, skewness after log1p, and the transform it suggests."""
-    x = unpivot(rows, [], metrics).filter("value is not null").groupBy("metric").agg(F.count("*").alias("n"), F.skewness("value").alias("skew"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.99))).alias("q"), F.avg((F.col("value") == 0).cast("double")).alias("zero_share"), F.skewness(F.log1p(F.greatest("value", F.lit(0.0)))).alias("skew_log"))
+    x = unpivot(rows, [], metrics).filter("value is not null")
+    facts = [
+        F.count("*").alias("n"), F.skewness("value").alias("skew"), F.avg((F.col("value") == 0).cast("double")).alias("zero_share"),
+        F.skewness(F.log1p(F.greatest("value", F.lit(0.0)))).alias("skew_log"),
+    ]
+    x = quantiles(x, ["metric"], [("_p50", "value", 0.5), ("_p99", "value", 0.99)], facts)
     kind = F.when(F.col("zero_share") > 0.5, "indicator").when((F.col("skew") > 1) & (F.abs("skew_log") < F.abs("skew")), "log1p").otherwise("none")
-    return x.select("metric", "n", "skew", F.try_divide(F.col("q")[1], F.nullif(F.col("q")[0], F.lit(0.0))).alias("tail"), "zero_share", "skew_log", kind.alias("suggest"))
+    return x.select("metric", "n", "skew", F.try_divide("_p99", F.nullif(F.col("_p50"), F.lit(0.0))).alias("tail"), "zero_share", "skew_log", kind.alias("suggest"))
 
 
 def edges(rows: DataFrame, value: str, probs: tuple[float, ...]) -> DataFrame:
     """One row: cut points of the reference set."""
-    return rows.agg(F.percentile(value, F.array(*(F.lit(p) for p in probs))).alias("edges"))
+    q = quantiles(rows, [], [(f"_e{i}", value, p) for i, p in enumerate(probs)])
+    return q.select(F.array(*(f"_e{i}" for i in range(len(probs)))).alias("edges"))
 
 
 def assign(rows: DataFrame, cut: DataFrame, value: str, name: str) -> DataFrame:
@@ -163,7 +183,9 @@ def monotone_summary(trends: DataFrame, rho: str, cohort: str) -> DataFrame:
     from .joins import average_rank
 
     x = average_rank(trends.filter(F.col(rho).isNotNull() & (F.col(rho) != 0)).withColumn("_a", F.abs(rho)), "_a", "_r", [cohort])
-    g = x.groupBy(cohort).agg(F.count("*").alias("n"), F.percentile(rho, F.lit(0.5)).alias("median_rho"), F.avg((F.col(rho) > 0).cast("double")).alias("share_up"), F.sum(F.when(F.col(rho) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
+    rising = F.col(rho) > 0
+    facts = [F.count("*").alias("n"), F.avg(rising.cast("double")).alias("share_up"), F.sum(F.when(rising, F.col("_r")).otherwise(0.0)).alias("w_plus")]
+    g = quantiles(x, [cohort], [("median_rho", rho, 0.5)], facts)
     return g.withColumn("verdict", F.when(F.col("share_up") >= 0.75, "rising").when(F.col("share_up") <= 0.25, "falling").otherwise("none"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import natural_spline, uniform  # noqa: F401
 from ..operators.joins import average_rank, fallback_lookup
+from ..operators.quantiles import quantiles
 
 KEYS = ["vehicle_id", "cut_odo"]
 
@@ -229,7 +230,8 @@ class FleetReference:
         self.tables = []
         for name, keys in levels:
             one = cells.groupBy("vehicle_id", *keys).agg(F.avg("value").alias("value"))  # a vehicle has one vote in a cell
-            self.tables.append((name, keys, one.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("ref"), F.count("*").alias("n")).filter(F.col("n") >= (self.least if keys else 1)).drop("n")))
+            ref = quantiles(one, keys, [("ref", "value", 0.5)], [F.count("*").alias("n")])  # cells are few
+            self.tables.append((name, keys, ref.filter(F.col("n") >= (self.least if keys else 1)).drop("n")))
         return self
 
     def transform(self, cells: DataFrame, weight: str = "weight") -> DataFrame:

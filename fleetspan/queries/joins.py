@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, derive, joins
+from ..operators.quantiles import quantiles
 from ..sources.fleet import ORIGIN
 from .derive import MARKERS
 from .registry import query
@@ -95,7 +96,8 @@ def j11(f):
     g = v.select("vehicle_id", "cohort", F.explode(F.sequence(F.lit(30), F.lit(60), F.lit(5))).alias("age"), "production_day")
     g = g.select("vehicle_id", "cohort", F.col("age").cast("bigint").alias("age"), asof.day_on_calendar(F.lit(ORIGIN), F.col("production_day") + F.col("age")).alias("d"))
     x = asof.backward(g, f.trips, "vehicle_id", "d", "t_start", ["odo_end"])
-    return x.groupBy("cohort", "age").agg(F.count("odo_end").alias("n"), *(F.round(F.percentile("odo_end", F.lit(p)), 4).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    q = quantiles(x, ["cohort", "age"], [("q1", "odo_end", 0.25), ("median", "odo_end", 0.5), ("q3", "odo_end", 0.75)], [F.count("odo_end").alias("n")])
+    return q.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 @query("j12_window_range_join", "SELECT vehicle_id, cut_odo, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM win GROUP BY ALL")

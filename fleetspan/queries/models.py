@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derive, resample, splits
 from ..operators import metrics as M
+from ..operators.quantiles import quantiles
 from ..plans import models as L
 from ..plans import panel, risk
 from ..sources.fleet import SUSTAIN
@@ -358,7 +359,7 @@ def e10(f):
 def e11(f):
     """Score drop of vehicles when a feature is set to its median, against the other."""
     x = model_rows(f)
-    med = x.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in NUM[:2]))
+    med = quantiles(x, [], [(f"_{c}", c, 0.5) for c in NUM[:2]])
     y = x.crossJoin(F.broadcast(med)).withColumn("score", linear_score(None)).withColumn("erased", F.explode(F.array(F.lit("level_mean"), F.lit("value_mean"))))  # one row
     for c in NUM[:2]:
         y = y.withColumn(c, F.when(F.col("erased") == c, F.col(f"_{c}")).otherwise(F.col(c)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derive, joins
 from ..operators import profile as P
+from ..operators.quantiles import quantiles
 from ..sources.fleet import BIN_KM, ORIGIN
 from .derive import BYT, MIN
 from .registry import query
@@ -181,7 +182,7 @@ def a19(f):
 def a20(f):
     x = joins.attach_static(f.trips.filter("message = 'signup'"), f.vehicles).groupBy("vehicle_id", "cohort").agg(F.max(F.unix_micros("t_start")).alias("last"))
     h = (F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.col("last")) / 3600e6
-    g = x.groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.percentile(h, F.lit(0.5)), 4).alias("median_h"))
+    g = quantiles(x, ["cohort"], [("median_h", h, 0.5)], [F.count("*").alias("n")]).withColumn("median_h", F.round("median_h", 4))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row per cohort
 
 
@@ -239,13 +240,15 @@ def a29(f):
 @query("a30_date_percentiles", "SELECT market, round(quantile_cont(d,0.1),4) AS p10, quantile_cont(d,0.5) AS p50 FROM (SELECT market, CAST(production_day+days_until_sale AS DOUBLE) AS d FROM vehicles) GROUP BY 1")
 def a30(f):
     d = F.unix_date(F.to_date("sale_date")) - F.unix_date(F.lit(ORIGIN).cast("date"))
-    return derive.vehicle_clock(f.vehicles, ORIGIN).groupBy("market").agg(F.round(F.percentile(d, F.lit(0.1)), 4).alias("p10"), F.percentile(d, F.lit(0.5)).alias("p50"))
+    return quantiles(derive.vehicle_clock(f.vehicles, ORIGIN), ["market"], [("p10", d, 0.1), ("p50", d, 0.5)]).withColumn("p10", F.round("p10", 4))
 
 
 @query("a31_healthy_reference_curve", "SELECT bin, count(*) AS n, round(quantile_cont(v,0.25),4) AS q1, round(quantile_cont(v,0.5),4) AS median, round(quantile_cont(v,0.75),4) AS q3 FROM (SELECT vehicle_id, floor(odo_end/500.0)*500.0::DOUBLE AS bin, avg(level_end) AS v FROM trips JOIN vehicles USING (vehicle_id) WHERE cohort='healthy' GROUP BY ALL) GROUP BY 1 HAVING count(*)>=5")
 def a31(f):
     x = P.binned(joins.attach_static(f.trips, f.vehicles).filter("cohort = 'healthy'"), F.col("level_end"), 500.0, 1)
-    return x.groupBy("bin").agg(F.count("*").alias("n"), *(F.round(F.percentile("value", F.lit(p)), 4).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))).filter("n >= 5")
+    x = x.withColumnRenamed("n", "rows")
+    q = quantiles(x, ["bin"], [("q1", "value", 0.25), ("median", "value", 0.5), ("q3", "value", 0.75)], [F.count("*").alias("n")]).filter("n >= 5")
+    return q.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 @query("a32_split_balance", " UNION ALL ".join(f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS value, count(*) FILTER (vehicle_id%5<>0) AS n_dev, count(*) FILTER (vehicle_id%5=0) AS n_test, round(count(*) FILTER (vehicle_id%5=0)/count(*)::DOUBLE,6) AS test_share FROM vehicles GROUP BY 2" for v in ("market", "engine", "cohort")))
@@ -368,7 +371,8 @@ def a46(f):
 
 @query("a47_panel_funnel", "SELECT cut_odo, count(*) AS n, count(*) FILTER (label=1) AS positives, round(quantile_cont(km_after,0.5),4) AS exposure_p50 FROM cuts GROUP BY 1")
 def a47(f):
-    return f.cuts.groupBy("cut_odo").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.round(F.percentile("km_after", F.lit(0.5)), 4).alias("exposure_p50"))
+    facts = [F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives")]
+    return quantiles(f.cuts, ["cut_odo"], [("exposure_p50", "km_after", 0.5)], facts).withColumn("exposure_p50", F.round("exposure_p50", 4))
 
 
 @query("a48_side_summary", "SELECT CASE WHEN vehicle_id%5=0 THEN 'test' ELSE 'dev' END AS side, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, count(DISTINCT CASE WHEN event_observed=1 THEN vehicle_id END) AS event_vehicles, count(DISTINCT CASE WHEN label=1 THEN vehicle_id END) AS with_positive, round(avg(label),6) AS rate FROM cuts GROUP BY 1")
@@ -381,7 +385,8 @@ def a48(f):
 def a49(f):
     x = f.event_odo.join(f.vehicles, "vehicle_id").select("event_odo", (F.col("event_day") - F.col("production_day")).alias("age"), (F.col("event_day") - F.col("production_day") - F.col("days_until_sale")).alias("dss"))
     y = P.unpivot(x, [], ["event_odo", "age", "dss"], "scale").filter("value > 0")
-    return y.groupBy("scale").agg(F.count("*").alias("n"), F.round(F.stddev_samp(F.log("value")), 6).alias("sd_log"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("median"))
+    facts = [F.count("*").alias("n"), F.round(F.stddev_samp(F.log("value")), 6).alias("sd_log")]
+    return quantiles(y, ["scale"], [("median", "value", 0.5)], facts).withColumn("median", F.round("median", 4))
 
 
 ORD = "CASE WHEN time_to_event_km IS NULL THEN 0 WHEN time_to_event_km>600 THEN 1 WHEN time_to_event_km>300 THEN 2 ELSE 3 END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import explain, joins, splits
 from ..operators import metrics as M
 from ..operators import profile as P
+from ..operators.quantiles import quantiles
 from ..sources.fleet import SUSTAIN
 from .joins import SURV, survival
 from .profile import PD, _r, exposure
@@ -113,7 +114,9 @@ SEP = "(SELECT vehicle_id, CASE WHEN any_value(cohort)='failed' THEN 1 ELSE 0 EN
 def m04(f):
     x = joins.attach_static(f.trips, f.vehicles).groupBy("vehicle_id").agg((F.first("cohort") == "failed").cast("int").alias("label"), F.avg("level_end").alias("level_end"), F.avg("value").alias("value"))
     u = P.unpivot(x, ["label"], ["level_end", "value"])
-    med = u.groupBy("metric").agg(F.round(F.percentile(F.when(F.col("label") == 1, F.col("value")), F.lit(0.5)), 4).alias("median_failed"), F.round(F.percentile(F.when(F.col("label") == 0, F.col("value")), F.lit(0.5)), 4).alias("median_healthy"))
+    failed, healthy = (F.when(F.col("label") == y, F.col("value")) for y in (1, 0))
+    med = quantiles(u, ["metric"], [("median_failed", failed, 0.5), ("median_healthy", healthy, 0.5)])
+    med = med.withColumns({c: F.round(c, 4) for c in ("median_failed", "median_healthy")})
     return M.roc_auc(u, ["metric"], score="value").select("metric", F.round("auc", 6).alias("superior")).join(med, "metric")
 
 
@@ -249,7 +252,9 @@ def m21(f):
 def m22(f):
     e = f.scores.groupBy("vehicle_id").agg(F.min("cut_odo").alias("a"), F.max("cut_odo").alias("b"))
     x = M.first_alerts(f.scores, 0.5, K).join(e, "vehicle_id")
-    return x.agg(F.count("*").alias("n_alerts"), F.round(F.avg((F.col("alert_odo") == F.col("a")).cast("double")), 6).alias("first_cut_share"), F.round(F.percentile((F.col("alert_odo") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)), F.lit(0.5)), 6).alias("position_p50"))
+    place = (F.col("alert_odo") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
+    facts = [F.count("*").alias("n_alerts"), F.round(F.avg((F.col("alert_odo") == F.col("a")).cast("double")), 6).alias("first_cut_share")]
+    return quantiles(x, [], [("position_p50", place, 0.5)], facts).withColumn("position_p50", F.round("position_p50", 6))
 
 
 @query("m23_cell_rate_floor", f"WITH x AS (SELECT *, vehicle_id%5 AS fold FROM {SM}) SELECT market, fold, round(coalesce(o.y/nullif(o.n,0)::DOUBLE, t.y/t.n::DOUBLE),6) AS rate, c.n FROM (SELECT market, fold, count(*) AS n FROM x GROUP BY ALL) c JOIN (SELECT a.market, a.fold, sum(b.label) AS y, count(b.label) AS n FROM (SELECT DISTINCT market, fold FROM x) a LEFT JOIN x b ON a.market=b.market AND a.fold<>b.fold GROUP BY ALL) o USING (market, fold) JOIN (SELECT a.fold, sum(b.label) AS y, count(*) AS n FROM (SELECT DISTINCT fold FROM x) a JOIN x b ON a.fold<>b.fold GROUP BY 1) t USING (fold)")
