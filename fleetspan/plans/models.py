@@ -1,11 +1,15 @@
-"""Pipelines of pyspark.ml with grouped folds, hazard models, reference normalisers, ensembles and survival curves."""
+"""Models with grouped folds, hazard models, reference normalisers, ensembles and survival curves.
+
+Logistic models of all folds, replicates and classes are fitted together (plans.fits); other estimators are pipelines of pyspark.ml, one a fold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import natural_spline, uniform  # noqa: F401
 from ..operators.joins import average_rank, fallback_lookup
 from ..operators.quantiles import quantiles
+from . import fits
+from .fits import Logistic
 
 KEYS = ["vehicle_id", "cut_odo"]
 
@@ -69,10 +75,10 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(w), label)
 
 
-#: Registry of classifiers: name -> () -> Estimator over features, label, weight.
+#: Registry of classifiers: a Logistic, whose fits run together, or a function that makes an Estimator over features, label, weight.
 MODELS = {
-    "logistic": lambda: LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.1, maxIter=20),
-    "logistic_l1": lambda: LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, elasticNetParam=1.0, maxIter=20),
+    "logistic": Logistic(l2=0.1, balance=True),
+    "logistic_l1": Logistic(l1=0.01, balance=True),
     "gbt": lambda: GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=5, maxDepth=3, seed=3),
 }
 
@@ -81,15 +87,39 @@ def probability(df: DataFrame) -> Column:
     return vector_to_array("probability")[1]
 
 
+def fold_numbers(folds: DataFrame) -> list[tuple[int, int]]:
+    """(repeat, fold) of each fit, in order."""
+    return sorted((r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect())  # a row a fold
+
+
+def with_training(rows: DataFrame, folds: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """rows with held: numbers of the fits (in pairs) that leave the row's vehicle out. Vehicles without fold are trained on by all."""
+    number = F.create_map(*(F.lit(x) for i, (r, k) in enumerate(pairs) for x in (f"{r}|{k}", i)))
+    own = folds.groupBy("vehicle_id").agg(F.collect_set(number[F.concat_ws("|", "repeat", "fold")]).alias("held"))  # a fold a repeat
+    return rows.join(own, "vehicle_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
+
+
+def training_weights(n_fits: int, weight: Column | float = 1.0) -> Column:
+    """weight where a fit trains on the row, 0 where it holds it out."""
+    w = F.lit(weight) if isinstance(weight, float) else weight
+    return F.transform(F.sequence(F.lit(0), F.lit(n_fits - 1)), lambda i: F.when(F.array_contains("held", i), 0.0).otherwise(w))
+
+
 def run_cv(rows: DataFrame, folds: DataFrame, model: str, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
     """Out-of-fold scores in long form: vehicle_id, cut_odo, label, repeat, fold, score. All is fitted on the other folds only."""
-    pairs = sorted((r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect())
+    pairs, kind = fold_numbers(folds), MODELS[model]
+    if isinstance(kind, Logistic):
+        x = with_training(rows, folds, pairs)
+        found = fits.fit(x, numeric, list(categorical), training_weights(len(pairs)), len(pairs), kind)
+        out = found.apply(x, [*KEYS, "label"], F.col("held")).select(*KEYS, "label", F.explode(F.arrays_zip("which", "scores")).alias("x"))
+        repeat, fold = (F.array(*(F.lit(p[i]) for p in pairs)) for i in (0, 1))
+        return out.select(*KEYS, "label", F.get(repeat, F.col("x.which")).alias("repeat"), F.get(fold, F.col("x.which")).alias("fold"), F.col("x.scores").alias("score"))
     out = []
     rows = rows.persist()
     for repeat, fold in pairs:
         held = folds.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select("vehicle_id")
         train, test = class_weights(rows.join(held, "vehicle_id", "left_anti")), rows.join(held, "vehicle_id", "left_semi")
-        fitted = Pipeline(stages=[*preprocessor(numeric, categorical), MODELS[model]()]).fit(train)
+        fitted = Pipeline(stages=[*preprocessor(numeric, categorical), kind()]).fit(train)
         scored = fitted.transform(test.withColumn("weight", F.lit(1.0)))
         out.append(scored.select(*KEYS, "label", F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), probability(scored).alias("score")))
     return reduce(DataFrame.unionByName, out)
@@ -100,7 +130,11 @@ def mean_scores(long: DataFrame) -> DataFrame:
 
 
 def final_fit(train: DataFrame, test: DataFrame, model: str, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
-    fitted: PipelineModel = Pipeline(stages=[*preprocessor(numeric, categorical), MODELS[model]()]).fit(class_weights(train))
+    kind = MODELS[model]
+    if isinstance(kind, Logistic):
+        found = fits.fit(train, numeric, list(categorical), F.array(F.lit(1.0)), 1, kind)
+        return found.apply(test, [*KEYS, "label"]).select(*KEYS, "label", F.col("scores")[0].alias("score"))
+    fitted: PipelineModel = Pipeline(stages=[*preprocessor(numeric, categorical), kind()]).fit(class_weights(train))
     scored = fitted.transform(test.withColumn("weight", F.lit(1.0)))
     return scored.select(*KEYS, "label", probability(scored).alias("score"))
 
@@ -120,7 +154,10 @@ def random_scores(rows: DataFrame, seed: int) -> DataFrame:
 
 def fold_average(train: DataFrame, folds: DataFrame, test: DataFrame, model: str, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
     """Mean and spread over the fold models (each fitted without one fold of each repeat) of the test rows' scores."""
-    pairs = sorted((r["repeat"], r["fold"]) for r in folds.select("repeat", "fold").distinct().collect())
+    pairs, kind = fold_numbers(folds), MODELS[model]
+    if isinstance(kind, Logistic):
+        found = fits.fit(with_training(train, folds, pairs), numeric, list(categorical), training_weights(len(pairs)), len(pairs), kind)
+        return mean_scores(found.apply(test, [*KEYS, "label"]).select(*KEYS, "label", F.explode("scores").alias("score")))
     out = []
     for repeat, fold in pairs:
         held = folds.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)).select("vehicle_id")
@@ -128,14 +165,40 @@ def fold_average(train: DataFrame, folds: DataFrame, test: DataFrame, model: str
     return mean_scores(reduce(DataFrame.unionByName, out))
 
 
-def hazard_scores(stacked: DataFrame, rows: DataFrame, features: list[str], bins: int, reg: float = 0.01) -> DataFrame:
-    """Discrete-time hazard model on person-period rows (bin, hazard); score is 1 - prod(1 - h_b) over the horizon's bins."""
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[*(f"{c}__i" for c in features), "bin", "bin2"], outputCol="features")]
-    prep = lambda x: x.withColumns({"bin": F.col("bin").cast("double"), "bin2": F.pow(F.col("bin").cast("double"), 2)})
-    fitted = Pipeline(stages=[*stages, LogisticRegression(featuresCol="features", labelCol="hazard", regParam=reg, maxIter=20)]).fit(prep(stacked))
+#: Ends of the range of quantiles at which the knots of a baseline hazard stand.
+KNOTS = (0.05, 0.95)
+
+
+def baseline_knots(stacked: DataFrame, n: int) -> list[float]:
+    """Knots of the baseline hazard: n equally spaced quantiles of the bins at risk; equal ones count once."""
+    shares = [KNOTS[0] + (KNOTS[1] - KNOTS[0]) * i / (n - 1) for i in range(n)]
+    found = quantiles(stacked, [], [(f"_k{i}", "bin", p) for i, p in enumerate(shares)]).first()
+    knots = sorted({x for x in found if x is not None})
+    if len(knots) < 3:
+        raise ValueError(f"a spline needs three knots; the bins at risk give {knots}")
+    return knots
+
+
+def hazard_fit(stacked: DataFrame, features: list[str], kind: Logistic = Logistic(l2=0.01), n_knots: int = 5) -> tuple[fits.Fits, list[str], Callable]:
+    """(fit, its columns, function that adds them) of a discrete-time hazard model on person-period rows (bin, hazard).
+
+    The baseline hazard is a natural cubic spline of the bin, linear beyond the end knots, so bins with few rows don't run away. Late entry is in
+    the rows: a row gives only the bins from its entry on.
+    """
+    knots = baseline_knots(stacked, n_knots)
+    basis = natural_spline(F.col("bin").cast("double"), tuple(knots))
+    names = [f"_s{i}" for i in range(len(basis))]
+    design = lambda x: x.withColumns(dict(zip(names, basis)))
+    found = fits.fit(design(stacked), [*features, *names], [], F.array(F.lit(1.0)), 1, kind, target="hazard")
+    return found, names, design
+
+
+def hazard_scores(stacked: DataFrame, rows: DataFrame, features: list[str], bins: int, kind: Logistic = Logistic(l2=0.01), n_knots: int = 5) -> DataFrame:
+    """Score of a row: 1 - prod(1 - h_b) over the horizon's bins, by hazard_fit."""
+    found, _, design = hazard_fit(stacked, features, kind, n_knots)
     grid = rows.select(*KEYS, *features).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    scored = fitted.transform(prep(grid))
-    return scored.withColumn("h", probability(scored)).groupBy(*KEYS).agg((1 - F.exp(F.sum(F.log1p(-F.least("h", F.lit(1 - 1e-12)))))).alias("score"))
+    scored = found.apply(design(grid), KEYS).select(*KEYS, F.col("scores")[0].alias("h"))
+    return scored.groupBy(*KEYS).agg((1 - F.exp(F.sum(F.log1p(-F.least("h", F.lit(1 - 1e-12)))))).alias("score"))
 
 
 def exposure_scores(stacked: DataFrame, rows: DataFrame, features: list[str], bins: int, width: float) -> DataFrame:
@@ -204,17 +267,29 @@ def ordinal_scores(rows: DataFrame, features: list[str], label: str, classes: in
     return scored.select(*KEYS, label, F.aggregate(F.slice(p, at_least + 1, classes - at_least), F.lit(0.0), lambda a, b: a + b).alias("score"))
 
 
-def one_vs_rest(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    x = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="features"), OneVsRest(classifier=LogisticRegression(regParam=0.05, maxIter=10), featuresCol="features", labelCol=label)]).fit(rows)
-    return x.transform(rows).select(*KEYS, label, F.col("prediction").cast("int").alias("hat"))
+def one_vs_rest(rows: DataFrame, features: list[str], label: str, kind: Logistic = Logistic(l2=0.05)) -> DataFrame:
+    """hat: the class with the highest score of the models of one class against the others, which are fitted together."""
+    classes = sorted(int(r[0]) for r in rows.select(label).distinct().collect() if r[0] is not None)  # a row a class
+    known = F.array(*(F.lit(c) for c in classes))
+    target = F.transform(known, lambda c: (F.col(label) == c).cast("double"))
+    found = fits.fit(rows.filter(F.col(label).isNotNull()), features, [], F.array_repeat(F.lit(1.0), len(classes)), len(classes), kind, target=target)
+    best = F.array_position("scores", F.array_max("scores")).cast("int") - 1
+    return found.apply(rows, [*KEYS, label]).select(*KEYS, label, F.get(known, best).cast("int").alias("hat"))
 
 
 def bagged(rows: DataFrame, weights: DataFrame, model: str, numeric: list[str]) -> DataFrame:
     """Mean score of one model per replicate, each fitted on vehicles by their multiplicities."""
+    kind, replicates = MODELS[model], sorted(r[0] for r in weights.select("replicate").distinct().collect())  # a row a replicate
+    if isinstance(kind, Logistic):
+        drawn = weights.groupBy("vehicle_id").agg(F.map_from_entries(F.collect_list(F.struct("replicate", F.col("weight").cast("double")))).alias("drawn"))  # an entry a replicate
+        x = rows.join(drawn, "vehicle_id", "left")
+        w = F.transform(F.array(*(F.lit(b) for b in replicates)), lambda b: F.coalesce(F.try_element_at("drawn", b), F.lit(0.0)))
+        found = fits.fit(x, numeric, [], w, len(replicates), Logistic(kind.l2, kind.l1))
+        return found.apply(rows, [*KEYS, "label"]).select(*KEYS, "label", (F.aggregate("scores", F.lit(0.0), lambda a, b: a + b) / len(replicates)).alias("score"))
     out = []
-    for (b,) in sorted(weights.select("replicate").distinct().collect()):
+    for b in replicates:
         train = rows.join(weights.filter(F.col("replicate") == b).select("vehicle_id", F.col("weight").cast("double").alias("weight")), "vehicle_id")
-        s = Pipeline(stages=[*preprocessor(numeric), MODELS[model]()]).fit(train).transform(rows.withColumn("weight", F.lit(1.0)))
+        s = Pipeline(stages=[*preprocessor(numeric), kind()]).fit(train).transform(rows.withColumn("weight", F.lit(1.0)))
         out.append(s.select(*KEYS, "label", probability(s).alias("score")))
     return reduce(DataFrame.unionByName, out).groupBy(*KEYS).agg(F.first("label").alias("label"), F.avg("score").alias("score"))
 
@@ -259,21 +334,20 @@ def rank_ensemble(runs: list[tuple[DataFrame, float]], by: list[str] = ()) -> Da
 
 def platt(rows: DataFrame, fold: str = "fold") -> DataFrame:
     """Out-of-fold probabilities of a logistic model on the score."""
-    asm = VectorAssembler(inputCols=["score"], outputCol="features")
-    out = []
-    for (k,) in sorted(rows.select(fold).distinct().collect()):
-        m = Pipeline(stages=[asm, LogisticRegression(featuresCol="features", labelCol="label", maxIter=25)]).fit(rows.filter(F.col(fold) != k))
-        s = m.transform(rows.filter(F.col(fold) == k))
-        out.append(s.select(*KEYS, "label", fold, probability(s).alias("p")))
-    return reduce(DataFrame.unionByName, out)
+    values = sorted(r[0] for r in rows.select(fold).distinct().collect())  # a row a fold
+    known = F.array(*(F.lit(v) for v in values))
+    own = (F.array_position(known, F.col(fold)) - 1).cast("int")
+    x = rows.withColumn("held", F.array(own))
+    found = fits.fit(x, ["score"], [], training_weights(len(values)), len(values), Logistic())
+    return found.apply(x, [*KEYS, "label", fold], F.col("held")).select(*KEYS, "label", fold, F.col("scores")[0].alias("p"))
 
 
 def calibration_slope(rows: DataFrame, score: str = "score") -> DataFrame:
     """One row: slope and intercept of a logistic model on logit(score)."""
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score)))
-    x = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows.select("label", F.log(p / (1 - p)).alias("z")))
-    m = LogisticRegression(featuresCol="features", labelCol="label", maxIter=25).fit(x)
-    return rows.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+    found = fits.fit(rows.select("label", F.log(p / (1 - p)).alias("z")), ["z"], [], F.array(F.lit(1.0)), 1, Logistic())
+    slope = found.coefficients[0, 0] * found.preparation.scale[0, 0]
+    return rows.sparkSession.createDataFrame([(float(slope), float(found.intercepts[0] - slope * found.preparation.mean[0, 0]))], "slope double, intercept double")
 
 
 def kaplan_meier(rows: DataFrame, by: list[str], duration: str, event: str) -> DataFrame:
