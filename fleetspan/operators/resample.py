@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +77,87 @@ def bootstrap_auc(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return M.roc_auc(rows.join(w, KEY), ["replicate"], weight="weight")
 
 
+#: Poisson(1) chances that a vehicle is drawn at most 0, 1, 2, ... times: as many draws as vehicles, without a fixed total.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
+
+
+def poisson_weights(vehicles: list, n: int, seed: int) -> np.ndarray:
+    """Multiplicities of each vehicle (rows) in n replicates (columns). Every task makes the same from seed, replicate and vehicle."""
+    u = [[int(hashlib.md5(f"{seed}|{r}|{v}".encode()).hexdigest()[:12], 16) / 2**48 for r in range(n)] for v in vehicles]
+    return np.searchsorted(POISSON, np.array(u).reshape(-1, n), side="right").astype(np.float64)
+
+
+#: Rows whose weights are made at once.
+CHUNK = 512
+
+
+def _auc_of_range(n: int, seed: int):
+    """Stream of one range of (score, vehicle, p, q), sorted by score: sums of all replicates, and those of its first and last score."""
+    names = ["part", "replicate", "pos", "neg", "u", *(f"{e}_{c}" for e in ("first", "last") for c in ("score", "pos", "neg"))]
+
+    def run(batches):
+        part = None
+        pos, neg, u, p, q = (np.zeros(n) for _ in range(5))
+        at = first = None  # the score in hand, whose sums are p and q; the first score with its sums
+        for batch in batches:
+            if batch.num_rows and part is None:
+                part = batch.column("part")[0].as_py()
+            for a in range(0, batch.num_rows, CHUNK):
+                piece = batch.slice(a, CHUNK)
+                w = poisson_weights(piece.column("vehicle_id").to_pylist(), n, seed)
+                s = piece.column("score").to_numpy()
+                heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                ps, qs = (np.add.reduceat(w * piece.column(c).to_numpy()[:, None], heads, axis=0) for c in ("p", "q"))
+                for score, x, y in zip(s[heads], ps, qs):
+                    if at is not None and score != at:
+                        first = first or (at, p, q)
+                        u += p * (neg + q / 2)
+                        pos, neg, p, q = pos + p, neg + q, np.zeros(n), np.zeros(n)
+                    at, p, q = score, p + x, q + y
+        if part is None:
+            return
+        first = first or (at, p, q)
+        u += p * (neg + q / 2)
+        one = lambda x: pa.array(np.full(n, x))
+        columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, (pos + p, neg + q, u)), one(float(first[0])), *map(pa.array, first[1:]), one(float(at)), pa.array(p), pa.array(q)]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run, "part int, replicate int, " + ", ".join(f"{c} double" for c in names[2:])
+
+
+def poisson_auc(rows: DataFrame, n: int, seed: int, ranges: int | None = None) -> DataFrame:
+    """(replicate, auc) of n bootstrap replicates over vehicles with Poisson weights, which each task makes for itself.
+
+    A row is read and shuffled once, whatever n: a task turns its range of scores into sums for all replicates at once, and only these (a row a range
+    and replicate) are put together. Vehicles are in the order that is cut into ranges, so rows of one score spread over many.
+    """
+    x = rows.filter("score is not null").groupBy(F.col("score").cast("double").alias("score"), KEY).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    ranges = ranges or min(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = x.repartitionByRange(ranges, "score", KEY).sortWithinPartitions("score").withColumn("part", F.spark_partition_id())
+    run, schema = _auc_of_range(n, seed)
+    # read once: another pass might cut the ranges elsewhere
+    return x.mapInArrow(run, schema).groupBy("replicate").applyInArrow(_put_together, "replicate int, auc double")
+
+
+def _put_together(table: pa.Table) -> pa.Table:
+    """AUC of a replicate from its ranges."""
+    table = table.sort_by("part")
+    c = {n: table.column(n).to_numpy() for n in table.column_names}
+    p, q = c["pos"].sum(), c["neg"].sum()
+    u = c["u"].sum() + (c["pos"] * (np.cumsum(c["neg"]) - c["neg"])).sum()
+    # a score in several ranges: its pairs across them are ties, which the sum above counted as won by the later range
+    at, sum_p, sum_q = None, 0.0, 0.0
+    for i in range(table.num_rows):
+        for e in ("first", "last") if c["first_score"][i] != c["last_score"][i] else ("first",):
+            score, x, y = (c[f"{e}_{k}"][i] for k in ("score", "pos", "neg"))
+            if score != at:
+                at, sum_p, sum_q = score, 0.0, 0.0
+            u += (y * sum_p - x * sum_q) / 2
+            sum_p, sum_q = sum_p + x, sum_q + y
+    auc = u / (p * q) if p * q else None
+    return pa.table({"replicate": pa.array([c["replicate"][0]], pa.int32()), "auc": pa.array([auc], pa.float64())})
+
+
 def interval(draws: DataFrame, value: str, by: list[str] = (), level: float = 0.95) -> DataFrame:
     """Percentile interval of replicates."""
     a = (1 - level) / 2

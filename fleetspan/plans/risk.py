@@ -11,6 +11,9 @@ from ..operators.resample import placed, prefix
 
 DAY = 86_400e6
 
+#: Last day of the registry.
+REGISTRY_END = "2024-01-31"
+
 
 def days_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / DAY
@@ -41,9 +44,10 @@ def window_risk(cuts: DataFrame, trips: DataFrame, clock: DataFrame, lo: str, hi
     return x.withColumns({"entry_days": F.greatest(F.lit(0.0), d(w0)), "exit_days": F.when(event, d(F.col("event_date"))).otherwise(d(w1)), "risk_event": event.cast("int"), "horizon_days": d(F.col("end")), "cut_dss": days_between(F.col("start"), F.col("sale_date"))})
 
 
-def landmark_panel(trips: DataFrame, clock: DataFrame, landmarks: list[int], window_days: int, horizon_days: int, aggs: list[Column]) -> tuple[DataFrame, DataFrame]:
+def landmark_panel(trips: DataFrame, clock: DataFrame, landmarks: list[int], window_days: int, horizon_days: int, aggs: list[Column], end: str = REGISTRY_END) -> tuple[DataFrame, DataFrame]:
     """(panel, reasons): a row per vehicle and landmark day after sale, with aggregates of the trips that end in the window before it.
 
+    end: the day on which follow-up of vehicles without event ends.
     Vehicles without a sale date, with an event before the landmark, or without trips in the window have no row and are counted by reason.
     """
     spine = clock.withColumn("landmark", F.explode(F.array(*(F.lit(v) for v in landmarks))))
@@ -53,7 +57,7 @@ def landmark_panel(trips: DataFrame, clock: DataFrame, landmarks: list[int], win
     x = trips.join(spine.select("vehicle_id", "landmark", "at"), "vehicle_id").filter((F.unix_micros("t_end") > lo) & (F.col("t_end") <= F.col("at"))).groupBy("vehicle_id", "landmark").agg(F.count("*").alias("n_trips"), *aggs)
     y = spine.join(x, ["vehicle_id", "landmark"], "left")
     reason = F.when(F.col("sale_date").isNull(), "no_sale_date").when(F.col("event_date") <= F.col("at"), "event_before").when(F.col("n_trips").isNull(), "no_trips")
-    y = y.withColumns({"reason": reason, "event_in": F.coalesce(days_between(F.col("event_date"), F.col("at")) <= horizon_days, F.lit(False)).cast("int"), "exit_days": days_between(F.coalesce("event_date", F.lit("2024-01-31").cast("timestamp")), F.col("at"))})
+    y = y.withColumns({"reason": reason, "event_in": F.coalesce(days_between(F.col("event_date"), F.col("at")) <= horizon_days, F.lit(False)).cast("int"), "exit_days": days_between(F.coalesce("event_date", F.lit(end).cast("timestamp")), F.col("at"))})
     return y.filter("reason is null").drop("reason"), y.groupBy("landmark", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,8 @@ from ..plans import models as L
 from ..plans import panel, risk
 from ..sources.fleet import SUSTAIN
 from .panels import durations
-from .profile import _r, exposure
+from .derive import MARKERS
+from .profile import PD, _r, exposure
 from .registry import query
 from .scores import SM, auc_sql, repeated, strata, with_market
 
@@ -103,6 +104,16 @@ def weighted_sql(src):
     return f"(SELECT replicate, sum(CASE WHEN level>coalesce(tau,'-inf'::DOUBLE) THEN weight ELSE 0 END)/sum(weight)::DOUBLE AS d FROM {x} LEFT JOIN {tau} USING (replicate) WHERE event_observed=1 GROUP BY 1)"
 
 
+CDF = ", ".join(f"{c!r}::DOUBLE" for c in resample.POISSON)
+POISSON_WEIGHTS = f"(SELECT vehicle_id, r, len(list_filter([{CDF}], lambda c: c<=CAST('0x'||md5('29|'||r||'|'||vehicle_id)[1:12] AS BIGINT)/281474976710656.0::DOUBLE)) AS w FROM (SELECT DISTINCT vehicle_id FROM scores) CROSS JOIN (SELECT unnest(range(0,100)) AS r))"
+
+
+@query("n03b_poisson_bootstrap_auc", f"WITH x AS (SELECT r, score, coalesce(sum(w) FILTER (label=1),0) AS p, coalesce(sum(w) FILTER (label=0),0) AS q FROM scores JOIN {POISSON_WEIGHTS} USING (vehicle_id) GROUP BY ALL), y AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY r ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM x) SELECT CAST(r AS INTEGER) AS replicate, round(sum(p*(below+q/2.0::DOUBLE))/nullif(sum(p)*sum(q),0)::DOUBLE,6) AS auc FROM y GROUP BY 1")
+def n03b(f):
+    """A hundred replicates from one pass over the rows."""
+    return resample.poisson_auc(f.scores, 100, 29).select("replicate", _r("auc", 6))
+
+
 @query("n04_paired_bootstrap", f"WITH la AS (SELECT * FROM {levels_sql('(SELECT *, 0 AS g FROM scores)')}), lb AS (SELECT * FROM {levels_sql('(SELECT * REPLACE (-score AS score), 0 AS g FROM scores)')}), {NUMBERED_BY}, {WEIGHTS_BY}, f AS (SELECT b.d-a.d AS diff FROM {weighted_sql('la')} a JOIN {weighted_sql('lb')} b USING (replicate)) SELECT count(diff) AS n, round(avg(diff),6)+0.0 AS mean, round(quantile_cont(diff,0.025),6)+0.0 AS lo, round(quantile_cont(diff,0.975),6)+0.0 AS hi FROM f")
 def n04(f):
     a = M.vehicle_levels(f.scores, SUSTAIN)
@@ -194,10 +205,16 @@ def l08(f):
     return L.exposure_scores(panel.stack_exposure(d, "entry", "duration", "event", 100.0, 1000.0), d, NUM, 8, 100.0)
 
 
-@query("l09_poisson_rate_table")
+# one factor is saturated: rates, errors of their logarithms and the likelihood have closed forms
+RATES = "(SELECT CAST(market AS VARCHAR) AS m, sum(CASE WHEN day=ed THEN 1 ELSE 0 END)::DOUBLE AS e, count(*)::DOUBLE AS d FROM " + PD + " WHERE cohort='failed' GROUP BY 1)"
+LOG_LIKELIHOOD = f"(SELECT sum(e*ln(e)-e-lgamma(e+1)) AS ll, count(*) AS k FROM {RATES})"
+
+
+@query("l09_poisson_rate_table", f"SELECT term, round(exp(b),6) AS rate_ratio, round(exp(b-1.959964*s),6) AS lo, round(exp(b+1.959964*s),6) AS hi, 0.0::DOUBLE AS deviance, round(-2*ll+2*k,6) AS aic FROM (SELECT CASE WHEN r.m=o.m THEN 'intercept' ELSE 'market='||r.m END AS term, CASE WHEN r.m=o.m THEN ln(o.e/o.d) ELSE ln(r.e/r.d)-ln(o.e/o.d) END AS b, CASE WHEN r.m=o.m THEN sqrt(1/o.e) ELSE sqrt(1/r.e+1/o.e) END AS s FROM {RATES} r CROSS JOIN (SELECT * FROM {RATES} ORDER BY m LIMIT 1) o) CROSS JOIN {LOG_LIKELIHOOD}")
 def l09(f):
     x = exposure(f).groupBy("market", "cohort").agg(F.sum("is_event").alias("events"), F.count("*").alias("days")).filter("cohort = 'failed'")
-    return L.poisson_table(x, ["market"])
+    x = L.poisson_table(x, ["market"])
+    return x.select("term", *((F.round(c, 6) + 0.0).alias(c) for c in ("rate_ratio", "lo", "hi", "deviance", "aic")))
 
 
 @query("l09b_likelihood_ratio")
@@ -308,7 +325,13 @@ def m17b(f):
     return L.calibration_slope(f.scores)
 
 
-@query("m26_marker_hit_rate")
+HIT = "avg(CASE WHEN coalesce(d,1e9)<=2 THEN 1.0::DOUBLE ELSE 0 END)"
+NEAREST = "(SELECT min(greatest(0, epoch_us(m.a)-x, x-epoch_us(m.b)))/86400000000.0::DOUBLE AS d FROM {0} e LEFT JOIN (SELECT * FROM " + MARKERS + " WHERE marker='long_gap') m USING (vehicle_id) GROUP BY vehicle_id, {1})"
+DATED = "(SELECT vehicle_id, epoch_us(event_date) AS x FROM event_dates WHERE vehicle_id IN (SELECT vehicle_id FROM trips))"
+DRAWN = f"(SELECT vehicle_id, r, CAST(trunc(a+CAST('0x'||md5('31|'||r||'|'||vehicle_id)[1:12] AS BIGINT)/281474976710656.0::DOUBLE*(b-a)) AS BIGINT) AS x FROM {DATED} JOIN (SELECT vehicle_id, epoch_us(min(t_start)) AS a, epoch_us(max(t_start)) AS b FROM trips GROUP BY 1) USING (vehicle_id) CROSS JOIN (SELECT unnest(range(0,20)) AS r))"
+
+
+@query("m26_marker_hit_rate", f"SELECT *, CASE WHEN hit_rate>null_rate+0.1::DOUBLE THEN 'informative' ELSE 'no better' END AS verdict FROM (SELECT {HIT} AS hit_rate FROM {NEAREST.format(DATED, 'x')}), (SELECT {HIT} AS null_rate FROM {NEAREST.format(DRAWN, 'x, r')})")
 def m26(f):
     """Share of event days within 2 days of a long gap, and of days drawn within the same vehicles."""
     from ..operators import joins

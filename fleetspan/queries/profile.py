@@ -443,11 +443,10 @@ def f04(f):
 
 @query("f05_arrays", f"SELECT vehicle_id, count(*) AS n, max(top) AS top, round(sum(d),4) AS climbed FROM (SELECT vehicle_id, max(level_end) OVER (PARTITION BY vehicle_id ORDER BY t_start, event_id ROWS UNBOUNDED PRECEDING) AS top, greatest(0.0::DOUBLE, level_end-level_start) AS d0, CASE WHEN level_start IS NULL THEN NULL ELSE greatest(0.0::DOUBLE, level_end-level_start) END AS d FROM trips) GROUP BY 1")
 def f05(f):
-    x = f.trips.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct("t_start", "event_id", "level_end"))).alias("s"))
-    v = F.transform("s", lambda e: e["level_end"])
-    steps = F.zip_with(F.slice(v, F.lit(2), F.size(v)), F.slice(v, F.lit(1), F.size(v) - 1), lambda b, a: F.greatest(F.lit(0.0), b - a))
-    total = F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)
-    return x.select("vehicle_id", F.size(v).cast("bigint").alias("n"), F.array_max(v).alias("top"), F.round(F.when(F.size(v) > 1, total), 4).alias("climbed"))
+    by = Window.partitionBy("vehicle_id").orderBy("t_start", "event_id")
+    x = f.trips.withColumn("step", F.col("level_end") - F.lag("level_end").over(by))
+    climbed = F.sum(F.when(F.col("step").isNotNull(), F.greatest(F.lit(0.0), F.col("step"))))
+    return x.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.max("level_end").alias("top"), F.round(climbed, 4).alias("climbed"))
 
 
 @query("f06_json", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS INTEGER) AS k, '{\"k\":'||json_extract_string(props,'$.k')||'}' AS again FROM events")

@@ -467,7 +467,11 @@ def e05(f):
     return explain.top_contributors(contributions(f), 2)
 
 
-@query("e05b_contributor_stability")
+HALVES = [CONTRIB.replace("FROM trips", f"FROM trips WHERE event_id%2={h}") for h in (0, 1)]
+TOPS = [f"(SELECT vehicle_id, list(feature) AS s FROM (SELECT vehicle_id, feature FROM {h} WHERE phi>0 QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY phi DESC, feature)<=2) GROUP BY 1)" for h in HALVES]
+
+
+@query("e05b_contributor_stability", f"SELECT vehicle_id, CASE WHEN len(list_distinct(list_concat(coalesce(a.s,[]),coalesce(b.s,[]))))>0 THEN len(list_intersect(coalesce(a.s,[]),coalesce(b.s,[])))/len(list_distinct(list_concat(coalesce(a.s,[]),coalesce(b.s,[]))))::DOUBLE ELSE 1.0::DOUBLE END AS jaccard, sign_agreement FROM (SELECT x.vehicle_id, avg(CASE WHEN sign(x.phi)=sign(y.phi) THEN 1.0::DOUBLE ELSE 0 END) AS sign_agreement FROM {HALVES[0]} x JOIN {HALVES[1]} y ON x.vehicle_id=y.vehicle_id AND x.feature=y.feature GROUP BY 1) LEFT JOIN {TOPS[0]} a USING (vehicle_id) LEFT JOIN {TOPS[1]} b USING (vehicle_id)")
 def e05b(f):
     return explain.stability(contributions(f, f.trips.filter("event_id % 2 = 0")), contributions(f, f.trips.filter("event_id % 2 = 1")), 2)
 
