@@ -21,6 +21,8 @@ ACCURACY = 10_000
 MARGIN = 4e-4
 #: Groups with fewer rows are counted whole.
 SMALL = 2 * ACCURACY
+#: Up to so many groups, a row each, are kept by the driver between the passes.
+GROUPS = 20_000
 
 
 def _bracketed(value: str, probs: list[float]) -> Column:
@@ -37,7 +39,8 @@ def quantiles(rows: DataFrame, by: list[str], wanted: list[tuple[str, Column | s
     """One row per group: by, aggs, and a column for each (name, numeric column, share in [0, 1]) of wanted, with linear interpolation between ranks.
 
     Nulls don't count; a group without values has null. aggs are further aggregates of the same first pass. few_groups: the groups are few by
-    construction (metrics, cohorts, bins of a scale), so a row a group may be broadcast; with False, rows are joined to their groups by a shuffle.
+    construction (metrics, cohorts, bins of a scale), so a row a group may be broadcast; with False, or with more than GROUPS of them, rows are joined
+    to their groups by a shuffle. The first pass runs at once: what follows must see the same brackets wherever it reads them.
     """
     columns: dict[str, Column] = {}
     at = []  # (name, index of its column, place among the column's probs)
@@ -55,6 +58,9 @@ def quantiles(rows: DataFrame, by: list[str], wanted: list[tuple[str, Column | s
     values = [f"_v{c}" for c in range(len(columns))]
     valued = rows.withColumns({v: x.cast("double") for v, x in zip(values, columns.values())})
     first = valued.groupBy(*by).agg(*aggs, *(F.count(v).alias(f"_n{c}") for c, v in enumerate(values)), *(_bracketed(v, probs[c]).alias(f"_b{c}") for c, v in enumerate(values))).withColumn("_g", group)
+    some = first.limit(GROUPS + 1).collect() if few_groups else []
+    few_groups = few_groups and len(some) <= GROUPS
+    first = rows.sparkSession.createDataFrame(some, first.schema) if few_groups else first.persist()
     small = F.broadcast if few_groups else (lambda t: t)
 
     # the second pass: a row a group, column and value inside a bracket, and one for all values outside
