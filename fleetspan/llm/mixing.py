@@ -4,10 +4,13 @@ Every document belongs to each domain with a posterior probability. The domains
 toxic (0, 1). A softmax regression over hashed words, fitted on FIT_ROWS labelled rows at most, gives the posteriors. A document's
 expected tokens in a domain are its words t times its posterior p. Rates r >= 0, one a document, then minimise the sum over domains of
 (sum t p r - goal)^2 / goal, by projected gradient descent from r = 1: a step moves each document against its posteriors times a vector, and cuts at 0.
-That vector is the gradient, first in the metric of the documents that are not at 0 (which meets goals that can be met in a few passes, each
-step halved until it gains), then, if something is left, in the metric of the objective with momentum. A pass needs the domains' totals and
-their Gram matrix only: one vector a task. The descent ends when all goals are met within TOLERANCE of all tokens or the projected gradient
-vanishes, which proves that they can't be met; what is left is in the result, and a warning tells of it.
+That vector is the gradient in the metric of the documents that are not at 0, which meets goals that can be met in a few passes, each
+step halved until it gains. A pass needs the domains' totals and their Gram matrix only: one vector a task.
+
+Goals that can't be met have no sensible least squares: a few documents at the edge would take the place of all others. So RIDGE times
+sum t (r - 1)^2 is added, and the optimum is the projection of 1 - p y on r >= 0 for one price y a domain, found by Newton steps on the
+prices, again one vector a task and pass, and one step to replay. It ends when the projected gradient vanishes within TOLERANCE, which proves the optimum;
+what is left is in the result, and a warning tells of it.
 
 Goals are the targets' shares of the tokens there are, or, with keep, of as many tokens as leave that domain what it has.
 Rates become copies by the fraction of a hash of doc_id and text: floor(rate + fraction).
@@ -39,8 +42,10 @@ FIT_ROWS = 3_000
 #: Rates are held to at most this. A finite bound may make targets infeasible.
 MOST = math.inf
 HASHES = 1 << 13
-#: Passes of the descent at most, of which the second kind begins after half of them; most targets take fewer than ten.
-ROUNDS = 120
+#: Passes of the descent at most, of which the second kind begins after half of them; most targets take fewer than ten, others fewer than twenty.
+ROUNDS = 60
+#: Weight of a rate's square distance from 1, against the squares of the domains' shares.
+RIDGE = 1e-4
 TOLERANCE = 1e-6
 
 
@@ -157,10 +162,10 @@ def solve(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, t
     k = len(DOMAINS)
     names = [f"p{i}" for i in range(k)]
     upper = np.triu_indices(k)
-    cols = [*(f"g{i}" for i in range(k)), *(f"m{i}" for i in range(len(upper[0]))), "slope"]
+    cols = [*(f"g{i}" for i in range(k)), *(f"m{i}" for i in range(len(upper[0]))), "dual"]
 
-    def run(steps, metric_left):
-        """Totals, Gram matrix of the documents above 0, and the square of the projected gradient times metric_left."""
+    def run(steps, prices):
+        """Totals, Gram matrix of the documents above 0, and the sum of (r - 1)^2 / 2 and of r times the prices of its domains."""
 
         def part(batches):
             got = np.zeros(len(cols))
@@ -168,10 +173,8 @@ def solve(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, t
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], axis=1)
                 r = _rates(t, p, steps)
-                slope = p @ metric_left
-                slope = np.where(r <= 0, np.minimum(slope, 0), np.where(r >= MOST, np.maximum(slope, 0), slope))
                 inside = ((r > 0) & (r < MOST)) * t
-                got += np.concatenate([(r * t) @ p, ((p * inside[:, None]).T @ p)[upper], [(t * slope * slope).sum()]])
+                got += np.concatenate([(r * t) @ p, ((p * inside[:, None]).T @ p)[upper], [(t * ((r - 1) ** 2 / 2 + r * (p @ prices))).sum()]])
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], cols)
 
         got = members.select("tokens", *names).mapInArrow(part, ", ".join(f"{c} double" for c in cols)).agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in cols)).first()
@@ -206,24 +209,26 @@ def solve(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, t
         else:
             break
         steps, totals, gram = [*steps, (0.0, size * step)], new, new_gram
-    # the metric of the objective, with momentum that starts anew when it leads uphill
-    sides = np.linalg.cholesky(full)
-    pace = 1 / np.linalg.eigvalsh(sides.T @ np.diag(weight) @ sides).max()
-    slope, speed, seen, last, momentum = math.inf, 1.0, totals, None, 0.0
-    while not met(totals):
-        # totals of the point that momentum leads to, before it is cut
-        ahead = totals if last is None else totals + momentum * (totals - last)
-        new, _, slope = run(trial := [*steps, (momentum, pace * weight * (ahead - goals))], weight * (totals - goals))
-        passes += 1
-        slope = math.sqrt(slope / total)
-        if slope <= tolerance or passes >= rounds:
-            break
-        if ((new - goals) ** 2 * weight).sum() > ((totals - goals) ** 2 * weight).sum() and momentum:
-            speed, momentum, last = 1.0, 0.0, None
-            continue
-        steps, last, totals = trial, totals, new
-        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
-        speed, momentum = faster, (speed - 1) / faster
+    # goals that can't be met: a Newton method for the sum of squares and its ridge, which has one optimum
+    slope = math.inf
+    if not met(totals):
+        bend = np.diag(RIDGE / weight)
+        move, size, known = np.zeros(k), 1.0, None
+        while passes < rounds:
+            trial = move if known is None else move + size * step
+            new, new_gram, value = run([(0.0, trial)], trial)
+            passes += 1
+            value -= trial @ goals + trial @ bend @ trial / 2
+            if known is not None and value < known + 1e-4 * size * (left @ step) - 1e-12 * abs(known):
+                size /= 4
+                continue
+            move, known, totals, size = trial, value, new, 1.0
+            left = totals - goals - bend @ move
+            slope = math.sqrt(max(0.0, (weight * left) @ full @ (weight * left)) / total)
+            if slope <= tolerance:
+                break
+            step = np.linalg.solve(new_gram + bend, left)
+        steps = [(0.0, move)]
     out = Solution(steps, goals, totals, 0.0 if slope is math.inf else slope, passes, met(totals))
     if not out.met:
         warnings.warn(f"mixing: targets are not met ({'infeasible' if out.gradient <= tolerance else 'passes used up'}); off by these shares of all tokens: {out.residuals()}", stacklevel=2)

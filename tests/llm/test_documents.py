@@ -423,6 +423,34 @@ def test_mixing_meets_what_can_be_met_and_proves_what_cannot(spark):
     assert True in seen
 
 
+def test_mixing_ends_at_the_optimum_when_a_domain_is_gone(spark):
+    """As after the quality filter: next to no junk is left. The projected gradient of squares and ridge vanishes, in few passes, and clean text stays."""
+    import warnings
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for gone in (1e-9, 1e-5, 1e-3):
+        n = 2000
+        toxic = (rng.random(n) < 0.06) * 0.97
+        junk = rng.random(n) * gone
+        p = np.stack([junk, junk / 2, 1 - toxic - junk * 1.5, toxic], axis=1)
+        t = rng.integers(1, 900, n).astype(float)
+        with warnings.catch_warnings(record=True):
+            warnings.simplefilter("always")
+            found = mixing.solve(members_of(spark, t, p), mixing.TARGETS, keep="clean")
+        r = mixing._rates(t, p, found.steps)
+        totals = p.T @ (t * r)
+        assert np.allclose(totals, found.totals, rtol=1e-9) and not found.met and found.passes < 30 and found.gradient <= 1e-6
+        slope = p @ ((totals - found.goals) / found.goals) + mixing.RIDGE * (r - 1)
+        slope = np.where(r > 0, slope, np.minimum(slope, 0))
+        assert np.sqrt((t * slope**2).sum() / t.sum()) <= 1e-6
+        shares = np.abs(list(found.residuals().values()))
+        assert shares[2:].max() < 2e-3  # what can be met is met
+        if gone < 1e-4:  # nothing to draw it from: clean text stays
+            assert np.maximum(0, 1 - r[toxic == 0]).mean() < 0.1
+
+
 def test_mixing_infeasible_and_scarce_targets(spark):
     import warnings
 
