@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import natural_spline, uniform  # noqa: F401
 from ..operators.joins import average_rank, fallback_lookup
 from ..operators.quantiles import quantiles
-from . import fits
+from . import fits, targets
 from .fits import Logistic
 
 KEYS = ["vehicle_id", "cut_odo"]
@@ -263,8 +263,8 @@ def ordinal_scores(rows: DataFrame, features: list[str], label: str, classes: in
     """P(class >= at_least) of a multinomial logistic model."""
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", regParam=0.05, maxIter=20)]
     scored = Pipeline(stages=stages).fit(rows).transform(rows)
-    p = vector_to_array("probability")
-    return scored.select(*KEYS, label, F.aggregate(F.slice(p, at_least + 1, classes - at_least), F.lit(0.0), lambda a, b: a + b).alias("score"))
+    scored = scored.select(*KEYS, label, vector_to_array("probability").alias("_p"))
+    return targets.decode(scored, "ordinal", "_p", classes=classes, at_least=at_least).select(*KEYS, label, "score")
 
 
 def one_vs_rest(rows: DataFrame, features: list[str], label: str, kind: Logistic = Logistic(l2=0.05)) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .panes import CHANNELS
+from .panes import channels as bin_channels
+
 
 def cut_grid(trips: DataFrame, events: DataFrame, window_km: float, gap_km: float, horizon_km: float, step_km: float, censored: str = "drop") -> DataFrame:
     """One row per vehicle and cut: multiples of step_km from a full window after the least end odometer on.
@@ -50,15 +56,49 @@ def bins(rows: DataFrame, bin_km: float, aggs: list[Column], at: str = "odo_end"
     return rows.withColumn("bin", F.greatest(F.ceil(F.col(at) / bin_km) - 1, F.lit(0))).groupBy("vehicle_id", "bin").agg(*aggs)
 
 
-def sequences(binned: DataFrame, cuts: DataFrame, channels: list[str], window_km: float, bin_km: float) -> DataFrame:
-    """Long form of the T x C tensor: a row per cut and bin t of its window; each channel is carried forward, then back, then 0."""
+#: Fills by name: (channel, rows of the sequence up to the step, rows from the step on) -> Column.
+FILLS: dict[str, Callable[[Column, WindowSpec, WindowSpec], Column]] = {
+    "none": lambda x, past, rest: x,
+    "zero": lambda x, past, rest: F.coalesce(x, F.lit(0.0)),
+    "carry": lambda x, past, rest: F.coalesce(F.last(x, ignorenulls=True).over(past), F.first(x, ignorenulls=True).over(rest)),
+    "carry_zero": lambda x, past, rest: F.coalesce(F.last(x, ignorenulls=True).over(past), F.first(x, ignorenulls=True).over(rest), F.lit(0.0)),
+}
+#: Transforms of a filled channel by name.
+TRANSFORMS: dict[str, Callable[[Column], Column]] = {"log1p": F.log1p, "sqrt": F.sqrt}
+
+
+@dataclass(frozen=True)
+class Channel:
+    """A declared channel of a sequence: what is aggregated in a bin and how, what an empty bin holds, and a last transform."""
+
+    name: str
+    x: str
+    agg: str
+    fill: str = "zero"
+    transform: str | None = None
+
+    def __post_init__(self):
+        for value, known, kind in ((self.agg, CHANNELS, "aggregator"), (self.fill, FILLS, "fill"), (self.transform, TRANSFORMS, "transform")):
+            if value is not None and value not in known:
+                raise ValueError(f"channel {self.name}: {kind} {value} is not known; known are {sorted(known)}")
+
+
+def sequences(binned: DataFrame, cuts: DataFrame, channels: list[str | Channel], window_km: float, bin_km: float) -> DataFrame:
+    """Long form of the T x C tensor: a row per cut and bin t of its window. Channels given by name are carried forward, then back, then 0."""
+    channels = [Channel(c, c, "mean", "carry_zero") if isinstance(c, str) else c for c in channels]
     t_len = int(window_km / bin_km)
     spine = cuts.select("vehicle_id", "cut_odo").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_len - 1)))).withColumn("bin", (F.col("cut_odo") / bin_km - t_len + F.col("t")).cast("long"))
     x = spine.join(binned, ["vehicle_id", "bin"], "left")
     past = Window.partitionBy("vehicle_id", "cut_odo").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     rest = Window.partitionBy("vehicle_id", "cut_odo").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    filled = [F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(rest), F.lit(0.0)).alias(c) for c in channels]
-    return x.select("vehicle_id", "cut_odo", "t", *filled, F.col(channels[0]).isNotNull().alias("seen"))
+    filled = [FILLS[c.fill](F.col(c.name), past, rest).alias(c.name) for c in channels]
+    x = x.select("vehicle_id", "cut_odo", "t", *filled, F.col(channels[0].name).isNotNull().alias("seen"))
+    return x.withColumns({c.name: TRANSFORMS[c.transform](F.col(c.name)) for c in channels if c.transform})
+
+
+def declared_sequences(rows: DataFrame, cuts: DataFrame, channels: list[Channel], window_km: float, bin_km: float) -> DataFrame:
+    """sequences of declared channels, from rows."""
+    return sequences(bin_channels(rows, bin_km, [(c.name, c.x, c.agg) for c in channels]), cuts, channels, window_km, bin_km)
 
 
 def flatten(seq: DataFrame, channels: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import derive
-from ..plans import panel, panes, risk
+from ..plans import panel, panes, risk, targets
 from ..sources.fleet import BIN_KM, CONTEXT_KM, GAP_KM, HORIZON_KM, ORIGIN, REGISTRY, STEP_KM, WINDOW_KM
 from .joins import ODO_AT
 from .profile import BIN, _r, _rounded
@@ -191,7 +191,9 @@ def w11(f):
     return panel.sequences(binned(f), f.cuts, ["level"], WINDOW_KM, BIN_KM).withColumn("level", F.round("level", 4))
 
 
-CHANNELS = ["level", "km", "val"]
+#: The channels of the sequence panel, declared as data.
+DECLARED_CHANNELS = [panel.Channel("level", X, "mean", "carry_zero"), panel.Channel("km", "trip_km", "sum", "carry_zero"), panel.Channel("val", "value", "mean", "carry_zero")]
+CHANNELS = [c.name for c in DECLARED_CHANNELS]
 STEPS = int(WINDOW_KM / BIN_KM)
 _FILL = "coalesce(last_value({0} IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS UNBOUNDED PRECEDING), first_value({0} IGNORE NULLS) OVER (PARTITION BY vehicle_id, cut_odo ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0::DOUBLE) AS {0}"
 CTES["tensor"] = f"SELECT vehicle_id, cut_odo, t, seen, {', '.join(_FILL.format(c) for c in CHANNELS)} FROM (SELECT c.vehicle_id, c.cut_odo, t, b.level IS NOT NULL AS seen, {', '.join('b.' + c for c in CHANNELS)} FROM cuts c CROSS JOIN (SELECT unnest(generate_series(0,{STEPS - 1})) AS t) LEFT JOIN binned b ON b.vehicle_id=c.vehicle_id AND b.bin=CAST(c.cut_odo/25-{STEPS}+t AS BIGINT))"
@@ -200,7 +202,7 @@ CTES["tensor"] = f"SELECT vehicle_id, cut_odo, t, seen, {', '.join(_FILL.format(
 @query("b08_sequence_panel", f"SELECT vehicle_id, cut_odo, round(avg(CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END),6) AS coverage, {', '.join(f'round(max({c}) FILTER (t={i})+1e-9,4) AS {c}_{i:02d}' for c in CHANNELS for i in range(STEPS))} FROM tensor GROUP BY ALL")
 def b08(f):
     """T x C: every channel of every step, flattened into columns."""
-    x = panel.flatten(panel.sequences(binned(f), f.cuts, CHANNELS, WINDOW_KM, BIN_KM), CHANNELS)
+    x = panel.flatten(panel.declared_sequences(f.trips, f.cuts, DECLARED_CHANNELS, WINDOW_KM, BIN_KM), CHANNELS)
     return x.select(*KEYS, _r("coverage", 6), *(F.round(F.col("feat_seq")[i][c] + 1e-9, 4).alias(f"{c}_{i:02d}") for c in CHANNELS for i in range(STEPS)))
 
 
@@ -250,7 +252,14 @@ def b12(f):
     return x.groupBy(*KEYS).agg(F.round(F.max_by("level", "bin"), 4).alias("last_level"), F.round(F.avg("level") + 1e-9, 4).alias("mean"), (F.round(F.regr_slope("level", "bin") + 1e-9, 4) + 0.0).alias("slope"))
 
 
+#: Targets declared as data.
+DECLARED_TARGETS = [
+    targets.Target("survival", {"gap_km": GAP_KM}, {"duration": "duration", "at_risk": "at_risk"}), targets.Target("ordinal", {"edges": (600, 300)}),
+    targets.Target("far_soft", {"horizon_km": GAP_KM + HORIZON_KM, "far_km": 500}), targets.Target("cure", {"window_km": GAP_KM + HORIZON_KM}, {"time": "cure_time", "event": "cure_event"}),
+]
+
+
 @query("b13_target_columns", "SELECT vehicle_id, cut_odo, round(d,4) AS duration, d>0 AS at_risk, CASE WHEN time_to_event_km IS NULL THEN 0 WHEN time_to_event_km>600 THEN 1 WHEN time_to_event_km>300 THEN 2 ELSE 3 END AS class, round(CASE WHEN time_to_event_km IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1-(time_to_event_km-900)/500)) END,6) AS soft, round(least(d+100,900.0::DOUBLE),4) AS cure_time, CASE WHEN event_observed=1 AND d+100<=900 THEN 1 ELSE 0 END AS cure_event FROM (SELECT *, CASE WHEN event_observed=1 THEN time_to_event_km ELSE km_after END-100 AS d FROM cuts)")
 def b13(f):
-    s, c = risk.survival_target(GAP_KM), risk.cure_target(GAP_KM + HORIZON_KM)
-    return f.cuts.select(*KEYS, F.round(s["duration"], 4).alias("duration"), s["at_risk"].alias("at_risk"), risk.ordinal_target((600, 300)).alias("class"), F.round(risk.soft_label(GAP_KM + HORIZON_KM, 500), 6).alias("soft"), F.round(c["time"], 4).alias("cure_time"), c["event"].alias("cure_event"))
+    x = targets.with_targets(f.cuts, DECLARED_TARGETS)
+    return x.select(*KEYS, F.round("duration", 4).alias("duration"), "at_risk", "class", F.round("soft", 6).alias("soft"), F.round("cure_time", 4).alias("cure_time"), "cure_event")
