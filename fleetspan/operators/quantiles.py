@@ -5,6 +5,8 @@
    all rows is summed up where its rows are. Groups with few rows have one bracket around everything.
 3. Running counts of the distinct values inside, put together from ranges, find the values at the ranks.
 
+Where a count finds no group of more than PLAIN rows, Spark's own percentile is taken: its buffers are bounded then.
+
 That a bracket holds its rank follows from the sketch's error bound and is checked by the exact counts: a miss is an error, never a wrong value.
 """
 
@@ -21,6 +23,8 @@ ACCURACY = 10_000
 MARGIN = 4e-4
 #: Groups with fewer rows are counted whole.
 SMALL = 2 * ACCURACY
+#: Where no group has more rows, one buffer a group is small enough.
+PLAIN = 1 << 16
 #: Up to so many groups, a row each, are kept by the driver between the passes.
 GROUPS = 20_000
 
@@ -54,6 +58,8 @@ def quantiles(rows: DataFrame, by: list[str], wanted: list[tuple[str, Column | s
         if p not in probs[c]:
             probs[c].append(p)
         at.append((name, c, p))
+    if (rows.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= PLAIN:
+        return rows.groupBy(*by).agg(*aggs, *(F.percentile((F.col(x) if isinstance(x, str) else x).cast("double"), F.lit(float(p))).alias(name) for name, x, p in wanted))
     group = F.to_json(F.struct(*by)) if by else F.lit("")
     values = [f"_v{c}" for c in range(len(columns))]
     valued = rows.withColumns({v: x.cast("double") for v, x in zip(values, columns.values())})

@@ -26,7 +26,9 @@ def check(df, rows, by, columns, probs=PROBS, **how):
             assert (r[name] is None) if not x else r[name] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12), (name, r)
 
 
-def test_groups_of_all_sizes_null_keys_and_null_values(spark):
+@pytest.mark.parametrize("plain", [0, 1 << 16])
+def test_groups_of_all_sizes_null_keys_and_null_values(spark, plain, monkeypatch):
+    monkeypatch.setattr(Q, "PLAIN", plain)
     rng = random.Random(1)
     rows = [{"g": rng.choice(["a", "b", None]), "h": rng.choice([1.5, None]), "x": rng.choice([None, rng.gauss(0, 1), 2.0]), "y": rng.randrange(5)} for _ in range(300)]
     rows += [{"g": "one", "h": 1.5, "x": 7.0, "y": 1}, {"g": "none", "h": 1.5, "x": None, "y": None}]
@@ -39,6 +41,7 @@ def test_groups_of_all_sizes_null_keys_and_null_values(spark):
 @pytest.mark.parametrize("kind", ["spread", "ties", "two values", "huge range"])
 def test_one_group_holds_all_rows(spark, kind, monkeypatch):
     """With brackets much smaller than the group."""
+    monkeypatch.setattr(Q, "PLAIN", 0)
     monkeypatch.setattr(Q, "ACCURACY", 500)
     monkeypatch.setattr(Q, "MARGIN", 0.008)
     monkeypatch.setattr(Q, "SMALL", 1000)
@@ -51,6 +54,7 @@ def test_one_group_holds_all_rows(spark, kind, monkeypatch):
 
 
 def test_a_bracket_that_misses_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PLAIN", 0)
     monkeypatch.setattr(Q, "SMALL", 0)
     monkeypatch.setattr(Q, "MARGIN", -0.2)
     df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("x"))
