@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dedupe
 from ..sources import tables
+from ..sources.fleet import Fleet
+from ..sources.layout import KeyedStore
 from .registry import query
 
 CLONES = "SELECT * FROM trips UNION ALL SELECT vehicle_id+1000000 AS vehicle_id, * EXCLUDE (vehicle_id) FROM trips WHERE vehicle_id%10=0"
@@ -136,6 +139,16 @@ def s14(f):
     return m.get("last", build)
 
 
+@query("s14b_trips_stored_by_vehicle", """SELECT t.*, source, round(event_odo,4) AS event_odo FROM (SELECT vehicle_id, count(*) AS n_trips, max(odo_end) AS last_odo, round(max(rest_s)/3600.0::DOUBLE,4) AS longest_rest_h
+  FROM (SELECT *, epoch_us(t_start)/1e6::DOUBLE - lag(epoch_us(t_end)/1e6::DOUBLE) OVER (PARTITION BY vehicle_id ORDER BY t_start, event_id) AS rest_s FROM trips) GROUP BY 1) t LEFT JOIN event_odo USING (vehicle_id)""")
+def s14b(f):
+    """A window, a grouping and an as-of join over stored trips; nothing but the event dates is shuffled."""
+    stored = Fleet(f.spark, f.dir, f.store or KeyedStore(f.spark, _base(f) + "/store", 8))
+    rest = F.unix_micros("t_start") / 1e6 - F.lag(F.unix_micros("t_end") / 1e6).over(Window.partitionBy("vehicle_id").orderBy("t_start", "event_id"))
+    t = stored.trips.withColumn("rest_s", rest).groupBy("vehicle_id").agg(F.count("*").alias("n_trips"), F.max("odo_end").alias("last_odo"), F.round(F.max("rest_s") / 3600, 4).alias("longest_rest_h"))
+    return t.join(stored.event_odo.select("vehicle_id", "source", F.round("event_odo", 4).alias("event_odo")), "vehicle_id", "left")
+
+
 @query("u01_collapse_clones", """SELECT CASE WHEN c.vehicle_id>=1000000 THEN c.vehicle_id-1000000 ELSE c.vehicle_id END AS vehicle_id, count(DISTINCT event_id) AS n, CASE WHEN max(CASE WHEN c.vehicle_id>=1000000 OR (c.vehicle_id%%3)=0 THEN 1 ELSE 0 END)=1 THEN 'failed' ELSE 'healthy' END AS cohort FROM (%s) c GROUP BY 1""" % CLONES)
 def u01(f):
     x = with_clones(f).withColumn("cohort", F.when((F.col("vehicle_id") >= 1_000_000) | (F.col("vehicle_id") % 3 == 0), "failed").otherwise("healthy"))

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .layout import KeyedStore
+
 ORIGIN = "2023-12-01"
 WINDOW_KM, GAP_KM, HORIZON_KM, STEP_KM = 400.0, 100.0, 800.0, 100.0
 CONTEXT_KM, BIN_KM, SUSTAIN = 1000.0, 25.0, 2
@@ -14,10 +16,15 @@ REGISTRY = ("2024-01-05", "2024-01-25")
 
 
 class Fleet:
-    """The tables of one folder, in the shapes that the operators take. Everything is lazy."""
+    """The tables of one folder, in the shapes that the operators take. Everything is lazy.
+
+    With a store (or a folder for one in spark.fleetspan.store), trips are written there once, dealt by vehicle; without, each query derives them from the events.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: KeyedStore | None = None):
         self.spark, self.dir = spark, sf_dir
+        where = spark.conf.get("spark.fleetspan.store", None)
+        self.store = store or (KeyedStore(spark, where) if where else None)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
@@ -36,6 +43,12 @@ class Fleet:
 
     @cached_property
     def trips(self) -> DataFrame:
+        if self.store is None:
+            return self.derived_trips
+        return self.store.get("trips", lambda: self.derived_trips, "vehicle_id", ["t_start", "event_id"], [f"{self.dir}/events.parquet"])
+
+    @cached_property
+    def derived_trips(self) -> DataFrame:
         """One row per trip: vehicle_id, event_id, message, value, t_start, t_end, trip_km, level_start, level_end, odo_start, odo_end."""
         by = Window.partitionBy("vehicle_id").orderBy("t_start", "event_id")
         x = self.events.withColumns({"level_start": F.lag("level_end").over(by), "odo_c": F.sum("km_c").over(by.rowsBetween(Window.unboundedPreceding, 0))})
@@ -52,7 +65,8 @@ class Fleet:
     def event_dates(self) -> DataFrame:
         from ..operators.asof import day_on_calendar
 
-        return self.vehicles.filter("event_day is not null").select("vehicle_id", day_on_calendar(F.lit(ORIGIN), F.col("event_day")).alias("event_date"))
+        dates = self.vehicles.filter("event_day is not null").select("vehicle_id", day_on_calendar(F.lit(ORIGIN), F.col("event_day")).alias("event_date"))
+        return self.store.deal(dates, "vehicle_id") if self.store else dates
 
     @cached_property
     def event_odo(self) -> DataFrame:
