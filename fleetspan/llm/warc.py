@@ -2,7 +2,7 @@
 
 Writing: each page is a response record, or a revisit of the response with an equal payload and the smallest page_id. A response's
 block is an HTTP message whose body is chunked; a block over SEGMENT bytes is split into a response record with segment number 1 and
-continuation records, the last of which tells the total length. Every record is a gzip member of its own. A Spark task
+continuation records, the last of which tells the total length. Urls are percent-encoded as UTF-8 where they aren't printable ASCII (none: urn:none). Every record is a gzip member of its own. A Spark task
 writes the archives of its partition under names of its attempt and returns them; the table of these names, which Spark commits for one attempt of each
 task only, tells which archives are then renamed into place. So a task that runs again or twice leaves no second record, in
 whatever order it gets its rows. Files are written through pyarrow's file systems (local, HDFS, object stores).
@@ -24,6 +24,7 @@ import base64
 import hashlib
 import re
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ SEGMENT = 16_384
 CHUNK = 4_096
 #: Bytes after which a task begins its next archive.
 ARCHIVE = 16 << 20
+#: Characters of a url that stand for themselves in a header.
+PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 DATE = "2024-01-01T00:00:00Z"  # a fixed value, so that archives don't depend on when they are written
 
 
@@ -71,7 +74,8 @@ def dechunked(data: bytes) -> bytes:
 
 
 def _clean(url) -> str:
-    return "".join(c for c in (url or "") if c > " ").encode("ascii", "ignore").decode() or "urn:none"
+    """A header's form of a url: trimmed, and what isn't printable ASCII percent-encoded as UTF-8."""
+    return quote((url or "").strip(), safe=PRINTABLE) or "urn:none"
 
 
 def page_records(rid: str, page_id, url, payload: bytes, original, segment: int = SEGMENT):

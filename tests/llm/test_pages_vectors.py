@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -46,6 +47,14 @@ def test_warc_round_trip(spark, pages):
             assert r["record_type"] == "revisit" and r["refers_to"] == first[body.decode()]
 
 
+def test_warc_keeps_urls_of_any_script(spark):
+    urls = ["http://x.example/straße?q=ü", "http://例え.example/路", "http://x.example/a b\r\nX: y", "http://x.example/%C3%BC#z", " ", None]
+    rows = [(i, u, f"<p>{i}</p>", 1, "d") for i, u in enumerate(urls)]
+    out = {r["page_id"]: r["url"] for r in warc.round_trip(spark.createDataFrame(rows, PAGE)).collect()}
+    assert [unquote(out[i]) for i in range(3)] == urls[:3] and all(c.isascii() and c > " " for i in range(4) for c in out[i])
+    assert out[3] == urls[3] and out[4] == out[5] == "urn:none"
+
+
 def test_warc_threshold_and_empty(spark, pages):
     df, _ = pages
     kinds = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, min_revisit=1000).collect()}
