@@ -189,20 +189,26 @@ def _windowed_counts(hist: DataFrame, by: list[str], value: str, counts: list[st
     return hist.select(*hist.columns, *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in counts), *(F.sum(c).over(every).alias(f"{c}_all") for c in counts))
 
 
-def running_counts(hist: DataFrame, by: list[str], value: str, counts: list[str], ranges: int = 64) -> DataFrame:
+def running_counts(hist: DataFrame, by: list[str], value: str, counts: list[str], ranges: int = 64, levels: int | None = None) -> DataFrame:
     """hist with <c>_below (sum of c over smaller values of the group) and <c>_all. Values are dealt to ranges by approximate quantiles.
 
-    No group is sorted in one task: the window runs within a range, and ranges are put together by their totals (ranges rows a group).
+    No group is sorted in one task: the window runs within a range, and ranges are put together by their totals (a row a range). Where the session
+    has more than 4 * ranges shuffle partitions, each range is cut into as many once more, so that ranges follow the cluster; levels sets it otherwise.
     """
-    q = hist.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("_q"))
-    x = hist.join(q, by) if by else hist.crossJoin(q)  # one row
-    x = x.withColumn("_r", F.size(F.filter("_q", lambda e: e < F.col(value)))).drop("_q")
-    parts = x.groupBy(*by, "_r").agg(*(F.sum(c).alias(f"_p_{c}") for c in counts))
-    w = Window.partitionBy(*by).orderBy("_r") if by else Window.orderBy("_r")
+    levels = levels or (2 if int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 * ranges else 1)
+    cuts = F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("_q")
+    x, within = hist, []
+    for level in range(levels):
+        q = x.groupBy(*by, *within).agg(cuts)
+        x = x.join(q, [*by, *within]) if by or within else x.crossJoin(q)  # one row
+        x = x.withColumn(f"_r{level}", F.size(F.filter("_q", lambda e: e < F.col(value)))).drop("_q")
+        within.append(f"_r{level}")
+    parts = x.groupBy(*by, *within).agg(*(F.sum(c).alias(f"_p_{c}") for c in counts))
+    w = Window.partitionBy(*by).orderBy(*within) if by else Window.orderBy(*within)
     every = Window.partitionBy(*by) if by else Window.partitionBy()
-    parts = parts.select(*by, "_r", *(F.coalesce(F.sum(f"_p_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{c}") for c in counts), *(F.sum(f"_p_{c}").over(every).alias(f"{c}_all") for c in counts))
-    inner = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(parts, [*by, "_r"])
+    parts = parts.select(*by, *within, *(F.coalesce(F.sum(f"_p_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{c}") for c in counts), *(F.sum(f"_p_{c}").over(every).alias(f"{c}_all") for c in counts))
+    inner = Window.partitionBy(*by, *within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(parts, [*by, *within])
     return x.select(*hist.columns, *((F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(f"{c}_below") for c in counts), *(f"{c}_all" for c in counts))
 
 

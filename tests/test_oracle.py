@@ -23,6 +23,18 @@ def duck():
     return con
 
 
+@pytest.fixture(autouse=True)
+def as_shipped(spark):
+    """Adaptive execution and generated code, as a user's session has them."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.codegen.wholeStage")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "true")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
 def norm(df):
     def cell(v):
         if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "<NA>":

@@ -124,3 +124,17 @@ def test_nearest_interval_matches_brute_force(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert joins.min_distance(df.limit(0), spark.createDataFrame([], "vehicle_id int, a timestamp, b timestamp"), "at").count() == 0
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_running_counts_of_ranges(spark, levels, by):
+    x = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.pow(F.col("id") % 997, F.lit(3)) / 7).alias("v"), (F.col("id") % 5).alias("c"))
+    hist = x.groupBy("g" if by else F.lit(0).alias("g"), "v").agg(F.sum("c").alias("c"))
+    got = joins.running_counts(hist, by, "v", ["c"], ranges=8, levels=levels).toPandas()
+    want = hist.toPandas()
+    assert len(got) == len(want)
+    for g, rows in want.groupby("g"):
+        rows = rows.sort_values("v")
+        mine = got[got["g"] == g].sort_values("v")
+        assert list(mine["c_below"]) == list(rows["c"].cumsum() - rows["c"]) and set(mine["c_all"]) == {rows["c"].sum()}
