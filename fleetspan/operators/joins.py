@@ -189,19 +189,33 @@ def _windowed_counts(hist: DataFrame, by: list[str], value: str, counts: list[st
     return hist.select(*hist.columns, *(F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in counts), *(F.sum(c).over(every).alias(f"{c}_all") for c in counts))
 
 
+#: Values of a group that its cuts are taken from, at most.
+CUT_SAMPLE = 1 << 12
+
+
+def range_cuts(hist: DataFrame, by: list[str], value: str, ranges: int) -> DataFrame:
+    """(by, _q): cuts of a group's values into about equal ranges: exact quantiles of up to CUT_SAMPLE values, those of least hash in as many classes of hashes.
+
+    Whoever deals rows to ranges reads them more than once, and each pass must find the same ranges: these depend on the values alone. The cuts of a
+    sketch depend on the order in which its parts arrive, so that totals of one pass don't belong to the ranges of another.
+    """
+    h = F.xxhash64(value)
+    some = hist.groupBy(*by, F.pmod(h, F.lit(CUT_SAMPLE)).alias("_h")).agg(F.min_by(value, h).alias("_s"))
+    return some.groupBy(*by).agg(F.percentile("_s", F.array(*(F.lit(i / ranges) for i in range(1, ranges)))).alias("_q"))
+
+
 def running_counts(hist: DataFrame, by: list[str], value: str, counts: list[str], ranges: int = 64, levels: int | None = None) -> DataFrame:
-    """hist with <c>_below (sum of c over smaller values of the group) and <c>_all. Values are dealt to ranges by approximate quantiles.
+    """hist with <c>_below (sum of c over smaller values of the group) and <c>_all. Values are dealt to ranges by range_cuts.
 
     No group is sorted in one task: the window runs within a range, and ranges are put together by their totals (a row a range). Where the session
     has more than 4 * ranges shuffle partitions, each range is cut into as many once more, so that ranges follow the cluster; levels sets it otherwise.
     """
     levels = levels or (2 if int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 * ranges else 1)
-    cuts = F.percentile_approx(value, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(1000)).alias("_q")
     x, within = hist, []
     for level in range(levels):
-        q = x.groupBy(*by, *within).agg(cuts)
+        q = range_cuts(x, [*by, *within], value, ranges)
         x = x.join(q, [*by, *within]) if by or within else x.crossJoin(q)  # one row
-        x = x.withColumn(f"_r{level}", F.size(F.filter("_q", lambda e: e < F.col(value)))).drop("_q")
+        x = x.withColumn(f"_r{level}", F.coalesce(F.size(F.filter("_q", lambda e: e < F.col(value))), F.lit(0))).drop("_q")
         within.append(f"_r{level}")
     parts = x.groupBy(*by, *within).agg(*(F.sum(c).alias(f"_p_{c}") for c in counts))
     w = Window.partitionBy(*by).orderBy(*within) if by else Window.orderBy(*within)

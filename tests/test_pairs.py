@@ -138,3 +138,28 @@ def test_running_counts_of_ranges(spark, levels, by):
         rows = rows.sort_values("v")
         mine = got[got["g"] == g].sort_values("v")
         assert list(mine["c_below"]) == list(rows["c"].cumsum() - rows["c"]) and set(mine["c_all"]) == {rows["c"].sum()}
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_running_counts_read_in_any_order(spark, levels):
+    """Every pass over the counts sees the rows in another order, as after a shuffle of several fetches; the ranges must stay."""
+    n = 400_000
+
+    def anew(batches):
+        import numpy as np
+
+        rng = np.random.default_rng()
+        for b in batches:
+            yield b.take(rng.permutation(b.num_rows))
+
+    rows = spark.range(0, n, 1, 2).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 7.0).alias("v"), F.lit(1).cast("bigint").alias("c"))
+    kept = spark.conf.get("spark.sql.exchange.reuse"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        x = joins.running_counts(rows.mapInArrow(anew, rows.schema), [], "v", ["c"], levels=levels)
+        got = x.agg(F.count("*"), F.sum("c_below"), F.countDistinct("c_below"), F.min("c_all"), F.max("c_all")).first()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", kept[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept[1])
+    assert tuple(got) == (n, n * (n - 1) // 2, n, n, n)
