@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,5 +192,8 @@ def crosstab(rows: DataFrame, a: str, b: str, values: list) -> DataFrame:
 
 
 def grid(spark, **axes) -> DataFrame:
-    """All combinations of a few parameter values: a table of fixed size."""
-    return reduce(lambda a, b: a.crossJoin(b), (spark.createDataFrame([(float(v),) for v in vs], f"{k} double") for k, vs in axes.items()))
+    """All combinations of a few parameter values: a table of fixed size, in one partition, that joins broadcast."""
+    rows = spark.range(0, 1, 1, 1).select(*(F.array(*(F.lit(float(v)) for v in vs)).alias(k) for k, vs in axes.items()))
+    for k in axes:
+        rows = rows.withColumn(k, F.explode(k))
+    return F.broadcast(rows)

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspan.operators import dedupe, joins
+from fleetspan.operators import dedupe, joins, profile
 
 SURV = "g int, duration double, event int, score double, entry double"
 
@@ -163,3 +163,10 @@ def test_running_counts_read_in_any_order(spark, levels):
         spark.conf.set("spark.sql.exchange.reuse", kept[0])
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept[1])
     assert tuple(got) == (n, n * (n - 1) // 2, n, n, n)
+
+
+def test_grid_of_parameters_recomputes_no_row(spark):
+    g = profile.grid(spark, a=(1, 2, 3), b=(4, 5))
+    assert sorted(map(tuple, g.collect())) == [(float(a), float(b)) for a in (1, 2, 3) for b in (4, 5)] and g.rdd.getNumPartitions() == 1
+    plan = spark.range(10).crossJoin(g)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
