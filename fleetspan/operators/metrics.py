@@ -74,8 +74,9 @@ def first_alerts(rows: DataFrame, tau: Column | float, k: int) -> DataFrame:
 
 def vehicle_levels(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
     """Per vehicle: level (null with less than k cuts), event_observed. A vehicle alerts at tau exactly if level >= tau."""
-    lv = sustained(rows, k, score).groupBy(KEY).agg(F.max("run_min").alias("level"))
-    return rows.groupBy(KEY).agg(F.max("event_observed").alias("event_observed")).join(lv, KEY, "left")
+    w = Window.partitionBy(KEY).orderBy(AT).rowsBetween(0, k - 1)
+    x = rows.withColumn("_m", F.when(F.count("*").over(w) == k, F.min(score).over(w)))
+    return x.groupBy(KEY).agg(F.max("event_observed").alias("event_observed"), F.max("_m").alias("level"))
 
 
 def budget_index(n: Column, alpha: Column) -> Column:

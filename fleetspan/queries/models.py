@@ -368,11 +368,11 @@ def importance_sql(permuted):
 @query("e10_permutation_importance", " UNION ALL ".join(importance_sql(c) for c in ("none", "level_mean", "value_mean")))
 def e10(f):
     """Loss of detection when a channel is permuted over all rows."""
-    x = model_rows(f).withColumn("cut", F.col("cut_odo").cast("bigint"))
+    x = model_rows(f).select(*KEYS, "event_observed", *NUM[:2], F.col("cut_odo").cast("bigint").alias("cut")).persist()  # read by each permutation; a row a cut
     out = None
     for c in (None, "level_mean", "value_mean"):
         y = x if c is None else resample.permute(x, [c], 17, ["vehicle_id", "cut"])
-        lv = M.vehicle_levels(y.withColumn("score", linear_score(None)), SUSTAIN)
+        lv = M.vehicle_levels(y.withColumn("score", linear_score(None)), SUSTAIN).persist()  # read by tau and hits; a row a vehicle
         d = M.detection(lv, M.exact_tau(lv, [0.2])).select(F.lit(c or "none").alias("permuted"), "budget", _r("detection", 6))
         out = d if out is None else out.unionByName(d)
     return out

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from fleetspan.operators import metrics as M
 from fleetspan.operators import resample
 
 ROW = "vehicle_id long, score double, label int"
@@ -44,3 +45,15 @@ def test_poisson_weights_have_mean_and_variance_one():
     w = resample.poisson_weights(list(range(400)), 100, 2)
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05 and (resample.poisson_weights([7], 3, 2) == w[7, :3]).all()
     assert resample.poisson_weights([], 4, 1).shape == (0, 4) and np.all(np.diff(resample.POISSON) >= 0)
+
+
+def test_levels_and_importance_read_their_rows_once(spark):
+    rows = spark.createDataFrame([(1, 100.0, 0, 0.5), (1, 200.0, 0, 0.7), (1, 300.0, 0, 0.6), (2, 100.0, 1, 0.9)], "vehicle_id long, cut_odo double, event_observed int, score double")
+    lv = M.vehicle_levels(rows, 2)
+    assert sorted(map(tuple, lv.collect())) == [(1, 0, 0.6), (2, 1, None)]
+    assert "Join" not in lv._jdf.queryExecution().executedPlan().toString()
+    from fleetspan.queries import load
+
+    plan = load()[0]["e10_permutation_importance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan
+    spark.catalog.clearCache()
