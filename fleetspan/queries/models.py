@@ -123,7 +123,7 @@ def n04(f):
 
 @query("n05_detection_null", f"WITH p AS (SELECT * FROM {levels_sql(permuted_sql(replicated(30), 'score', AT, 6, 'g'))}), n AS (SELECT detection FROM {detection_sql('p', 0.2)}), l AS (SELECT * FROM {levels_sql('(SELECT *, 0 AS g FROM scores)')}), o AS (SELECT detection FROM {detection_sql('l', 0.2)}) SELECT round(o.detection,6) AS observed, count(*) AS n, round((1+count(*) FILTER (n.detection>=o.detection))/(1+count(*))::DOUBLE,6) AS p FROM n CROSS JOIN o GROUP BY o.detection")
 def n05(f):
-    null = resample.permutation_levels(f.scores, 30, SUSTAIN, 6)
+    null = resample.permutation_levels(f.scores, 30, SUSTAIN, 6).persist()  # read by tau and hits; a row a vehicle and replicate
     d = M.detection(null, M.exact_tau(null, [0.2], ["replicate"]), ["replicate"])
     lv = M.vehicle_levels(f.scores, SUSTAIN)
     return resample.p_value(d, "detection", M.detection(lv, M.exact_tau(lv, [0.2]))).select(_r("observed", 6), "n", _r("p", 6))
@@ -132,7 +132,7 @@ def n05(f):
 @query("n06_bag_size_null", f"WITH p AS (SELECT g, vehicle_id, max(event_observed) AS event_observed, max(score) AS level FROM {permuted_sql(replicated(30), 'score', AT, 8, 'g')} GROUP BY ALL), d AS (SELECT detection FROM {detection_sql('p', 0.2)}) SELECT count(detection) AS n, round(avg(detection),6) AS mean, round(quantile_cont(detection,0.025),6) AS lo, round(quantile_cont(detection,0.975),6) AS hi FROM d")
 def n06(f):
     x = resample.replicates(f.scores.select("vehicle_id", "cut_odo", "event_observed", "score"), 30)
-    g = resample.permute_replicates(x, 8).groupBy("replicate", "vehicle_id").agg(F.max("event_observed").alias("event_observed"), F.max("score").alias("level"))
+    g = resample.permute_replicates(x, 8).groupBy("replicate", "vehicle_id").agg(F.max("event_observed").alias("event_observed"), F.max("score").alias("level")).persist()  # read by tau and hits
     return resample.interval(M.detection(g, M.exact_tau(g, [0.2], ["replicate"]), ["replicate"]), "detection").select("n", _r("mean", 6), _r("lo", 6), _r("hi", 6))
 
 
@@ -183,7 +183,7 @@ def l05(f):
 
 
 def stacked(f):
-    d = durations(f).join(model_rows(f).select(*KEYS, *NUM), KEYS)
+    d = durations(f).join(model_rows(f).select(*KEYS, *NUM), KEYS).persist()  # read by knots, fit and scores; a row a cut
     return d, panel.stack_periods(d, "entry", "duration", "event", 100, 1000)
 
 

@@ -57,3 +57,13 @@ def test_levels_and_importance_read_their_rows_once(spark):
     plan = load()[0]["e10_permutation_importance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["n05_detection_null", "n06_bag_size_null"])
+def test_permuted_levels_are_made_once(spark, name):
+    from fleetspan.queries import load
+
+    plan = load()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    outside = "\n".join(line for line in plan.splitlines() if "InMemoryRelation" in line)
+    assert "replicate" in outside and "level" in outside
+    spark.catalog.clearCache()
