@@ -270,6 +270,29 @@ def test_passages_of_hot_seeds(spark):
     assert not uncovered(spark, rows)
 
 
+def test_passages_seeds_travel_in_groups(spark):
+    """First and nearest earlier holders are those of brute force, and a task deals a row for each group of seeds, not for each seed."""
+    import numpy as np
+
+    rng = random.Random(16)
+    lines = [sentence(rng, 14) for _ in range(12)]
+    texts = [" ".join(rng.choice(lines) if rng.random() < 0.5 else sentence(rng, 9) for _ in range(rng.randrange(12))) for _ in range(60)]
+    df = spark.createDataFrame([(i * 3, t, "en", "s", 0) for i, t in enumerate(texts)], DOC).coalesce(1)
+    by_seed = {}
+    for doc, pos, seed, _ in sorted(map(tuple, passages.seeds(df).collect())):
+        by_seed.setdefault(seed, {}).setdefault(doc, []).append(pos)
+    want = []
+    for held in by_seed.values():
+        ids = list(held)
+        for k, doc in enumerate(ids if len(ids) > 1 else []):
+            near = (ids[k - 1], held[ids[k - 1]][0]) if k else (None, None)
+            want += [(doc, pos, ids[0], held[ids[0]][0], *near) for pos in held[doc]]
+    got = passages.holders(passages.held_seeds(df, 1 << 40)).select("doc", "pos", "src", "src_pos", "near", "near_pos")
+    assert want and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    dealt = passages._dealt(df, np.zeros(0, np.int64), np.zeros(0, np.int64), 4).collect()
+    assert len(dealt) == 4 and sum(len(r["seed"]) for r in dealt) == passages.seeds(df).count() > 1000
+
+
 def test_passages_seven_documents(spark):
     """Halves of a passage stand in several documents, the whole in the third and the sixth."""
     rng = random.Random(15)
