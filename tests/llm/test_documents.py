@@ -303,6 +303,18 @@ def test_passages_seven_documents(spark):
     assert not uncovered(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 40])
+def test_passages_meet_every_holder_on_request(spark, hot):
+    """Only the third document holds both halves, and it is neither first nor nearest for either; the last has a word changed between them."""
+    rng = random.Random(11)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    around = lambda x: f"{sentence(rng, 40)} {x} {sentence(rng, 40)}"
+    texts = [around(a), around(b), around(f"{a} {b}"), around(a), around(b), around(f"{a} changedword {' '.join(b.split()[1:])}")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = [r for r in passages.passages(df, hot, every=True).collect() if r["doc_id"] == 5]
+    assert [(r["src_doc_id"], r["n_equal"]) for r in found if r["end_word"] - r["start_word"] >= 60] == [(2, 59)]
+
+
 def test_passages_remove_text(docs, clash, empty):
     df, rows = docs
     found = passages.passages(df)
